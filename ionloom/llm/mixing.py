@@ -72,11 +72,12 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> tuple[DataFrame, dict[st
     cells = cut(rows.groupBy("source", "lang", F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens")))
     fitted = cut(cell_weights(cells, p))
     scale = _scale(fitted, p.rate)
-    side = fitted.select(*[F.col(d).alias(f"c_{d}") for d in DIMS], F.col("weight").alias(weight))
-    on = rows["source"].eqNullSafe(F.col("c_source")) & rows["lang"].eqNullSafe(F.col("c_lang")) & (rows[topic] == F.col("c_topic"))
+    keys = fresh(rows, *[f"c_{d}" for d in DIMS])
+    side = fitted.select(*[F.col(d).alias(k) for d, k in zip(DIMS, keys, strict=True)], F.col("weight").alias(weight))
+    on = rows["source"].eqNullSafe(side[keys[0]]) & rows["lang"].eqNullSafe(side[keys[1]]) & (rows[topic] == side[keys[2]])
     # The cell table is broadcast only where it is small: cells are as many as sources, times a few.
     side = F.broadcast(side) if fitted.count() <= 50_000 else side
-    out = rows.join(side, on, "left").drop("c_source", "c_lang", "c_topic")
+    out = rows.join(side, on, "left").drop(*keys)
     out = out.withColumn(prob, F.least(F.lit(1.0), F.col(weight) * scale))
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(p.seed)), F.lit(1 << 53)) / float(1 << 53)
     return out.withColumn(sampled, u < F.col(prob)), names

@@ -127,5 +127,5 @@ def _matched_by_table(df: DataFrame, index: list[tuple[str, int]], patterns: tup
     rules = spark.createDataFrame([(token, i, patterns[i].pattern) for token, i in index], "u_token string, u_number int, u_pattern string")
     urls = df.select("url").distinct().where(F.col("url").isNotNull())
     hit = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("u_token")).join(rules, "u_token")
-    hit = hit.where(F.lower("url").rlike(F.col("u_pattern"))).groupBy("url").agg(F.sort_array(F.collect_set("u_number")).alias(out))
+    hit = hit.where(F.rlike(F.lower("url"), F.col("u_pattern"))).groupBy("url").agg(F.sort_array(F.collect_set("u_number")).alias(out))
     return df.join(hit, "url", "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
