@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A materialised frame keeps about one partition per so many rows, so that small ones do not deal out empty files.
+ROWS_PER_PARTITION = 50_000
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut`` for frames that are often far smaller than the partitions they came from: partitions follow the rows."""
+    df = cut(df)
+    return df.coalesce(df.count() // ROWS_PER_PARTITION + 1)
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of frames that nothing refers to any more, as it does when the driver collects."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null and blank texts have none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(WHITE))

@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import darts
-from .common import cut
+from .common import cut, cut_small, fresh, release
 
 CACHE = 500_000
 BATCH_SHINGLES = 60_000
+BLOCK = 256
+#: Open buckets of at most so many members, hence of a bounded number of pairs, are finished pair by pair.
+FEW = 12
 
 
 @dataclass(frozen=True)
@@ -37,9 +40,9 @@ class DedupParams:
     rows: int = 6
     #: "set": each distinct shingle weighs 1 (Jaccard); "count": its number in the text (weighted Jaccard).
     weights: str = "set"
-    #: Estimates this far below the similarity are dropped: over six standard errors of 240 coordinates.
-    slack: float = 0.16
-    rounds: int = 3
+    #: Estimates this far below the similarity are dropped: five standard errors of 240 coordinates.
+    slack: float = 0.13
+    rounds: int = 2
     hubs_per_node: int = 3
 
     @property
@@ -191,56 +194,116 @@ def checked(pairs: DataFrame, stored: DataFrame, p: DedupParams) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node that links reach) of every node of ``links`` (a, b): least labels spread, pointers jump."""
-    ends = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
+    ends = cut_small(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = cut_small(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
     while True:
         near = ends.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         new = labels.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("next"))
         far = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        new = cut(new.join(far, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("new")))
+        new = cut_small(new.join(far, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("new")))
         changed = new.where("new <> comp").limit(1).count()
         labels = new.select("node", F.col("new").alias("comp"))
         if not changed:
             return labels
 
 
+def pairs_of(here: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within small open buckets, of which one at least is outside ``top``."""
+    left = here.where("comp <> top").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    right = here.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"), "top")
+    pairs = left.join(right, "band").where("cx <> cy and (cy = top or x < y)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def rest_of_buckets(here: DataFrame, nodes: DataFrame, stored: DataFrame, p: DedupParams) -> DataFrame:
+    """Links (a, b) between members of different components in the open buckets ``here`` (band, node, comp, top).
+
+    Every member outside its bucket's leading component ``top`` is compared with every member of another
+    component, in blocks of about ``BLOCK`` members, one (block, block) pair a row, so that what is compared is
+    never expanded. Nodes that share several buckets are compared in the first of their common bands alone.
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = here.groupBy("band").agg(blocks(F.count("*")).alias("ys"), blocks(F.count_if(F.col("comp") != F.col("top"))).alias("xs"))
+    rows = here.join(sizes, "band").join(nodes.select("node", "bands", "sig"), "node").join(stored, "node")
+    layout = "band bigint, block int, others int, node binary, comp binary, top bigint, bands binary, sig binary, sizes binary, s binary"
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        of = lambda c: part[c].to_numpy(np.int64).tobytes()
+        sizes = np.array([len(x) for x in part["s"]], np.int64).tobytes()
+        row = [key[0], key[1], int(part["others"].iloc[0]), of("node"), of("comp"), int(part["top"].iloc[0]), np.array(part["bands"].tolist(), np.int64).tobytes(), b"".join(part["sig"]), sizes, b"".join(part["s"])]
+        return pd.DataFrame([row], columns=[c.split()[0] for c in layout.split(", ")])
+
+    def side(rows: DataFrame, own: str, other: str, first: str, second: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node", "band"), F.col(own)).cast("int")
+        packed = rows.select("band", block.alias("block"), F.col(other).alias("others"), "node", "comp", "top", "bands", "sig", "s").groupBy("band", "block").applyInPandas(pack, layout)
+        return packed.select("band", F.col("block").alias(first), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias(second), *[F.col(c).alias(f"{c}_{first}") for c in ("node", "comp", "top", "bands", "sig", "sizes", "s")])
+
+    pairs = side(rows.where("comp <> top"), "xs", "ys", "x", "y").join(side(rows, "ys", "xs", "y", "x"), ["band", "x", "y"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.to_dict("records"):
+                found = list(_links(r, p))
+                yield pd.DataFrame({"a": np.array([x for x, _ in found], np.int64), "b": np.array([y for _, y in found], np.int64)})
+
+    return pairs.mapInPandas(run, "a bigint, b bigint").distinct()
+
+
+def _links(r: dict, p: DedupParams) -> Iterator[tuple[int, int]]:
+    """Links of one (block, block) pair."""
+    long = lambda c: np.frombuffer(r[c], np.int64)
+    xs, ys, cx, cy = long("node_x"), long("node_y"), long("comp_x"), long("comp_y")
+    bx, by = long("bands_x").reshape(len(xs), -1), long("bands_y").reshape(len(ys), -1)
+    gx, gy = (np.frombuffer(r[c], np.uint8).reshape(n, -1) for c, n in (("sig_x", len(xs)), ("sig_y", len(ys))))
+    sx, sy = (np.concatenate([[0], np.cumsum(long(c))]) for c in ("sizes_x", "sizes_y"))
+    for i in range(len(xs)):
+        other = np.flatnonzero((cy != cx[i]) & ((cy == r["top_x"]) | (ys > xs[i])))
+        if not len(other):
+            continue
+        same = by[other] == bx[i]
+        other = other[bx[i][same.argmax(axis=1)] == r["band"]]
+        est = ((gy[other] == gx[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(other) else np.empty(0)
+        for j in other[est >= p.similarity - p.slack]:
+            if similarity(r["s_x"][sx[i] : sx[i + 1]], r["s_y"][sy[j] : sy[j + 1]], p.weights) >= p.similarity:
+                yield (int(min(xs[i], ys[j])), int(max(xs[i], ys[j])))
+
+
 def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     """node, doc, class_id of each distinct non-null text: class_id is the least doc_id of all near copies linked to it."""
     nodes = cut(signed_nodes(docs, p))
     bands = nodes.where(F.col("sig").isNotNull()).select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     # Members of buckets with two nodes or more; comp is a node's component so far.
-    members = cut(bands.join(shared, "band").select("band", "node", F.col("node").alias("comp")))
+    members = cut_small(bands.join(shared, "band").select("band", "node", F.col("node").alias("comp")))
+    # Only members are compared from here on.
+    nearby = cut_small(nodes.join(members.select("node").distinct(), "node"))
     stored = None
     for turn in range(p.rounds + 1):
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")
-        lead = members.groupBy("band").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
+        lead = members.groupBy("band").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2")
         if turn < p.rounds:
             hub = members.join(lead, "band").select("node", "comp", F.explode(F.array("lo", "hi")).alias("hub")).where("hub.comp <> comp")
-            pairs = hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        else:
-            here = members.join(lead, "band").select("band", "node", "comp", F.col("lo.comp").alias("top"))
-            left, right = here.where("comp <> top").select("band", F.col("node").alias("x"), F.col("comp").alias("cx")), here.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"), "top")
-            pairs = left.join(right, "band").where("cx <> cy and (cy = top or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = estimated(pairs, nodes, p)
-        if turn < p.rounds:
-            # The best few hubs of each node; whatever else its buckets hold is open for the next round.
+            pairs = hub.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+            # The best few hubs of each node, of two per band at most; whatever else its buckets hold is open for the next round.
             best = F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), False), 1, p.hubs_per_node)
-            pairs = pairs.groupBy("a").agg(best.alias("hubs")).select("a", F.explode("hubs.b").alias("b"))
-        pairs = cut(pairs.select("a", "b"))
-        if not pairs.limit(1).count():
-            if turn == p.rounds:
-                break
-            continue
+            pairs = estimated(pairs, nearby, p).groupBy("a").agg(best.alias("hubs")).select("a", F.explode("hubs.b").alias("b"))
+            pairs = cut_small(pairs)
+            if not pairs.limit(1).count():
+                continue
         if stored is None:
-            wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
-            stored = cut(stored_shingles(docs, wanted, p))
-        links = cut(checked(pairs, stored, p))
+            stored = cut_small(stored_shingles(docs, nearby.select("node", "doc"), p))
+        if turn < p.rounds:
+            links = cut_small(checked(pairs, stored, p))
+        else:
+            here = members.join(lead.select("band", F.col("lo.comp").alias("top"), "size"), "band")
+            few = checked(estimated(pairs_of(here.where(F.col("size") <= FEW)), nearby, p), stored, p)
+            links = cut_small(few.union(rest_of_buckets(here.where(F.col("size") > FEW), nearby, stored, p)).distinct())
         if links.limit(1).count():
             comp = members.select("node", "comp").distinct()
             ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
             joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-            members = cut(members.join(joined, "comp", "left").select("band", "node", F.coalesce("new", "comp").alias("comp")))
+            release(members)
+            members = cut_small(members.join(joined, "comp", "left").select("band", "node", F.coalesce("new", "comp").alias("comp")))
     comp = members.select("node", "comp").distinct()
     named = nodes.select("node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc").alias("class_id"))
@@ -260,7 +323,9 @@ def near_duplicates(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFram
 
 def keep_one(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     """One document of each class, with all columns of ``docs``: that whose doc_id names the class. Null texts stay."""
-    classes = near_duplicate_classes(docs, p).where("doc = class_id").select(F.col("node").alias("d_node"), F.col("doc").alias("d_doc"))
-    rows = docs.withColumn("d_key", F.xxhash64("text"))
-    kept = rows.where(F.col("text").isNotNull()).join(classes, (F.col("d_key") == F.col("d_node")) & (F.col("doc_id") == F.col("d_doc")), "left_semi").dropDuplicates(["d_key", "doc_id"])
+    key, node, doc = fresh(docs, "d_key", "d_node", "d_doc")
+    classes = near_duplicate_classes(docs, p).where("doc = class_id").select(F.col("node").alias(node), F.col("doc").alias(doc))
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    full = rows.where(F.col("text").isNotNull())
+    kept = full.join(classes, (full[key] == classes[node]) & (full["doc_id"] == classes[doc]), "left_semi").dropDuplicates([key, "doc_id"])
     return kept.unionByName(rows.where(F.col("text").isNull())).select(*docs.columns)
