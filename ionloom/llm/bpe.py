@@ -2,7 +2,7 @@
 
 Texts are split into special tokens and pre-tokens; each pre-token is a list of byte symbols, linked both
 ways, whose adjacent pairs wait in a heap by merge rank. The lowest rank is merged first; a heap entry whose
-pair has changed meanwhile is stale and skipped. Results are kept per pre-token in a table of at most
+pair has changed meanwhile is stale and skipped. Results are kept per pre-token in tables of at most
 ``CACHE`` entries for each worker, which changes speed but not results.
 """
 
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 500_000
+CACHE = 250_000
+#: Rows whose ids and decoded texts a worker holds at once.
+SLICE = 400
 #: A vocabulary file above this many bytes is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -61,8 +63,11 @@ class Vocabulary:
             self.merges[ids[a], ids[b]] = rank, ids[a + b]
         self.split = regex.compile(PRETOKEN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # Two generations each: what is used again within one moves on to the next, the rest goes.
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.spaced_before: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -90,9 +95,12 @@ class Vocabulary:
         return [s for s in sym if s >= 0]
 
     def _learn(self, piece: str) -> bytes:
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        out = self.known[piece] = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
+        out = self.known_before.get(piece)
+        if out is None:
+            out = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
+        if len(self.known) >= CACHE // 4:
+            self.known_before, self.known = self.known, {}
+        self.known[piece] = out
         return out
 
     def _pieces(self, text: str) -> bytes:
@@ -103,9 +111,12 @@ class Vocabulary:
         """Ids of a space and ``chunk``; ``Mixed`` if the chunk's pre-tokens depend on what stands around it."""
         if chunk == "" or chunk[0].isspace() or chunk[-1].isspace():
             raise Mixed
+        out = self.spaced_before.get(chunk)
+        if out is None:
+            out = self._pieces(" " + chunk)
         if len(self.spaced) >= CACHE:
-            self.spaced.clear()
-        out = self.spaced[chunk] = self._pieces(" " + chunk)
+            self.spaced_before, self.spaced = self.spaced, {}
+        self.spaced[chunk] = out
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -145,26 +156,26 @@ def read_vocabulary(path: str) -> str:
     return spec
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", digests: bool = False) -> DataFrame:
-    """Per row of ``docs``: the id, ids (array of int) and the decoded text, or with ``digests`` their counts and SHA-256.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", digests: bool = False, decode: bool = True) -> DataFrame:
+    """Per row of ``docs``: the id, ids (array of int) and (with ``decode``) the decoded text, or with ``digests`` their counts and SHA-256.
 
     Null texts count as empty: no ids, empty decoded text. No shuffle; rows stay in their partitions and are
     handled one by one, so that memory follows the longest text.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    schema = f"{id_col} {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * decode)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = _vocabulary(spec.value)
-        for b in batches:
+        for b in (whole.iloc[at : at + SLICE] for whole in batches for at in range(0, len(whole), SLICE)):
             ids = [v.encode(t or "") for t in b["t"]]
-            back = [v.decode(i) for i in ids]
-            out = {id_col: b["i"]}
+            back = [v.decode(i) for i in ids] if decode or digests else []
+            out = {id_col: b["i"].tolist() if kind != "string" and not b["i"].isna().any() else b["i"]}
             if digests:
                 out |= {"n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids], "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back]}
             else:
-                out |= {"ids": [np.frombuffer(i, "<i4") for i in ids], "decoded": back}
+                out |= {"ids": [np.frombuffer(i, "<i4") for i in ids]} | ({"decoded": back} if decode else {})
             yield pd.DataFrame(out)
 
     return docs.select(F.col(id_col).alias("i"), F.col("text").alias("t")).mapInPandas(run, schema)

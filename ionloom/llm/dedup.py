@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import darts
 from .common import cut, cut_small, fresh, release
 
-CACHE = 500_000
+CACHE = 200_000
 BATCH_SHINGLES = 60_000
 BLOCK = 256
 #: Open buckets of at most so many members, hence of a bounded number of pairs, are finished pair by pair.
