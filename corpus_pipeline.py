@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and their number of each document."""
-    out = encode_documents(docs, vocabulary_path())
+    out = encode_documents(docs, vocabulary_path(), decode=False)
     return out.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
 
 
