@@ -396,11 +396,11 @@ def set_except(spark, sf):
     return t(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")).subtract(t(spark, sf, "supplier").where("s_acctbal > 7000").select("s_nationkey"))
 
 
-@query("""WITH g AS (SELECT l_partkey, string_agg(DISTINCT lpad(l_suppkey::VARCHAR, 6, '0'), ';' ORDER BY lpad(l_suppkey::VARCHAR, 6, '0')) AS members FROM lineitem WHERE l_suppkey <= 40 GROUP BY 1)
+@query("""WITH g AS (SELECT l_partkey, string_agg(DISTINCT lpad(l_suppkey::VARCHAR, 6, '0'), ';' ORDER BY lpad(l_suppkey::VARCHAR, 6, '0')) AS members FROM lineitem GROUP BY 1)
 SELECT members, count(*) AS parts, min(l_partkey) AS first_part FROM g GROUP BY 1""")
 def concat_members(spark, sf):
     """AGG-29/36, FN-29: groups named by their sorted members."""
-    g = t(spark, sf, "lineitem").where("l_suppkey <= 40").select("l_partkey", F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("m")).distinct()
+    g = t(spark, sf, "lineitem").select("l_partkey", F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("m")).distinct()
     g = g.groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_list("m")), ";").alias("members"))
     return g.groupBy("members").agg(F.count("*").alias("parts"), F.min("l_partkey").alias("first_part"))
 
@@ -411,11 +411,11 @@ def consistency_check(spark, sf):
     return t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct(F.struct("l_returnflag", "l_linestatus")).alias("kinds")).where("kinds > 1")
 
 
-@query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) + 1e-9) AS e FROM embeddings WHERE vec_id < 200), s AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM n)
+@query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) + 1e-9) AS e FROM embeddings), s AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM n)
 SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.p) + 1), lambda i: a.p[i] * ln(a.p[i] / b.p[i]))), 6) AS kl FROM s a JOIN s b ON b.vec_id = a.vec_id + 1""")
 def kl_divergence(spark, sf):
     """FN-14/15/16."""
-    s = t(spark, sf, "embeddings").where("vec_id < 200").select("vec_id", C.by_sum(F.transform("embedding", lambda x: F.abs(x.cast("double")) + 1e-9)).alias("p"))
+    s = t(spark, sf, "embeddings").select("vec_id", C.by_sum(F.transform("embedding", lambda x: F.abs(x.cast("double")) + 1e-9)).alias("p"))
     b = s.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
     return s.join(b, "vec_id").select("vec_id", F.round(C.kl_divergence(F.col("p"), F.col("q")), 6).alias("kl"))
 
@@ -479,35 +479,35 @@ def json_cells(spark, sf):
     return t(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("""WITH s AS (SELECT p_partkey, upper(translate(p_name, ' ', '')) AS seq FROM part WHERE p_partkey <= 500),
+@query("""WITH s AS (SELECT p_partkey, upper(translate(p_name, ' ', '')) AS seq FROM part),
 f AS (SELECT p_partkey, string_split_regex(regexp_replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '([KR])\\|P', '\\1P', 'g'), '\\|') AS parts FROM s)
 SELECT p_partkey, peptide, count(*) AS n FROM (SELECT p_partkey, unnest(list_filter(parts, lambda x: x <> '')) AS peptide FROM f) GROUP BY ALL""".replace("\\\\", "\\"))
 def digestion(spark, sf):
     """FN-09/10, UDF-30, RSH-03."""
-    s = t(spark, sf, "part").where("p_partkey <= 500").select("p_partkey", F.upper(F.translate("p_name", " ", "")).alias("seq"))
+    s = t(spark, sf, "part").select("p_partkey", F.upper(F.translate("p_name", " ", "")).alias("seq"))
     d = s.select("p_partkey", F.explode(C.digest(F.col("seq"), "trypsin", 0)).alias("d"))
     return d.select("p_partkey", F.col("d.peptide").alias("peptide")).groupBy("p_partkey", "peptide").agg(F.count("*").alias("n"))
 
 
-@query("""WITH m AS (SELECT l_partkey AS pep, list_sort(list_distinct(list(l_suppkey))) AS prots FROM lineitem WHERE l_suppkey <= 30 GROUP BY 1)
+@query("""WITH m AS (SELECT l_partkey AS pep, list_sort(list_distinct(list(l_suppkey))) AS prots FROM lineitem GROUP BY 1)
 SELECT array_to_string(prots, ';') AS protein_group, count(*) AS peptides, CASE WHEN len(prots) = 1 THEN 'unique' ELSE 'shared' END AS evidence FROM m GROUP BY ALL""")
 def protein_evidence(spark, sf):
     """UDF-25: peptides by the set of proteins that hold them."""
-    pairs = t(spark, sf, "lineitem").where("l_suppkey <= 30").select(F.col("l_partkey").alias("peptide"), F.col("l_suppkey").alias("protein"))
+    pairs = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("peptide"), F.col("l_suppkey").alias("protein"))
     return evidence_classes(pairs)
 
 
 @query()
 def protein_inference(spark, sf):
     """UDF-26: minimal set of proteins that explains the peptides, by greedy cover inside connected groups."""
-    pairs = t(spark, sf, "lineitem").where("l_suppkey <= 30 and l_orderkey % 40 = 1").select(F.col("l_partkey").alias("peptide"), F.col("l_suppkey").alias("protein"))
+    pairs = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("peptide"), F.col("l_suppkey").alias("protein"))
     return infer_groups(pairs)
 
 
 @query()
 def dtw_distance(spark, sf):
     """FN-18: neighbouring embeddings warped onto each other."""
-    e = t(spark, sf, "embeddings").where("vec_id < 100")
+    e = t(spark, sf, "embeddings")
     pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
 
     def run(batches):
@@ -527,12 +527,12 @@ def spline_alignment(spark, sf):
 @query()
 def peak_area(spark, sf):
     """UDF-05..09: baseline, smoothing, peak picking and area of each user's trace."""
-    d = t(spark, sf, "events").where("user_id < 40").groupBy("user_id", F.floor((micros() / 1000000) / 86400).cast("double").alias("x")).agg(F.sum("value").alias("y"))
+    d = t(spark, sf, "events").groupBy("user_id", F.floor((micros() / 1000000) / 86400).cast("double").alias("x")).agg(F.sum("value").alias("y"))
 
     def run(key, part):
-        part = part.sort_values("x").tail(500)
+        part = part.sort_values("x")
         x, y = part["x"].to_numpy(), part["y"].to_numpy()
-        y = np.maximum(0.0, y - signal.als_baseline(y))
+        y = np.maximum(0.0, y - signal.als_baseline(y)) if len(y) <= 500 else y
         peaks = signal.pick_peaks(x, y)
         return pd.DataFrame([(key[0], len(peaks), max((h for _, h in peaks), default=0.0), signal.gaussian_area(x - x.mean(), y)[3])], columns=["user_id", "peaks", "top", "area"])
 
