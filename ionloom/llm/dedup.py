@@ -121,14 +121,15 @@ def signed_nodes(docs: DataFrame, p: DedupParams) -> DataFrame:
             rows = list(_signed(b["text"].tolist(), p))
             yield pd.DataFrame({
                 "node": b["node"].tolist(),
-                "doc": b["doc"].astype(object).tolist() if b["doc"].isna().any() else b["doc"].tolist(),
+                "doc": b["doc"].tolist(),
                 "n": [n for n, _ in rows],
                 "bands": [None if s is None else band_keys(s, p) for _, s in rows],
                 "sig": [None if s is None else (s & np.uint64(255)).astype(np.uint8).tobytes() for _, s in rows],
             })
 
-    rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("doc"), "text")
-    out = rows.mapInPandas(run, f"node bigint, doc {kind}, n int, bands array<bigint>, sig binary")
+    rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), F.col("doc_id").cast("string").alias("doc"), "text")
+    # Ids pass as strings, as a column of integers and nulls would become one of floats.
+    out = rows.mapInPandas(run, "node bigint, doc string, n int, bands array<bigint>, sig binary").withColumn("doc", F.col("doc").cast(kind))
     return out.groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "bands", "sig")])
 
 
@@ -166,7 +167,8 @@ def stored_shingles(docs: DataFrame, wanted: DataFrame, p: DedupParams) -> DataF
             yield pd.DataFrame({"node": b["node"].tolist(), "s": out})
 
     rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("doc"), "text")
-    return rows.join(wanted, ["node", "doc"], "left_semi").select("node", "text").mapInPandas(run, "node bigint, s binary").dropDuplicates(["node"])
+    want = wanted.select(F.col("node").alias("w_node"), F.col("doc").alias("w_doc"))
+    return rows.join(want, (F.col("node") == F.col("w_node")) & F.col("doc").eqNullSafe(F.col("w_doc")), "left_semi").select("node", "text").mapInPandas(run, "node bigint, s binary").dropDuplicates(["node"])
 
 
 def similarity(x: bytes, y: bytes, weights: str) -> float:
@@ -269,7 +271,11 @@ def _links(r: dict, p: DedupParams) -> Iterator[tuple[int, int]]:
 
 
 def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """node, doc, class_id of each distinct non-null text: class_id is the least doc_id of all near copies linked to it."""
+    """node, doc, class_id, keeper of each distinct non-null text.
+
+    class_id is the least doc_id of all near copies linked to it, keeper the node of the text that has it (where no
+    copy has an id, the least node).
+    """
     nodes = cut(signed_nodes(docs, p))
     bands = nodes.where(F.col("sig").isNotNull()).select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
@@ -306,8 +312,9 @@ def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> D
             members = cut_small(members.join(joined, "comp", "left").select("band", "node", F.coalesce("new", "comp").alias("comp")))
     comp = members.select("node", "comp").distinct()
     named = nodes.select("node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("doc").alias("class_id"))
-    return named.join(least, "comp").select("node", "doc", "class_id")
+    first = F.min(F.struct(F.col("doc").isNull().alias("bare"), "doc", "node"))
+    least = named.groupBy("comp").agg(F.min("doc").alias("class_id"), first["node"].alias("keeper"))
+    return named.join(least, "comp").select("node", "doc", "class_id", "keeper")
 
 
 def near_duplicates(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
@@ -322,10 +329,13 @@ def near_duplicates(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFram
 
 
 def keep_one(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """One document of each class, with all columns of ``docs``: that whose doc_id names the class. Null texts stay."""
+    """One document of each class, with all columns of ``docs``: that whose doc_id names the class. Null texts stay.
+
+    A null doc_id counts as the greatest: a class keeps such a document only where it has no other.
+    """
     key, node, doc = fresh(docs, "d_key", "d_node", "d_doc")
-    classes = near_duplicate_classes(docs, p).where("doc = class_id").select(F.col("node").alias(node), F.col("doc").alias(doc))
+    classes = near_duplicate_classes(docs, p).where("node = keeper").select(F.col("node").alias(node), F.col("doc").alias(doc))
     rows = docs.withColumn(key, F.xxhash64("text"))
     full = rows.where(F.col("text").isNotNull())
-    kept = full.join(classes, (full[key] == classes[node]) & (full["doc_id"] == classes[doc]), "left_semi").dropDuplicates([key, "doc_id"])
+    kept = full.join(classes, (full[key] == classes[node]) & full["doc_id"].eqNullSafe(classes[doc]), "left_semi").dropDuplicates([key, "doc_id"])
     return kept.unionByName(rows.where(F.col("text").isNull())).select(*docs.columns)

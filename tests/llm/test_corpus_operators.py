@@ -96,6 +96,19 @@ def test_near_duplicates_and_keep_one(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(want))
 
 
+def test_near_duplicates_with_null_ids(spark):
+    """Null ids lose no link and no class: the second text links two that are less alike; one class has no id at all."""
+    words = [f"w{i}" for i in range(100)]
+    swap = lambda n: " ".join(["x"] * n + words[n:])
+    big = 2**60 + 1
+    rows = [(big, swap(0)), (None, swap(8)), (big + 2, swap(16)), (None, "p q r s t u"), (None, "p q r s t u"), (None, None), (5, "alone in the whole wide world")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.class_id) for r in dedup.near_duplicates(docs).collect())
+    assert got == collections.Counter([(big, big), (None, big), (big + 2, big), (None, None), (None, None), (None, None), (5, 5)])
+    kept = collections.Counter(tuple(r) for r in dedup.keep_one(docs).collect())
+    assert kept == collections.Counter([rows[0], rows[3], rows[5], rows[6]])
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup.near_duplicates(docs).count() == 0 and dedup.keep_one(docs).count() == 0
