@@ -60,3 +60,13 @@ def mayu_fdr(df: DataFrame, length: str, decoy: Column, found: Column, chunks: i
     targets = sum(r["t"] for r in rows)
     fdr = sum(hypergeometric_expectation(r["t"], r["d"], r["n"]) for r in rows) / targets if targets else 1.0
     return fdr if 0 < fdr <= 1 else 1.0
+
+
+def logistic_q(bins: DataFrame, score: str = "mean_score", q: str = "q_value") -> tuple[float, float, float]:
+    """Logistic curve through the q-values of score bins (see ``binned_pep``): only bins reach the driver."""
+    from .signal import logistic_fit
+
+    rows = bins.select(score, q).where(F.col(q).isNotNull()).orderBy(score).collect()
+    if len(rows) < 3:
+        return (float("nan"),) * 3
+    return logistic_fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))

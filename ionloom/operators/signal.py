@@ -7,20 +7,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def solve_five(main: np.ndarray, near: np.ndarray, far: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a positive definite symmetric system with diagonals ``main``, ``near`` (n - 1) and ``far`` (n - 2)."""
+    n = len(main)
+    d, one, two, z = ([0.0] * (n + 2) for _ in range(4))
+    a, b, c, r = main.tolist(), [*near.tolist(), 0.0, 0.0][:n], [*far.tolist(), 0.0, 0.0, 0.0][:n], right.tolist()
+    for i in range(n):  # index -1 and -2 are the two zeros at the end
+        d[i] = a[i] - d[i - 1] * one[i - 1] ** 2 - d[i - 2] * two[i - 2] ** 2
+        one[i] = (b[i] - d[i - 1] * one[i - 1] * two[i - 1]) / d[i]
+        two[i] = c[i] / d[i]
+        z[i] = r[i] - one[i - 1] * z[i - 1] - two[i - 2] * z[i - 2]
+    x = [0.0] * (n + 2)
+    for i in range(n - 1, -1, -1):
+        x[i] = z[i] / d[i] - one[i] * x[i + 1] - two[i] * x[i + 2]
+    return np.array(x[:n])
+
+
 def smoothing_spline(x: np.ndarray, y: np.ndarray, lam: float, at: np.ndarray) -> np.ndarray:
     """Natural cubic smoothing spline (Reinsch 1967) at ``at``; linear outside the knots. x strictly increasing."""
     n = len(x)
     if n < 3:
         return np.interp(at, x, y)
     h = np.diff(x)
-    q = np.zeros((n, n - 2))
-    i = np.arange(n - 2)
-    q[i, i], q[i + 2, i] = 1 / h[:-1], 1 / h[1:]
-    q[i + 1, i] = -1 / h[:-1] - 1 / h[1:]
-    r = np.diag((h[:-1] + h[1:]) / 3)
-    r[i[:-1], i[1:]] = r[i[1:], i[:-1]] = h[1:-1] / 6
-    gamma = np.linalg.solve(r + lam * q.T @ q, q.T @ y)
-    g, m = y - lam * q @ gamma, np.concatenate([[0.0], gamma, [0.0]])
+    u = 1 / h
+    v = -(u[:-1] + u[1:])
+    # R + lambda Q'Q is symmetric with five diagonals.
+    main = (h[:-1] + h[1:]) / 3 + lam * (u[:-1] ** 2 + v**2 + u[1:] ** 2)
+    gamma = solve_five(main, h[1:-1] / 6 + lam * u[1:-1] * (v[:-1] + v[1:]), lam * u[1:-2] * u[2:-1], np.diff(np.diff(y) * u))
+    m = np.concatenate([[0.0], gamma, [0.0]])
+    g = np.array(y, float)
+    g[:-2] -= lam * u[:-1] * gamma
+    g[1:-1] -= lam * v * gamma
+    g[2:] -= lam * u[1:] * gamma
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
     inside = a * g[k] + b * g[k + 1] + ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1]) * h[k] ** 2 / 6
@@ -58,10 +76,14 @@ def als_baseline(y: np.ndarray, lam: float = 1e4, p: float = 0.01, rounds: int =
     n = len(y)
     if n < 3:
         return np.zeros(n)
-    d = np.diff(np.eye(n), 2, axis=0)
+    main, near = np.zeros(n), np.zeros(n - 1)
+    for i, c in enumerate((1.0, 4.0, 1.0)):
+        main[i : n - 2 + i] += c
+    near[:-1] -= 2
+    near[1:] -= 2
     w, z = np.ones(n), y
     for _ in range(rounds):
-        z = np.linalg.solve(np.diag(w) + lam * d.T @ d, w * y)
+        z = solve_five(w + lam * main, lam * near, np.full(n - 2, lam), w * y)
         w = np.where(y > z, p, 1 - p)
     return z
 
@@ -96,6 +118,115 @@ def gaussian_area(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, fl
     return float(top), float(mean), float(sd), float(top * sd * np.sqrt(2 * np.pi))
 
 
+def ricker(width: float, reach: int) -> np.ndarray:
+    """Ricker wavelet of a width in samples, at -reach..reach, of unit energy."""
+    t = np.arange(-reach, reach + 1) / width
+    return 2 / (np.sqrt(3 * width) * np.pi**0.25) * (1 - t**2) * np.exp(-(t**2) / 2)
+
+
+def refined_sd(y: np.ndarray, at: int, sd: float) -> float:
+    """sd of the Gaussian through the trace within 1.5 sd of ``at``, unless it is less than half or over twice ``sd``."""
+    reach = max(1, int(np.ceil(1.5 * sd)))
+    a = max(0, at - reach)
+    part = np.asarray(y[a : at + reach + 1], float)
+    got = gaussian_area(np.arange(len(part), dtype=float) + a - at, part)[2]
+    return got if sd / 2 <= got <= 2 * sd else sd
+
+
+def wavelet_peaks(x: np.ndarray, y: np.ndarray, scales=(1.5, 2, 3, 4, 6, 8, 12, 16, 24), min_fit: float = 0.5, most: int = 6) -> list[tuple[float, float, float]]:
+    """(position, height, sd) of the peaks of an evenly spaced trace, by continuous wavelet transform.
+
+    Maxima over position and scale, strongest first, become peaks unless one accepted before lies within two sd; a
+    Gaussian answers most strongly at a scale of sqrt(5) sd, and a parabola through its logarithm refines the sd. Peaks
+    whose ranges of two sd overlap are fitted together: Gaussians are taken up one by one while Akaike's
+    criterion falls, ``most`` at most to a group. What correlates with the trace by ``min_fit`` or less is no peak.
+    """
+    n = len(y)
+    if n < 3 or not np.any(y > 0):
+        return []
+    rows = []
+    for s in scales:
+        reach = int(np.ceil(5 * s))
+        rows.append(np.convolve(np.pad(y, reach, mode="reflect" if reach < n else "edge"), ricker(s, reach), mode="valid"))
+    c = np.array(rows)
+    wide = np.pad(c, 1, constant_values=-np.inf)
+    top = (c > 0) & (c > wide[1:-1, :-2]) & (c >= wide[1:-1, 2:]) & (c >= wide[:-2, 1:-1]) & (c >= wide[2:, 1:-1])
+    taken: list[tuple[int, float]] = []
+    for k, i in sorted(zip(*np.nonzero(top), strict=True), key=lambda q: -c[q]):
+        sd = scales[k] / np.sqrt(5)
+        if all(abs(i - j) > 2 * max(sd, s) for j, s in taken):
+            taken.append((int(i), float(sd)))
+    taken = sorted((i, refined_sd(y, i, sd)) for i, sd in taken)
+    groups: list[list[tuple[int, float]]] = []
+    for i, s in taken:
+        if groups and len(groups[-1]) < most and i - 2 * s <= max(j + 2 * r for j, r in groups[-1]):
+            groups[-1].append((i, s))
+        else:
+            groups.append([(i, s)])
+    step, out = float(x[1] - x[0]), []
+    for group in groups:
+        a, z = max(0, int(min(i - 3 * s for i, s in group))), min(n, int(max(i + 3 * s for i, s in group)) + 1)
+        t, part = np.arange(a, z), np.asarray(y[a:z], float)
+        shapes = [np.exp(-((t - i) ** 2) / (2 * s * s)) for i, s in group]
+        used: list[int] = []
+        aic, heights = np.inf, np.empty(0)
+        while len(used) < len(group):
+            tries = []
+            for k in set(range(len(group))) - set(used):
+                m = np.array([shapes[j] for j in [*used, k]]).T
+                h = np.linalg.lstsq(m, part, rcond=None)[0]
+                rss = max(float(((part - m @ h) ** 2).sum()), 1e-12)
+                tries.append((len(t) * np.log(rss / len(t)) + 6 * (len(used) + 1), k, h))
+            best = min(tries, key=lambda q: q[:2])
+            if best[0] >= aic:
+                break
+            aic, heights = best[0], best[2]
+            used.append(best[1])
+        for j, h in sorted(zip(used, heights, strict=True)):
+            i, s = group[j]
+            near = slice(max(0, i - int(np.ceil(2 * s))), i + int(np.ceil(2 * s)) + 1)
+            own = np.exp(-((np.arange(n)[near] - i) ** 2) / (2 * s * s))
+            if h > 0 and np.ptp(y[near]) > 0 and np.corrcoef(own, y[near])[0, 1] > min_fit:
+                out.append((float(x[i]), float(h), s * step))
+    return out
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, slopes=range(1, 31), slack: float = 0.1, rounds: int = 60) -> tuple[float, float, float]:
+    """(top, slope, middle) of top / (1 + exp(slope * (x - middle))) with the least squared error, over several first slopes.
+
+    Damped Gauss-Newton steps; each parameter stays within ``slack`` of its start, which is the greatest y, the slope
+    and the x where y is nearest to the middle of its range.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    middle = float(x[np.abs(y - (y.max() - np.ptp(y) / 2)).argmin()])
+    best, found = np.inf, (float("nan"),) * 3
+    for k in slopes:
+        start = np.array([y.max(), float(k), middle])
+        room = slack * np.maximum(np.abs(start), 1e-9)
+        p, damp, cost = start.copy(), 1e-2, np.inf
+        for _ in range(rounds):
+            e = np.exp(np.clip(p[1] * (x - p[2]), -60, 60))
+            f = 1 / (1 + e)
+            r = y - p[0] * f
+            cost = float(r @ r)
+            j = np.array([f, -p[0] * f * (1 - f) * (x - p[2]), p[0] * f * (1 - f) * p[1]]).T
+            h = j.T @ j
+            new = np.clip(p + np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), j.T @ r), start - room, start + room)
+            after = float(((y - new[0] / (1 + np.exp(np.clip(new[1] * (x - new[2]), -60, 60)))) ** 2).sum())
+            if after < cost:
+                done = cost - after < 1e-12 * max(cost, 1e-12)
+                p, damp, cost = new, damp / 3, after
+                if done:
+                    break
+            else:
+                damp *= 4
+                if damp > 1e9:
+                    break
+        if cost < best:
+            best, found = cost, tuple(map(float, p))
+    return found
+
+
 def align_runs(df: DataFrame, keys: str, schema: str, lams=tuple(range(1, 41))) -> DataFrame:
     """Per group of (x, y): the best spline's lambda and R squared on every fifth point. Groups are single runs."""
 

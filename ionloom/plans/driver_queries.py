@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import masses
 from ..operators import aggregate as A
-from ..operators import fdr, joins, ordered, signal
+from ..operators import fdr, joins, ordered, signal, spectra
 from ..operators.inference import evidence_classes, infer_groups
+from ..sources import mztab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -554,3 +556,145 @@ def gbt_score(spark, sf):
 
     rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "n_chars", F.size(F.split("text", "\n")).alias("lines"), F.length(F.regexp_replace("text", r"[\p{L}\s]", "")).alias("marks")), "doc_id")
     return boosted_scores(rows, ["n_chars", "lines", "marks"], "quality", "doc_id")
+
+
+LETTERS = "".join(masses.RESIDUES)
+MASS_OF = "map {" + ", ".join(f"'{k}': {v}" for k, v in masses.RESIDUES.items()) + "}"
+SEQUENCES = f"seqs AS (SELECT p_partkey, regexp_replace(upper(p_type || p_name), '[^{LETTERS}]', '', 'g') AS sequence FROM part)"
+MASSES = f"list_transform(string_split(sequence, ''), lambda r: ({MASS_OF})[r]::DOUBLE)"
+IONS = f"""{SEQUENCES}, ms AS (SELECT DISTINCT sequence, {MASSES} AS m FROM seqs),
+cuts AS (SELECT sequence, m, unnest(range(1, len(m))) AS number FROM ms),
+ions AS (SELECT sequence, 'b' AS series, number::INTEGER AS number, list_sum(m[1:number]) + {C.PROTON} AS mz FROM cuts
+UNION ALL SELECT sequence, 'y', number::INTEGER, list_sum(m[len(m) - number + 1:]) + {masses.WATER + C.PROTON} FROM cuts)"""
+
+
+def _sequences(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", F.regexp_replace(F.upper(F.concat("p_type", "p_name")), f"[^{LETTERS}]", "").alias("sequence"))
+
+
+def _peaks(spark, sf):
+    """Each user's events as one spectrum."""
+    return t(spark, sf, "events").select(F.col("user_id").alias("spectrum"), (F.col("value") * 10).alias("mz"), (F.col("event_id") % 97 + 1).cast("double").alias("intensity"))
+
+
+def _spectra(spark, sf):
+    peak = F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("p")
+    return _peaks(spark, sf).groupBy("spectrum").agg(peak).select("spectrum", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
+
+
+@query(f"WITH {SEQUENCES} SELECT p_partkey, sequence, round(list_sum({MASSES}) + {masses.WATER}, 6) AS mass FROM seqs")
+def peptide_masses(spark, sf):
+    """FN-11: neutral masses of sequences."""
+    s = _sequences(spark, sf)
+    return s.select("p_partkey", "sequence", F.round(masses.peptide_mass(F.col("sequence")), 6).alias("mass"))
+
+
+@query(f"WITH {IONS} SELECT sequence, series, number, round(mz, 4) AS mz FROM ions")
+def fragment_ions(spark, sf):
+    """UDF-21: b and y ions of each distinct sequence."""
+    s = _sequences(spark, sf).select("sequence").distinct()
+    return rounded(s.select("sequence", F.explode(masses.fragments(F.col("sequence"))).alias("f")).select("sequence", "f.*"), "mz")
+
+
+LIBRARY = f"""{IONS}, psms AS (SELECT DISTINCT user_id % 3 AS file, user_id AS spectrum, sequence FROM events JOIN seqs ON p_partkey = user_id),
+peaks AS (SELECT user_id AS spectrum, value * 10 AS mz, (event_id % 97 + 1)::DOUBLE AS intensity FROM events),
+tops AS (SELECT spectrum, max(intensity) AS top FROM peaks GROUP BY 1),
+lib AS (SELECT file, sequence, series, number, count(*) AS matches, avg(intensity / top) AS mean_share, max(intensity / top) AS max_share, avg(p.mz - i.mz) AS mean_error
+FROM psms JOIN ions i USING (sequence) JOIN peaks p ON p.spectrum = psms.spectrum AND p.mz BETWEEN i.mz - 2 AND i.mz + 2 JOIN tops ON tops.spectrum = psms.spectrum GROUP BY ALL)"""
+
+
+def _library(spark, sf):
+    e = t(spark, sf, "events").select("user_id").distinct()
+    psms = e.join(_sequences(spark, sf), F.col("user_id") == F.col("p_partkey")).select((F.col("user_id") % 3).alias("file"), F.col("user_id").alias("spectrum"), "sequence")
+    return spectra.spectral_library(psms, _peaks(spark, sf), 2.0)
+
+
+@query(f"WITH {LIBRARY} SELECT file, sequence, series, number, matches, round(mean_share, 6) AS mean_share, round(max_share, 6) AS max_share, round(mean_error, 5) AS mean_error FROM lib")
+def spectral_library(spark, sf):
+    """UDF-28, JN-14, AGG-27."""
+    return rounded(rounded(_library(spark, sf), "mean_share", "max_share", digits=6), "mean_error", digits=5)
+
+
+@query(f"""WITH {LIBRARY} SELECT sequence, series, number, count(DISTINCT file) AS files, round(median(mean_share), 6) AS share FROM lib
+GROUP BY ALL HAVING count(DISTINCT file) >= 2""")
+def consensus_library(spark, sf):
+    """UDF-29: fragments that several files agree on."""
+    out = spectra.consensus_library(_library(spark, sf), 2)
+    return rounded(out.select("sequence", F.explode("fragments").alias("f")).select("sequence", "f.*"), "share", digits=6)
+
+
+@query()
+def spectrum_scores(spark, sf):
+    """UDF-21/22, JN-11/16: candidates by mass, three scores of peptides and decoys; masses are dealt to users."""
+    x = _spectra(spark, sf).withColumn("mass", 1000.0 + F.col("spectrum") * 37 % 1000)
+    return spectra.score_spectra(x, _sequences(spark, sf), 5.0, 0.5)
+
+
+@query()
+def charge_states(spark, sf):
+    """UDF-20: charges whose isotope ladders are longer than random spectra hold."""
+
+    def run(batches):
+        for b in batches:
+            got = [spectra.charge_states(np.asarray(mz, float), range(1, 5), rounds=200) for mz in b["mz"]]
+            yield pd.DataFrame({"spectrum": b["spectrum"], "charges": [[z for z, _, _ in g] for g in got], "p": [[p for _, _, p in g] for g in got]})
+
+    return _spectra(spark, sf).select("spectrum", "mz").mapInPandas(run, "spectrum bigint, charges array<int>, p array<double>")
+
+
+@query()
+def label_efficiency(spark, sf):
+    """UDF-12/23, FN-14: the N-15 share whose isotope pattern is nearest to a measured one, here made with a known share."""
+    s = _sequences(spark, sf).withColumn("share", F.lit(0.9) + (F.col("p_partkey") % 90) / 1000)
+
+    def run(batches):
+        for b in batches:
+            got = [spectra.label_efficiency(q, spectra.isotope_pattern(q, e)) for q, e in zip(b["sequence"], b["share"], strict=True)]
+            yield pd.DataFrame({"p_partkey": b["p_partkey"], "share": b["share"], "efficiency": [round(e, 4) for e, _ in got], "kl": [k for _, k in got]})
+
+    return s.mapInPandas(run, "p_partkey bigint, share double, efficiency double, kl double")
+
+
+@query()
+def wavelet_peaks(spark, sf):
+    """UDF-08: peaks of each user's daily trace by wavelet transform."""
+    d = t(spark, sf, "events").groupBy("user_id", F.floor((micros() / 1000000) / 86400).cast("int").alias("x")).agg(F.sum("value").alias("y"))
+    d = d.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("p")).select("user_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for user, x, y in zip(b["user_id"], b["x"], b["y"], strict=True):
+                full = np.zeros(int(x[-1] - x[0]) + 1)
+                full[np.asarray(x) - x[0]] = y
+                rows += [(user, *peak) for peak in signal.wavelet_peaks(x[0] + np.arange(len(full), dtype=float), full)]
+            yield pd.DataFrame(rows, columns=["user_id", "position", "height", "sd"])
+
+    return d.mapInPandas(run, "user_id bigint, position double, height double, sd double")
+
+
+@query()
+def centroid_spectra(spark, sf):
+    """UDF-24: profile peaks as centroids."""
+
+    def run(batches):
+        for b in batches:
+            got = [spectra.centroids(np.asarray(m, float), np.asarray(i, float), 20.0) for m, i in zip(b["mz"], b["intensity"], strict=True)]
+            yield pd.DataFrame({"spectrum": b["spectrum"], "mz": [m.tolist() for m, _ in got], "intensity": [h.tolist() for _, h in got]})
+
+    return _spectra(spark, sf).mapInPandas(run, "spectrum bigint, mz array<double>, intensity array<double>")
+
+
+@query()
+def logistic_q_values(spark, sf):
+    """UDF-14: logistic curve through the q-values of score bins."""
+    bins = fdr.binned_pep(_scored(spark, sf), "score", F.col("toxic") == 1, 500.0)
+    return spark.createDataFrame([fdr.logistic_q(bins)], "top double, slope double, middle double")
+
+
+@query()
+def mztab_report(spark, sf):
+    """SNK-07, AGG-31/33: the lines of an mzTab file, with suppliers as proteins and their orders' states as runs."""
+    rows = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.median("l_quantity").alias("abundance"))
+    runs = A.pivot_runs(rows, ["l_suppkey"], "l_linestatus", ["O", "F"], ["abundance"]).withColumnsRenamed({"l_suppkey": "accession"})
+    return mztab.mztab_lines(spark, {"mzTab-version": "1.0.0", "mzTab-mode": "Summary", "mzTab-type": "Quantification", "ms_run[%i]-location": ["O", "F"]}, {"protein": (runs, ["accession"])})
