@@ -114,6 +114,8 @@ def gaussian_area(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, fl
     if c[0] >= 0:
         return (float("nan"),) * 4
     sd, mean = np.sqrt(-1 / (2 * c[0])), -c[1] / (2 * c[0])
+    if c[2] - c[1] ** 2 / (4 * c[0]) > 700:  # a peak far outside the trace, higher than numbers go
+        return (float("nan"),) * 4
     top = np.exp(c[2] - c[1] ** 2 / (4 * c[0]))
     return float(top), float(mean), float(sd), float(top * sd * np.sqrt(2 * np.pi))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -162,18 +163,26 @@ def charge_states(mz: np.ndarray, charges: range = range(1, 7), width: float = 0
     return [(z, len(s), p) for z, s, p in found if not any(s < o for _, o, _ in found)]
 
 
+@lru_cache(maxsize=1024)
+def _spectrum_of_rest(sequence: str, peaks: int) -> tuple[int, int, np.ndarray]:
+    """(nitrogen atoms, transform size, transform of all other elements) of a peptide."""
+    atoms = np.sum([ATOMS[r] for r in sequence if r in ATOMS] + [(0, 2, 0, 1, 0)], axis=0)
+    # Room for every nitrogen to be heavy and far more than the other elements' neutrons, so that nothing wraps around.
+    size = 1 << int(peaks + atoms[2] + 64 + atoms.sum() // 20).bit_length()
+    f = np.ones(size // 2 + 1, complex)
+    for element, n in zip("CHOS", atoms[[0, 1, 3, 4]], strict=True):
+        f *= np.fft.rfft(ISOTOPES[element], size) ** int(n)
+    return int(atoms[2]), size, f
+
+
 def isotope_pattern(sequence: str, heavy_nitrogen: float | None = None, peaks: int = 30) -> np.ndarray:
     """Shares of a peptide's isotopes by added neutrons: element distributions raised to their atoms by Fourier transform.
 
     ``heavy_nitrogen``: share of N-15 in place of its natural abundance. Unknown residues are left out.
     """
-    atoms = np.sum([ATOMS[r] for r in sequence if r in ATOMS] + [(0, 2, 0, 1, 0)], axis=0)
-    size = 1 << int(peaks + 4 * atoms.sum()).bit_length()
-    f = np.ones(size // 2 + 1, complex)
-    for element, n in zip("CHNOS", atoms, strict=True):
-        share = ISOTOPES[element] if element != "N" or heavy_nitrogen is None else (1 - heavy_nitrogen, heavy_nitrogen)
-        f *= np.fft.rfft(share, size) ** int(n)
-    p = np.clip(np.fft.irfft(f, size)[:peaks], 0, None)
+    n, size, rest = _spectrum_of_rest(sequence, peaks)
+    share = ISOTOPES["N"] if heavy_nitrogen is None else (1 - heavy_nitrogen, heavy_nitrogen)
+    p = np.clip(np.fft.irfft(rest * np.fft.rfft(share, size) ** n, size)[:peaks], 0, None)
     return p / p.sum()
 
 
