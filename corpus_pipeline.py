@@ -40,8 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids and their number of each document."""
-    out = encode_documents(docs, vocabulary_path(), decode=False)
+    """doc_id, token ids and their number of each document; every text is decoded again and must be the document's."""
+    out = encode_documents(docs, vocabulary_path(), proof=True)
     return out.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
 
 

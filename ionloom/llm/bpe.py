@@ -156,26 +156,30 @@ def read_vocabulary(path: str) -> str:
     return spec
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", digests: bool = False, decode: bool = True) -> DataFrame:
-    """Per row of ``docs``: the id, ids (array of int) and (with ``decode``) the decoded text, or with ``digests`` their counts and SHA-256.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", digests: bool = False, proof: bool = False) -> DataFrame:
+    """Per row of ``docs``: the id, ids (array of int) and the decoded text, or with ``digests`` their counts and SHA-256.
+
+    With ``proof`` only the ids return: every text is decoded and held against its source, and one that differs is an error.
 
     Null texts count as empty: no ids, empty decoded text. No shuffle; rows stay in their partitions and are
     handled one by one, so that memory follows the longest text.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * decode)
+    schema = f"{id_col} {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * (not proof))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = _vocabulary(spec.value)
         for b in (whole.iloc[at : at + SLICE] for whole in batches for at in range(0, len(whole), SLICE)):
             ids = [v.encode(t or "") for t in b["t"]]
-            back = [v.decode(i) for i in ids] if decode or digests else []
+            back = [v.decode(i) for i in ids]
             out = {id_col: b["i"].tolist() if kind != "string" and not b["i"].isna().any() else b["i"]}
+            if proof and (lost := [i for i, t, x in zip(b["i"], b["t"], back, strict=True) if x != (t or "")]):
+                raise ValueError(f"{len(lost)} texts do not survive encoding and decoding, the first of {id_col} {lost[0]}")
             if digests:
                 out |= {"n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids], "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back]}
             else:
-                out |= {"ids": [np.frombuffer(i, "<i4") for i in ids]} | ({"decoded": back} if decode else {})
+                out |= {"ids": [np.frombuffer(i, "<i4") for i in ids]} | ({} if proof else {"decoded": back})
             yield pd.DataFrame(out)
 
     return docs.select(F.col(id_col).alias("i"), F.col("text").alias("t")).mapInPandas(run, schema)

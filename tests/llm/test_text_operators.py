@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,20 @@ PAGE = """<html><head><title>no</title><style>p{{}}</style></head><body><header
 <div class="ad">buy</div><form><input>f</form></article><div id="comments"><p>me too</p></div><footer>&copy; all</footer></body></html>"""
 
 
+def test_pipeline_decodes_every_text(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "kept"), (2, None), (3, "un café 😀 <|endoftext|>")], "doc_id long, text string").coalesce(1)
+    seen = []
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, run, schema: seen.append((run, schema)) or docs.selectExpr("doc_id", "array(1) AS ids"))
+    assert pipeline.tokens(spark, docs, "").columns == ["doc_id", "ids", "n_tokens"]
+    run, _ = seen[0]
+    rows = pd.DataFrame({"i": [1, 2, 3], "t": ["kept", None, "un café 😀 <|endoftext|>"]})
+    assert [list(b["doc_id"]) for b in run(iter([rows]))] == [[1, 2, 3]]
+    monkeypatch.setattr(bpe.Vocabulary, "decode", lambda self, ids: "kept")
+    with pytest.raises(ValueError, match="2 texts do not survive"):
+        list(run(iter([rows])))
+
+
 def test_html_structure():
     assert [t for z, t in html.blocks_of(PAGE) if z == html.MAIN] == ["Head & line", "First para graph.", "Second part <x>"]
     assert all(z != html.OPEN for z, _ in html.blocks_of(PAGE))
