@@ -146,6 +146,15 @@ PAGE = """<html><head><title>no</title><style>p{{}}</style></head><body><header
 <div class="ad">buy</div><form><input>f</form></article><div id="comments"><p>me too</p></div><footer>&copy; all</footer></body></html>"""
 
 
+def test_iban_ends_where_its_country_says(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    after = ["", " The rest", " Please pay", " 2024", " BIC COBADEFF", " A", " and", ".", " DE89370400440532013000"]
+    rows = [(i, f"IBAN {a}{z}", f"iban:5:{5 + len(a)}" + (f",iban:{6 + len(a)}:{28 + len(a)}" if z.startswith(" DE") else "")) for i, (a, z) in enumerate((a, z) for a in ibans for z in after)]
+    rows += [(900, "IBAN DE89370400440532013001 The", ""), (901, "DE8937040044053201300 The", ""), (902, "DE893704004405320130000 The", "")]
+    df, spans = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, want string"))
+    assert [(r.text, r.want, r.got) for r in df.withColumn("got", pii.span_text(F.col(spans))).collect() if r.want != ",".join(s for s in r.got.split(",") if s.startswith("iban"))] == []
+
+
 def test_pipeline_decodes_every_text(spark, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(1, "kept"), (2, None), (3, "un café 😀 <|endoftext|>")], "doc_id long, text string").coalesce(1)
