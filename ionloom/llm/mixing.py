@@ -2,8 +2,10 @@
 
 Tokens are summed by cell (source, language, topic). Iterative proportional fitting scales the cells' weights to
 the target share of each source, language and topic in turn, until the rounds are over. A document's weight is
-its cell's; its probability is that weight scaled so that the expected tokens of the sample are ``rate`` of all
-tokens where no probability exceeds 1, and its hash against the probability decides.
+its cell's. Its probability starts from that weight and is raked again with 1 as its bound: cells at the bound stay
+there while the others of their class give what is missing, until the expected tokens of the sample are ``rate`` of
+all tokens and have the target shares. A class that has fewer tokens than its target is taken whole, and the others share
+what it lacks. The document's hash against the probability decides.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ class MixParams:
     lang_power: float = 0.8
     topic_power: float = 0.8
     rounds: int = 6
+    #: The bounded raking ends when no class is further than ``near`` from its target, relative to it, or after so many rounds.
+    bounded_rounds: int = 60
+    near: float = 1e-3
     rate: float = 0.7
     seed: int = 20
 
@@ -59,6 +64,55 @@ def cell_weights(cells: DataFrame, p: MixParams) -> DataFrame:
     return df.select(*DIMS, "tokens", "weight")
 
 
+def class_tokens(cells: DataFrame, d: str, p: MixParams, total: int) -> DataFrame:
+    """k, want: the tokens that the sample shall hold of each class of ``d``, ``rate`` of ``total`` together.
+
+    They are in proportion to the target shares; classes with fewer tokens give all, the others the rest in proportion.
+    """
+    own = cut(cells.groupBy(d).agg(F.sum("tokens").alias("t")).select(F.col(d).alias("k"), "t", F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(p.power(d)))).otherwise(F.lit(0.0)).alias("raw")))
+    factor, short = p.rate * total / own.agg(F.sum("raw").alias("n")).first()["n"], 0
+    while True:  # the factor only grows, so each round adds classes that give all
+        whole = F.col("t") <= F.col("raw") * factor
+        got = own.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("t")).otherwise(0)).alias("t"), F.sum(F.when(whole, 0.0).otherwise(F.col("raw"))).alias("raw")).first()
+        if got["n"] == short or not got["raw"]:
+            return own.select("k", F.least(F.col("t").cast("double"), F.col("raw") * factor).alias("want"))
+        factor, short = (p.rate * total - got["t"]) / got["raw"], got["n"]
+
+
+def cell_probabilities(cells: DataFrame, p: MixParams) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens, weight) with the probability of each: at most 1, and such that the expected tokens of
+    every class are those of ``class_tokens``, or as near as the cells allow together.
+
+    Each step scales a class so that its cells below 1 and those at 1 make up what the class shall hold. Rounds end when every
+    class is ``near``, or when six more bring nothing nearer: then the cells cannot meet all targets together.
+    """
+    total = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    if not total:
+        return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight")))
+    df = cells.withColumn("free", F.col("weight") * p.rate)
+    for d in DIMS:
+        df = df.join(class_tokens(cells, d, p, total).withColumnRenamed("want", f"want_{d}"), F.col(d).eqNullSafe(F.col("k"))).drop("k")
+    df, held, before = cut(df), F.least(F.lit(1.0), F.col("free")), float("inf")
+    share = lambda d: F.sum(F.col("tokens") * held).over(Window.partitionBy(d)) / F.col(f"want_{d}")
+    for n in range(1, p.bounded_rounds + 1):
+        for d in DIMS:
+            own = Window.partitionBy(d)
+            full = F.sum(F.when(F.col("free") >= 1, F.col("tokens")).otherwise(0)).over(own)
+            rest = F.sum(F.when(F.col("free") < 1, F.col("tokens") * F.col("free")).otherwise(0.0)).over(own)
+            want = F.col(f"want_{d}")
+            by = F.when((want > full) & (rest > 0), (want - full) / rest).when(full + rest > 0, want / (full + rest)).otherwise(F.lit(1.0))
+            # A step is at most fourfold: cells that pass 1 on the way are seen to in the next round.
+            df = df.withColumn("by", F.greatest(F.lit(0.25), F.least(F.lit(4.0), by))).withColumn("free", F.col("free") * F.col("by")).drop("by")
+        if n % 2 == 0:
+            df = cut(df)
+        if n % 6 == 0:
+            off = df.select(F.greatest(*[F.when(F.col(f"want_{d}") > 0, F.abs(share(d) - 1)).otherwise(F.lit(0.0)) for d in DIMS]).alias("off")).agg(F.max("off").alias("off")).first()["off"]
+            if off < p.near or off > 0.99 * before:
+                break
+            before = off
+    return df.select(*DIMS, "tokens", "weight", held.alias("probability"))
+
+
 def mix(docs: DataFrame, p: MixParams = MixParams()) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with topic, tokens, weight, probability and sampled, under the names that the dict gives.
 
@@ -70,36 +124,17 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> tuple[DataFrame, dict[st
     topic, tokens, weight, prob, sampled = names.values()
     rows = docs.withColumn(topic, topic_of(F.col("text"))).withColumn(tokens, F.size(words_of(F.col("text"))).cast("bigint"))
     cells = cut(rows.groupBy("source", "lang", F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens")))
-    fitted = cut(cell_weights(cells, p))
-    scale = _scale(fitted, p.rate)
+    fitted = cell_probabilities(cut(cell_weights(cells, p)), p)
     keys = fresh(rows, *[f"c_{d}" for d in DIMS])
-    side = fitted.select(*[F.col(d).alias(k) for d, k in zip(DIMS, keys, strict=True)], F.col("weight").alias(weight))
+    side = fitted.select(*[F.col(d).alias(k) for d, k in zip(DIMS, keys, strict=True)], F.col("weight").alias(weight), F.col("probability").alias(prob))
     on = rows["source"].eqNullSafe(side[keys[0]]) & rows["lang"].eqNullSafe(side[keys[1]]) & (rows[topic] == side[keys[2]])
     # The cell table is broadcast only where it is small: cells are as many as sources, times a few.
     side = F.broadcast(side) if fitted.count() <= 50_000 else side
     out = rows.join(side, on, "left").drop(*keys)
-    out = out.withColumn(prob, F.least(F.lit(1.0), F.col(weight) * scale))
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(p.seed)), F.lit(1 << 53)) / float(1 << 53)
     return out.withColumn(sampled, u < F.col(prob)), names
 
 
-def _scale(cells: DataFrame, rate: float) -> float:
-    """The factor s for which the cells' tokens times min(1, s * weight) sum to ``rate`` of all tokens."""
-    total = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    if not total:
-        return 1.0
-    low, high = 0.0, 1.0
-    got = lambda *s: cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * x)).alias(f"g{i}") for i, x in enumerate(s)]).first()
-    grid = [2.0**e for e in range(-4, 11)]
-    for s, g in zip(grid, got(*grid), strict=True):
-        if g >= rate * total:
-            high = s
-            break
-        low, high = s, s * 2
-    grid = [low + (high - low) * i / 32 for i in range(1, 33)]
-    return next((s for s, g in zip(grid, got(*grid), strict=True) if g >= rate * total), high)
-
-
 def mixed(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The sampled documents, with the columns of ``docs``."""
     out, names = mix(docs, p)

@@ -159,6 +159,27 @@ def test_raking_meets_marginals(spark):
         assert all(have[k] / total == pytest.approx(own[k] ** p.power(d) / norm, rel=1e-3) for k in own)
 
 
+def test_sample_meets_marginals(spark):
+    share = {"hot": 6, "a": 2, "b": 2, "x": 9, "y": 1.6, "prose": 8, "table": 2}
+    rows = [(s, d, c, int(100 * share[s] * share[d] * share[c] * (1 + 0.2 * ((i + j + k) % 2)))) for i, s in enumerate(("hot", "a", "b")) for j, d in enumerate(("x", "y")) for k, c in enumerate(("prose", "table"))]
+    p = mixing.MixParams()
+    for rare in (0, 1):  # one class of few tokens cannot give its target: it is taken whole, and the rate stays
+        cells = spark.createDataFrame(rows + rare * [(None, "x", "prose", 300)], "source string, lang string, topic string, tokens long")
+        got = mixing.cell_probabilities(mixing.cell_weights(cells, p), p).collect()
+        total = sum(r.tokens for r in got)
+        assert all(0 <= r.probability <= 1 for r in got) and any(r.weight * p.rate > 1 for r in got)
+        assert sum(r.tokens * r.probability for r in got) == pytest.approx(p.rate * total, rel=2e-3)
+        for d in mixing.DIMS:
+            own, have = collections.Counter(), collections.Counter()
+            for r in got:
+                own[r[d]] += r.tokens
+                have[r[d]] += r.tokens * r.probability
+            whole = {k for k in own if k is None}
+            left = p.rate * total - sum(own[k] for k in whole)
+            norm = sum(v ** p.power(d) for k, v in own.items() if k not in whole)
+            assert all(have[k] == pytest.approx(own[k] if k in whole else left * own[k] ** p.power(d) / norm, rel=2e-3) for k in own)
+
+
 def test_mix(spark):
     rows = [(i if i % 9 else None, None if i % 10 == 0 else "w " * (i % 40), ["a", "b", None][i % 3], "en" if i % 2 else None) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("m_weight", F.lit("clash")).withColumn("c_lang", F.lit("clash"))
