@@ -229,7 +229,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, slopes=range(1, 31), slack: float
     return found
 
 
-def align_runs(df: DataFrame, keys: str, schema: str, lams=tuple(range(1, 41))) -> DataFrame:
+def align_runs(df: DataFrame, keys: str, schema: str, lams=tuple(range(1, 201))) -> DataFrame:
     """Per group of (x, y): the best spline's lambda and R squared on every fifth point. Groups are single runs."""
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

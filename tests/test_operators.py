@@ -116,3 +116,11 @@ def test_deduced_peptides(spark):
     quant = spark.createDataFrame([("f", "CC"), ("f", "CC"), ("g", "AA"), ("g", "DD")], "FileName string, StringSequence string")
     got = {(r.FileName, r.ProteinGroup, frozenset(r.PeptideSequence.split(";"))) for r in tools.add_deduced_peptides(prot, quant).collect()}
     assert got == {("f", "P", frozenset({"CC"})), ("g", "P", frozenset({"AA", "DD"}))}
+
+
+def test_align_runs_searches_to_200(spark):
+    x = np.arange(60.0)
+    y = np.random.default_rng(3).normal(0, 1, 60) + x
+    got = signal.align_runs(spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(x, y, strict=True)], "k string, x double, y double"), "k", "k string, lambda double, r2 double, points int").first()
+    test = np.arange(60) % 5 == 2
+    assert (got["lambda"], got.r2) == signal.best_spline(x[~test], y[~test], x[test], y[test], range(1, 201)) and got["lambda"] > 40
