@@ -514,7 +514,7 @@ def dtw_distance(spark, sf):
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"vec_id": b["vec_id"], "distance": [signal.dtw_distance(np.asarray(x, float), np.asarray(y, float), 8) for x, y in zip(b["a"], b["b"], strict=True)]})
+            yield pd.DataFrame({"vec_id": b["vec_id"], "distance": [signal.dtw_distance(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(b["a"], b["b"], strict=True)]})
 
     return pairs.mapInPandas(run, "vec_id bigint, distance double")
 

@@ -31,3 +31,12 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_dtw_has_no_window(spark):
+    from ionloom.operators.signal import dtw_distance
+
+    of = {r.vec_id: list(map(float, r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 31").collect()}
+    got = {r.vec_id: r.distance for r in QUERIES["dtw_distance"](spark, SF).where("vec_id < 30").collect()}
+    assert got == {i: pytest.approx(dtw_distance(of[i], of[i + 1])) for i in got} and len(got) >= 29
+    assert any(dtw_distance(of[i], of[i + 1], 8) > got[i] * 1.01 for i in got)
