@@ -153,11 +153,27 @@ def charge_states(mz: np.ndarray, charges: range = range(1, 7), width: float = 0
             out.append(int(hit[out[-1]]))
         return out
 
-    random = [np.sort(rng.uniform(mz[0], mz[-1], len(mz))) for _ in range(rounds)]
+    # Random spectra stand one after the other, too far apart for a step between them, a part of them at a time.
+    random = np.sort(rng.uniform(mz[0], mz[-1], (rounds, len(mz))), axis=1)
+    part, apart = max(1, 200_000 // len(mz)), mz[-1] - mz[0] + 4 * (ISOTOPE_GAP + width)
+
+    def as_long(z: int, n: int) -> int:
+        """Number of random spectra with a ladder of at least ``n`` peaks."""
+        count = 0
+        for a in range(0, rounds, part):
+            some = random[a : a + part]
+            hit = steps((some + apart * np.arange(len(some))[:, None]).ravel(), z)
+            first = at = np.arange(len(hit))
+            for _ in range(n - 1):
+                on = hit[at] >= 0
+                first, at = first[on], hit[at[on]]
+            count += len(np.unique(first // len(mz)))
+        return count
+
     found = []
     for z in charges:
         own = ladder(mz, z)
-        p = (1 + sum(longest(x, z)[0] >= len(own) for x in random)) / (rounds + 1) if len(own) > 1 else 1.0
+        p = (1 + as_long(z, len(own))) / (rounds + 1) if len(own) > 1 else 1.0
         if p <= level:
             found.append((z, frozenset(own), p))
     return [(z, len(s), p) for z, s, p in found if not any(s < o for _, o, _ in found)]

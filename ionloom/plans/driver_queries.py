@@ -630,13 +630,17 @@ def spectrum_scores(spark, sf):
     return spectra.score_spectra(x, _sequences(spark, sf), 5.0, 0.5)
 
 
+#: The reference's number of random spectra (peptideSpectrumMatchingParams.json, NrOfRndSpectra).
+RANDOM_SPECTRA = 10_000
+
+
 @query()
 def charge_states(spark, sf):
     """UDF-20: charges whose isotope ladders are longer than random spectra hold."""
 
     def run(batches):
         for b in batches:
-            got = [spectra.charge_states(np.asarray(mz, float), range(1, 5), rounds=200) for mz in b["mz"]]
+            got = [spectra.charge_states(np.asarray(mz, float), range(1, 5), rounds=RANDOM_SPECTRA) for mz in b["mz"]]
             yield pd.DataFrame({"spectrum": b["spectrum"], "charges": [[z for z, _, _ in g] for g in got], "p": [[p for _, _, p in g] for g in got]})
 
     return _spectra(spark, sf).select("spectrum", "mz").mapInPandas(run, "spectrum bigint, charges array<int>, p array<double>")

@@ -53,6 +53,16 @@ def test_charge_states():
     assert spectra.charge_states(np.array([])) == [] and spectra.charge_states(np.array([1.0])) == []
 
 
+def test_charge_query_takes_the_references_random_spectra(spark, monkeypatch):
+    from ionloom.plans import driver_queries
+
+    ladder = [500 + i * spectra.ISOTOPE_GAP / 2 for i in range(6)]
+    one = spark.createDataFrame([(1, [*ladder, 495.3, 504.1])], "spectrum long, mz array<double>")
+    monkeypatch.setattr(driver_queries, "_spectra", lambda spark, sf: one)
+    row = driver_queries.charge_states(spark, "").first()
+    assert row.charges == [2] and row.p == [p for _, _, p in spectra.charge_states(np.array(one.first().mz), range(1, 5), rounds=10_000)] and row.p[0] < 1 / 201
+
+
 def test_isotopes_and_efficiency():
     p = spectra.isotope_pattern("G")
     atoms = {"C": 2, "H": 5, "N": 1, "O": 2}
