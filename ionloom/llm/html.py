@@ -4,13 +4,14 @@ A page is read into blocks, each in one of three zones: ``main`` (inside article
 headers, footers, sidebars, notices, adverts, forms, comments, by element, role or class), and ``open`` (neither).
 Main blocks are the article and chrome blocks never are. Open blocks are judged by repetition: the token
 streams of a host's pages, main zones left out, are taken together, and the suffixes that share their first
-``depth`` tokens with a suffix of a page with other content mark those tokens as boilerplate. What they
-cover is removed from open blocks and the unique runs stay.
+``depth`` tokens, or a whole block of ``BLOCK_RUN`` tokens at least, with enough of the host's pages of other content mark those
+tokens as boilerplate. What they cover is removed from open blocks and the unique runs stay. Enough is ``SHARE`` of the
+distinct pages, and three where there are three; a page of which more than ``COPY`` would go is a near copy and stays whole.
 
 The suffix array is held by its buckets: suffixes are dealt by (host, hash of their first ``depth`` tokens), which is
 all that coverage at that depth needs, so a host of any size spreads over all tasks. A bucket is aggregated to the
-least and greatest fingerprint of the pages in it before the shuffle; it is never gathered. Pages with equal
-content have one fingerprint, so copies of an article do not make boilerplate of it.
+number of distinct fingerprints of the pages in it; it is never gathered. Pages with equal
+content have one fingerprint, which leaves chrome out, so copies of an article do not make boilerplate of it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 
 from .urls import host_of
 
-DEPTH = 5
+DEPTH = 24
+BLOCK_RUN = 5
+SHARE = 0.2
+COPY = 0.8
 MAIN, CHROME, OPEN = "main", "chrome", "open"
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?|<[!?/][^>]*+>?""", re.S)
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
@@ -153,6 +157,17 @@ def stream_of(blocks: list[tuple[str, str]]) -> list[str]:
     return [t for zone, text in blocks if zone != MAIN for t in text.split()]
 
 
+def block_key(text: str) -> int | None:
+    """Hash of a whole block that is long enough to be judged by itself."""
+    tokens = text.split()
+    return _hash(["block", *tokens]) if len(tokens) >= BLOCK_RUN else None
+
+
+def keys_of(blocks: list[tuple[str, str]], depth: int) -> list[int]:
+    """Suffix prefixes and whole blocks outside the main zone."""
+    return suffix_prefixes(stream_of(blocks), depth) + [k for z, t in blocks if z != MAIN and (k := block_key(t)) is not None]
+
+
 def unique_text(blocks: list[tuple[str, str]], repeated: set[int], depth: int) -> str:
     """Main blocks, and of open blocks the runs that no repeated suffix prefix covers."""
     tokens = stream_of(blocks)
@@ -160,6 +175,17 @@ def unique_text(blocks: list[tuple[str, str]], repeated: set[int], depth: int) -
     for i, h in enumerate(suffix_prefixes(tokens, depth)):
         if h in repeated:
             covered[i : i + depth] = True
+    at, gone, size = 0, 0, 0
+    for zone, text in blocks:
+        n = len(text.split())
+        if zone != MAIN:
+            if block_key(text) in repeated:
+                covered[at : at + n] = True
+            gone += int(covered[at : at + n].sum()) * (zone == OPEN)
+            at += n
+        size += n * (zone != CHROME)
+    if gone > COPY * size:
+        covered[:] = False
     out, at = [], 0
     for zone, text in blocks:
         if zone == MAIN:
@@ -187,8 +213,9 @@ def extract_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             seen: dict[tuple[str, int, int], None] = {}
             for host, page in zip(b["host"], b["html"], strict=True):
                 blocks = blocks_of(page)
-                mark = _hash([t for _, t in blocks])
-                seen |= dict.fromkeys((host, h, mark) for h in suffix_prefixes(stream_of(blocks), depth))
+                if blocks:
+                    mark = _hash([t for z, t in blocks if z != CHROME])
+                    seen |= dict.fromkeys((host, h, mark) for h in [0, *keys_of(blocks, depth)])  # 0 counts the page
             yield pd.DataFrame(list(seen), columns=["host", "prefix", "mark"])
 
     def closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +227,7 @@ def extract_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [blocks_of(page) for page in b["html"]]
-            out = [(i, u, p, h, suffix_prefixes(stream_of(g), depth)) for i, u, p, h, g in zip(b["page_id"], b["url"], b["html"], b["host"], got, strict=True) if any(z == OPEN for z, _ in g)]
+            out = [(i, u, p, h, keys_of(g, depth)) for i, u, p, h, g in zip(b["page_id"], b["url"], b["html"], b["host"], got, strict=True) if any(z == OPEN for z, _ in g)]
             yield pd.DataFrame(out, columns=["page_id", "url", "html", "host", "prefixes"])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +236,10 @@ def extract_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield pd.DataFrame({"page_id": list(b["page_id"]), "url": list(b["url"]), "text": texts})
 
     suffixes = rows.select("host", "html").mapInPandas(spread, "host string, prefix bigint, mark bigint")
-    buckets = suffixes.groupBy("host", "prefix").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select("host", "prefix")
+    counts = suffixes.groupBy("host", "prefix").agg(F.countDistinct("mark").alias("n"))
+    whole_host = counts.where("prefix = 0").select("host", F.col("n").alias("pages"))
+    enough = F.greatest(F.lit(2), F.least(F.lit(3), F.col("pages")), F.col("pages") * SHARE)
+    buckets = counts.where("prefix <> 0 AND n > 1").join(whole_host, "host").where(F.col("n") >= enough).select("host", "prefix")
     loose = rows.mapInPandas(opened, kinds + "html string, host string, prefixes array<bigint>").withColumn("row", F.xxhash64("page_id", "url", "html"))
     hits = loose.select("row", "host", F.explode("prefixes").alias("prefix")).join(buckets, ["host", "prefix"]).groupBy("row").agg(F.collect_set("prefix").alias("repeated"))
     unique = loose.drop("prefixes").join(hits, "row", "left").mapInPandas(finish, kinds + "text string")

@@ -184,3 +184,14 @@ def test_html_repeats_of_a_host_go(spark):
     main = "Head & line\n\nFirst para graph.\n\nSecond part <x>"
     alone = "Welcome to our great little site of wonders\n\nalone\n\nAll rights are kept by our great company"
     assert got == [*((i, b, len(b)) for i, b in enumerate(bodies)), (3, alone, len(alone)), (4, "", 0), (5, main, len(main)), (5, main, len(main))]
+
+
+def test_html_phrases_and_near_copies_stay(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    ad = lambda k: f"<div class='ad'>Buy offer number {k} in the shop today</div>"
+    bodies = [body, body.replace("w30", "changed"), body, "as was said on the first day of the year it rained", "we met on the first day of the year and left", "third"]
+    foot = "This text is owned by the house of pages"
+    rows = [(i, "http://h.org/", f"<div>{b}</div>{ad(i)}<p>{foot}</p>") for i, b in enumerate(bodies)]
+    rows += [(9 + i, "http://two.org/", f"<div>{b}</div>{ad(i)}") for i, b in enumerate(bodies[:2])]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == bodies[:5] and [got[9], got[10]] == bodies[:2]
