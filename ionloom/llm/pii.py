@@ -2,7 +2,9 @@
 
 Spans are found without a UDF: a pattern both splits a text and extracts its matches; the lengths of the
 pieces give the positions, in code points. Every quantifier is possessive or over one character class, so
-that no text, however long or repetitive, makes a match recursive or quadratic.
+that no text, however long or repetitive, makes a match recursive or quadratic. Running sums and maxima over a
+text's n spans are taken in log2(n) passes, context is read from the pieces around a match, and masking cuts the
+text from chunks of ``CHUNK`` characters, so the work grows as n log n with the number of spans.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from .common import fresh
 @dataclass(frozen=True)
 class Kind:
     """``pattern`` proposes; ``cue`` is a cheap test that any text with a match passes; ``context`` are words
-    that raise the score when one stands within ``CONTEXT_CHARS`` before a span."""
+    that raise the score when one stands within ``CONTEXT_CHARS`` before or after a span (up to its neighbours
+    of the same kind)."""
 
     name: str
     pattern: str
@@ -48,27 +51,45 @@ KINDS = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4, ("ssn", "social", "security"), base=False),
 )
 CONTEXT_CHARS = 40
+CHUNK = 4096
 CONTEXT_BONUS = 0.3
 MIN_SCORE = 0.6
 
 
+SPAN = "array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>"
+
+
+def scan(values: Column, op) -> Column:
+    """Running results of an associative ``op`` from the first value to each, in log2(n) passes (Hillis and Steele 1986)."""
+    over = lambda acc, step: F.transform(acc, lambda x, i: F.when(i >= step, op(F.get(acc, i - step), x)).otherwise(x))
+
+    def passes(v: Column) -> Column:
+        top = F.ceil(F.log2(F.greatest(F.size(v), F.lit(2)))).cast("int")
+        return F.aggregate(F.transform(F.sequence(F.lit(0), top - 1), lambda k: F.pow(F.lit(2.0), k).cast("int")), v, over)
+
+    return once(values, passes)
+
+
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points, end exclusive.
+    """array<struct<start, end, match, before, after>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    The k-th match starts after the first k + 1 pieces of the text between matches and the k matches before it.
+    The k-th match ends after the first k + 1 pieces of the text between matches and the first k + 1 matches. Before and
+    after are the ``CONTEXT_CHARS`` characters on its sides, cut at its neighbours.
     """
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).cast("bigint").alias("gap"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        z = a + F.length(x["hit"]).cast("bigint")
-        return F.struct(z.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), z.alias("end"), x["hit"].alias("match")))).alias("out"))
+    def placed(x: Column) -> Column:
+        gaps, hits = x["gaps"], x["hits"]
+        ends = scan(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: (F.length(g) + F.length(h)).cast("bigint")), lambda a, b: a + b)
+        side = lambda i: F.get(gaps, i)
+        span = lambda h, end, i: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("match"), F.right(side(i), F.lit(CONTEXT_CHARS)).alias("before"), F.left(side(i + 1), F.lit(CONTEXT_CHARS)).alias("after"))
+        return once(ends, lambda e: F.transform(hits, lambda h, i: span(h, F.get(e, i), i)))
 
-    return F.aggregate(steps, start, add, lambda acc: acc["out"])
+    return once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), placed)
 
 
 def digits_of(s: Column) -> Column:
@@ -113,35 +134,52 @@ def confirmed(kind: str, match: Column) -> Column:
 def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> tuple[DataFrame, str]:
     """``docs`` plus an array<struct<kind, start, end, score, base>> of every span, by kind as listed, then start.
 
-    Returns the frame and the name of the new column. Spans of base kinds are those of their pattern and
-    validator alone; the other kinds need ``MIN_SCORE`` after the context bonus and must not overlap a base
-    span. Null and empty texts have none. No shuffle; a text without a kind's cue skips its pattern.
+    Returns the frame and the name of the new column. The score is the kind's, plus ``CONTEXT_BONUS`` where a context
+    word is near. Spans of base kinds are those of their pattern and validator alone, whatever their score; the other kinds need
+    ``MIN_SCORE`` and must not overlap a base span. Null and empty texts have none; repeated rows have equal results; other
+    columns, whatever their names, stay. No shuffle; a text without a kind's cue skips its pattern.
     """
-    t, *cols, out = fresh(docs, "p_text", *[f"p_{k.name}" for k in kinds], "p_spans")
+    t, *cols, found, added, out = fresh(docs, "p_text", *[f"p_{k.name}" for k in kinds], "p_base", "p_added", "p_spans")
     df = docs.withColumn(t, F.coalesce(F.col("text"), F.lit("")))
-    kind_of = "array<struct<start:bigint,end:bigint,match:string>>"
     for k, c in zip(kinds, cols, strict=True):
         cue = F.contains(F.col(t), F.lit(k.cue)) if len(k.cue) == 1 else F.col(t).rlike(k.cue)
-        df = df.withColumn(c, F.when(cue, _confirmed_spans(F.col(t), k)).otherwise(F.array().cast(kind_of)))
-    base = F.concat(*[_scored(F.col(t), F.col(c), k) for k, c in zip(kinds, cols, strict=True) if k.base])
-    df = df.withColumn(out, base)
-    for k, c in zip(kinds, cols, strict=True):
-        if not k.base:
-            free = F.filter(_scored(F.col(t), F.col(c), k), lambda s: (s["score"] >= MIN_SCORE) & ~F.exists(F.col(out), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-            df = df.withColumn(out, F.when(F.size(c) > 0, F.concat(F.col(out), free)).otherwise(F.col(out)))
-    return df.drop(t, *cols), out
+        df = df.withColumn(c, F.when(cue, _scored(_confirmed_spans(F.col(t), k), k)).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,base:boolean>>")))
+    df = df.withColumn(found, F.concat(*[F.col(c) for k, c in zip(kinds, cols, strict=True) if k.base]))
+    scored = [F.filter(F.col(c), lambda s: s["score"] >= MIN_SCORE) for k, c in zip(kinds, cols, strict=True) if not k.base]
+    df = df.withColumn(added, F.concat(*scored) if scored else F.slice(F.col(found), 1, 0))
+    df = df.withColumn(out, F.when(F.size(added) > 0, F.concat(F.col(found), _apart(F.col(added), F.col(found)))).otherwise(F.col(found)))
+    return df.drop(t, *cols, found, added), out
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``base``.
+
+    All go in one order by start. A span overlaps a base span iff the greatest end of base spans up to it passes its
+    start, or the least start of those after it comes before its end: two running results over the order.
+    """
+    mark = lambda a, own: F.transform(a, lambda s, i: F.struct(s["start"].alias("a"), F.lit(own).alias("own"), s["end"].alias("z"), i.alias("i")))
+    low, high = F.lit(-1).cast("bigint"), F.lit(2**62).cast("bigint")
+    last = lambda o: scan(F.transform(o, lambda s: F.when(s["own"] == 0, s["z"]).otherwise(low)), lambda x, y: F.greatest(x, y))
+    following = lambda o: F.reverse(scan(F.reverse(F.transform(o, lambda s: F.when(s["own"] == 0, s["a"]).otherwise(high))), lambda x, y: F.least(x, y)))
+
+    def free(x: Column) -> Column:
+        apart = F.filter(F.transform(x["o"], lambda s, i: F.struct(s["i"].alias("i"), ((s["own"] == 1) & (F.get(x["last"], i) <= s["a"]) & (F.get(x["next"], i) >= s["z"])).alias("ok"))), lambda s: s["ok"])
+        return F.transform(F.sort_array(apart), lambda s: F.get(spans, s["i"]))
+
+    ordered = F.sort_array(F.concat(mark(base, 0), mark(spans, 1)))
+    return once(ordered, lambda o: once(F.struct(o.alias("o"), last(o).alias("last"), following(o).alias("next")), free))
 
 
 def _confirmed_spans(text: Column, k: Kind) -> Column:
     return F.filter(spans_of(text, k.pattern), lambda s: confirmed(k.name, s["match"]))
 
 
-def _scored(text: Column, spans: Column, k: Kind) -> Column:
-    near = "(?i)(?:" + "|".join(k.context) + r")\W"
+def _scored(spans: Column, k: Kind) -> Column:
+    near = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(k.context) + ")(?![A-Za-z0-9])"
 
     def add(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT_CHARS).cast("int"), F.least(F.lit(CONTEXT_CHARS), s["start"]).cast("int"))
-        score = F.least(F.lit(1.0), F.lit(k.score) + F.when(F.concat(before, F.lit(" ")).rlike(near), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)))
+        bonus = F.when(s["before"].rlike(near) | s["after"].rlike(near), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+        score = F.round(F.least(F.lit(1.0), F.lit(k.score) + bonus), 4)
         return F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"), F.lit(k.base).alias("base"))
 
     return F.transform(spans, add)
@@ -152,19 +190,43 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def score_text(spans: Column) -> Column:
+    """The score of each span in the order of ``span_text``, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",")
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by ``<KIND>``; overlapping spans become one, named by the first."""
     order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("z"), s["kind"].alias("k"))))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    cut_at = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-    new = lambda acc, s: F.concat(acc["out"], F.array(cut_at(acc["at"], s["a"]), F.concat(F.lit("<"), F.upper(s["k"]), F.lit(">"))))
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], -s["z"]).alias("at"), F.when(s["a"] < acc["at"], acc["out"]).otherwise(new(acc, s)).alias("out"))
-    done = F.aggregate(order, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
+
+    def cut_at(parts: Column, a: Column, b: Column) -> Column:
+        """Characters a to b, from the chunks they stand in."""
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+        head, tail = (a - first.cast("bigint") * CHUNK).cast("int"), (b - last.cast("bigint") * CHUNK).cast("int")
+        one = F.substring(F.get(parts, first), head + 1, tail - head)
+        many = F.concat(F.substring(F.get(parts, first), head + 1, F.lit(CHUNK)), F.array_join(F.slice(parts, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.substring(F.get(parts, last), F.lit(1), tail))
+        return F.when(b <= a, F.lit("")).when(first == last, one).otherwise(many)
+
+    def build(x: Column) -> Column:
+        """``upto``: where the spans up to each end at the latest. A span that starts at or after that of its forerunner is a new one."""
+        upto = lambda i: F.when(i > 0, F.get(x["upto"], i - 1)).otherwise(F.lit(0).cast("bigint"))
+        heads = F.filter(F.transform(x["o"], lambda s, i: F.struct(s["a"].alias("a"), s["k"].alias("k"), upto(i).alias("from"))), lambda s: s["a"] >= s["from"])
+        parts = F.transform(heads, lambda s: F.concat(cut_at(x["c"], s["from"], s["a"]), F.lit("<"), F.upper(s["k"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), cut_at(x["c"], upto(F.size(x["o"])), F.length(text).cast("bigint")))
+
+    ends = lambda o: scan(F.transform(o, lambda s: -s["z"]), lambda a, b: F.greatest(a, b))
+    done = once(order, lambda o: once(F.struct(o.alias("o"), ends(o).alias("upto"), chunks.alias("c")), build))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by ``<KIND>`` and ``n_chars`` counted again; null texts stay null."""
+    """``docs`` with personal data in ``text`` replaced by ``<KIND>``; ``n_chars``, where there is one, is counted again.
+
+    Null texts stay null (and their n_chars null), every row stays, and no other column changes.
+    """
     df, spans = find_pii(docs)
     df = df.withColumn("text", masked(F.col("text"), F.col(spans)))
-    return df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return df.select(*docs.columns)

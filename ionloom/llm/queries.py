@@ -30,13 +30,13 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import find_pii, span_text
+    from .pii import find_pii, score_text, span_text
 
     df, spans = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     s = F.col(spans)
     count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
     base = span_text(F.filter(s, lambda x: x["base"]))
-    return df.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(base, 256).alias("base_sha256"), span_text(s).alias("spans"))
+    return df.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(base, 256).alias("base_sha256"), span_text(s).alias("spans"), score_text(s).alias("scores"))
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -75,6 +77,66 @@ def test_pii_spans(docs):
             assert "iban:5:27" in r.a
 
 
+def all_spans(t):
+    """Every span with its score, by kind as listed, then start: patterns, validators, context on both sides, overlaps."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def iban_ok(m):
+        m = m.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in m[4:] + m[:4])) % 97 == 1
+
+    confirm = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 9 <= len(digits(m)) <= 15,
+               "iban": iban_ok, "ssn": lambda m: not re.search("^(?:000|666|9)|-00-|-0000$", m)}
+    out, base = [], []
+    for k in pii.KINDS:
+        found = list(re.finditer(k.pattern.replace(r"|\G)", "|(?<=^))") if k.name == "email" else k.pattern, t))
+        for i, m in enumerate(found):
+            low, high = found[i - 1].end() if i else 0, found[i + 1].start() if i + 1 < len(found) else len(t)
+            around = [t[max(low, m.start() - 40) : m.start()], t[m.end() : min(high, m.end() + 40)]]
+            near = any(re.search("(?i)(?<![A-Za-z0-9])(?:" + "|".join(k.context) + ")(?![A-Za-z0-9])", x) for x in around)
+            score = round(min(1.0, k.score + 0.3 * near), 4)
+            if confirm[k.name](m.group()):
+                if k.base:
+                    base.append((m.start(), m.end()))
+                elif score < pii.MIN_SCORE or any(a < m.end() and m.start() < z for a, z in base):
+                    continue
+                out.append((k.name, m.start(), m.end(), score, k.base))
+    return out
+
+
+def test_pii_spans_and_scores_equal_brute_force(spark):
+    r = random.Random(4)
+    part = ["a.b@mail.org", "10.20.30.40", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+49 30 1234567", "DE89 3704 0044 0532 0130 00", "DE89370400440532013001", "123-45-6789", "000-12-3456", "4111111111111111-11-1111",
+            "email", "server", "Visa", "tel", "bank", "SSN:", "social", "été", "😀", "word", "x" * 50, "\n", "host", "prevail"]
+    rows = [(i, "".join(x + r.choice([" ", " ", ", ", ""]) for x in r.choices(part, k=r.randint(1, 30)))) for i in range(150)]
+    df, spans = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").withColumn("p_base", F.lit("clash")))
+    for row in df.withColumn("masked", pii.masked(F.col("text"), F.col(spans))).collect():
+        want = all_spans(row.text)
+        assert [tuple(s) for s in row[spans]] == want, row.text
+        text, at = "", 0
+        for a, z, k in sorted((a, -z, k) for k, a, z, _, _ in want):
+            if a >= at:
+                text += row.text[at:a] + f"<{k.upper()}>"
+            at = max(at, -z)
+        assert row.masked == text + row.text[at:] and row.p_base == "clash"
+
+
+def test_pii_time_follows_the_number_of_spans(spark, monkeypatch):
+    """Chunks shorter than spans and pieces give the same text; 16,000 spans in one text take under 2.5 times what 8,000 take."""
+    texts = {n: " ".join(f"10.{i % 200}.3.4" for i in range(n)) + " é ssn 123-45-6789 z" for n in (3, 8000, 16000)}
+    took = {}
+    for n, x in texts.items():
+        docs = spark.createDataFrame([(n, x, len(x))], "doc_id long, text string, n_chars long")
+        df = pii.mask_pii(docs).cache()
+        began = time.time()
+        assert df.first().text == " ".join(["<IP>"] * n) + " é ssn <SSN> z"
+        took[n] = time.time() - began
+    assert took[16000] < 2.5 * took[8000] + 1
+    monkeypatch.setattr(pii, "CHUNK", 5)
+    docs = spark.createDataFrame([(1, texts[3])], "doc_id long, text string")
+    assert pii.mask_pii(docs).first().text == "<IP> <IP> <IP> é ssn <SSN> z"
+
+
 def test_pii_checksums(spark):
     row = spark.range(1).select(pii.luhn(F.lit("4111111111111111")), pii.luhn(F.lit("4111111111111112")), pii.mod97(F.lit("DE89 3704 0044 0532 0130 00")), pii.mod97(F.lit("DE88370400440532013000"))).first()
     assert tuple(row) == (True, False, True, False)
