@@ -1,75 +1,139 @@
-"""HTML extraction: page structure, and a suffix array per host that finds text repeated across pages.
-
-A page is read into blocks, each in one of three zones: ``main`` (inside article or main), ``chrome`` (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, by element, role or class), and ``open`` (neither).
-Main blocks are the article and chrome blocks never are. Open blocks are judged by repetition: the token
-streams of a host's pages, main zones left out, are taken together, and the suffixes that share their first
-``depth`` tokens, or a whole block of ``BLOCK_RUN`` tokens at least, with enough of the host's pages of other content mark those
-tokens as boilerplate. What they cover is removed from open blocks and the unique runs stay. Enough is ``SHARE`` of the
-distinct pages, and three where there are three; a page of which more than ``COPY`` would go is a near copy and stays whole.
-
-The suffix array is held by its buckets: suffixes are dealt by (host, hash of their first ``depth`` tokens), which is
-all that coverage at that depth needs, so a host of any size spreads over all tasks. A bucket is aggregated to the
-number of distinct fingerprints of the pages in it; it is never gathered. Pages with equal
-content have one fingerprint, which leaves chrome out, so copies of an article do not make boilerplate of it.
+"""HTML extraction: page structure as a prior, and a suffix array per host that judges every block by repetition.
+
+A page is read into blocks. Elements, roles and class names give each a zone: ``main`` (inside article or main),
+``chrome`` (menus, headers, footers, sidebars, notices, adverts, forms, comments), ``weak`` (inside the main zone, with a
+class name that only hints at chrome) and ``open`` (none of these). Chrome is never part of the text. Everything else
+is judged by the suffix array of its host, whose streams hold the tokens of all zones:
+
+* A suffix has names for its first 1, 2, 4, 8, ... tokens, each made from two of the length before (Karp, Miller and Rosenberg
+  1972). Suffixes of one name at ``depth`` stand together in the suffix order; the pages in such a run are counted.
+* A run is boilerplate where enough of the host's distinct pages share it: ``share`` of them (three, or two of two) in open and
+  weak blocks, ``main_share`` and ``main_pages`` in the main zone, so that passages which some articles quote stay.
+* Whole blocks of ``block_run`` tokens at least are judged in the same way, also where they are shorter than ``depth``.
+* Covered tokens go, unique runs stay. A page of which more than ``copy`` would go (or a main zone of which more than
+  ``main_copy`` would) is a near copy of others and stays whole.
+
+Pages with equal content outside chrome have one fingerprint and count as one page of their host.
+
+The array is sparse where it can be. Of any ``depth - anchor + 1`` neighbouring suffixes only the one with the least name at
+``anchor`` tokens is dealt at first; every run of ``depth`` tokens holds such an anchor at the same place on all its pages. Only
+around anchors that enough pages share are all suffixes dealt and counted at ``depth``. The result is that of the whole array.
+Counts are by name with partial sums, so neither a host nor a name of any size is gathered in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .urls import host_of
 
-DEPTH = 24
-BLOCK_RUN = 5
-SHARE = 0.2
-COPY = 0.8
-MAIN, CHROME, OPEN = "main", "chrome", "open"
+
+@dataclass(frozen=True)
+class HtmlParams:
+    depth: int = 24
+    anchor: int = 16
+    block_run: int = 5
+    share: float = 0.2
+    main_share: float = 0.5
+    main_pages: int = 8
+    copy: float = 0.8
+    main_copy: float = 0.5
+
+
+MAIN, CHROME, WEAK, OPEN = "main", "chrome", "weak", "open"
+#: Of each repeated name so many rows are joined, so that pages that share it are dealt to as many tasks.
+SALTS = 8
+CACHE = 200_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?|<[!?/][^>]*+>?""", re.S)
-ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
-#: Elements whose text is never read.
-RAW = frozenset("script style noscript template textarea title svg iframe select object canvas audio video math head".split())
+ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+#: Elements whose text is never read, and those of them that hold no elements.
+RAW = frozenset("script style noscript template textarea title svg iframe select object canvas audio video math".split())
+PLAIN = frozenset("script style textarea title iframe noscript".split())
 #: Elements that end a block where they begin and end.
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 SPACE = frozenset("br td th wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, roles and class words of chrome.
+#: Elements and roles of chrome.
 CHROME_TAGS = frozenset("nav footer aside form menu button dialog label input fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-CHROME_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar aside ad ads advert adverts advertisement adsense adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login related recommended recommendations share sharing social comment comments disqus respond reply replies breadcrumb breadcrumbs pagination pager widget toolbar copyright search form outbrain taboola".split())
+#: Words of class names and ids. A name says chrome if all its parts are chrome words or parts of layout, one
+#: a chrome word at least; with a chrome or doubtful word beside other words it is a hint.
+CHROME_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar aside ad ads advert adverts advertisement adsense adslot banner promo sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login related recommended sharing social comment comments disqus breadcrumb breadcrumbs pagination pager copyright outbrain taboola".split())
+DOUBTFUL_WORDS = frozenset("notice notices promotion recommendations share respond reply replies widget toolbar search form".split())
+LAYOUT_WORDS = frozenset("box bar list section area block container wrapper inner outer top bottom left right header main primary secondary site page user reader item items body content unit slot module buttons links icons thread posts post".split())
+ITEMS = frozenset("li dt dd tr option".split())
+WRAPPERS = frozenset("nav form header menu label button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Where the text of an unclosed script or style ends at the latest.
+RESUME = re.compile(r"</?(?:body|html|head|article|main|div|p|section|header|footer|nav|h[1-6])\b", re.I)
 
 
-def _chrome(tag: str, attrs: str, in_main: bool) -> str:
-    """``chrome``, ``header`` (only its headings count, and only in the article) or nothing."""
+def _said(name: str) -> str:
+    """What one class name or id says: chrome, weak or nothing."""
+    parts = {w for w in re.split(r"[^a-z]+", name) if w}
+    if parts & CHROME_WORDS and parts <= CHROME_WORDS | DOUBTFUL_WORDS | LAYOUT_WORDS:
+        return CHROME
+    return WEAK if parts & (CHROME_WORDS | DOUBTFUL_WORDS) else ""
+
+
+def _kind(tag: str, attrs: str) -> str:
+    """``chrome``, ``weak``, ``header`` (only its headings count, and only in the article), ``main`` or nothing."""
     if tag in CHROME_TAGS:
         return CHROME
-    if tag == "header":
-        return "header"
-    if not attrs or tag in ("html", "body", "article", "main") and "class" not in attrs and "role" not in attrs:
-        return ""
-    words: set[str] = set()
-    for k, a, b, c, hidden in ATTR.findall(attrs):
+    said, role = set(), ""
+    for k, a, b, c in ATTR.findall(attrs) if attrs else ():
         v, k = (a or b or c).lower(), k.lower()
-        if hidden or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
-            return CHROME
-        if k == "role" and v in CHROME_ROLES:
+        if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
             return CHROME
-        if k in ("class", "id"):
-            words.update(re.split(r"[^a-z0-9]+", v))
-    if tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "comments", "reply"}:
+        if k == "role":
+            role = v
+        elif k in ("class", "id"):
+            said.update("header" if n == "header" else "comment" if n in ("comment", "comments", "reply") else _said(n) for n in v.split())
+    if role in CHROME_ROLES:
+        return CHROME
+    if tag == "article" and "comment" in said:
+        return CHROME
+    if tag in ("article", "main") or role == "main":
+        return MAIN
+    if tag == "header":
+        return "header"
+    if tag in ("html", "body", "head"):
         return ""
-    if words & CHROME_WORDS:
+    if CHROME in said or "comment" in said:
         return CHROME
-    return "header" if "header" in words else ""
+    return "header" if "header" in said else WEAK if WEAK in said else ""
+
+
+def _after_raw(page: str, tag: str, attrs: str, at: int) -> int:
+    """Where reading goes on after the start tag of an element whose text is not read.
+
+    Nested elements of the same name are counted. Without an end tag only a script or style takes text with it, up to the
+    next tag of the page's structure; of the others the tag alone goes.
+    """
+    if attrs.rstrip().endswith("/") and tag not in ("script", "style", "textarea", "title"):
+        return at
+    deep = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*>?", re.I).finditer(page, at):
+        if not m[1]:
+            deep += tag not in PLAIN and not m[0].endswith("/>")
+            continue
+        deep -= 1
+        if not deep:
+            return m.end()
+    if tag in ("script", "style"):
+        m = RESUME.search(page, at)
+        return m.start() if m else len(page)
+    return at
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str]]:
@@ -77,19 +141,17 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     here: list[str] = []
-    main = chrome = header = heading = 0
+    deep = {MAIN: 0, CHROME: 0, WEAK: 0, "header": 0, "": 0}
+    heading = 0
 
     def flush() -> None:
         if here:
             if text := " ".join(entities.unescape("".join(here)).split()):
-                shut = chrome or header and not (main and heading)
-                out.append((CHROME if shut else MAIN if main else OPEN, text))
+                shut = deep[CHROME] or deep["header"] and not (deep[MAIN] and heading)
+                zone = (WEAK if deep[MAIN] else "hint") if deep[WEAK] else MAIN if deep[MAIN] else OPEN
+                out.append((CHROME if shut else zone, text))
             here.clear()
 
-    def count(kind: str, by: int) -> None:
-        nonlocal main, chrome, header
-        main, chrome, header = main + by * (kind == MAIN), chrome + by * (kind == CHROME), header + by * (kind == "header")
-
     page = page or ""
     at, end = 0, len(page)
     while at < end:
@@ -107,141 +169,203 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
             here.append(" ")
             continue
         if m[1]:
-            if tag in BLOCK or any(t == tag for t, _ in stack):
-                if tag in BLOCK:
-                    flush()
-                if any(t == tag for t, _ in stack):
-                    if tag not in BLOCK:
-                        flush()
-                    while stack:
-                        t, kind = stack.pop()
-                        count(kind, -1)
-                        if t == tag:
-                            break
+            open_ = any(t == tag for t, _ in stack)
+            if tag in BLOCK or open_:
+                flush()
+            while open_:
+                t, kind = stack.pop()
+                deep[kind] -= 1
+                open_ = t != tag
             if tag in HEADINGS:
                 heading = 0
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
+            at = _after_raw(page, tag, m[3], at)
             continue
-        kind = _chrome(tag, m[3], main > 0)
+        kind = _kind(tag, m[3])
         if tag in BLOCK or kind:
             flush()
+        # Elements whose end tag may be missing: a head ends at the body, paragraphs and items at the next of their kind, and
+        # an article is not part of a menu or form that is still open.
+        while stack and (tag == "body" and any(t == "head" for t, _ in stack) or tag in BLOCK and stack[-1][0] == "p" or tag in ITEMS and stack[-1][0] == tag):
+            deep[stack.pop()[1]] -= 1
+        if kind == MAIN:
+            for i, (t, k) in enumerate(stack):
+                if k and t in WRAPPERS:
+                    deep[k] -= 1
+                    stack[i] = (t, "")
         if tag in HEADINGS:
             heading = 1
-        if kind == "" and (tag in ("article", "main") or 'role="main"' in m[3]):
-            kind = MAIN
         if tag not in VOID and (kind or tag in BLOCK and tag not in ("p", "li", "hr", "tr", "dt", "dd") and tag not in HEADINGS):
             stack.append((tag, kind))
-            count(kind, 1)
+            deep[kind] += 1
     flush()
-    return out
-
-
-def _hash(tokens: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(tokens).encode(), digest_size=8).digest(), "little", signed=True)
-
-
-def suffix_prefixes(tokens: list[str], depth: int) -> list[int]:
-    """Hash of the first ``depth`` tokens of each suffix that is that long; a shorter stream counts whole."""
-    if not tokens:
-        return []
-    if len(tokens) < depth:
-        return [_hash(tokens)]
-    return [_hash(tokens[i : i + depth]) for i in range(len(tokens) - depth + 1)]
-
-
-def stream_of(blocks: list[tuple[str, str]]) -> list[str]:
-    """The page's tokens outside the main zone, in page order."""
-    return [t for zone, text in blocks if zone != MAIN for t in text.split()]
-
-
-def block_key(text: str) -> int | None:
-    """Hash of a whole block that is long enough to be judged by itself."""
-    tokens = text.split()
-    return _hash(["block", *tokens]) if len(tokens) >= BLOCK_RUN else None
-
-
-def keys_of(blocks: list[tuple[str, str]], depth: int) -> list[int]:
-    """Suffix prefixes and whole blocks outside the main zone."""
-    return suffix_prefixes(stream_of(blocks), depth) + [k for z, t in blocks if z != MAIN and (k := block_key(t)) is not None]
-
-
-def unique_text(blocks: list[tuple[str, str]], repeated: set[int], depth: int) -> str:
-    """Main blocks, and of open blocks the runs that no repeated suffix prefix covers."""
-    tokens = stream_of(blocks)
-    covered = np.zeros(len(tokens), bool)
-    for i, h in enumerate(suffix_prefixes(tokens, depth)):
-        if h in repeated:
-            covered[i : i + depth] = True
-    at, gone, size = 0, 0, 0
-    for zone, text in blocks:
-        n = len(text.split())
-        if zone != MAIN:
-            if block_key(text) in repeated:
-                covered[at : at + n] = True
-            gone += int(covered[at : at + n].sum()) * (zone == OPEN)
-            at += n
-        size += n * (zone != CHROME)
-    if gone > COPY * size:
-        covered[:] = False
-    out, at = [], 0
-    for zone, text in blocks:
-        if zone == MAIN:
-            out.append(text)
+    # Outside a main zone a hint is enough; without one it is judged like open text.
+    hint = CHROME if any(z == MAIN for z, _ in out) else WEAK
+    return [(hint if z == "hint" else z, t) for z, t in out]
+
+
+_tokens: dict[str, int] = {}
+
+
+def _token(t: str) -> int:
+    if len(_tokens) >= CACHE:
+        _tokens.clear()
+    h = _tokens[t] = xxhash.xxh64_intdigest(t)
+    return h
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of pairs of names."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + b
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def suffix_names(tokens: list[str], lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length the names of the first so many tokens of every suffix that is that long, by doubling."""
+    get = _tokens.get
+    double = [np.fromiter([get(t) or _token(t) for t in tokens], np.uint64, len(tokens))]
+    while 2 ** len(double) <= max(lengths):
+        last, step = double[-1], 2 ** (len(double) - 1)
+        double.append(_joined(last[:-step], last[step:]) if len(last) > step else last[:0])
+    out = []
+    for length in lengths:
+        n, at, name = len(tokens) - length + 1, 0, None
+        if n <= 0:
+            out.append(double[0][:0])
             continue
-        own = text.split()
-        if zone == OPEN and (left := [t for t, c in zip(own, covered[at : at + len(own)], strict=True) if not c]):
-            out.append(" ".join(left))
-        at += len(own)
-    return "\n\n".join(out)
-
+        for bit in range(len(double) - 1, -1, -1):
+            if length >> bit & 1:
+                part = double[bit][at : at + n]
+                name, at = part if name is None else _joined(name, part), at + 2**bit
+        out.append(name)
+    return out
 
-def extract_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages``. Null or empty html: empty text.
 
-    Pages with no open block are finished in one pass without a shuffle. Of the others the suffix prefixes are
-    joined with the repeated ones of their host. Null urls share the empty host. Repeated rows give equal
-    results and count as one page.
+def anchors(names: np.ndarray, width: int) -> np.ndarray:
+    """Positions that hold the least name of some ``width`` neighbouring ones (of equal ones the first)."""
+    if len(names) < width:
+        return np.empty(0, np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(names, width).argmin(axis=1) + np.arange(len(names) - width + 1))
+
+
+class Stream:
+    """A page's blocks and the names of its suffixes and whole blocks, all of them names within its host."""
+
+    def __init__(self, page: str | None, host: str, p: HtmlParams):
+        self.blocks, self.p = blocks_of(page), p
+        self.tokens = [text.split() for _, text in self.blocks]
+        own = np.uint64(xxhash.xxh64_intdigest(host))
+        flat = [t for ts in self.tokens for t in ts]
+        self.short, self.long = (_joined(n, own) for n in suffix_names(flat, (p.anchor, p.depth)))
+        keys = [xxhash.xxh64_intdigest(" ".join(t), seed=1) if len(t) >= p.block_run else 0 for t in self.tokens]
+        self.whole = np.where(np.array(keys, np.uint64) > 0, _joined(np.array(keys, np.uint64), own), np.uint64(0))
+
+    @property
+    def mark(self) -> int:
+        """The page's fingerprint: its content outside chrome."""
+        return xxhash.xxh64_intdigest("\n".join(t for z, t in self.blocks if z != CHROME)) >> 1
+
+    def dealt(self) -> np.ndarray:
+        """Names at the anchors, and of whole blocks."""
+        at = anchors(self.short, self.p.depth - self.p.anchor + 1)
+        return np.unique(np.concatenate([self.short[at], self.whole[self.whole > 0]])).view(np.int64)
+
+    def around(self, hot: np.ndarray) -> np.ndarray:
+        """Names at ``depth`` of all suffixes near the anchors that are in ``hot``."""
+        reach = self.p.depth - self.p.anchor
+        at = np.flatnonzero(np.isin(self.short, hot.view(np.uint64)))
+        near = np.unique((at[:, None] + np.arange(-reach, reach + 1)).ravel()) if len(at) else at
+        return np.unique(self.long[near[(near >= 0) & (near < len(self.long))]]).view(np.int64)
+
+    def text(self, low: np.ndarray, high: np.ndarray) -> tuple[str, int, int]:
+        """The text, the number of tokens that went as repeated, and that of repeated tokens in any zone. ``low`` and ``high`` are the names that pass the
+        bars of open text and of the main zone."""
+        n, depth = sum(map(len, self.tokens)), self.p.depth
+        cover = {}
+        for name, repeated in (("low", low.view(np.uint64)), ("high", high.view(np.uint64))):
+            c = np.zeros(n + 1, np.int64)
+            at = np.flatnonzero(np.isin(self.long, repeated))
+            np.add.at(c, at, 1)
+            np.add.at(c, at + depth, -1)
+            cover[name] = np.cumsum(c)[:n] > 0
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in self.tokens])]).astype(int)
+            for i in np.flatnonzero(np.isin(self.whole, repeated) & (self.whole > 0)):
+                cover[name][starts[i] : starts[i + 1]] = True
+        zone = np.repeat([z for z, _ in self.blocks], [len(t) for t in self.tokens]) if n else np.empty(0, str)
+        gone = np.where(zone == MAIN, cover["high"], cover["low"]) & (zone != CHROME)
+        if gone[zone == MAIN].sum() > self.p.main_copy * (zone == MAIN).sum():
+            gone[zone == MAIN] = False
+        if gone.sum() > self.p.copy * (zone != CHROME).sum():
+            gone[:] = False
+        out, at = [], 0
+        for (z, _), tokens in zip(self.blocks, self.tokens, strict=True):
+            keep = gone[at : at + len(tokens)]
+            at += len(tokens)
+            if z != CHROME and (left := [t for t, g in zip(tokens, keep, strict=True) if not g]):
+                out.append(" ".join(left))
+        return "\n\n".join(out), int(gone.sum()), int(cover["low"].sum())
+
+
+def _numbers(cells) -> np.ndarray:
+    return np.empty(0, np.int64) if cells is None else np.asarray(cells, np.int64)
+
+
+def _repeated(names: DataFrame, hosts: DataFrame, p: HtmlParams) -> DataFrame:
+    """salt, name, high of the names that enough distinct pages of their host hold; ``names``: host, name, one row a page."""
+    counts = names.groupBy("host", "name").agg(F.count("*").alias("n")).where("n > 1").join(hosts, "host")
+    n, pages = F.col("n"), F.col("pages")
+    bar = F.greatest(F.lit(2), F.least(F.lit(3), pages), pages * p.share)
+    high = (n >= p.main_pages) & (n >= pages * p.main_share)
+    return counts.where(n >= bar).select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "name", high.alias("high"))
+
+
+def extract_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
+    """page_id, url, text, n_chars, n_removed (tokens that the suffix array took away), n_repeated (those it marked, in any zone) of every row.
+
+    Null or empty html: empty text. Null urls share the empty host. Null ids stay; ids pass unchanged, whatever their type.
+    Repeated rows give equal results and count as one page. Other columns of ``pages`` play no part. Empty table: no rows.
     """
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, "
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select(F.col("page_id").cast("string").alias("id"), "url", "html", host_of(F.col("url")).alias("host")).withColumn("row", F.xxhash64("id", "url", "html"))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: dict[tuple[str, int, int], None] = {}
-            for host, page in zip(b["host"], b["html"], strict=True):
-                blocks = blocks_of(page)
-                if blocks:
-                    mark = _hash([t for z, t in blocks if z != CHROME])
-                    seen |= dict.fromkeys((host, h, mark) for h in [0, *keys_of(blocks, depth)])  # 0 counts the page
-            yield pd.DataFrame(list(seen), columns=["host", "prefix", "mark"])
-
-    def closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [blocks_of(page) for page in b["html"]]
-            out = [(i, u, "\n\n".join(t for z, t in g if z == MAIN)) for i, u, g in zip(b["page_id"], b["url"], got, strict=True) if all(z != OPEN for z, _ in g)]
-            yield pd.DataFrame(out, columns=["page_id", "url", "text"])
+            got = [Stream(page, host, p) for host, page in zip(b["host"], b["html"], strict=True)]
+            out = [(r, xxhash.xxh64_intdigest(h) >> 1, s.mark, s.dealt()) for r, h, s in zip(b["row"], b["host"], got, strict=True) if s.blocks]
+            yield pd.DataFrame(out, columns=["row", "host", "mark", "names"])
 
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deepen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [blocks_of(page) for page in b["html"]]
-            out = [(i, u, p, h, keys_of(g, depth)) for i, u, p, h, g in zip(b["page_id"], b["url"], b["html"], b["host"], got, strict=True) if any(z == OPEN for z, _ in g)]
-            yield pd.DataFrame(out, columns=["page_id", "url", "html", "host", "prefixes"])
+            yield pd.DataFrame({"row": b["row"], "names": [Stream(page, h, p).around(_numbers(x)) for h, page, x in zip(b["host"], b["html"], b["names"], strict=True)]})
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts: list[str] = [unique_text(blocks_of(page), set() if r is None else set(r), depth) for page, r in zip(b["html"], b["repeated"], strict=True)]
-            yield pd.DataFrame({"page_id": list(b["page_id"]), "url": list(b["url"]), "text": texts})
-
-    suffixes = rows.select("host", "html").mapInPandas(spread, "host string, prefix bigint, mark bigint")
-    counts = suffixes.groupBy("host", "prefix").agg(F.countDistinct("mark").alias("n"))
-    whole_host = counts.where("prefix = 0").select("host", F.col("n").alias("pages"))
-    enough = F.greatest(F.lit(2), F.least(F.lit(3), F.col("pages")), F.col("pages") * SHARE)
-    buckets = counts.where("prefix <> 0 AND n > 1").join(whole_host, "host").where(F.col("n") >= enough).select("host", "prefix")
-    loose = rows.mapInPandas(opened, kinds + "html string, host string, prefixes array<bigint>").withColumn("row", F.xxhash64("page_id", "url", "html"))
-    hits = loose.select("row", "host", F.explode("prefixes").alias("prefix")).join(buckets, ["host", "prefix"]).groupBy("row").agg(F.collect_set("prefix").alias("repeated"))
-    unique = loose.drop("prefixes").join(hits, "row", "left").mapInPandas(finish, kinds + "text string")
-    whole = rows.mapInPandas(closed, kinds + "text string").unionByName(unique)
-    return whole.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+            got = [Stream(page, h, p).text(_numbers(low), _numbers(high)) for h, page, low, high in zip(b["host"], b["html"], b["low"], b["high"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": [t for t, _, _ in got], "n_removed": [n for _, n, _ in got], "n_repeated": [n for _, _, n in got]})
+
+    # Small rows from here on: a tenth of a page's tokens and its fingerprint.
+    dealt = cut(rows.select("row", "host", "html").mapInPandas(spread, "row bigint, host bigint, mark bigint, names array<bigint>"))
+    first = dealt.groupBy("host", "mark").agg(F.min("row").alias("row"))
+    hosts = first.groupBy("host").agg(F.count("*").alias("pages"))
+    single = first.select("row")
+    each = lambda df: df.select("row", "host", F.explode("names").alias("name"))
+    alone = lambda df: each(df.dropDuplicates(["row"]).join(single, "row", "left_semi")).select("host", "name")
+
+    def held(df: DataFrame, repeated: DataFrame) -> DataFrame:
+        """row, low, high: the repeated names of each row that has some."""
+        own = df.dropDuplicates(["row"]).select("row", F.explode("names").alias("name")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+        return own.join(repeated, ["name", "salt"]).groupBy("row").agg(F.collect_set("name").alias("low"), F.collect_set(F.when(F.col("high"), F.col("name"))).alias("high"))
+
+    hot = cut(held(dealt, _repeated(alone(dealt), hosts, p)))
+    places = dealt.select("row", F.col("host")).dropDuplicates(["row"])
+    deep = rows.select("row", "host", "html").dropDuplicates(["row"]).join(hot.select("row", F.col("low").alias("names")), "row").select("row", "host", "html", "names").mapInPandas(deepen, "row bigint, names array<bigint>")
+    deep = cut(deep.join(places, "row"))
+    runs = held(deep, _repeated(alone(deep), hosts, p))
+    both = lambda c: F.array_union(F.coalesce(c, F.array().cast("array<bigint>")), F.coalesce(f"r_{c}", F.array().cast("array<bigint>"))).alias(c)
+    marks = hot.join(runs.select("row", F.col("low").alias("r_low"), F.col("high").alias("r_high")), "row", "left").select("row", both("low"), both("high"))
+    out = rows.join(marks, "row", "left").select("id", "url", "host", "html", "low", "high").mapInPandas(finish, "id string, url string, text string, n_removed bigint, n_repeated bigint")
+    return out.select(F.col("id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_removed", "n_repeated")

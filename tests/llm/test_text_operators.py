@@ -248,6 +248,113 @@ def test_html_repeats_of_a_host_go(spark):
     assert got == [*((i, b, len(b)) for i, b in enumerate(bodies)), (3, alone, len(alone)), (4, "", 0), (5, main, len(main)), (5, main, len(main))]
 
 
+def by_brute_force(rows, p):
+    """Text of each (host, html): every window of ``depth`` tokens and every whole block is counted over the host's distinct pages."""
+    pages = [(h, html.blocks_of(x)) for h, x in rows]
+    distinct = {(h, tuple(t for z, t in b if z != html.CHROME)): (h, b) for h, b in pages if b}
+    count, size = collections.Counter(), collections.Counter(h for h, _ in distinct)
+    of = lambda b: [t for _, x in b for t in x.split()]
+    windows = lambda t: [tuple(t[i : i + p.depth]) for i in range(len(t) - p.depth + 1)]
+    long = lambda x: len(x.split()) >= p.block_run
+    for h, b in distinct.values():
+        count.update({(h, w) for w in windows(of(b))} | {(h, x) for _, x in b if long(x)})
+    out = []
+    for h, b in pages:
+        n = size[h]
+        low = lambda w: count[h, w] >= max(2, min(3, n), n * p.share)  # noqa: B023, E731
+        high = lambda w: low(w) and count[h, w] >= max(p.main_pages, n * p.main_share)  # noqa: B023, E731
+        tokens = of(b)
+        zones = [z for z, x in b for _ in x.split()]
+        gone = [False] * len(tokens)
+        for bar, wanted in ((low, lambda z: z in (html.OPEN, html.WEAK)), (high, lambda z: z == html.MAIN)):
+            cover = set()
+            for i, w in enumerate(windows(tokens)):
+                if bar(w):
+                    cover.update(range(i, i + p.depth))
+            at = 0
+            for _, x in b:
+                if long(x) and bar(x):
+                    cover.update(range(at, at + len(x.split())))
+                at += len(x.split())
+            for i in cover:
+                gone[i] = gone[i] or wanted(zones[i])
+        main = [i for i, z in enumerate(zones) if z == html.MAIN]
+        if sum(gone[i] for i in main) > p.main_copy * len(main):
+            for i in main:
+                gone[i] = False
+        if sum(gone) > p.copy * sum(z != html.CHROME for z in zones):
+            gone = [False] * len(tokens)
+        text, at = [], 0
+        for z, x in b:
+            own = x.split()
+            left = [t for t, g in zip(own, gone[at : at + len(own)]) if not g]
+            at += len(own)
+            if z != html.CHROME and left:
+                text.append(" ".join(left))
+        out.append(("\n\n".join(text), sum(gone)))
+    return out
+
+
+def test_html_equals_brute_force(spark):
+    r = random.Random(2)
+    word = lambda: r.choice("abcdefghij") + r.choice("xyz")
+    run = lambda n: " ".join(word() for _ in range(n))
+    boiler = [run(n) for n in (3, 4, 7, 9, 14)]
+    rows = []
+    for i in range(90):
+        body = []
+        for _ in range(r.randint(1, 6)):
+            text = run(r.randint(1, 12))
+            if r.random() < 0.5:
+                text = r.choice(["", text + " "]) + r.choice(boiler) + r.choice(["", " " + run(3)])
+            body.append(r.choice(["<p>{}</p>", "<div>{}</div>", "<div class='widget'>{}</div>", "<nav>{}</nav>"]).format(text))
+        inner = "".join(body)
+        rows.append((r.choice(["a.org", "b.org", "b.org", "c.org"]), f"<article>{inner}</article>" if r.random() < 0.5 else inner))
+    rows += rows[:6] + [("a.org", None), ("b.org", "")]
+    p = html.HtmlParams(depth=6, anchor=4, block_run=3, main_share=0.2, main_pages=3)
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(rows)], "page_id int, url string, html string").repartition(4)
+    got = {x.page_id: (x.text, x.n_removed) for x in html.extract_text(df, p).collect()}
+    assert got == dict(enumerate(by_brute_force(rows, p)))
+    assert sum(n > 0 for _, n in got.values()) > 20
+
+
+def test_html_names_equal_runs_of_tokens():
+    r = random.Random(1)
+    tokens = [r.choice("ab") for _ in range(400)]
+    for length, names in zip((1, 2, 5, 16, 24), html.suffix_names(tokens, (1, 2, 5, 16, 24))):
+        runs = [tuple(tokens[i : i + length]) for i in range(len(tokens) - length + 1)]
+        assert len(names) == len(runs) and len(set(zip(runs, names.tolist()))) == len(set(runs)) == len(set(names.tolist()))
+    assert [len(x) for x in html.suffix_names(["a"], (1, 2, 16))] == [1, 0, 0]
+
+
+def test_html_missing_ends_lose_nothing():
+    main = lambda page: [t for z, t in html.blocks_of(page) if z == html.MAIN]
+    assert main("<html><head><title>t</title><meta charset=x><body><article><p>one<p>two</article>") == ["one", "two"]
+    assert main("<article><p>a</p><svg class='i'/><p>b</p><svg><g><svg>x</svg></g>y</svg><p>c</p></article>") == ["a", "b", "c"]
+    assert main("<title>no end<article><p>a</p></article>") == ["a"]
+    assert main("<article><p>a</p><script>if (x < 1) {}<p>b</p></article>") == ["a", "b"]
+    assert main("<nav><a>menu</a><article><p>a</p></article>") == ["a"] == main("<form id=page><main><p>a</p></main></form>")
+    assert main("<article><p class='ad'>buy<p>a</p><ul><li class='ad'>buy<li>b</ul></article>") == ["a", "b"]
+
+
+def test_html_class_words_are_hints():
+    main = lambda page: [t for z, t in html.blocks_of(page) if z in (html.MAIN, html.WEAK)]
+    kept = ["<p class='share-price form'>x</p>", "<div class='comment-analysis'>x</div>", "<div class='widget'>x</div>", "<p data-hidden='no'>x</p>", "<p title='a hidden gem'>x</p>"]
+    gone = ["<div class='ad'>x</div>", "<div class='ad-slot top-ad2'>x</div>", "<section class='comments'>x</section>", "<div id='comment-list'>x</div>", "<p hidden>x</p>", "<div class='cookie-notice'>x</div>", "<div role='navigation'>x</div>", "<article class='comment'>x</article>"]
+    assert all(main(f"<article><p>a</p>{x}</article>") == ["a", "x"] for x in kept)
+    assert all(main(f"<article><p>a</p>{x}</article>") == ["a"] for x in gone)
+
+
+def test_html_ids_pass_unchanged(spark):
+    big = 2**60 + 1
+    long = "<article><p>" + "word " * 60000 + "</p></article>"
+    rows = [(big, None, "<p>a</p>"), (None, "u", "<p>b</p>"), (big + 2, "u", long), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit("clash")).withColumn("low", F.lit(1)).coalesce(1)
+    got = collections.Counter((r.page_id, r.url, r.text) for r in html.extract_text(df).collect())
+    assert got == collections.Counter([(big, None, "a"), (None, "u", "b"), (big + 2, "u", ("word " * 60000).strip()), (None, None, "")])
+    assert html.extract_text(df.limit(0)).count() == 0
+
+
 def test_html_phrases_and_near_copies_stay(spark):
     body = " ".join(f"w{i}" for i in range(60))
     ad = lambda k: f"<div class='ad'>Buy offer number {k} in the shop today</div>"
