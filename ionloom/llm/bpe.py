@@ -36,6 +36,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_others(d: dict) -> None:
+    """An error for files that ask for more than this module does: byte-level pre-tokens, no normalizer, plain special tokens."""
+    pre, model = d.get("pre_tokenizer") or {}, d["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    flags = [t["content"] for t in d.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t.get("special", True)]
+    extra = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if d.get("normalizer") or not plain or flags or extra or model.get("type", "BPE") != "BPE":
+        raise ValueError(f"not a plain byte-level vocabulary: normalizer {d.get('normalizer')}, pre-tokenizer {pre}, tokens {flags}, options {extra}")
+
+
 class Mixed(Exception):
     """A text has white space other than single spaces around a chunk."""
 
@@ -45,6 +55,7 @@ class Vocabulary:
 
     def __init__(self, spec: str):
         d = json.loads(spec)
+        refuse_others(d)
         to_byte = byte_alphabet()
         ids = d["model"]["vocab"]
         as_bytes = lambda t: bytes(to_byte[c] for c in t)
@@ -161,19 +172,20 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", digests
 
     With ``proof`` only the ids return: every text is decoded and held against its source, and one that differs is an error.
 
-    Null texts count as empty: no ids, empty decoded text. No shuffle; rows stay in their partitions and are
-    handled one by one, so that memory follows the longest text.
+    Null texts count as empty: no ids, empty decoded text. Repeated rows have equal results, null ids stay, other columns of
+    ``docs`` play no part, an empty table gives no rows. No shuffle; rows stay in their partitions and are handled one by
+    one, so that memory follows the longest text. Document ids pass as strings, as integers with nulls would become floats.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * (not proof))
+    schema = "i string, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * (not proof))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = _vocabulary(spec.value)
         for b in (whole.iloc[at : at + SLICE] for whole in batches for at in range(0, len(whole), SLICE)):
             ids = [v.encode(t or "") for t in b["t"]]
             back = [v.decode(i) for i in ids]
-            out = {id_col: b["i"].tolist() if kind != "string" and not b["i"].isna().any() else b["i"]}
+            out = {"i": b["i"]}
             if proof and (lost := [i for i, t, x in zip(b["i"], b["t"], back, strict=True) if x != (t or "")]):
                 raise ValueError(f"{len(lost)} texts do not survive encoding and decoding, the first of {id_col} {lost[0]}")
             if digests:
@@ -182,4 +194,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", digests
                 out |= {"ids": [np.frombuffer(i, "<i4") for i in ids]} | ({} if proof else {"decoded": back})
             yield pd.DataFrame(out)
 
-    return docs.select(F.col(id_col).alias("i"), F.col("text").alias("t")).mapInPandas(run, schema)
+    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col("text").alias("t")).mapInPandas(run, schema)
+    return out.select(F.col("i").cast(kind).alias(id_col), *out.columns[1:])

@@ -2,7 +2,8 @@
 
 The dictionaries are the classifier. They are made from a bounded sample of labelled rows: of each language
 one document for each of ``sample_rows`` hash classes of doc_id, the first by hash among those of at most
-``sample_chars`` characters (longer ones only where a class has no other). Texts are encoded whole. A margin
+``sample_chars`` characters (longer ones, cut to that length, only where a class has no other), for the
+``max_languages`` languages with most rows at most, so sample and dictionaries have a bound. Texts are encoded whole. A margin
 under ``min_margin`` between the two smallest results is narrow: the row is marked rejected, and its score is
 low, but the best language stands, as the result names one for every text with a letter.
 """
@@ -27,6 +28,8 @@ class LanguageParams:
     sample_rows: int = 96
     sample_chars: int = 8192
     dictionary_bytes: int = 110_000
+    #: Learned are the languages with most labelled rows, so many at most: dictionaries are sent to every executor.
+    max_languages: int = 200
     level: int = 3
     min_margin: float = 0.01
 
@@ -78,12 +81,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, p: LanguageParams = LanguageParams()) -> tuple[tuple[str, bytes], ...]:
     """(language, dictionary) from rows not held out whose language is known and whose text has a letter.
 
-    What reaches the driver is bounded by languages times ``sample_rows``: the sample is picked by a
-    pre-aggregated minimum per (language, hash class), so no task sees all rows of a language.
+    What reaches the driver is bounded by ``max_languages`` times ``sample_rows`` texts of ``sample_chars``: the sample is picked by
+    a pre-aggregated minimum per (language, hash class), so no task sees all rows of a language. No labelled row: nothing.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     h = F.xxhash64("doc_id")
     order = F.struct((F.length("text") > p.sample_chars).alias("long"), h.alias("h"), F.col("doc_id").alias("id"))
+    learned = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(p.max_languages).collect()]
+    if not learned:
+        return ()
+    rows = rows.where(F.col("lang").isin(*learned))
     picked = rows.groupBy("lang", F.pmod(h, F.lit(p.sample_rows)).alias("part")).agg(F.min(order).alias("pick"), F.count("*").alias("n"))
     picked = [(r["lang"], r["pick"]["id"], r["n"]) for r in picked.collect()]
     ids = sorted({i for _, i, _ in picked})
@@ -94,7 +101,7 @@ def fit(docs: DataFrame, p: LanguageParams = LanguageParams()) -> tuple[tuple[st
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema) if ids else None
     if wanted is not None:
-        for r in rows.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).collect():
+        for r in rows.join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min(F.left("text", F.lit(p.sample_chars))).alias("text")).collect():
             texts[r["lang"]].append((r["doc_id"], r["text"]))
     out = []
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
@@ -105,7 +112,14 @@ def fit(docs: DataFrame, p: LanguageParams = LanguageParams()) -> tuple[tuple[st
 
 
 def classify(docs: DataFrame, dictionaries: tuple[tuple[str, bytes], ...], p: LanguageParams = LanguageParams()) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score, rejected. Null texts and texts without a letter: und, 0, rejected."""
+    """Per row: doc_id, held_out, lang_pred, score, rejected. Null texts and texts without a letter: und, 0, rejected.
+
+    Nothing learned: und everywhere. Repeated rows have equal results, null ids stay (and are not held out), other columns of
+    ``docs`` play no part, an empty table gives no rows. Ids pass as strings, as integers with nulls would become floats.
+    """
+    size = sum(len(c) for _, c in dictionaries)
+    if size > p.max_languages * p.dictionary_bytes:
+        raise ValueError(f"dictionaries of {size} bytes are too large to be sent to every executor")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -113,11 +127,13 @@ def classify(docs: DataFrame, dictionaries: tuple[tuple[str, bytes], ...], p: La
         c = _classifier(shared.value, p.level)
         for b in batches:
             rows = [c.predict(t, p.min_margin) for t in b["t"]]
-            yield pd.DataFrame({"doc_id": b["i"], "held_out": b["o"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "rejected": [r[2] for r in rows]})
+            yield pd.DataFrame({"i": b["i"], "held_out": b["o"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "rejected": [r[2] for r in rows]})
 
-    cols = docs.select(F.col("doc_id").alias("i"), held_out(F.col("doc_id")).alias("o"), F.col("text").alias("t"))
-    return cols.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    cols = docs.select(F.col("doc_id").cast("string").alias("i"), held_out(F.col("doc_id")).alias("o"), F.col("text").alias("t"))
+    out = cols.mapInPandas(run, "i string, held_out boolean, lang_pred string, score double, rejected boolean")
+    return out.select(F.col("i").cast(kind).alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
 
 
 def identify_languages(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:
+    """``classify`` by what ``fit`` learns from the rows that are not held out; every row of ``docs``, as described there."""
     return classify(docs, fit(docs, p), p)

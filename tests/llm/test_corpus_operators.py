@@ -27,9 +27,22 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_repeated_query_rows_have_lists_of_their_own(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [-1.0, 0.5]), *((i, [i / 7, 1.0 - i]) for i in range(1, 30)), (30, None)]
+    got = collections.Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 10 == 0, 10, 4, 8).collect())
+    want, fl = collections.Counter(), lambda v: [int(np.floor(1024 * x)) for x in v]
+    for q, e in rows:
+        if q % 10 == 0 and e:
+            c = sorted((-sum(a * b for a, b in zip(fl(e), fl(f))), j) for j, f in rows if f and j != q)[:10]
+            want.update((q, n + 1, j, -s) for n, (s, j) in enumerate(c))
+    assert got == want
+
+
 def test_scores_beyond_floats_are_exact():
-    a = np.array([[2.0**40, 3.0]])
-    assert topk.scores(a, np.array([[2.0**20, 1.0]]))[0, 0] == 2**60 + 3
+    a = np.array([[2.0**30, 3.0 / 1024]])
+    assert topk.scores(a, np.array([[2.0**10, 1.0 / 1024]]))[0, 0] == 2**60 + 3
+    assert topk.scores(np.array([[2.0**60, 1.0]]), np.array([[2.0**-10, -1.0]]))[0, 0] == 2**63 - 1  # 2**70 counts as the greatest
+    assert topk.scores(np.array([[-(2.0**52) - 1]]), np.array([[1 / 1024]]))[0, 0] == 1024 * (-(2**52) - 1)
 
 
 def test_signatures_estimate_weighted_similarity():

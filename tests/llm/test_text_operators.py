@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import time
@@ -185,6 +186,19 @@ def test_bpe_equals_library(docs):
         assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False) == (text or "")
 
 
+def test_bpe_ids_pass_unchanged_and_other_files_are_refused(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a b"), (None, "c"), (None, None), (big, "a b")], "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("i", F.lit(1)).coalesce(1)
+    got = collections.Counter((r.doc_id, r.decoded) for r in bpe.encode_documents(docs, path).collect())
+    assert got == collections.Counter([(big, "a b"), (None, "c"), (None, ""), (big, "a b")])
+    assert bpe.encode_documents(docs.limit(0), path, digests=True).count() == 0
+    spec = json.loads(bpe.read_vocabulary(path))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError, match="plain byte-level"):
+            bpe.refuse_others(spec | change)
+
+
 def test_bpe_digests(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     r = bpe.encode_documents(spark.createDataFrame([(1, None)], "doc_id long, text string"), path, digests=True).first()
@@ -203,6 +217,26 @@ def test_language(spark):
     assert any(r.held_out for r in got.values()) and language.identify_languages(docs.limit(0)).count() == 0
 
 
+def test_language_ids_repeats_and_long_texts(spark):
+    big = 2**60 + 1
+    rows = [(big, "the cat and the dog " * 9, "en"), (None, "der hund und die katze " * 9, "de"), (big + 2, "the cat and the dog " * 20000, None), (big + 2, "the cat and the dog " * 20000, None), (None, None, "en")]
+    rows += [(i, t * 8, x) for i in range(40) for x, t in (("en", "the cat and the dog sat in the house "), ("de", "der hund und die katze sind im haus "), ("xx", "qua rum dil zop "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("i", F.lit("clash")).coalesce(1)
+    got = [(r.doc_id, r.lang_pred) for r in language.identify_languages(docs, language.LanguageParams(max_languages=2)).collect()]
+    count = collections.Counter(got)
+    assert len(got) == len(rows) and count[big, "en"] == 1 and count[None, "de"] == 1 and count[big + 2, "en"] == 2 and count[None, "und"] == 1
+    assert {x for _, x in got} <= {"en", "de", "xx", "und"} and len({x for _, x in got} - {"und"}) == 2
+    none = language.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in none} == {"und"}
+
+
+def test_language_of_held_out_documents(spark):
+    """Held-out accuracy on the driver's documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = language.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert both[0] > 0.95 and both[1] > 100
+
+
 PAGE = """<html><head><title>no</title><style>p{{}}</style></head><body><header class="top"><h1>Site</h1></header><nav><a>menu</a></nav><aside>side</aside>
 <div class="cookie-notice">ok?</div><article><header><h2>Head &amp; line</h2>by me</header><p>First <b>para</b>\n graph.<p>Second<br>part &lt;x&gt;<script>no("</p>")</script></p>
 <div class="ad">buy</div><form><input>f</form></article><div id="comments"><p>me too</p></div><footer>&copy; all</footer></body></html>"""
@@ -221,11 +255,11 @@ def test_pipeline_decodes_every_text(spark, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(1, "kept"), (2, None), (3, "un café 😀 <|endoftext|>")], "doc_id long, text string").coalesce(1)
     seen = []
-    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, run, schema: seen.append((run, schema)) or docs.selectExpr("doc_id", "array(1) AS ids"))
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, run, schema: seen.append((run, schema)) or docs.selectExpr("string(doc_id) AS i", "array(1) AS ids"))
     assert pipeline.tokens(spark, docs, "").columns == ["doc_id", "ids", "n_tokens"]
     run, _ = seen[0]
     rows = pd.DataFrame({"i": [1, 2, 3], "t": ["kept", None, "un café 😀 <|endoftext|>"]})
-    assert [list(b["doc_id"]) for b in run(iter([rows]))] == [[1, 2, 3]]
+    assert [list(b["i"]) for b in run(iter([rows]))] == [[1, 2, 3]]
     monkeypatch.setattr(bpe.Vocabulary, "decode", lambda self, ids: "kept")
     with pytest.raises(ValueError, match="2 texts do not survive"):
         list(run(iter([rows])))
