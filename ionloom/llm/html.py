@@ -27,6 +27,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,7 @@ LAYOUT_WORDS = frozenset("box bar list section area block container wrapper inne
 ITEMS = frozenset("li dt dd tr option".split())
 WRAPPERS = frozenset("nav form header menu label button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TELLING = re.compile("class|id|role|hidden|style", re.I)
 #: Where the text of an unclosed script or style ends at the latest.
 RESUME = re.compile(r"</?(?:body|html|head|article|main|div|p|section|header|footer|nav|h[1-6])\b", re.I)
 
@@ -86,6 +88,7 @@ def _said(name: str) -> str:
     return WEAK if parts & (CHROME_WORDS | DOUBTFUL_WORDS) else ""
 
 
+@lru_cache(maxsize=8192)
 def _kind(tag: str, attrs: str) -> str:
     """``chrome``, ``weak``, ``header`` (only its headings count, and only in the article), ``main`` or nothing."""
     if tag in CHROME_TAGS:
@@ -182,7 +185,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         if tag in RAW:
             at = _after_raw(page, tag, m[3], at)
             continue
-        kind = _kind(tag, m[3])
+        kind = _kind(tag, m[3] if TELLING.search(m[3]) else "")
         if tag in BLOCK or kind:
             flush()
         # Elements whose end tag may be missing: a head ends at the body, paragraphs and items at the next of their kind, and
@@ -261,8 +264,8 @@ class Stream:
         own = np.uint64(xxhash.xxh64_intdigest(host))
         flat = [t for ts in self.tokens for t in ts]
         self.short, self.long = (_joined(n, own) for n in suffix_names(flat, (p.anchor, p.depth)))
-        keys = [xxhash.xxh64_intdigest(" ".join(t), seed=1) if len(t) >= p.block_run else 0 for t in self.tokens]
-        self.whole = np.where(np.array(keys, np.uint64) > 0, _joined(np.array(keys, np.uint64), own), np.uint64(0))
+        keys = np.array([xxhash.xxh64_intdigest(text, seed=1) if len(t) >= p.block_run else 0 for t, (_, text) in zip(self.tokens, self.blocks, strict=True)], np.uint64)
+        self.whole = np.where(keys > 0, _joined(keys, own), np.uint64(0))
 
     @property
     def mark(self) -> int:
@@ -314,17 +317,24 @@ def _numbers(cells) -> np.ndarray:
     return np.empty(0, np.int64) if cells is None else np.asarray(cells, np.int64)
 
 
-def _repeated(names: DataFrame, hosts: DataFrame, p: HtmlParams) -> DataFrame:
-    """salt, name, high of the names that enough distinct pages of their host hold; ``names``: host, name, one row a page."""
-    counts = names.groupBy("host", "name").agg(F.count("*").alias("n")).where("n > 1").join(hosts, "host")
-    n, pages = F.col("n"), F.col("pages")
-    bar = F.greatest(F.lit(2), F.least(F.lit(3), pages), pages * p.share)
-    high = (n >= p.main_pages) & (n >= pages * p.main_share)
-    return counts.where(n >= bar).select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "name", high.alias("high"))
+def plain_text(page: str | None) -> str:
+    """The text of a page of which nothing is repeated."""
+    return "\n\n".join(t for z, t in blocks_of(page) if z != CHROME)
+
+
+#: Sides of at most so many rows, counted first, are broadcast.
+FEW_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` materialised, to be broadcast if it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
 
 
 def extract_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
-    """page_id, url, text, n_chars, n_removed (tokens that the suffix array took away), n_repeated (those it marked, in any zone) of every row.
+    """page_id, url, text, n_chars, n_removed (tokens that the suffix array took away), n_repeated (those it marked, in any
+    zone) of every row of ``pages``.
 
     Null or empty html: empty text. Null urls share the empty host. Null ids stay; ids pass unchanged, whatever their type.
     Repeated rows give equal results and count as one page. Other columns of ``pages`` play no part. Empty table: no rows.
@@ -340,32 +350,37 @@ def extract_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
 
     def deepen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"row": b["row"], "names": [Stream(page, h, p).around(_numbers(x)) for h, page, x in zip(b["host"], b["html"], b["names"], strict=True)]})
+            yield pd.DataFrame({"row": b["row"], "names": [Stream(page, h, p).around(np.asarray(x, np.int64)) for h, page, x in zip(b["host"], b["html"], b["names"], strict=True)]})
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [Stream(page, h, p).text(_numbers(low), _numbers(high)) for h, page, low, high in zip(b["host"], b["html"], b["low"], b["high"], strict=True)]
+            got = [(plain_text(page), 0, 0) if low is None else Stream(page, h, p).text(np.asarray(low, np.int64), np.asarray(high, np.int64)) for h, page, low, high in zip(b["host"], b["html"], b["low"], b["high"], strict=True)]
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": [t for t, _, _ in got], "n_removed": [n for _, n, _ in got], "n_repeated": [n for _, _, n in got]})
 
-    # Small rows from here on: a tenth of a page's tokens and its fingerprint.
-    dealt = cut(rows.select("row", "host", "html").mapInPandas(spread, "row bigint, host bigint, mark bigint, names array<bigint>"))
-    first = dealt.groupBy("host", "mark").agg(F.min("row").alias("row"))
+    # Small rows from here on: a quarter of a page's suffixes as numbers, and its fingerprint. uid tells equal rows apart.
+    dealt = rows.select("row", "host", "html").mapInPandas(spread, "row bigint, host bigint, mark bigint, names array<bigint>")
+    dealt = cut(dealt.withColumn("uid", F.monotonically_increasing_id()))
+    first = dealt.groupBy("host", "mark").agg(F.min("uid").alias("first"), F.count("*").alias("n"))
     hosts = first.groupBy("host").agg(F.count("*").alias("pages"))
-    single = first.select("row")
-    each = lambda df: df.select("row", "host", F.explode("names").alias("name"))
-    alone = lambda df: each(df.dropDuplicates(["row"]).join(single, "row", "left_semi")).select("host", "name")
-
-    def held(df: DataFrame, repeated: DataFrame) -> DataFrame:
-        """row, low, high: the repeated names of each row that has some."""
-        own = df.dropDuplicates(["row"]).select("row", F.explode("names").alias("name")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-        return own.join(repeated, ["name", "salt"]).groupBy("row").agg(F.collect_set("name").alias("low"), F.collect_set(F.when(F.col("high"), F.col("name"))).alias("high"))
-
-    hot = cut(held(dealt, _repeated(alone(dealt), hosts, p)))
-    places = dealt.select("row", F.col("host")).dropDuplicates(["row"])
-    deep = rows.select("row", "host", "html").dropDuplicates(["row"]).join(hot.select("row", F.col("low").alias("names")), "row").select("row", "host", "html", "names").mapInPandas(deepen, "row bigint, names array<bigint>")
-    deep = cut(deep.join(places, "row"))
-    runs = held(deep, _repeated(alone(deep), hosts, p))
-    both = lambda c: F.array_union(F.coalesce(c, F.array().cast("array<bigint>")), F.coalesce(f"r_{c}", F.array().cast("array<bigint>"))).alias(c)
-    marks = hot.join(runs.select("row", F.col("low").alias("r_low"), F.col("high").alias("r_high")), "row", "left").select("row", both("low"), both("high"))
+    # Of pages with one fingerprint all but the first are left out of the counts.
+    copies = _small(dealt.select("host", "mark", "uid").join(first.where("n > 1"), ["host", "mark"]).where("uid <> first").select("uid"))
+
+    def held(df: DataFrame) -> DataFrame:
+        """row, low, high of each row of ``df`` (row, host, uid, names) with names that enough distinct pages of its host hold."""
+        counted = df.join(copies, "uid", "left_anti").select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+        counted = _small(counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        own = df.select("row", "host", F.explode("names").alias("name"), F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
+        met = own.join(counted, ["name", "salt"]).join(hosts, "host")
+        n, pages = F.col("n"), F.col("pages")
+        bar = F.greatest(F.lit(2), F.least(F.lit(3), pages), pages * p.share)
+        high = (n >= p.main_pages) & (n >= pages * p.main_share)
+        return met.where(n >= bar).groupBy("row").agg(F.collect_set("name").alias("low"), F.collect_set(F.when(high, F.col("name"))).alias("high"))
+
+    hot = _small(held(dealt))
+    deep = rows.select("row", "host", "html").join(hot.select("row", F.col("low").alias("names")), "row").select("row", "host", "html", "names").mapInPandas(deepen, "row bigint, names array<bigint>")
+    deep = cut(deep.dropDuplicates(["row"]).join(dealt.groupBy("row", "host").agg(F.min("uid").alias("uid")), "row"))
+    runs = held(deep)
+    both = lambda c: F.array_union(F.col(c), F.coalesce(F.col(f"r_{c}"), F.array().cast("array<bigint>"))).alias(c)
+    marks = _small(hot.join(runs.select("row", F.col("low").alias("r_low"), F.col("high").alias("r_high")), "row", "left").select("row", both("low"), both("high")))
     out = rows.join(marks, "row", "left").select("id", "url", "host", "html", "low", "high").mapInPandas(finish, "id string, url string, text string, n_removed bigint, n_repeated bigint")
     return out.select(F.col("id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_removed", "n_repeated")
