@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .urls import PATTERN_RULES
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +115,8 @@ ruled AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM split)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(lower(u), '\b(casino[-.](win|bonus|online)\b|free[-.]bets?\b|cheap[-.](pills|meds)\b|spam[-.]farm\b|adult([-.](x|xxx|video))?\.|ads[-.]track\b|porn\b)') THEN 'block'
-  ELSE 'allow' END AS verdict FROM ruled""",
+  WHEN regexp_matches(lower(u), '@BLOCKED@') THEN 'block'
+  ELSE 'allow' END AS verdict FROM ruled""".replace("@BLOCKED@", "|".join(r.pattern for r in PATTERN_RULES if r.verdict == "block")),
     "op4_topk": """
 WITH v AS (
   SELECT vec_id, len(embedding) AS d, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings

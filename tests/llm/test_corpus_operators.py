@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,40 +158,77 @@ def test_shards(spark):
     assert shards.shard_documents(docs.limit(0)).count() == 0
 
 
-def test_raking_meets_marginals(spark):
+def _cells(rows):
+    return pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
+
+
+def test_raking_meets_marginals():
     rows = [(f"s{i % 3}", f"l{i % 2}", f"t{i % 5 % 2}", 10 + i * i) for i in range(30)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n long").groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
     p = mixing.MixParams(rounds=12)
-    got = mixing.cell_weights(cells, p).collect()
-    total = sum(r.tokens for r in got)
+    got = mixing.fit_local(_cells(rows).groupby(list(mixing.DIMS), as_index=False).sum(), p)
     for d in mixing.DIMS:
-        own, have = collections.Counter(), collections.Counter()
-        for r in got:
-            own[r[d]] += r.tokens
-            have[r[d]] += r.tokens * r.weight
-        norm = sum(v ** p.power(d) for v in own.values())
-        assert all(have[k] / total == pytest.approx(own[k] ** p.power(d) / norm, rel=1e-3) for k in own)
+        own, have = got.groupby(d)["tokens"].sum(), (got["tokens"] * got["weight"]).groupby(got[d]).sum()
+        want = own ** p.power(d) / (own ** p.power(d)).sum()
+        assert np.allclose(have / got["tokens"].sum(), want, rtol=1e-3)
 
 
-def test_sample_meets_marginals(spark):
+def test_sample_meets_marginals():
     share = {"hot": 6, "a": 2, "b": 2, "x": 9, "y": 1.6, "prose": 8, "table": 2}
     rows = [(s, d, c, int(100 * share[s] * share[d] * share[c] * (1 + 0.2 * ((i + j + k) % 2)))) for i, s in enumerate(("hot", "a", "b")) for j, d in enumerate(("x", "y")) for k, c in enumerate(("prose", "table"))]
     p = mixing.MixParams()
     for rare in (0, 1):  # one class of few tokens cannot give its target: it is taken whole, and the rate stays
-        cells = spark.createDataFrame(rows + rare * [(None, "x", "prose", 300)], "source string, lang string, topic string, tokens long")
-        got = mixing.cell_probabilities(mixing.cell_weights(cells, p), p).collect()
-        total = sum(r.tokens for r in got)
-        assert all(0 <= r.probability <= 1 for r in got) and any(r.weight * p.rate > 1 for r in got)
-        assert sum(r.tokens * r.probability for r in got) == pytest.approx(p.rate * total, rel=2e-3)
+        got = mixing.fit_local(_cells(rows + rare * [(None, "x", "prose", 300)]), p)
+        total, drawn = got["tokens"].sum(), got["tokens"] * got["probability"]
+        assert got["probability"].between(0, 1).all() and (got["weight"] * p.rate > 1).any()
+        assert drawn.sum() == pytest.approx(p.rate * total, rel=2e-3)
         for d in mixing.DIMS:
-            own, have = collections.Counter(), collections.Counter()
-            for r in got:
-                own[r[d]] += r.tokens
-                have[r[d]] += r.tokens * r.probability
-            whole = {k for k in own if k is None}
-            left = p.rate * total - sum(own[k] for k in whole)
-            norm = sum(v ** p.power(d) for k, v in own.items() if k not in whole)
-            assert all(have[k] == pytest.approx(own[k] if k in whole else left * own[k] ** p.power(d) / norm, rel=2e-3) for k in own)
+            own, have = (x.groupby(got[d].fillna("none")).sum() for x in (got["tokens"], drawn))
+            whole = own.index == "none"
+            left = p.rate * total - own[whole].sum()
+            power = own[~whole] ** p.power(d)
+            assert np.allclose(have[whole], own[whole], rtol=2e-3) and np.allclose(have[~whole], left * power / power.sum(), rtol=2e-3)
+
+
+def test_fitting_by_joins_equals_fitting_on_the_driver(spark):
+    rows = [(["hot", "a", None][i % 3], f"l{i % 2}", f"t{i % 5 % 2}", (10 + i * i) * (40 if i % 3 == 0 else 1)) for i in range(30)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).cache()
+    p = mixing.MixParams(rounds=2, bounded_rounds=2)
+    near, far = ({tuple(r)[:3]: (r.weight, r.probability) for r in mixing.fit_cells(cells, p, most)[0].collect()} for most in (100, 3))
+    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], rel=1e-9) for k in near) and any(q == 1 for _, q in near.values())
+
+
+def test_weights_equal_proportional_fitting():
+    """Against the textbook loop over a dense array."""
+    r = random.Random(6)
+    n = np.array([[[r.randint(0, 9) * 10 for _ in range(3)] for _ in range(4)] for _ in range(5)], float)
+    p, w = mixing.MixParams(), np.ones_like(n)
+    power = [p.source_power, p.lang_power, p.topic_power]
+    for _ in range(p.rounds):
+        for axis in range(3):
+            rest = tuple(a for a in range(3) if a != axis)
+            target = n.sum(axis=rest) ** power[axis]
+            w = w * np.expand_dims(target / target.sum() * n.sum() / (w * n).sum(axis=rest), rest)
+    at = [(i, j, k) for i in range(5) for j in range(4) for k in range(3)]
+    got = mixing.fit_local(_cells([(f"s{i}", f"l{j}", f"t{k}", int(n[i, j, k])) for i, j, k in at]), p)["weight"]
+    assert np.allclose(got, [w[x] for x in at], rtol=1e-9)
+
+
+def test_drawn_sample_meets_its_marginals(spark):
+    """Documents drawn: every class holds what its target says, as nearly as chance allows (1 % of all tokens)."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 20)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source", "concat('l', id % 5 % 3) AS lang", "concat('t', id % 11 % 2) AS theme")
+    p = mixing.MixParams(topic_column="theme")
+    out, n = mixing.mix(docs, p)
+    rows = [(x["source"], x["lang"], x["theme"], x["t"], x["s"]) for x in out.groupBy("source", "lang", "theme").agg(F.sum(n["tokens"]).alias("t"), F.sum(F.when(F.col(n["sampled"]), F.col(n["tokens"])).otherwise(0)).alias("s")).collect()]
+    drawn = sum(x[4] for x in rows)
+    assert drawn == pytest.approx(p.rate * sum(x[3] for x in rows), rel=0.01)
+    for axis, power in enumerate((p.source_power, p.lang_power, p.topic_power)):
+        own, have = collections.Counter(), collections.Counter()
+        for x in rows:
+            own[x[axis]] += x[3]
+            have[x[axis]] += x[4]
+        norm = sum(v**power for v in own.values())
+        assert all(abs(have[k] / drawn - own[k] ** power / norm) < 0.01 for k in own)
+    assert [x.doc_id for x in mixing.mixed(docs.limit(500), p).orderBy("doc_id").collect()] == [x.doc_id for x in mixing.mixed(docs.limit(500).repartition(3), p).orderBy("doc_id").collect()]
 
 
 def test_mix(spark):
