@@ -55,7 +55,7 @@ UNWANTED = {
     "casino poker roulette jackpot slots": "win bonus online free play",
     "bets bet sportsbet bookmaker": "free bonus online live odds",
     "pills meds viagra cialis pharmacy": "cheap buy online order discount",
-    "porn xxx adult escort webcam": "video videos free live hd tube",
+    "porn xxx adult escort webcam": "x xxx video videos free live hd tube",
     "adserver doubleclick ads banner popunder": "track click serve redirect pixel",
     "warez crack keygen torrent": "download free full serial",
     "spam backlink linkfarm replica": "farm buy cheap seller",
