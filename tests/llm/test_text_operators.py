@@ -7,8 +7,10 @@ import random
 import re
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from ionloom.llm import bpe, html, language, pii, quality, urls
@@ -45,6 +47,56 @@ def test_quality_counts(docs):
     assert got == want
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    """Distances and verdicts of the driver's documents, some of them without a language."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    docs = docs.unionByName(spark.createDataFrame([(-1, "12 34 56, " * 40, "de", "s", 1), (-2, "12 34 56, " * 40, "xx", "s", 1), (-3, "AB CD " * 99, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    p, rows = quality.QualityParams(), {}
+    for r in docs.collect():
+        w = words(r.text)
+        low = [x.lower() for x in w]
+        hits = {k: sum(x in v for x in low) for k, v in quality.COMMON_WORDS.items()}
+        best = max(sorted(hits), key=hits.get)
+        ref = r.lang if r.lang in hits else best if hits[best] else None
+        dense = "".join(w)
+        marks = regex.sub(r"\p{L}+", "", dense)
+        digits, stops, points = (sum(c in s for c in marks) for s in ("0123456789", ".,", ";:!?'\"()-"))
+        capitals = len(regex.findall(r"\p{Lu}", dense))
+        by_char = [len(dense) - len(marks) - capitals, capitals, digits, stops, points, len(marks) - digits - stops - points]
+        common = [low.count(x) for x in quality.COMMON_WORDS[ref]] if ref else None
+        rows[r.doc_id] = (len(w), len(dense), ref, by_char, common and [*common, len(w) - sum(common)])
+    got = {r.doc_id: r for r in quality.score_quality(docs).collect()}
+    share = lambda c: np.array(c, float) / sum(c) if sum(c) else np.zeros(len(c))
+    good = [v for k, v in rows.items() if not got[k].base_failed]
+    ref_char = {k: share(np.sum([v[3] for v in good if v[2] == k], axis=0)) for k in {v[2] for v in good}} | {None: share(np.sum([v[3] for v in good], axis=0))}
+    ref_word = {k: share(np.sum([v[4] for v in good if v[2] == k], axis=0)) for k in {v[2] for v in good} - {None}}
+
+    def distance(a, b):
+        m = (a + b) / 2
+        part = lambda x: np.sum(x[x > 0] * np.log2(x[x > 0] / m[x > 0]))
+        return np.sqrt(max(0.0, (part(a) + part(b)) / 2))
+
+    assert len(got) == len(rows)
+    for k, (n, chars, ref, by_char, by_word) in rows.items():
+        r = got[k]
+        c = distance(share(by_char), ref_char[ref]) if chars >= p.min_letters and ref in ref_char else None
+        d = distance(share(by_word), ref_word[ref]) if n >= p.min_hist_words and ref in ref_word else None
+        assert r.ref_lang == ref and (r.char_distance, r.word_distance) == (c and pytest.approx(c, abs=1e-9), d and pytest.approx(d, abs=1e-9)), k
+        assert r.kept == (not r.base_failed and (c or 0) <= p.max_char_distance and (d or 0) <= p.max_word_distance)
+    assert not got[-2].kept and got[-2].char_distance > p.max_char_distance and 0 < sum(r.kept for r in got.values()) < len(got)
+
+
+def test_quality_keeps_columns_of_any_name(docs):
+    names = [*quality.VERDICT, "ref_key", "ref_char", "ref_word", "verdict", "q", "q_ref"]
+    good = docs.sparkSession.createDataFrame([(70, " ".join(f"the w{i}" for i in range(15)), "en")], "doc_id long, text string, lang string")
+    extra = docs.select("doc_id", "text", "lang").union(good).select("*", *[F.lit(f"own {n}").alias(n) for n in names if n != "lang"])
+    out = quality.good_documents(extra)
+    assert out.columns == extra.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+    assert len(rows) == quality.score_quality(extra).where("kept").count()
+
+
 def test_quality_on_nothing(docs):
     assert quality.score_quality(docs.limit(0)).count() == 0
 
