@@ -42,7 +42,7 @@ from .urls import host_of
 @dataclass(frozen=True)
 class HtmlParams:
     depth: int = 24
-    anchor: int = 16
+    anchor: int = 12
     block_run: int = 5
     share: float = 0.2
     main_share: float = 0.5
@@ -361,20 +361,23 @@ def extract_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
     dealt = rows.select("row", "host", "html").mapInPandas(spread, "row bigint, host bigint, mark bigint, names array<bigint>")
     dealt = cut(dealt.withColumn("uid", F.monotonically_increasing_id()))
     first = dealt.groupBy("host", "mark").agg(F.min("uid").alias("first"), F.count("*").alias("n"))
-    hosts = first.groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = _small(first.groupBy("host").agg(F.count("*").alias("pages")))
     # Of pages with one fingerprint all but the first are left out of the counts.
     copies = _small(dealt.select("host", "mark", "uid").join(first.where("n > 1"), ["host", "mark"]).where("uid <> first").select("uid"))
 
     def held(df: DataFrame) -> DataFrame:
         """row, low, high of each row of ``df`` (row, host, uid, names) with names that enough distinct pages of its host hold."""
-        counted = df.join(copies, "uid", "left_anti").select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-        counted = _small(counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-        own = df.select("row", "host", F.explode("names").alias("name"), F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
-        met = own.join(counted, ["name", "salt"]).join(hosts, "host")
+        counted = df.join(copies, "uid", "left_anti").select("host", F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.min("host").alias("host"))
         n, pages = F.col("n"), F.col("pages")
         bar = F.greatest(F.lit(2), F.least(F.lit(3), pages), pages * p.share)
         high = (n >= p.main_pages) & (n >= pages * p.main_share)
-        return met.where(n >= bar).groupBy("row").agg(F.collect_set("name").alias("low"), F.collect_set(F.when(high, F.col("name"))).alias("high"))
+        repeated = cut(counted.where("n > 1").join(hosts, "host").where(n >= bar).select("name", high.alias("high")))
+        own = df.select("row", F.explode("names").alias("name"), F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
+        if repeated.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+            met = own.join(F.broadcast(repeated), "name")
+        else:
+            met = own.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["name", "salt"])
+        return met.groupBy("row").agg(F.collect_set("name").alias("low"), F.collect_set(F.when(F.col("high"), F.col("name"))).alias("high"))
 
     hot = _small(held(dealt))
     deep = rows.select("row", "host", "html").join(hot.select("row", F.col("low").alias("names")), "row").select("row", "host", "html", "names").mapInPandas(deepen, "row bigint, names array<bigint>")
