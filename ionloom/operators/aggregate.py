@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, inverse, transform
+from .quantiles import exact_quantiles
 
 AGGREGATES = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max}
 
@@ -32,34 +33,58 @@ class Channel:
     agg: str = "mean"
 
 
-def group_filter(value: Column, f: GroupFilter, keys: list[str]) -> Column:
-    """Whether a row's value passes the filter of its group; missing values are no part of a group."""
-    w = Window.partitionBy(*keys)
+def with_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of ``stats``, which has one row per group (null keys included)."""
+    side = stats.withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    if not keys:
+        return df.crossJoin(F.broadcast(side))
+    return df.join(side, [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys], "left").drop(*[f"__g_{k}" for k in keys])
+
+
+def group_filter(df: DataFrame, value: str, f: GroupFilter, keys: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: whether a row's value passes the filter of its group. Missing values are no part of a group.
+
+    The bounds of each group are aggregated first and joined, so a hot group is never one window.
+    """
+    v = F.col(value)
     if f.kind == "tukey":
-        q1, q3 = F.percentile(value, F.lit(0.25)).over(w), F.percentile(value, F.lit(0.75)).over(w)
-        return value.between(q1 - f.arg * (q3 - q1), q3 + f.arg * (q3 - q1))
-    if f.kind == "stdev":
-        m, sd = F.avg(value).over(w), F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0))
-        return value.between(m - f.arg * sd, m + f.arg * sd)
-    if f.kind == "topx":
-        return value.isNotNull() & (F.rank().over(w.orderBy(value.desc_nulls_last())) <= int(f.arg))
-    raise ValueError(f.kind)
+        fences = exact_quantiles(df, keys, value, {"__q1": 0.25, "__q3": 0.75})
+        reach = f.arg * (F.col("__q3") - F.col("__q1"))
+        bounds = fences.select(*keys, (F.col("__q1") - reach).alias("__low"), (F.col("__q3") + reach).alias("__high"))
+    elif f.kind == "stdev":
+        sd = F.coalesce(F.stddev_samp(value), F.lit(0.0))
+        bounds = df.groupBy(*keys).agg((F.avg(value) - f.arg * sd).alias("__low"), (F.avg(value) + f.arg * sd).alias("__high"))
+    elif f.kind == "topx":
+        # The x-th greatest value: what ties with it stays. Limits are applied before the shuffle.
+        w = Window.partitionBy(*keys).orderBy(v.desc())
+        top = df.where(v.isNotNull()).select(*keys, value).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= int(f.arg))
+        bounds = top.groupBy(*keys).agg(F.min(value).alias("__low"), F.lit(float("inf")).alias("__high"))
+    else:
+        raise ValueError(f.kind)
+    return with_stats(df, bounds, keys).withColumn(out, v.between(F.col("__low"), F.col("__high"))).drop("__low", "__high")
 
 
 def filtered(df: DataFrame, channel: Channel, keys: list[str], out: str) -> DataFrame:
     """``df`` with ``out``: the transformed value where every filter passes, else missing.
 
-    Group filters see the transformed, unfiltered column; a value survives if all pass. One window per key list.
+    Group filters see the transformed, unfiltered column; a value survives if all pass.
     """
-    value = transform(F.col(channel.column), channel.transform)
-    df = df.withColumn(out, value)
-    tests = [F.col(out).isNotNull()]
+    df, passes = tested(df.withColumn(out, transform(F.col(channel.column), channel.transform)), channel, keys, out)
+    return df.withColumn(out, F.when(F.col(passes), F.col(out))).drop(passes)
+
+
+def tested(df: DataFrame, channel: Channel, keys: list[str], value: str) -> tuple[DataFrame, str]:
+    """``df`` with a column that says whether ``value`` is known and passes the channel's bounds and group filters, and its name."""
+    tests = [F.col(value).isNotNull()]
     if channel.above is not None:
-        tests.append(F.col(out) > channel.above)
+        tests.append(F.col(value) > channel.above)
     if channel.below is not None:
-        tests.append(F.col(out) < channel.below)
-    tests += [group_filter(F.col(out), f, keys) for f in channel.group_filters]
-    return df.withColumn(out, F.when(all_of(tests), F.col(out)))
+        tests.append(F.col(value) < channel.below)
+    names = [f"{value}__{i}" for i in range(len(channel.group_filters))]
+    for f, n in zip(channel.group_filters, names, strict=True):
+        df = group_filter(df, value, f, keys, n)
+    out = f"{value}__passes"
+    return df.withColumn(out, F.coalesce(all_of([*tests, *[F.col(n) for n in names]]), F.lit(False))).drop(*names), out
 
 
 def aggregate(df: DataFrame, keys: list[str], channels: dict[str, Channel], also: list[Column] | None = None) -> DataFrame:

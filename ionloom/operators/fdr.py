@@ -1,4 +1,4 @@
-"""Target-decoy statistics. Cumulative windows run over distinct scores or bins, which are far fewer than rows."""
+"""Target-decoy statistics. Cumulative results run over ranges of the score, or over bins, which are far fewer than rows."""
 
 from __future__ import annotations
 
@@ -8,15 +8,109 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bare_sequence
+from ..functions.identifiers import logit
+from .ordered import running
+
 
 def storey_q(df: DataFrame, score: str, decoy: Column, key: list[str] | None = None) -> DataFrame:
-    """score, decoys, targets, q_value per distinct score: decoys over targets from the top, made monotone from the bottom."""
+    """score, decoys, targets, q_value per distinct score: decoys over targets from the top, made monotone from the bottom.
+
+    Sums and minima run over ranges of the score, so that as many distinct scores as rows do not meet in one task.
+    """
     key = key or []
     per = df.groupBy(*key, score).agg(F.count_if(decoy).alias("decoys"), F.count_if(~decoy).alias("targets"))
-    down = Window.partitionBy(*key).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    raw = F.sum("decoys").over(down) / F.greatest(F.sum("targets").over(down), F.lit(1))
-    up = Window.partitionBy(*key).orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("raw_q", raw).withColumn("q_value", F.min("raw_q").over(up)).drop("raw_q")
+    down = running(per, key, [F.col(score).desc()], {"__d": ("sum", "decoys"), "__t": ("sum", "targets")})
+    down = down.withColumn("__raw", F.col("__d") / F.greatest(F.col("__t"), F.lit(1))).drop("__d", "__t")
+    return running(down, key, [F.col(score).asc()], {"q_value": ("min", "__raw")}).drop("__raw")
+
+
+def q_between(knots: DataFrame, rows: DataFrame, score: str, q: str = "q_value") -> DataFrame:
+    """``rows`` with ``q`` at their score: a knot's own value, linear between knots, the nearest knot's outside."""
+    k = knots.select(F.col(score).cast("double").alias("__x"), F.struct(F.col(score).cast("double").alias("x"), F.col(q).alias("y")).alias("__k"))
+    r = rows.select(F.col(score).cast("double").alias("__x"), F.struct(*rows.columns).alias("__r"))
+    both = k.unionByName(r, allowMissingColumns=True).withColumn("__row", F.col("__k").isNull())
+    both = running(both, [], [F.col("__x"), F.col("__row")], {"__low": ("last", "__k")})
+    both = running(both, [], [F.col("__x").desc(), F.col("__row")], {"__high": ("last", "__k")}).where("__row")
+    low, high, x = F.col("__low"), F.col("__high"), F.col("__x")
+    inside = low["y"] + (high["y"] - low["y"]) * F.try_divide(x - low["x"], high["x"] - low["x"])
+    value = F.when(low.isNull(), high["y"]).when(high.isNull() | (low["x"] == high["x"]), low["y"]).otherwise(inside)
+    return both.select("__r.*", value.alias(q))
+
+
+def digested_scores(reversed_peptides: DataFrame, scores: DataFrame) -> DataFrame:
+    """protein, decoy_score: sums of the scores of a protein's reversed peptides that were found, proteins without one left out.
+
+    ``reversed_peptides``: protein, peptide; ``scores``: sequence, score. Where sequences are alike but for their
+    modifications the last by name counts.
+    """
+    bare = scores.groupBy(bare_sequence(F.col("sequence")).alias("peptide")).agg(F.max_by("score", "sequence").alias("score"))
+    return reversed_peptides.join(bare, "peptide").groupBy("protein").agg(F.sum("score").alias("decoy_score")).where("decoy_score <> 0")
+
+
+def peptide_scores(psms: DataFrame, sequence: str, score: str) -> DataFrame:
+    """sequence, score: the best of each peptide."""
+    return psms.groupBy(F.col(sequence).alias("sequence")).agg(F.max(score).alias("score"))
+
+
+def scored_groups(groups: DataFrame, scores: DataFrame, decoys: DataFrame) -> DataFrame:
+    """``groups`` (protein_group and peptides, both ``;``-joined) with target_score, decoy_score and decoy_bigger.
+
+    The target score sums the best scores of the group's peptides, each of which must have one; the decoy score is the greatest of its
+    members', 0 without one. Of equal scores the target wins.
+    """
+    g = groups.withColumn("__g", F.col("protein_group"))
+    own = g.select("__g", F.explode(F.array_distinct(F.split("peptides", ";"))).alias("sequence")).join(scores, "sequence", "left")
+    known = F.when(F.count_if(F.col("score").isNull()) == 0, F.sum("score")).otherwise(F.raise_error(F.concat(F.lit("no score for a peptide of "), F.first("__g"))).cast("double"))
+    target = own.groupBy("__g").agg(known.alias("target_score"))
+    worst = g.select("__g", F.explode(F.split("protein_group", ";")).alias("protein")).join(decoys, "protein", "left").groupBy("__g").agg(F.max(F.coalesce("decoy_score", F.lit(0.0))).alias("decoy_score"))
+    return g.join(target, "__g").join(worst, "__g").drop("__g").withColumn("decoy_bigger", F.col("decoy_score") > F.col("target_score"))
+
+
+def logit_pep(bins: DataFrame, score: str, pep: str, widths: list[float]) -> DataFrame:
+    """width, slope, intercept, error of the line through the logits of posterior errors, for every bandwidth of ``widths``.
+
+    Rows at 0 and 1 have no logit; only falling lines count. The first row by error is the fit.
+    """
+    wide = bins.select(F.col(score).cast("double").alias("x"), F.col(pep).alias("p"), F.explode(F.array(*map(F.lit, widths))).alias("width"))
+    cells = wide.groupBy("width", F.floor(F.col("x") / F.col("width")).alias("cell")).agg(F.avg("x").alias("x"), logit(F.avg("p")).alias("y")).where("y IS NOT NULL")
+    fit = cells.groupBy("width").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("y", "x") - F.try_divide(F.pow(F.regr_sxy("y", "x"), 2), F.regr_sxx("y", "x"))) / F.count("*")).alias("error"))
+    return fit.where("slope < 0").orderBy("error", "width")
+
+
+def isotonic_pep(bins: DataFrame, score: str, pep: str, weight: str) -> DataFrame:
+    """``bins`` with ``fitted``: posterior errors made falling in the score by weighted isotonic regression."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    model = IsotonicRegression(featuresCol="__f", labelCol=pep, weightCol="__w", predictionCol="fitted", isotonic=False)
+    rows = bins.withColumn("__f", F.col(score).cast("double")).withColumn("__w", F.col(weight).cast("double"))
+    return model.fit(rows).transform(rows).drop("__f", "__w")
+
+
+def logistic_curve(rows: DataFrame, score: str, label: Column) -> tuple[float, float]:
+    """(intercept, slope) of the univariate logistic regression of a 0/1 label on a score."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    x = VectorAssembler(inputCols=["__s"], outputCol="features", handleInvalid="skip").transform(rows.select(F.col(score).cast("double").alias("__s"), label.cast("double").alias("label")))
+    model = LogisticRegression(regParam=0.0, standardization=True, maxIter=100, tol=1e-10).fit(x)
+    return float(model.intercept), float(model.coefficients[0])
+
+
+def q_values(df: DataFrame, score: str, decoy: Column, method: str | None, width: float | None = None, fdr: float = 1.0) -> DataFrame:
+    """``df`` with ``q_value`` by method: ``storey``, ``logistic`` (scaled by an overall rate) or None (missing).
+
+    A fit that fails gives missing values, as nothing better is known.
+    """
+    if method == "storey":
+        return q_between(storey_q(df, score, decoy), df, score)
+    if method == "logistic":
+        top, slope, middle = logistic_q(binned_pep(df, score, decoy, width or 1.0, fdr))
+        curve = top / (1 + F.exp(slope * (F.col(score).cast("double") - middle))) if top == top else F.lit(None).cast("double")
+        return df.withColumn("q_value", curve)
+    if method is None:
+        return df.withColumn("q_value", F.lit(None).cast("double"))
+    raise ValueError(method)
 
 
 def binned_pep(df: DataFrame, score: str, decoy: Column, width: float, pi0: float = 1.0) -> DataFrame:
