@@ -31,6 +31,8 @@ class Channel:
     below: float | None = None
     group_filters: tuple[GroupFilter, ...] = ()
     agg: str = "mean"
+    #: The number that arithmetic transforms add, subtract, multiply or divide by.
+    operand: float = 0.0
 
 
 def with_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +71,7 @@ def filtered(df: DataFrame, channel: Channel, keys: list[str], out: str) -> Data
 
     Group filters see the transformed, unfiltered column; a value survives if all pass.
     """
-    df, passes = tested(df.withColumn(out, transform(F.col(channel.column), channel.transform)), channel, keys, out)
+    df, passes = tested(df.withColumn(out, transform(F.col(channel.column), channel.transform, channel.operand)), channel, keys, out)
     return df.withColumn(out, F.when(F.col(passes), F.col(out))).drop(passes)
 
 
@@ -121,9 +123,9 @@ def first_known(c: str) -> Column:
     return F.first(F.when(~F.isnan(c), F.col(c)), ignorenulls=True)
 
 
-def pivot_runs(df: DataFrame, key: list[str], run: str, runs: list[str], values: list[str]) -> DataFrame:
+def pivot_runs(df: DataFrame, key: list[str], run: str, runs: list[str], values: list[str], between: str = "_") -> DataFrame:
     """One column per (run, value), runs given in order so that no extra pass looks for them."""
-    return df.groupBy(*key).agg(*[F.first(F.when(F.col(run) == r, F.col(v)), ignorenulls=True).alias(f"{r}_{v}") for r in runs for v in values])
+    return df.groupBy(*key).agg(*[F.first(F.when(F.col(run) == r, F.col(v)), ignorenulls=True).alias(f"{r}{between}{v}") for r in runs for v in values])
 
 
 def histogram(df: DataFrame, score: str, width: float, decoy: Column) -> DataFrame:

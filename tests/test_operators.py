@@ -105,7 +105,7 @@ def test_label_free_levels(spark):
     df = spark.createDataFrame(rows, cols)
     plain = tools.label_free(df).first()
     assert (plain.Quant_Light, plain.ItemsUsedForQuant_Light) == (pytest.approx(70 / 3), 3)
-    charged = tools.label_free(df, tools.Quantification(charge=Channel("Quant_Light"))).first()
+    charged = tools.label_free(df, tools.Quantification(charge=tools.plain(tools.LIGHT))).first()
     assert (charged.Quant_Light, charged.ItemsUsedForQuant_Light) == (27.5, 2)
     ratio = tools.labeled(df, tools.Quantification(min_correlation=0.5)).first()
     assert ratio.ItemsUsedForQuant_LightByHeavy == 3 and ratio.Ratio_LightByHeavy == pytest.approx((2 + 4 + 5) / 3)
