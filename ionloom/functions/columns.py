@@ -93,9 +93,14 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not for each element of the arrays that ``body`` goes over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def by_sum(a: Column) -> Column:
     """Shares of the array's sum; a zero sum gives missing shares."""
-    return F.transform(a, lambda x: F.try_divide(x.cast("double"), total(a)))
+    return once(total(a), lambda s: F.transform(a, lambda x: F.try_divide(x.cast("double"), s)))
 
 
 def kl_divergence(p: Column, q: Column) -> Column:
@@ -113,16 +118,19 @@ def mean_of(a: Column) -> Column:
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays; missing if either does not vary."""
-    ma, mb = mean_of(a), mean_of(b)
-    ab = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    aa, bb = total(F.transform(a, lambda x: (x - ma) * (x - ma))), total(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    return F.try_divide(ab, F.sqrt(aa * bb))
+
+    def centred(m: Column) -> Column:
+        ab = total(F.zip_with(a, b, lambda x, y: (x - m["a"]) * (y - m["b"])))
+        aa, bb = total(F.transform(a, lambda x: (x - m["a"]) * (x - m["a"]))), total(F.transform(b, lambda y: (y - m["b"]) * (y - m["b"])))
+        return F.try_divide(ab, F.sqrt(aa * bb))
+
+    return once(F.struct(mean_of(a).alias("a"), mean_of(b).alias("b")), centred)
 
 
 def z_scores(a: Column) -> Column:
-    m = mean_of(a)
-    sd = F.sqrt(F.try_divide(total(F.transform(a, lambda x: (x - m) * (x - m))), F.size(a) - 1))
-    return F.transform(a, lambda x: F.try_divide(x - m, sd))
+    """Each value less the mean, over the deviation; missing where there is none."""
+    spread = lambda m: F.struct(m.alias("m"), F.sqrt(F.try_divide(total(F.transform(a, lambda x: (x - m) * (x - m))), F.size(a) - 1)).alias("sd"))
+    return once(once(mean_of(a), spread), lambda s: F.transform(a, lambda x: F.try_divide(x - s["m"], s["sd"])))
 
 
 def canonical_group(c: Column) -> Column:

@@ -45,3 +45,26 @@ def fragments(sequence: Column) -> Column:
     made = F.get(F.transform(F.array(sums), ions), F.lit(0))
     known = peptide_mass(sequence).isNotNull() & (F.length(sequence) > 1)
     return F.when(known, made).otherwise(F.array().cast("array<struct<series:string,number:int,mz:double>>"))
+
+
+#: What each series adds to the residues of its end, in Da, and whether it starts at the first residue.
+SERIES = {"a": (-27.994915, True), "b": (0.0, True), "c": (17.026549, True), "x": (25.979265 + WATER, False), "y": (WATER, False), "z": (WATER - 17.026549, False)}
+
+
+def ladders(sequence: Column, series: str = "by", charges: tuple[int, ...] = (1,)) -> Column:
+    """array<struct<series, number, charge, mz>> of all ions of the series at the charges; empty where the mass is unknown."""
+    none = F.array().cast("array<struct<series:string,number:int,charge:int,mz:double>>")
+    sums = F.aggregate(residue_masses(sequence), F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def ions(p: Column) -> Column:
+        n = F.size(p) - 1
+        out = []
+        for s in series:
+            shift, first = SERIES[s]
+            mass = (lambda i: F.get(p, i) + shift) if first else (lambda i: F.get(p, n) - F.get(p, n - i) + shift)  # noqa: B023
+            for z in charges:
+                out.append(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.lit(s).alias("series"), i.alias("number"), F.lit(z).alias("charge"), (mass(i) / z + PROTON).alias("mz"))))  # noqa: B023
+        return F.concat(*out)
+
+    known = peptide_mass(sequence).isNotNull() & (F.length(sequence) > 1)
+    return F.when(known, F.get(F.transform(F.array(sums), ions), F.lit(0))).otherwise(none)

@@ -138,3 +138,11 @@ def histogram(df: DataFrame, score: str, width: float, decoy: Column) -> DataFra
 
 def weighted_mean(value: str, weight: str) -> Column:
     return F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight))
+
+
+def confusion(df: DataFrame, keys: list[str], truth: Column, predicted: Column) -> DataFrame:
+    """tp, fp, fn, tn and accuracy, precision, recall and F1 of each group; what has no denominator is missing."""
+    counts = {"tp": truth & predicted, "fp": ~truth & predicted, "fn": truth & ~predicted, "tn": ~truth & ~predicted}
+    out = df.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    tp, fp, fn, tn = (F.col(n) for n in counts)
+    return out.withColumns({"accuracy": F.try_divide(tp + tn, tp + tn + fp + fn), "precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn), "f1": F.try_divide(2 * tp, 2 * tp + fp + fn)})

@@ -135,13 +135,37 @@ def refined_sd(y: np.ndarray, at: int, sd: float) -> float:
     return got if sd / 2 <= got <= 2 * sd else sd
 
 
-def wavelet_peaks(x: np.ndarray, y: np.ndarray, scales=(1.5, 2, 3, 4, 6, 8, 12, 16, 24), min_fit: float = 0.5, most: int = 6) -> list[tuple[float, float, float]]:
+#: Up to so many overlapping shapes every subset is tried (Akaike's criterion); of more, shapes are taken up one by one.
+EXHAUSTIVE = 12
+
+
+def best_subset(shapes: np.ndarray, y: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """(columns of ``shapes``, their heights) whose least-squares fit to ``y`` has the least criterion n log(rss / n) + 6 k."""
+    gram, right, whole, n, k = shapes.T @ shapes, shapes.T @ y, float(y @ y), len(y), shapes.shape[1]
+
+    def fit(cols: list[int]) -> tuple[float, list[int], np.ndarray]:
+        h = np.linalg.lstsq(gram[np.ix_(cols, cols)], right[cols], rcond=None)[0]
+        rss = max(whole - 2 * float(h @ right[cols]) + float(h @ gram[np.ix_(cols, cols)] @ h), 1e-12)
+        return n * np.log(rss / n) + 6 * len(cols), cols, h
+
+    if k <= EXHAUSTIVE:
+        return min((fit([j for j in range(k) if bits >> j & 1]) for bits in range(1, 1 << k)), key=lambda f: f[:2])[1:]
+    best = (np.inf, [], np.empty(0))
+    while len(best[1]) < k:
+        new = min((fit([*best[1], j]) for j in range(k) if j not in best[1]), key=lambda f: f[:2])
+        if new[0] >= best[0]:
+            break
+        best = new
+    return best[1:]
+
+
+def wavelet_peaks(x: np.ndarray, y: np.ndarray, scales=(1.5, 2, 3, 4, 6, 8, 12, 16, 24), min_fit: float = 0.5) -> list[tuple[float, float, float]]:
     """(position, height, sd) of the peaks of an evenly spaced trace, by continuous wavelet transform.
 
     Maxima over position and scale, strongest first, become peaks unless one accepted before lies within two sd; a
     Gaussian answers most strongly at a scale of sqrt(5) sd, and a parabola through its logarithm refines the sd. Peaks
-    whose ranges of two sd overlap are fitted together: Gaussians are taken up one by one while Akaike's
-    criterion falls, ``most`` at most to a group. What correlates with the trace by ``min_fit`` or less is no peak.
+    whose ranges of two sd overlap are fitted together, as many as they are: that subset of Gaussians is taken for which Akaike's
+    criterion is least. What correlates with the trace by ``min_fit`` or less is no peak.
     """
     n = len(y)
     if n < 3 or not np.any(y > 0):
@@ -161,7 +185,7 @@ def wavelet_peaks(x: np.ndarray, y: np.ndarray, scales=(1.5, 2, 3, 4, 6, 8, 12,
     taken = sorted((i, refined_sd(y, i, sd)) for i, sd in taken)
     groups: list[list[tuple[int, float]]] = []
     for i, s in taken:
-        if groups and len(groups[-1]) < most and i - 2 * s <= max(j + 2 * r for j, r in groups[-1]):
+        if groups and i - 2 * s <= max(j + 2 * r for j, r in groups[-1]):
             groups[-1].append((i, s))
         else:
             groups.append([(i, s)])
@@ -170,20 +194,7 @@ def wavelet_peaks(x: np.ndarray, y: np.ndarray, scales=(1.5, 2, 3, 4, 6, 8, 12,
         a, z = max(0, int(min(i - 3 * s for i, s in group))), min(n, int(max(i + 3 * s for i, s in group)) + 1)
         t, part = np.arange(a, z), np.asarray(y[a:z], float)
         shapes = [np.exp(-((t - i) ** 2) / (2 * s * s)) for i, s in group]
-        used: list[int] = []
-        aic, heights = np.inf, np.empty(0)
-        while len(used) < len(group):
-            tries = []
-            for k in set(range(len(group))) - set(used):
-                m = np.array([shapes[j] for j in [*used, k]]).T
-                h = np.linalg.lstsq(m, part, rcond=None)[0]
-                rss = max(float(((part - m @ h) ** 2).sum()), 1e-12)
-                tries.append((len(t) * np.log(rss / len(t)) + 6 * (len(used) + 1), k, h))
-            best = min(tries, key=lambda q: q[:2])
-            if best[0] >= aic:
-                break
-            aic, heights = best[0], best[2]
-            used.append(best[1])
+        used, heights = best_subset(np.array(shapes).T, part)
         for j, h in sorted(zip(used, heights, strict=True)):
             i, s = group[j]
             near = slice(max(0, i - int(np.ceil(2 * s))), i + int(np.ceil(2 * s)) + 1)

@@ -25,12 +25,12 @@ ATOMS = {
 }
 
 
-def cross_correlation_base(mz: np.ndarray, intensity: np.ndarray, width: float = 1.0005, size: int = 4000) -> np.ndarray:
+def cross_correlation_base(mz: np.ndarray, intensity: np.ndarray, width: float = 1.0005) -> np.ndarray:
     """Binned spectrum prepared for cross-correlation (Eng 1994): root intensities, ten windows scaled to 50, the mean of
     75 bins on both sides taken off."""
-    y = np.zeros(size)
     at = (np.asarray(mz) / width).astype(int)
-    ok = (at >= 0) & (at < size) & (np.asarray(intensity) > 0)
+    ok = (at >= 0) & (np.asarray(intensity) > 0)
+    y = np.zeros(int(at[ok].max(initial=0)) + 76)
     np.maximum.at(y, at[ok], np.sqrt(np.asarray(intensity)[ok]))
     used = int(at[ok].max()) + 1 if ok.any() else 0
     step = max(1, -(-used // 10))
@@ -202,6 +202,18 @@ def isotope_pattern(sequence: str, heavy_nitrogen: float | None = None, peaks: i
     return p / p.sum()
 
 
+def drawn_pattern(sequence: str, heavy_nitrogen: float, ions: int, seed: int, peaks: int = 30) -> np.ndarray:
+    """Shares of the added neutrons of ``ions`` molecules, each element's isotopes drawn atom by atom: a measurement with counting noise."""
+    rng = np.random.default_rng(seed)
+    atoms = np.sum([ATOMS[r] for r in sequence if r in ATOMS] + [(0, 2, 0, 1, 0)], axis=0)
+    neutrons = rng.binomial(int(atoms[2]), heavy_nitrogen, ions)
+    for element, n in zip("CHOS", atoms[[0, 1, 3, 4]], strict=True):
+        drawn = rng.multinomial(int(n), np.array(ISOTOPES[element]) / sum(ISOTOPES[element]), ions)
+        neutrons = neutrons + drawn @ np.arange(drawn.shape[1])
+    counts = np.bincount(neutrons, minlength=peaks)[:peaks].astype(float)
+    return counts / max(1.0, counts.sum())
+
+
 def divergence(measured: np.ndarray, model: np.ndarray, floor: float = 1e-9) -> float:
     p, q = np.asarray(measured, float) + floor, np.asarray(model, float) + floor
     p, q = p / p.sum(), q / q.sum()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import masses
 from ..operators import aggregate as A
-from ..operators import fdr, joins, ordered, signal, spectra
+from ..operators import fdr, filters, joins, ordered, signal, spectra
 from ..operators.inference import evidence_classes, infer_groups
 from ..sources import mztab
 
@@ -67,7 +67,7 @@ WITH r AS (SELECT l_suppkey, l_partkey, l_extendedprice AS light, l_extendedpric
 p AS (SELECT l_suppkey, l_partkey, avg(light) AS light, avg(heavy) AS heavy, avg(light / heavy) AS ratio FROM r GROUP BY ALL)
 SELECT l_suppkey, round(avg(light), 1) AS light, round(avg(heavy), 1) AS heavy, round(avg(ratio), 6) AS ratio FROM p GROUP BY l_suppkey""")
 def labeled_ratio_rollup(spark, sf):
-    """AGG-06/07/12, JN-04, FN-03: light, heavy and their per-row ratio through two levels."""
+    """AGG-06/12, JN-04, FN-03: light, heavy and their per-row ratio through two levels."""
     rows = t(spark, sf, "lineitem").select("l_suppkey", "l_partkey", F.col("l_extendedprice").alias("l"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("h"))
     rows = rows.withColumn("r", F.try_divide("l", "h"))
     ch = {n: A.Channel(n[0]) for n in ("light", "heavy", "ratio")}
@@ -133,11 +133,9 @@ def field_bounds_filter(spark, sf):
 @query("""WITH m AS (SELECT median(l_extendedprice) AS mp, median(l_quantity) AS mq FROM lineitem)
 SELECT l_orderkey, l_linenumber FROM lineitem, m WHERE log2((l_extendedprice / mp) / (l_quantity / mq)) > -0.5 AND log2((l_extendedprice / mp) / (l_quantity / mq)) < 0.5""")
 def quality_filter_median_norm(spark, sf):
-    """FLT-14/15: both medians come from one pass, as constants of the second."""
+    """FLT-14: medians from counts by value, as constants of the filter."""
     rows = t(spark, sf, "lineitem")
-    m = rows.agg(F.median("l_extendedprice").alias("p"), F.median("l_quantity").alias("q")).first()
-    x = F.log2((F.col("l_extendedprice") / m["p"]) / (F.col("l_quantity") / m["q"]))
-    return rows.where((x > -0.5) & (x < 0.5)).select("l_orderkey", "l_linenumber")
+    return filters.median_normalised(rows, "l_extendedprice", "l_quantity", -0.5, 0.5).select("l_orderkey", "l_linenumber")
 
 
 @query(r"""WITH s AS (SELECT p_partkey, p_name || '[' || split_part(p_type, ' ', 1) || ']' AS sequence FROM part)
@@ -152,7 +150,7 @@ def modification_filter(spark, sf):
 @query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), d AS (SELECT word, count(*) AS uses FROM w GROUP BY 1 HAVING count(*) > 1)
 SELECT p_partkey, word, uses FROM w JOIN d USING (word)""")
 def align_join(spark, sf):
-    """JN-01/02/03, RSH-01/02/03."""
+    """JN-01/03, RSH-02."""
     w = t(spark, sf, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
     return joins.align(w, w.groupBy("word").agg(F.count("*").alias("uses")).where("uses > 1"), "word")
 
@@ -173,7 +171,7 @@ def difference_anti(spark, sf):
 @query("""WITH d AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'M' || n_name END AS k, n_regionkey FROM nation)
 SELECT n.n_nationkey, coalesce(a.n_regionkey, b.n_regionkey) AS region FROM nation n LEFT JOIN d a ON a.k = n.n_name LEFT JOIN d b ON b.k = 'M' || n.n_name""")
 def fallback_lookup(spark, sf):
-    """JN-08/18, SRC-08."""
+    """JN-08."""
     n = t(spark, sf, "nation")
     d = n.select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("M"), "n_name")).alias("k"), "n_regionkey")
     return joins.lookup_with_fallback(n.select("n_nationkey", "n_name"), d, F.col("n_name"), F.concat(F.lit("M"), "n_name"), "k", "n_regionkey", "region").select("n_nationkey", "region")
@@ -182,7 +180,7 @@ def fallback_lookup(spark, sf):
 @query("""WITH c AS (SELECT user_id, ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL)
 SELECT p.event_id, c.click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts""")
 def asof_backward(spark, sf):
-    """JN-09, SRC-18."""
+    """JN-09."""
     e = t(spark, sf, "events")
     clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
     return joins.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", ["click_id"], ["click_id"]).select("event_id", "click_id")
@@ -192,7 +190,7 @@ def asof_backward(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, i) AS n FROM x)
 SELECT event_id, i AS nearest_view_id, round(d / 1e6, 3) AS distance FROM r WHERE n = 1""")
 def nearest_event(spark, sf):
-    """JN-10/15."""
+    """JN-10."""
     e = t(spark, sf, "events").withColumn("us", micros())
     views = e.where("event_type = 'view'").select("user_id", "us", F.col("event_id").alias("view_id"))
     out = joins.nearest(e.where("event_type = 'error'").select("event_id", "user_id", "us"), views, ["user_id"], "us", "event_id", "view_id")
@@ -215,7 +213,7 @@ def ppm_range_join(spark, sf):
   ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts BETWEEN a.ts - INTERVAL 2 DAY AND a.ts + INTERVAL 2 DAY AND abs(b.value - a.value) <= 5 WHERE a.event_type = 'purchase'),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, i) AS n FROM x) SELECT event_id, coalesce(i, 0) AS hit, round(coalesce(value, 0), 4) AS intensity FROM r WHERE n = 1""")
 def xic_band_join(spark, sf):
-    """JN-12/13: nearest value inside a time and value window, zero if there is none."""
+    """JN-12: nearest value inside a time and value window, zero if there is none."""
     e = t(spark, sf, "events").withColumn("us", micros())
     a = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("us").alias("u0"), F.col("value").alias("v0"))
     b = e.select("user_id", F.col("us").alias("u1"), F.col("value").alias("v1"), F.col("event_id").alias("i"))
@@ -301,7 +299,7 @@ def topk_per_group(spark, sf):
 
 @query("SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) = 1")
 def distinct_first(spark, sf):
-    """SRT-03/04/05."""
+    """SRT-03/04."""
     return ordered.top_k(t(spark, sf, "lineitem"), ["l_partkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_extendedprice")], 1).select("l_partkey", "l_orderkey", "l_linenumber")
 
 
@@ -365,7 +363,7 @@ def weighted_mean_top3(spark, sf):
 @query("""WITH x AS (SELECT l_partkey, n_regionkey, min(l_suppkey) AS supp FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
 SELECT l_partkey, n_regionkey, supp FROM x QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n_regionkey DESC) = 1""")
 def greedy_transfer(spark, sf):
-    """JN-19/20."""
+    """JN-19."""
     s = t(spark, sf, "supplier").join(F.broadcast(t(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_regionkey")
     offers = t(spark, sf, "lineitem").select("l_partkey", "l_suppkey").join(s, "l_suppkey").groupBy("l_partkey", "n_regionkey").agg(F.min("l_suppkey").alias("supp"))
     return joins.first_source(offers, ["l_partkey"], [F.col("n_regionkey").desc()])
@@ -376,14 +374,14 @@ RUNS = ["F", "O", "P"]
 
 @query("SELECT o_orderpriority, " + ", ".join(f"max(CASE WHEN o_orderstatus = '{r}' THEN n END) AS {r}_n, max(CASE WHEN o_orderstatus = '{r}' THEN p END) AS {r}_p" for r in RUNS) + " FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n, max(o_totalprice) AS p FROM orders GROUP BY ALL) GROUP BY 1")
 def pivot_by_file(spark, sf):
-    """RSH-04/05/08, JN-05, AGG-30/31/32."""
+    """RSH-04/05, JN-05."""
     long = t(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("p"))
     return A.pivot_runs(long, ["o_orderpriority"], "o_orderstatus", RUNS, ["n", "p"])
 
 
 @query("SELECT s_nationkey AS nation, 'supplier' AS origin, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT c_nationkey, 'customer', count(*) FROM customer GROUP BY 1")
 def union_merge(spark, sf):
-    """SET-01/02/03."""
+    """SET-01/03."""
     one = lambda name, c: t(spark, sf, name).groupBy(F.col(c).alias("nation")).agg(F.count("*").alias("n")).withColumn("origin", F.lit(name))
     return one("supplier", "s_nationkey").unionByName(one("customer", "c_nationkey"))
 
@@ -416,16 +414,16 @@ def consistency_check(spark, sf):
 @query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) + 1e-9) AS e FROM embeddings), s AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM n)
 SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.p) + 1), lambda i: a.p[i] * ln(a.p[i] / b.p[i]))), 6) AS kl FROM s a JOIN s b ON b.vec_id = a.vec_id + 1""")
 def kl_divergence(spark, sf):
-    """FN-14/15/16."""
+    """FN-14/15."""
     s = t(spark, sf, "embeddings").select("vec_id", C.by_sum(F.transform("embedding", lambda x: F.abs(x.cast("double")) + 1e-9)).alias("p"))
     b = s.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
     return s.join(b, "vec_id").select("vec_id", F.round(C.kl_divergence(F.col("p"), F.col("q")), 6).alias("kl"))
 
 
 @query("""WITH u AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT vec_id, round(corr(x, y), 5) AS r, round(max((x - 0) / 1), 5) AS top FROM u GROUP BY 1""")
+SELECT vec_id, round(corr(x, y), 5) AS r, round(max(x), 5) AS top FROM u GROUP BY 1""")
 def pearson(spark, sf):
-    """FN-17, WIN-16."""
+    """FN-17."""
     d = lambda c: F.transform(c, lambda x: x.cast("double"))
     e = t(spark, sf, "embeddings").select("vec_id", d("embedding").alias("a"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
@@ -435,7 +433,7 @@ def pearson(spark, sf):
 @query("""WITH v AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS v FROM events)
 SELECT event_type, count(v) FILTER (NOT isnan(v)) AS n, round(avg(v) FILTER (NOT isnan(v)), 6) AS m, count(*) FILTER (v IS NULL OR isnan(v)) AS missing FROM v GROUP BY 1""")
 def null_safe_stats(spark, sf):
-    """NaN is missing everywhere; FLT-07/08/16/19/20/21, AGG-04/10."""
+    """NaN is missing everywhere; FLT-16, AGG-10."""
     i = F.col("event_id")
     v = C.known(F.when(i % 7 == 0, F.lit(float("nan"))).when(i % 11 == 0, F.lit(None).cast("double")).otherwise(F.col("value")))
     out = t(spark, sf, "events").select("event_type", v.alias("v")).groupBy("event_type").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.count_if(F.col("v").isNull()).alias("missing"))
@@ -445,14 +443,14 @@ def null_safe_stats(spark, sf):
 @query("""WITH p AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS tp, count(*) FILTER (l_returnflag <> 'R') AS fp FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
 SELECT l_suppkey, round(tp / (tp + fp), 8) AS precision, tp, fp FROM p""")
 def classifier_metrics(spark, sf):
-    """AGG-41/35."""
+    """Precision alone; AGG-41 is ``confusion_metrics``."""
     g = t(spark, sf, "lineitem").where("l_quantity > 25").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("tp"), F.count_if(F.col("l_returnflag") != "R").alias("fp"))
     return rounded(g.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))), "precision", digits=8)
 
 
 @query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1""")
 def linear_fit_r2(spark, sf):
-    """AGG-42, UDF-16."""
+    """Lines by group, in sample."""
     out = t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("slope"), F.regr_intercept("l_extendedprice", "l_quantity").alias("intercept"), F.regr_r2("l_extendedprice", "l_quantity").alias("r2"))
     return rounded(rounded(rounded(out, "slope"), "intercept", digits=2), "r2", digits=6)
 
@@ -460,7 +458,7 @@ def linear_fit_r2(spark, sf):
 @query("""WITH b AS (SELECT l_suppkey, abs(l_quantity - 25) / 10 AS z FROM lineitem)
 SELECT l_suppkey, round(count(*) FILTER (z < 1) / count(*), 8) AS band0, round(count(*) FILTER (z >= 1 AND z < 2) / count(*), 8) AS band1, round(count(*) FILTER (z >= 2) / count(*), 8) AS band2 FROM b GROUP BY 1""")
 def error_bands(spark, sf):
-    """AGG-39, FLT-12/13."""
+    """Three bands; AGG-39 is ``error_band_shares``."""
     z = F.abs(F.col("l_quantity") - 25) / 10
     share = lambda c, n: (F.count_if(c) / F.count("*")).alias(n)
     out = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(share(z < 1, "band0"), share((z >= 1) & (z < 2), "band1"), share(z >= 2, "band2"))
@@ -477,7 +475,7 @@ def kernel_bandwidth(spark, sf):
 
 @query("SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events")
 def json_cells(spark, sf):
-    """SRC-10/19, SNK-06."""
+    """JSON cells."""
     return t(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
@@ -485,7 +483,7 @@ def json_cells(spark, sf):
 f AS (SELECT p_partkey, string_split_regex(regexp_replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '([KR])\\|P', '\\1P', 'g'), '\\|') AS parts FROM s)
 SELECT p_partkey, peptide, count(*) AS n FROM (SELECT p_partkey, unnest(list_filter(parts, lambda x: x <> '')) AS peptide FROM f) GROUP BY ALL""".replace("\\\\", "\\"))
 def digestion(spark, sf):
-    """FN-09/10, UDF-30, RSH-03."""
+    """FN-09, RSH-03."""
     s = t(spark, sf, "part").select("p_partkey", F.upper(F.translate("p_name", " ", "")).alias("seq"))
     d = s.select("p_partkey", F.explode(C.digest(F.col("seq"), "trypsin", 0)).alias("d"))
     return d.select("p_partkey", F.col("d.peptide").alias("peptide")).groupBy("p_partkey", "peptide").agg(F.count("*").alias("n"))
@@ -494,7 +492,7 @@ def digestion(spark, sf):
 @query("""WITH m AS (SELECT l_partkey AS pep, list_sort(list_distinct(list(l_suppkey))) AS prots FROM lineitem GROUP BY 1)
 SELECT array_to_string(prots, ';') AS protein_group, count(*) AS peptides, CASE WHEN len(prots) = 1 THEN 'unique' ELSE 'shared' END AS evidence FROM m GROUP BY ALL""")
 def protein_evidence(spark, sf):
-    """UDF-25: peptides by the set of proteins that hold them."""
+    """Peptides by the set of proteins that hold them."""
     pairs = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("peptide"), F.col("l_suppkey").alias("protein"))
     return evidence_classes(pairs)
 
@@ -534,7 +532,7 @@ def peak_area(spark, sf):
     def run(key, part):
         part = part.sort_values("x")
         x, y = part["x"].to_numpy(), part["y"].to_numpy()
-        y = np.maximum(0.0, y - signal.als_baseline(y)) if len(y) <= 500 else y
+        y = np.maximum(0.0, y - signal.als_baseline(y))
         peaks = signal.pick_peaks(x, y)
         return pd.DataFrame([(key[0], len(peaks), max((h for _, h in peaks), default=0.0), signal.gaussian_area(x - x.mean(), y)[3])], columns=["user_id", "peaks", "top", "area"])
 
@@ -648,12 +646,13 @@ def charge_states(spark, sf):
 
 @query()
 def label_efficiency(spark, sf):
-    """UDF-12/23, FN-14: the N-15 share whose isotope pattern is nearest to a measured one, here made with a known share."""
+    """UDF-12/23, FN-13/14: the N-15 share whose isotope pattern is nearest to a measured one. Measured are binomial draws of the
+    nitrogens' isotopes over the other elements' pattern, as shares of 20,000 ions, so the estimate has a real error to make."""
     s = _sequences(spark, sf).withColumn("share", F.lit(0.9) + (F.col("p_partkey") % 90) / 1000)
 
     def run(batches):
         for b in batches:
-            got = [spectra.label_efficiency(q, spectra.isotope_pattern(q, e)) for q, e in zip(b["sequence"], b["share"], strict=True)]
+            got = [spectra.label_efficiency(q, spectra.drawn_pattern(q, e, 20_000, seed=k)) for q, e, k in zip(b["sequence"], b["share"], b["p_partkey"], strict=True)]
             yield pd.DataFrame({"p_partkey": b["p_partkey"], "share": b["share"], "efficiency": [round(e, 4) for e, _ in got], "kl": [k for _, k in got]})
 
     return s.mapInPandas(run, "p_partkey bigint, share double, efficiency double, kl double")
@@ -698,7 +697,7 @@ def logistic_q_values(spark, sf):
 
 @query()
 def mztab_report(spark, sf):
-    """SNK-07, AGG-31/33: the lines of an mzTab file, with suppliers as proteins and their orders' states as runs."""
+    """SNK-07, RSH-09: the lines of an mzTab file, with suppliers as proteins and their orders' states as runs."""
     rows = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.median("l_quantity").alias("abundance"))
     runs = A.pivot_runs(rows, ["l_suppkey"], "l_linestatus", ["O", "F"], ["abundance"]).withColumnsRenamed({"l_suppkey": "accession"})
     return mztab.mztab_lines(spark, {"mzTab-version": "1.0.0", "mzTab-mode": "Summary", "mzTab-type": "Quantification", "ms_run[%i]-location": ["O", "F"]}, {"protein": (runs, ["accession"])})

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import ionloom.plans.ion_queries  # noqa: F401
 from ionloom.plans.driver_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
