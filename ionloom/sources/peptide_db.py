@@ -41,15 +41,15 @@ def _nitrogens(sequence: Column) -> Column:
 
 def _modified(sequence: Column, p: SearchParams) -> Column:
     """array<struct<s, shift>>: the sequence and its forms with up to ``max_variable`` modified residues, tags after residues."""
-    start = F.array(F.struct(F.lit("").alias("s"), F.lit(0.0).alias("shift"), F.lit(0).alias("n")))
+    form = lambda s, shift, n: F.named_struct(F.lit("s"), s, F.lit("shift"), shift, F.lit("n"), n)
+    start = F.array(form(F.lit(""), F.lit(0.0), F.lit(0)))
 
     def grow(acc: Column, r: Column) -> Column:
-        plain = F.transform(acc, lambda x: F.struct(F.concat(x["s"], r).alias("s"), x["shift"].alias("shift"), x["n"].alias("n")))
-        forms = [plain]
+        forms = [F.transform(acc, lambda x: form(F.concat(x["s"], r), x["shift"], x["n"]))]
         for tag in p.variable:
             mass, on = MODIFICATIONS[tag]
             some = F.filter(acc, lambda x: r.isin(*on) & (x["n"] < p.max_variable))  # noqa: B023
-            forms.append(F.transform(some, lambda x: F.struct(F.concat(x["s"], r, F.lit(f"[{tag}]")).alias("s"), (x["shift"] + mass).alias("shift"), (x["n"] + 1).alias("n"))))  # noqa: B023
+            forms.append(F.transform(some, lambda x: form(F.concat(x["s"], r, F.lit(f"[{tag}]")), x["shift"] + mass, x["n"] + 1)))  # noqa: B023
         return F.concat(*forms)
 
     return F.aggregate(F.filter(F.split(sequence, ""), lambda r: r != ""), start, grow)
