@@ -158,6 +158,27 @@ def test_shards(spark):
     assert shards.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_shards_of_null_and_repeated_ids(spark):
+    """All rows with one id or none still make whole shards; repeated rows are rows each; a table under eight rows leaves shards empty."""
+    rows = [(None, "same text")] * 40 + [(7, "same text")] * 45 + [(2**60 + 1, None)]
+    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("hot"), "s_cell": F.lit(1)}).repartition(3)).collect()
+    assert len(got) == 86 and collections.Counter(r.doc_id for r in got) == {None: 40, 7: 45, 2**60 + 1: 1}
+    assert {sum(r.shard == i for r in got) for i in range(8)} == {10, 11} and all(sorted(r.slot for r in got if r.shard == i) == list(range(sum(r.shard == i for r in got))) for i in range(8))
+    few = shards.shard_documents(spark.createDataFrame([(1, "a", "en", "s"), (2, "b", "de", "t")], "doc_id long, text string, lang string, source string")).collect()
+    assert [r.slot for r in few] == [0, 0] and len({r.shard for r in few}) == 2
+
+
+def test_shard_files_are_pruned_by_every_dimension(spark, tmp_path):
+    """Shards written out span few values of each dimension: far fewer than shards dealt by id do."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', int(pow(1.7, id % 17))) AS text", "concat('l', id * 7 % 11) AS lang", "concat('s', id * 13 % 29) AS source")
+    dealt = shards.shard_documents(docs).select("doc_id", "shard").join(docs, "doc_id").withColumn("size", F.length("text"))
+    path = str(tmp_path / "shards")
+    dealt.withColumns(dict(zip(("h_source", "h_lang", "h_size"), shards.quantised(5)))).write.partitionBy("shard").parquet(path)
+    spans = spark.read.parquet(path).groupBy("shard").agg(*[(F.max(c) - F.min(c) + 1).alias(c) for c in ("h_source", "h_lang", "h_size")]).collect()
+    share = sum(r.h_source / 32 * r.h_lang / 32 * r.h_size / 32 for r in spans) / 8
+    assert len(spans) == 8 and share < 0.3  # of the space that a shard's bounds take in; by id every shard takes it all
+
+
 def _cells(rows):
     return pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
 
