@@ -56,19 +56,25 @@ def best_spline(x, y, xt, yt, lams) -> tuple[float, float]:
 
 
 def dtw_distance(a: np.ndarray, b: np.ndarray, window: int | None = None) -> float:
-    """Dynamic time warping distance (Sakoe and Chiba 1978), squared steps, root of the sum; a band if given."""
+    """Dynamic time warping distance (Sakoe and Chiba 1978), squared steps, root of the sum; a band if given.
+
+    Cells of one anti-diagonal depend on the two before it only, so each is one numpy step.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return float("nan")
     w = max(window if window is not None else max(n, m), abs(n - m))
-    row = np.full(m + 1, np.inf)
-    row[0] = 0.0
-    for i in range(1, n + 1):
-        new = np.full(m + 1, np.inf)
-        for j in range(max(1, i - w), min(m, i + w) + 1):
-            new[j] = (a[i - 1] - b[j - 1]) ** 2 + min(row[j], row[j - 1], new[j - 1])
-        row = new
-    return float(np.sqrt(row[m]))
+    d = (np.asarray(a, float)[:, None] - np.asarray(b, float)[None, :]) ** 2
+    # Indexed by the row: cells (i, k - i) of diagonals k - 2, k - 1 and k; row 0 and column 0 are the border.
+    two, one = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    two[0] = 0.0
+    for k in range(2, n + m + 1):
+        new = np.full(n + 1, np.inf)
+        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+        i = i[np.abs(2 * i - k) <= w]
+        new[i] = d[i - 1, k - i - 1] + np.minimum(np.minimum(one[i - 1], one[i]), two[i - 1])
+        two, one = one, new
+    return float(np.sqrt(one[n]))
 
 
 def als_baseline(y: np.ndarray, lam: float = 1e4, p: float = 0.01, rounds: int = 10) -> np.ndarray:

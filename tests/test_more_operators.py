@@ -191,6 +191,27 @@ def test_fixed_thresholds_of_the_published_run(spark):
     assert sorted(r.SequestScore for r in got.collect()) == pytest.approx(want)
 
 
+def test_inference_equals_the_stepwise_cover(spark):
+    """The parts' and the distributed cover against the cover that takes one best group at a time."""
+    r = random.Random(8)
+    pairs = sorted({(f"p{r.randint(0, 60):02d}", f"P{r.randint(0, 25):02d}") for _ in range(150)})
+    held = {}
+    for pep, prot in pairs:
+        held.setdefault(prot, set()).add(pep)
+    groups = {}
+    for prot, peps in sorted(held.items()):
+        groups.setdefault(frozenset(peps), []).append(prot)
+    left, want = {";".join(sorted(v)): set(k) for k, v in groups.items()}, set()
+    while any(left.values()):
+        best = min(left, key=lambda g: (-len(left[g]), g))
+        want.add((best, len(left[best])))
+        gone = set(left[best])
+        left = {g: p - gone for g, p in left.items()}
+    df = spark.createDataFrame(pairs, "peptide string, protein string")
+    assert {tuple(x) for x in inference.infer_groups(df).collect()} == want
+    assert {tuple(x) for x in inference.infer_groups(df, most=3).collect()} == want
+
+
 def test_connected_parts_of_a_chain(spark):
     chain = [(f"p{i}", f"{i + d:04d}") for i in range(60) for d in (0, 1)] + [("q", "9001"), ("q", "9000")]
     got = {(r.protein, r.part) for r in inference.connected(spark.createDataFrame(chain, "peptide string, protein string")).collect()}
@@ -242,6 +263,33 @@ def test_warps():
     assert time == pytest.approx(20, abs=1) and after < 2
 
 
+def test_range_join_of_open_and_unknown_bounds(spark):
+    from ionloom.operators.joins import range_join
+
+    inf, nan = float("inf"), float("nan")
+    left = [(0, 1.0, 2.0), (1, -inf, 1.5), (2, 3.0, inf), (3, nan, 2.0), (4, None, 2.0), (5, 5.0, 4.0), (6, -inf, inf)]
+    right = [(10, 0.5), (11, 1.5), (12, 3.0), (13, nan), (14, None), (15, 90.0)]
+    a, b = spark.createDataFrame(left, "i int, a double, z double"), spark.createDataFrame(right, "j int, v double")
+    want = {(i, j) for i, x, y in left for j, v in right if None not in (x, y, v) and not any(math.isnan(c) for c in (x, y, v)) and x <= v <= y}
+    for log in (False, True):
+        got = range_join(a, b, F.col("a"), F.col("z"), F.col("v"), 0.5, log=log)
+        assert {(r.i, r.j) for r in got.collect()} == want
+    assert range_join(a, b.limit(0), F.col("a"), F.col("z"), F.col("v"), 0.5).count() == 0
+
+
+def test_banded_warp_equals_the_recurrence():
+    r = np.random.default_rng(5)
+    for n, m, w in ((12, 9, None), (9, 12, 4), (15, 15, 2), (1, 4, None)):
+        a, b = r.normal(0, 1, n), r.normal(0, 1, m)
+        band = max(w if w is not None else max(n, m), abs(n - m))
+        c = np.full((n + 1, m + 1), np.inf)
+        c[0, 0] = 0
+        for i in range(1, n + 1):
+            for j in range(max(1, i - band), min(m, i + band) + 1):
+                c[i, j] = (a[i - 1] - b[j - 1]) ** 2 + min(c[i - 1, j], c[i, j - 1], c[i - 1, j - 1])
+        assert signal.dtw_distance(a, b, w) == pytest.approx(np.sqrt(c[n, m]))
+
+
 def test_best_subset_is_the_least_of_all():
     t = np.arange(60.0)
     shapes = np.array([np.exp(-((t - m) ** 2) / 18) for m in (10, 14, 22, 30, 41)]).T
