@@ -254,7 +254,8 @@ def centroids(mz: np.ndarray, intensity: np.ndarray, threshold: float = 0.0) ->
 
 
 def spectral_library(psms: DataFrame, peaks: DataFrame, tolerance: float, extra: tuple[Column, ...] = ()) -> DataFrame:
-    """file, sequence, series, number and the peaks' number, mean and greatest share of their spectrum's highest peak, mean m/z error.
+    """file, sequence, series, number and the peaks' number, mean, least and greatest share of their spectrum's
+    highest peak and its variation, mean m/z and its variation, mean and mean absolute m/z error.
 
     ``psms``: file, spectrum, sequence; ``peaks``: spectrum, mz, intensity. Fragments meet the peaks of their own
     spectrum within ``tolerance`` Da by buckets of m/z; every match counts.
@@ -264,7 +265,8 @@ def spectral_library(psms: DataFrame, peaks: DataFrame, tolerance: float, extra:
     m = F.col("ion_mz")
     hit = range_join(ions, peaks, m - tolerance, m + tolerance, F.col("mz"), max(2 * tolerance, 0.01), on=["spectrum"]).join(top, "spectrum")
     share = F.col("intensity") / F.col("top")
-    return hit.groupBy("file", "sequence", "series", "number").agg(F.count("*").alias("matches"), F.avg(share).alias("mean_share"), F.max(share).alias("max_share"), F.avg(F.col("mz") - m).alias("mean_error"), *extra)
+    return hit.groupBy("file", "sequence", "series", "number").agg(F.count("*").alias("matches"), F.avg(share).alias("mean_share"), F.max(share).alias("max_share"), F.avg(F.col("mz") - m).alias("mean_error"),
+        F.min(share).alias("min_share"), F.try_divide(F.stddev_samp(share), F.avg(share)).alias("cv_share"), F.avg("mz").alias("mean_mz"), F.try_divide(F.stddev_samp("mz"), F.avg("mz")).alias("cv_mz"), F.avg(F.abs(F.col("mz") - m)).alias("mean_abs_error"), *extra)
 
 
 def consensus_library(library: DataFrame, min_files: int = 2) -> DataFrame:

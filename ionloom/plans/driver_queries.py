@@ -601,7 +601,8 @@ def fragment_ions(spark, sf):
 LIBRARY = f"""{IONS}, psms AS (SELECT DISTINCT user_id % 3 AS file, user_id AS spectrum, sequence FROM events JOIN seqs ON p_partkey = user_id),
 peaks AS (SELECT user_id AS spectrum, value * 10 AS mz, (event_id % 97 + 1)::DOUBLE AS intensity FROM events),
 tops AS (SELECT spectrum, max(intensity) AS top FROM peaks GROUP BY 1),
-lib AS (SELECT file, sequence, series, number, count(*) AS matches, avg(intensity / top) AS mean_share, max(intensity / top) AS max_share, avg(p.mz - i.mz) AS mean_error
+lib AS (SELECT file, sequence, series, number, count(*) AS matches, avg(intensity / top) AS mean_share, max(intensity / top) AS max_share, avg(p.mz - i.mz) AS mean_error,
+min(intensity / top) AS min_share, stddev_samp(intensity / top) / avg(intensity / top) AS cv_share, avg(p.mz) AS mean_mz, stddev_samp(p.mz) / avg(p.mz) AS cv_mz, avg(abs(p.mz - i.mz)) AS mean_abs_error
 FROM psms JOIN ions i USING (sequence) JOIN peaks p ON p.spectrum = psms.spectrum AND p.mz BETWEEN i.mz - 2 AND i.mz + 2 JOIN tops ON tops.spectrum = psms.spectrum GROUP BY ALL)"""
 
 
@@ -611,10 +612,12 @@ def _library(spark, sf):
     return spectra.spectral_library(psms, _peaks(spark, sf), 2.0)
 
 
-@query(f"WITH {LIBRARY} SELECT file, sequence, series, number, matches, round(mean_share, 6) AS mean_share, round(max_share, 6) AS max_share, round(mean_error, 5) AS mean_error FROM lib")
+@query(f"""WITH {LIBRARY} SELECT file, sequence, series, number, matches, round(mean_share, 6) AS mean_share, round(max_share, 6) AS max_share, round(mean_error, 5) AS mean_error,
+round(min_share, 6) AS min_share, round(cv_share, 6) AS cv_share, round(mean_mz, 4) AS mean_mz, round(cv_mz, 7) AS cv_mz, round(mean_abs_error, 5) AS mean_abs_error FROM lib""")
 def spectral_library(spark, sf):
     """UDF-28, JN-14, AGG-27."""
-    return rounded(rounded(_library(spark, sf), "mean_share", "max_share", digits=6), "mean_error", digits=5)
+    out = rounded(_library(spark, sf), "mean_share", "max_share", "min_share", "cv_share", digits=6)
+    return rounded(rounded(rounded(out, "mean_error", "mean_abs_error", digits=5), "mean_mz"), "cv_mz", digits=7)
 
 
 @query(f"""WITH {LIBRARY} SELECT sequence, series, number, count(DISTINCT file) AS files, round(median(mean_share), 6) AS share FROM lib

@@ -48,6 +48,22 @@ def read_table(spark: SparkSession, path: str | list[str], schema: StructType, f
     return raw.select(*extra, *[typed(f) for f in schema])
 
 
+def read_frame(spark: SparkSession, path: str | list[str], types: dict[str, str] | None = None, infer: bool = True) -> DataFrame:
+    """A tab-separated table with whatever columns its header names. Columns in ``types`` have that type; the others are inferred from
+    all rows, or stay text without ``infer``. Empty cells and NaN are missing."""
+    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', inferSchema=infer, nullValue="", nanValue="NaN")
+    cols = []
+    for f in raw.schema:
+        c = F.col(f"`{f.name}`")
+        kind = (types or {}).get(f.name)
+        if kind is not None:
+            c = c.cast("string").try_cast(kind)
+        number = kind in ("double", "float") or kind is None and isinstance(f.dataType, (DoubleType, FloatType))
+        text = kind is None and isinstance(f.dataType, StringType) or kind == "string"
+        cols.append((F.when(~F.isnan(c), c) if number else F.when(c != "NaN", c) if text else c).alias(f.name))
+    return raw.select(*cols)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """header, sequence of each entry; a closing ``*`` and line breaks are dropped."""
     entry = F.regexp_replace("value", "^>", "")

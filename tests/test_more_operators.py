@@ -106,6 +106,26 @@ def test_text_sources(spark, tmp_path):
     assert [x.m for x in times.select(tables.to_minutes(F.col("t"), F.col("u")).alias("m")).collect()] == [1.0, 1.0, 60.0]
 
 
+def test_frames_logs_and_pages(spark, tmp_path):
+    from ionloom.sources import report
+
+    (tmp_path / "t.tab").write_text("k\tx\tn\ts\nA\t1.5\t3\tNaN\nB\tNaN\t\tq\n")
+    df = tables.read_frame(spark, str(tmp_path / "t.tab"), {"n": "string"})
+    assert dict(df.dtypes) == {"k": "string", "x": "double", "n": "string", "s": "string"}
+    assert sorted(map(tuple, df.collect())) == [("A", 1.5, "3", None), ("B", None, None, "q")]
+    assert set(dict(tables.read_frame(spark, str(tmp_path / "t.tab"), infer=False).dtypes).values()) == {"string"}
+    log = report.tool_logger("test", str(tmp_path / "a.log"))
+    log.debug("kept %d", 3)
+    assert "kept 3" in (tmp_path / "a.log").read_text()
+    bins = spark.createDataFrame([(1.0, 4, 1), (2.0, 2, None)], "centre double, n int, d int")
+    page = report.histogram_page(bins, "centre", ["n", "d"], "q < 1")
+    assert page.count("<rect") == 4 and "q &lt; 1" in page
+    report.write_page(bins, page, str(tmp_path / "page"))
+    assert spark.read.text(str(tmp_path / "page")).first()[0] == page
+    with pytest.raises(ValueError):
+        report.histogram_page(bins, "centre", ["n"], "t", most=1)
+
+
 def test_peptide_database_round_trip(spark, tmp_path):
     p = peptide_db.SearchParams(max_missed=1, min_length=2, variable=("ox",), max_variable=1, labels=(0, 1))
     db = peptide_db.build(spark.createDataFrame([("A", "MKAMRPCK"), ("B", "AMRPCK")], "Accession string, Sequence string"), p)
