@@ -25,12 +25,14 @@ ATOMS = {
 }
 
 
-def cross_correlation_base(mz: np.ndarray, intensity: np.ndarray, width: float = 1.0005) -> np.ndarray:
+def cross_correlation_base(mz: np.ndarray, intensity: np.ndarray, width: float = 1.0005, size: int | None = None) -> np.ndarray:
     """Binned spectrum prepared for cross-correlation (Eng 1994): root intensities, ten windows scaled to 50, the mean of
     75 bins on both sides taken off."""
     at = (np.asarray(mz) / width).astype(int)
     ok = (at >= 0) & (np.asarray(intensity) > 0)
-    y = np.zeros(int(at[ok].max(initial=0)) + 76)
+    # As many bins as the spectrum needs, and the reach of the mean beyond; ``size`` sets another number.
+    y = np.zeros(size if size is not None else int(at[ok].max(initial=0)) + 76)
+    ok &= at < len(y)
     np.maximum.at(y, at[ok], np.sqrt(np.asarray(intensity)[ok]))
     used = int(at[ok].max()) + 1 if ok.any() else 0
     step = max(1, -(-used // 10))
