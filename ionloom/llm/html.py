@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -322,14 +322,19 @@ def plain_text(page: str | None) -> str:
     return "\n\n".join(t for z, t in blocks_of(page) if z != CHROME)
 
 
-#: Sides of at most so many rows, counted first, are broadcast.
-FEW_ROWS = 200_000
+#: Sides of at most so many values (numbers of 8 bytes), summed first, are broadcast.
+FEW_VALUES = 500_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` materialised, to be broadcast if it has few rows."""
+def _few(df: DataFrame, values: Column) -> bool:
+    """Whether the rows of a materialised frame hold few ``values`` together."""
+    return (df.agg(F.sum(values.cast("bigint"))).first()[0] or 0) <= FEW_VALUES
+
+
+def _small(df: DataFrame, *lists: str) -> DataFrame:
+    """``df`` materialised, to be broadcast if its rows and ``lists`` hold few values."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+    return F.broadcast(df) if _few(df, sum((F.size(c) for c in lists), F.lit(len(df.columns)))) else df
 
 
 def extract_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
@@ -373,17 +378,17 @@ def extract_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
         high = (n >= p.main_pages) & (n >= pages * p.main_share)
         repeated = cut(counted.where("n > 1").join(hosts, "host").where(n >= bar).select("name", high.alias("high")))
         own = df.select("row", F.explode("names").alias("name"), F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
-        if repeated.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        if _few(repeated, F.lit(2)):
             met = own.join(F.broadcast(repeated), "name")
         else:
             met = own.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["name", "salt"])
         return met.groupBy("row").agg(F.collect_set("name").alias("low"), F.collect_set(F.when(F.col("high"), F.col("name"))).alias("high"))
 
-    hot = _small(held(dealt))
+    hot = _small(held(dealt), "low", "high")
     deep = rows.select("row", "host", "html").join(hot.select("row", F.col("low").alias("names")), "row").select("row", "host", "html", "names").mapInPandas(deepen, "row bigint, names array<bigint>")
     deep = cut(deep.dropDuplicates(["row"]).join(dealt.groupBy("row", "host").agg(F.min("uid").alias("uid")), "row"))
     runs = held(deep)
     both = lambda c: F.array_union(F.col(c), F.coalesce(F.col(f"r_{c}"), F.array().cast("array<bigint>"))).alias(c)
-    marks = _small(hot.join(runs.select("row", F.col("low").alias("r_low"), F.col("high").alias("r_high")), "row", "left").select("row", both("low"), both("high")))
+    marks = _small(hot.join(runs.select("row", F.col("low").alias("r_low"), F.col("high").alias("r_high")), "row", "left").select("row", both("low"), both("high")), "low", "high")
     out = rows.join(marks, "row", "left").select("id", "url", "host", "html", "low", "high").mapInPandas(finish, "id string, url string, text string, n_removed bigint, n_repeated bigint")
     return out.select(F.col("id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_removed", "n_repeated")
