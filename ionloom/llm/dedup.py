@@ -15,21 +15,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import darts
-from .common import cut, cut_small, fresh, release
+from .common import cut, cut_counted, cut_small, fresh, release, rows_of
 
 CACHE = 200_000
 BATCH_SHINGLES = 60_000
 BLOCK = 256
 #: Open buckets of at most so many members, hence of a bounded number of pairs, are finished pair by pair.
 FEW = 12
+#: Up to so many links (16 bytes each) are joined on the driver, more by rounds of shuffled joins: each round's queries cost it more memory than these.
+LINKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -194,18 +198,35 @@ def checked(pairs: DataFrame, stored: DataFrame, p: DedupParams) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
 
 
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b) and the least node that links reach from each: roots hook to lesser ones, pointers jump."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+        while (label != label[label]).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (the least node that links reach) of every node of ``links`` (a, b): least labels spread, pointers jump."""
-    ends = cut_small(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    """node, comp (the least node that links reach) of every node of ``links`` (a, b), on the driver where links are counted
+    few; else least labels spread and pointers jump by joins."""
+    links, n = cut_counted(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if n <= LINKS:
+        few = links.toArrow()
+        node, comp = least_labels(few["a"].to_numpy(), few["b"].to_numpy())
+        return links.sparkSession.createDataFrame(pa.table({"node": node, "comp": comp}), "node bigint, comp bigint")
+    ends = links.union(links.select("b", "a"))
     labels = cut_small(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
     while True:
         near = ends.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         new = labels.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("next"))
         far = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
         new = cut_small(new.join(far, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("new")))
-        changed = new.where("new <> comp").limit(1).count()
         labels = new.select("node", F.col("new").alias("comp"))
-        if not changed:
+        if not rows_of(new.where("new <> comp")):
             return labels
 
 
@@ -285,6 +306,7 @@ def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> D
     nearby = cut_small(nodes.join(members.select("node").distinct(), "node"))
     stored = None
     for turn in range(p.rounds + 1):
+        release(members)
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")
         lead = members.groupBy("band").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2")
         if turn < p.rounds:
@@ -293,22 +315,29 @@ def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> D
             # The best few hubs of each node, of two per band at most; whatever else its buckets hold is open for the next round.
             best = F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), False), 1, p.hubs_per_node)
             pairs = estimated(pairs, nearby, p).groupBy("a").agg(best.alias("hubs")).select("a", F.explode("hubs.b").alias("b"))
-            pairs = cut_small(pairs)
-            if not pairs.limit(1).count():
-                continue
+            pairs, n = cut_counted(pairs)
+        else:
+            here, n = cut_counted(members.join(lead.select("band", F.col("lo.comp").alias("top"), "size"), "band"))
+        release(members)
+        if not n:
+            continue
         if stored is None:
             stored = cut_small(stored_shingles(docs, nearby.select("node", "doc"), p))
+            release(stored)
         if turn < p.rounds:
-            links = cut_small(checked(pairs, stored, p))
+            links, n = cut_counted(checked(pairs, stored, p))
         else:
-            here = members.join(lead.select("band", F.col("lo.comp").alias("top"), "size"), "band")
-            few = checked(estimated(pairs_of(here.where(F.col("size") <= FEW)), nearby, p), stored, p)
-            links = cut_small(few.union(rest_of_buckets(here.where(F.col("size") > FEW), nearby, stored, p)).distinct())
-        if links.limit(1).count():
+            few, many = here.where(F.col("size") <= FEW), here.where(F.col("size") > FEW)
+            n_many = rows_of(many)
+            # Of the two ways only those are planned that have a bucket.
+            found = [checked(estimated(pairs_of(few), nearby, p), stored, p)] if n > n_many else []
+            found += [rest_of_buckets(many, nearby, stored, p)] if n_many else []
+            links, n = cut_counted(reduce(DataFrame.union, found).distinct())
+        if n:
             comp = members.select("node", "comp").distinct()
             ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
             joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-            release(members)
+            release(links)
             members = cut_small(members.join(joined, "comp", "left").select("band", "node", F.coalesce("new", "comp").alias("comp")))
     comp = members.select("node", "comp").distinct()
     named = nodes.select("node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

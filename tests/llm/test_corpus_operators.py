@@ -110,6 +110,31 @@ def test_near_duplicates_and_keep_one(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(want))
 
 
+def test_near_duplicates_ask_few_jobs_of_the_driver(spark):
+    """Its memory follows the jobs and plans of a run, so rounds of joins over few links would cost more than the links."""
+    docs = spark.createDataFrame(list(enumerate(_corpus())), "doc_id long, text string").repartition(3)
+    spark.sparkContext.setJobGroup("near", "jobs of near_duplicates")
+    try:
+        dedup.near_duplicates(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    assert 0 < jobs <= 120, jobs
+
+
+def test_components_by_joins_and_on_the_driver(spark, monkeypatch):
+    r = random.Random(3)
+    ids = [r.getrandbits(63) - 2**62 for _ in range(60)]
+    chain = [(x, y) if r.random() < 0.5 else (y, x) for x, y in zip(ids[:40], ids[1:40], strict=False)]
+    links = [*chain, chain[0], *[(ids[40], x) for x in ids[41:55]], (ids[55], ids[56]), (ids[57], ids[57])]
+    want = {x: min(part) for part in (ids[:40], ids[40:55], ids[55:57]) for x in part}
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.comp for r in dedup.components(df).collect()} == want
+    assert dedup.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(dedup, "LINKS", 0)
+    assert {r.node: r.comp for r in dedup.components(df).collect()} == want
+
+
 def test_near_duplicates_with_null_ids(spark):
     """Null ids lose no link and no class: the second text links two that are less alike; one class has no id at all."""
     words = [f"w{i}" for i in range(100)]
