@@ -122,6 +122,22 @@ def test_near_duplicates_ask_few_jobs_of_the_driver(spark):
     assert 0 < jobs <= 120, jobs
 
 
+def test_dedup_stage_asks_few_jobs_of_the_driver(spark):
+    """Counted over the pipeline's second stage, as it fills a driver that the first has used; it keeps one text of each class."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = _corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.sparkContext.setJobGroup("stage", "jobs of the near_dedup stage")
+    try:
+        kept = sorted(r.doc_id for r in dict(pipeline.STAGES)["near_dedup"](spark, docs, "").collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = _classes(texts)
+    assert kept == [i for i in range(len(texts)) if want[i] == i]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stage"))
+    assert 0 < jobs <= 120, jobs
+
+
 def test_components_by_joins_and_on_the_driver(spark, monkeypatch):
     r = random.Random(3)
     ids = [r.getrandbits(63) - 2**62 for _ in range(60)]
