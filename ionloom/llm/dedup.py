@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import darts
-from .common import cut, cut_counted, cut_small, fresh, release, rows_of
+from .common import by_merge, cut, cut_counted, cut_small, fresh, release, rows_of
 
 CACHE = 200_000
 BATCH_SHINGLES = 60_000
@@ -138,8 +138,8 @@ def signed_nodes(docs: DataFrame, p: DedupParams) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, p: DedupParams) -> DataFrame:
-    """Pairs (a, b) with est, less those whose sizes or signatures rule the similarity out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    """Pairs (a, b, ca, cb) with est, less those whose sizes or signatures rule the similarity out."""
+    side = lambda x: by_merge(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     if p.weights == "set":
         rows = rows.where(F.least("n_a", "n_b") >= p.similarity * F.greatest("n_a", "n_b"))
@@ -149,9 +149,9 @@ def estimated(pairs: DataFrame, nodes: DataFrame, p: DedupParams) -> DataFrame:
             of = lambda c: np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1)  # noqa: B023, E731
             est = ((of("sig_a") == of("sig_b")).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(b) else np.empty(0)
             keep = est >= p.similarity - p.slack
-            yield pd.DataFrame({"a": b["a"].to_numpy()[keep], "b": b["b"].to_numpy()[keep], "est": est[keep]})
+            yield b.loc[keep, ["a", "b", "ca", "cb"]].assign(est=est[keep])
 
-    return rows.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a bigint, b bigint, est double")
+    return rows.select("a", "b", "ca", "cb", "sig_a", "sig_b").mapInPandas(run, "a bigint, b bigint, ca bigint, cb bigint, est double")
 
 
 def stored_shingles(docs: DataFrame, wanted: DataFrame, p: DedupParams) -> DataFrame:
@@ -172,7 +172,7 @@ def stored_shingles(docs: DataFrame, wanted: DataFrame, p: DedupParams) -> DataF
 
     rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("doc"), "text")
     want = wanted.select(F.col("node").alias("w_node"), F.col("doc").alias("w_doc"))
-    return rows.join(want, (F.col("node") == F.col("w_node")) & F.col("doc").eqNullSafe(F.col("w_doc")), "left_semi").select("node", "text").mapInPandas(run, "node bigint, s binary").dropDuplicates(["node"])
+    return rows.join(by_merge(want), (F.col("node") == F.col("w_node")) & F.col("doc").eqNullSafe(F.col("w_doc")), "left_semi").select("node", "text").mapInPandas(run, "node bigint, s binary").dropDuplicates(["node"])
 
 
 def similarity(x: bytes, y: bytes, weights: str) -> float:
@@ -187,15 +187,15 @@ def similarity(x: bytes, y: bytes, weights: str) -> float:
 
 
 def checked(pairs: DataFrame, stored: DataFrame, p: DedupParams) -> DataFrame:
-    """The pairs (a, b) whose shingles have the similarity."""
-    side = lambda x: stored.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
+    """The components (a, b) of the pairs (a, b, ca, cb) whose shingles have the similarity."""
+    side = lambda x: by_merge(stored.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = np.array([similarity(x, y, p.weights) >= p.similarity for x, y in zip(b["s_a"], b["s_b"], strict=True)], bool)
-            yield pd.DataFrame({"a": b["a"].to_numpy()[keep], "b": b["b"].to_numpy()[keep]})
+            yield pd.DataFrame({"a": b["ca"].to_numpy()[keep], "b": b["cb"].to_numpy()[keep]})
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "ca", "cb").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
 
 
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,10 +210,16 @@ def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
-def components(links: DataFrame) -> DataFrame:
+def counted_links(links: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct ``links`` (a, b) of two nodes each, a less than b, materialised, and their number."""
+    return cut_counted(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def components(links: DataFrame, n: int | None = None) -> DataFrame:
     """node, comp (the least node that links reach) of every node of ``links`` (a, b), on the driver where links are counted
-    few; else least labels spread and pointers jump by joins."""
-    links, n = cut_counted(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    few; else least labels spread and pointers jump by joins. ``n``: their number, where ``counted_links`` gave them."""
+    if n is None:
+        links, n = counted_links(links)
     if n <= LINKS:
         few = links.toArrow()
         node, comp = least_labels(few["a"].to_numpy(), few["b"].to_numpy())
@@ -221,25 +227,26 @@ def components(links: DataFrame) -> DataFrame:
     ends = links.union(links.select("b", "a"))
     labels = cut_small(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
     while True:
-        near = ends.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("next"))
+        near = ends.join(by_merge(labels), F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
+        new = labels.join(by_merge(near), F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("next"))
         far = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        new = cut_small(new.join(far, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("new")))
+        new = cut_small(new.join(by_merge(far), "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("new")))
         labels = new.select("node", F.col("new").alias("comp"))
         if not rows_of(new.where("new <> comp")):
             return labels
 
 
 def pairs_of(here: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within small open buckets, of which one at least is outside ``top``."""
+    """Pairs (a, b) of different components (ca, cb) within small open buckets, of which one at least is outside ``top``."""
     left = here.where("comp <> top").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"))
     right = here.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"), "top")
-    pairs = left.join(right, "band").where("cx <> cy and (cy = top or x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = left.join(by_merge(right), "band").where("cx <> cy and (cy = top or x < y)")
+    least, greatest = (lambda x, y, c, f=f: f(x, y).alias(c) for f in (F.least, F.greatest))
+    return pairs.select(least("x", "y", "a"), greatest("x", "y", "b"), least("cx", "cy", "ca"), greatest("cx", "cy", "cb")).distinct()
 
 
 def rest_of_buckets(here: DataFrame, nodes: DataFrame, stored: DataFrame, p: DedupParams) -> DataFrame:
-    """Links (a, b) between members of different components in the open buckets ``here`` (band, node, comp, top).
+    """Links (a, b) of the components of members in the open buckets ``here`` (band, node, comp, top).
 
     Every member outside its bucket's leading component ``top`` is compared with every member of another
     component, in blocks of about ``BLOCK`` members, one (block, block) pair a row, so that what is compared is
@@ -247,7 +254,7 @@ def rest_of_buckets(here: DataFrame, nodes: DataFrame, stored: DataFrame, p: Ded
     """
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     sizes = here.groupBy("band").agg(blocks(F.count("*")).alias("ys"), blocks(F.count_if(F.col("comp") != F.col("top"))).alias("xs"))
-    rows = here.join(sizes, "band").join(nodes.select("node", "bands", "sig"), "node").join(stored, "node")
+    rows = here.join(by_merge(sizes), "band").join(by_merge(nodes.select("node", "bands", "sig")), "node").join(by_merge(stored), "node")
     layout = "band bigint, block int, others int, node binary, comp binary, top bigint, bands binary, sig binary, sizes binary, s binary"
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -261,7 +268,7 @@ def rest_of_buckets(here: DataFrame, nodes: DataFrame, stored: DataFrame, p: Ded
         packed = rows.select("band", block.alias("block"), F.col(other).alias("others"), "node", "comp", "top", "bands", "sig", "s").groupBy("band", "block").applyInPandas(pack, layout)
         return packed.select("band", F.col("block").alias(first), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias(second), *[F.col(c).alias(f"{c}_{first}") for c in ("node", "comp", "top", "bands", "sig", "sizes", "s")])
 
-    pairs = side(rows.where("comp <> top"), "xs", "ys", "x", "y").join(side(rows, "ys", "xs", "y", "x"), ["band", "x", "y"])
+    pairs = side(rows.where("comp <> top"), "xs", "ys", "x", "y").join(by_merge(side(rows, "ys", "xs", "y", "x")), ["band", "x", "y"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -273,7 +280,7 @@ def rest_of_buckets(here: DataFrame, nodes: DataFrame, stored: DataFrame, p: Ded
 
 
 def _links(r: dict, p: DedupParams) -> Iterator[tuple[int, int]]:
-    """Links of one (block, block) pair."""
+    """Links of the components in one (block, block) pair."""
     long = lambda c: np.frombuffer(r[c], np.int64)
     xs, ys, cx, cy = long("node_x"), long("node_y"), long("comp_x"), long("comp_y")
     bx, by = long("bands_x").reshape(len(xs), -1), long("bands_y").reshape(len(ys), -1)
@@ -288,11 +295,11 @@ def _links(r: dict, p: DedupParams) -> Iterator[tuple[int, int]]:
         est = ((gy[other] == gx[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(other) else np.empty(0)
         for j in other[est >= p.similarity - p.slack]:
             if similarity(r["s_x"][sx[i] : sx[i + 1]], r["s_y"][sy[j] : sy[j + 1]], p.weights) >= p.similarity:
-                yield (int(min(xs[i], ys[j])), int(max(xs[i], ys[j])))
+                yield (int(cx[i]), int(cy[j]))
 
 
 def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """node, doc, class_id, keeper of each distinct non-null text.
+    """node, doc, class_id, keeper of each distinct non-null text, materialised.
 
     class_id is the least doc_id of all near copies linked to it, keeper the node of the text that has it (where no
     copy has an id, the least node).
@@ -301,23 +308,24 @@ def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> D
     bands = nodes.where(F.col("sig").isNotNull()).select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     # Members of buckets with two nodes or more; comp is a node's component so far.
-    members = cut_small(bands.join(shared, "band").select("band", "node", F.col("node").alias("comp")))
+    members = cut_small(bands.join(by_merge(shared), "band").select("band", "node", F.col("node").alias("comp")))
     # Only members are compared from here on.
-    nearby = cut_small(nodes.join(members.select("node").distinct(), "node"))
+    nearby = cut_small(nodes.join(by_merge(members.select("node").distinct()), "node"))
     stored = None
     for turn in range(p.rounds + 1):
         release(members)
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")
         lead = members.groupBy("band").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2")
         if turn < p.rounds:
-            hub = members.join(lead, "band").select("node", "comp", F.explode(F.array("lo", "hi")).alias("hub")).where("hub.comp <> comp")
-            pairs = hub.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+            hub = members.join(by_merge(lead), "band").select("node", "comp", F.explode(F.array("lo", "hi")).alias("hub")).where("hub.comp <> comp")
+            # Pairs keep their components, so that links need not look them up again.
+            pairs = hub.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("comp").alias("ca"), F.col("hub.comp").alias("cb")).distinct()
             # The best few hubs of each node, of two per band at most; whatever else its buckets hold is open for the next round.
-            best = F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), False), 1, p.hubs_per_node)
-            pairs = estimated(pairs, nearby, p).groupBy("a").agg(best.alias("hubs")).select("a", F.explode("hubs.b").alias("b"))
-            pairs, n = cut_counted(pairs)
+            best = F.slice(F.sort_array(F.collect_list(F.struct("est", "b", "cb")), False), 1, p.hubs_per_node)
+            pairs = estimated(pairs, nearby, p).groupBy("a").agg(F.min("ca").alias("ca"), best.alias("hubs"))
+            pairs, n = cut_counted(pairs.select("a", "ca", F.explode("hubs").alias("hub")).select("a", "hub.b", "ca", "hub.cb"))
         else:
-            here, n = cut_counted(members.join(lead.select("band", F.col("lo.comp").alias("top"), "size"), "band"))
+            here, n = cut_counted(members.join(by_merge(lead.select("band", F.col("lo.comp").alias("top"), "size")), "band"))
         release(members)
         if not n:
             continue
@@ -325,25 +333,26 @@ def near_duplicate_classes(docs: DataFrame, p: DedupParams = DedupParams()) -> D
             stored = cut_small(stored_shingles(docs, nearby.select("node", "doc"), p))
             release(stored)
         if turn < p.rounds:
-            links, n = cut_counted(checked(pairs, stored, p))
+            found = [checked(pairs, stored, p)]
         else:
             few, many = here.where(F.col("size") <= FEW), here.where(F.col("size") > FEW)
             n_many = rows_of(many)
-            # Of the two ways only those are planned that have a bucket.
+            # Of the two ways only those are planned that have a bucket, and one after the other: a plan of both costs the driver more.
             found = [checked(estimated(pairs_of(few), nearby, p), stored, p)] if n > n_many else []
+            if found and n_many:
+                found = [cut_small(found[0])]
+                release(members)
             found += [rest_of_buckets(many, nearby, stored, p)] if n_many else []
-            links, n = cut_counted(reduce(DataFrame.union, found).distinct())
+        links, n = counted_links(reduce(DataFrame.union, found))
         if n:
-            comp = members.select("node", "comp").distinct()
-            ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-            joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+            joined = components(links, n).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
             release(links)
-            members = cut_small(members.join(joined, "comp", "left").select("band", "node", F.coalesce("new", "comp").alias("comp")))
-    comp = members.select("node", "comp").distinct()
-    named = nodes.select("node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            members = cut_small(members.join(by_merge(joined), "comp", "left").select("band", "node", F.coalesce("new", "comp").alias("comp")))
+    comp = members.groupBy("node").agg(F.min("comp").alias("comp"))
+    named = nodes.select("node", "doc").join(by_merge(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = F.min(F.struct(F.col("doc").isNull().alias("bare"), "doc", "node"))
     least = named.groupBy("comp").agg(F.min("doc").alias("class_id"), first["node"].alias("keeper"))
-    return named.join(least, "comp").select("node", "doc", "class_id", "keeper")
+    return cut_small(named.join(by_merge(least), "comp").select("node", "doc", "class_id", "keeper"))
 
 
 def near_duplicates(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
@@ -353,8 +362,9 @@ def near_duplicates(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFram
     a class. Class ids are doc_ids, so a table whose ids are all null has null classes. Empty input: no rows.
     """
     classes = near_duplicate_classes(docs, p).select("node", "class_id")
+    release(classes)  # of all that led to them, before the rows are shuffled
     rows = docs.select("doc_id", F.xxhash64("text").alias("node"), F.col("text").isNull().alias("bare"))
-    return rows.join(classes, (rows["node"] == classes["node"]) & ~rows["bare"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return rows.join(by_merge(classes), (rows["node"] == classes["node"]) & ~rows["bare"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
@@ -364,7 +374,8 @@ def keep_one(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     """
     key, node, doc = fresh(docs, "d_key", "d_node", "d_doc")
     classes = near_duplicate_classes(docs, p).where("node = keeper").select(F.col("node").alias(node), F.col("doc").alias(doc))
+    release(classes)
     rows = docs.withColumn(key, F.xxhash64("text"))
     full = rows.where(F.col("text").isNotNull())
-    kept = full.join(classes, (full[key] == classes[node]) & full["doc_id"].eqNullSafe(classes[doc]), "left_semi").dropDuplicates([key, "doc_id"])
+    kept = full.join(by_merge(classes), (full[key] == classes[node]) & full["doc_id"].eqNullSafe(classes[doc]), "left_semi").dropDuplicates([key, "doc_id"])
     return kept.unionByName(rows.where(F.col("text").isNull())).select(*docs.columns)

@@ -138,6 +138,30 @@ def test_dedup_stage_asks_few_jobs_of_the_driver(spark):
     assert 0 < jobs <= 120, jobs
 
 
+def test_dedup_stage_sends_no_side_of_a_join_through_the_driver(spark):
+    """A broadcast is collected and hashed by the driver, and the sides here grow with the input."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame(list(enumerate(_corpus())), "doc_id long, text string").repartition(3)
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+
+    def listed():
+        rows = store.executionsList()
+        return [rows.apply(i) for i in range(rows.size())]
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    bus.waitUntilEmpty(30_000)
+    seen = {x.executionId() for x in listed()}
+    try:
+        dict(pipeline.STAGES)["near_dedup"](spark, docs, "").write.format("noop").mode("overwrite").save()
+        bus.waitUntilEmpty(30_000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plans = [x.physicalPlanDescription() for x in listed() if x.executionId() not in seen]
+    assert any("SortMergeJoin" in x for x in plans) and not any("BroadcastExchange" in x for x in plans)
+
+
 def test_components_by_joins_and_on_the_driver(spark, monkeypatch):
     r = random.Random(3)
     ids = [r.getrandbits(63) - 2**62 for _ in range(60)]
