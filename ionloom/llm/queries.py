@@ -77,6 +77,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", *[F.col(v).alias(k) for k, v in names.items()])
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import words_of
+    from .periodic import digests, find_runs, planted
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(find_runs(docs, planted(docs, words_of(F.col("text")))))
+
+
 def vocabulary_path() -> str:
     """The public byte-level vocabulary of the machine, as the production parameter of the BPE queries."""
     import public_tokenizers
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_periodic": op11_periodic,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
