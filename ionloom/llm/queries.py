@@ -85,6 +85,12 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(docs, planted(docs, words_of(F.col("text")))))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary_path() -> str:
     """The public byte-level vocabulary of the machine, as the production parameter of the BPE queries."""
     import public_tokenizers
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
     "op11_periodic": op11_periodic,
+    "op13_importance": op13_importance,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
