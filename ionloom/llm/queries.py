@@ -85,6 +85,13 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(docs, planted(docs, words_of(F.col("text")))))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "terms")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resample
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
     "op11_periodic": op11_periodic,
+    "op12_toxicity": op12_toxicity,
     "op13_importance": op13_importance,
 }
 
