@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grid import Axis, grid_join
 from .joins import range_join
 from .signal import als_baseline, best_spline, gaussian_area, savitzky_golay, smoothing_spline
 
@@ -20,16 +21,24 @@ def band_join(ions: DataFrame, peaks: DataFrame, rt: float, ppm: float, mobility
     """ion, rt, mz, intensity: every peak strictly inside an ion's window of time, mass and, if given, mobility.
 
     ``ions``: ion, rt0, mz0 (and im0); ``peaks``: rt, mz, intensity (and im). Peaks of one m/z at one time are summed over mobility
-    first met. The equi-join is on time buckets; mass and mobility are tested on what meets.
+    first met. Ions and peaks meet by their cells of time, logarithmic mass and mobility.
     """
     w = F.col("mz0") * (ppm * 1e-6)
-    hit = range_join(ions, peaks, F.col("rt0") - rt, F.col("rt0") + rt, F.col("rt"), 2 * rt)
-    hit = hit.where((F.abs(F.col("rt") - F.col("rt0")) < rt) & (F.abs(F.col("mz") - F.col("mz0")) < w))
+    axes = [_around("rt0", F.lit(rt), "rt"), _around("mz0", w, "mz", log=True)]
+    test = (F.abs(F.col("rt") - F.col("rt0")) < rt) & (F.abs(F.col("mz") - F.col("mz0")) < w)
     if mobility is not None:
-        hit = hit.where(F.abs(F.col("im") - F.col("im0")) < mobility)
+        axes.append(_around("im0", F.lit(mobility), "im"))
+        test = test & (F.abs(F.col("im") - F.col("im0")) < mobility)
+    hit = grid_join(ions, peaks, axes, test=test)
     return hit.groupBy("ion", "rt", "mz", "mz0").agg(F.sum("intensity").alias("intensity"))
 
 
+def _around(center: str, reach: Column, value: str, log: bool = False) -> Axis:
+    """An axis of windows around a value, wider by what rounding may take from them."""
+    wide = reach * (1 + 1e-9) + F.abs(F.col(center)) * 1e-12
+    return Axis(F.col(center) - wide, F.col(center) + wide, F.col(value), log)
+
+
 def chromatograms(hits: DataFrame) -> DataFrame:
     """ion, rt array, intensity array: at each time the peak nearest in mass."""
     best = hits.groupBy("ion", "rt").agg(F.min(F.struct(F.abs(F.col("mz") - F.col("mz0")).alias("d"), F.col("intensity").alias("i"))).alias("b"))
@@ -41,7 +50,8 @@ def envelope(ions: DataFrame, peaks: DataFrame, rt: float, width: float, charge:
     """ion, rt, intensity: the sum over the windows of up to ``isotopes`` isotopes, each ``width`` wide on both sides, within 1 Da of the first."""
     rows = ions.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(isotopes - 1)))).withColumn("gap", F.col("k") * 1.00335 / F.col(charge)).where("gap <= 1")
     rows = rows.withColumn("target", F.col("mz0") + F.col("gap"))
-    hit = range_join(rows, peaks, F.col("rt0") - rt, F.col("rt0") + rt, F.col("rt"), 2 * rt).where(F.abs(F.col("mz") - F.col("target")) <= width)
+    test = F.col("rt").between(F.col("rt0") - rt, F.col("rt0") + rt) & (F.abs(F.col("mz") - F.col("target")) <= width)
+    hit = grid_join(rows, peaks, [_around("rt0", F.lit(rt), "rt"), _around("target", F.lit(width), "mz")], test=test)
     return hit.groupBy("ion", "rt").agg(F.sum("intensity").alias("intensity"))
 
 

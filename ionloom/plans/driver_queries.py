@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import masses
 from ..operators import aggregate as A
-from ..operators import fdr, filters, joins, ordered, signal, spectra
+from ..operators import fdr, filters, grid, joins, ordered, signal, spectra
 from ..operators.inference import evidence_classes, infer_groups
 from ..sources import mztab
 
@@ -218,7 +218,9 @@ def xic_band_join(spark, sf):
     a = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("us").alias("u0"), F.col("value").alias("v0"))
     b = e.select("user_id", F.col("us").alias("u1"), F.col("value").alias("v1"), F.col("event_id").alias("i"))
     day = 86_400_000_000
-    hit = joins.range_join(a, b, F.col("u0") - 2 * day, F.col("u0") + 2 * day, F.col("u1"), 4.0 * day, on=["user_id"]).where("i <> event_id and abs(v1 - v0) <= 5")
+    axes = [grid.Axis(F.col("u0") - 2 * day, F.col("u0") + 2 * day, F.col("u1")), grid.Axis(F.col("v0") - 5.000001, F.col("v0") + 5.000001, F.col("v1"))]
+    test = F.col("u1").between(F.col("u0") - 2 * day, F.col("u0") + 2 * day) & F.expr("i <> event_id and abs(v1 - v0) <= 5")
+    hit = grid.grid_join(a, b, axes, on=["user_id"], test=test)
     best = hit.groupBy("event_id").agg(F.min(F.struct(F.abs(F.col("v1") - F.col("v0")).alias("d"), "i", "v1")).alias("m"))
     return a.select("event_id").join(best, "event_id", "left").select("event_id", F.coalesce("m.i", F.lit(0)).alias("hit"), F.round(F.coalesce("m.v1", F.lit(0.0)), 4).alias("intensity"))
 
