@@ -97,6 +97,11 @@ def score_spectra(spectra: DataFrame, peptides: DataFrame, mass_tolerance: float
     both = both.withColumn("pep_mass", peptide_mass(F.col("sequence")))
     m = F.col("mass")
     found = range_join(spectra.select("spectrum", "mass"), both, m - mass_tolerance, m + mass_tolerance, F.col("pep_mass"), 2 * mass_tolerance)
+    return score_candidates(spectra, found, fragment_tolerance)
+
+
+def score_candidates(spectra: DataFrame, found: DataFrame, fragment_tolerance: float) -> DataFrame:
+    """``score_spectra`` for the candidates ``found`` (spectrum, sequence, decoy), as a search of a mass-ordered database finds them."""
     rows = found.select("spectrum", "sequence", "decoy", fragments(F.col("sequence")).alias("ions")).join(spectra.select("spectrum", "mz", "intensity"), "spectrum")
     kind = spectra.schema["spectrum"].dataType.simpleString()
     ion = lambda s: F.transform(F.filter("ions", lambda i: i["series"] == s), lambda i: i["mz"]).alias(s)

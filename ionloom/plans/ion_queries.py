@@ -12,9 +12,10 @@ from ..functions import masses
 from ..operators import aggregate as A
 from ..operators import fdr, filters, frames, ordered, quantification, spectra
 from ..operators.inference import evidence_groups, peptide_classes
+from ..operators.lineage import shared_path
 from ..sources import mztab, peptide_db, runs
 from . import alignment, psm_statistics
-from .driver_queries import LETTERS, MASS_OF, SEQUENCES, _scored, _sequences, micros, query, rounded, t
+from .driver_queries import LETTERS, MASS_OF, SEQUENCES, _scored, _sequences, _spectra, micros, query, rounded, t
 
 CLASS = "['C1a', 'C1b', 'C2a', 'C2b', 'C3a', 'C3b', 'c1a', '']"
 
@@ -177,6 +178,34 @@ def psm_enrichment(spark, sf):
     return out.select("peptide", F.col("Label").alias("label"), "Before", "After", "ProteinNames", F.when(F.col("Label") == 1, F.col("peptide")).otherwise(I.decoy_sequence(F.col("peptide"))).alias("sequence"))
 
 
+def _mass_database(spark, sf):
+    """A database of the parts' sequences on disk, in the shared folder, and its rows by mass."""
+    db, path = peptide_db.build(_proteins(spark, sf), PLAIN), shared_path(spark, "peptides")
+    peptide_db.write_by_mass(db["modsequence"], path)
+    return path
+
+
+@query(f"""WITH {CUTS}, p AS (SELECT DISTINCT peptide AS s FROM u), m AS (SELECT s, gm, list_sum(list_transform(string_split(s, ''), lambda r: ({MASS_OF})[r]::DOUBLE)) + {masses.WATER}
+  + CASE WHEN gm = 1 THEN 0.997035 * (len(s) + 3 * len(regexp_replace(s, '[^R]', '', 'g')) + 2 * len(regexp_replace(s, '[^H]', '', 'g')) + len(regexp_replace(s, '[^KNQW]', '', 'g'))) ELSE 0 END AS mass FROM p, (SELECT unnest([0, 1]) AS gm)),
+e AS (SELECT event_id, 900 + value AS pm FROM events WHERE event_type = 'purchase'), c AS (SELECT * FROM e JOIN m ON mass BETWEEN pm - pm * 3e-4 AND pm + pm * 3e-4)
+SELECT event_id, CASE WHEN decoy THEN reverse(s) ELSE s END AS sequence, gm, decoy, round(mass - pm, 6) AS delta FROM c, (SELECT unnest([false, true]) AS decoy)""")
+def mass_candidates(spark, sf):
+    """SRC-13, JN-11, UDF-22: candidates of precursors and their decoys from a database in folders by mass, of which only theirs are read."""
+    e = t(spark, sf, "events").where("event_type = 'purchase'").select("event_id", (F.col("value") + 900).alias("pm"))
+    w = F.col("pm") * 3e-4
+    found = peptide_db.with_decoys(peptide_db.mass_candidates(e, _mass_database(spark, sf), F.col("pm") - w, F.col("pm") + w))
+    return found.select("event_id", F.col("Sequence").alias("sequence"), F.col("GlobalMod").alias("gm"), "decoy", F.round(F.col("RealMass") - F.col("pm"), 6).alias("delta"))
+
+
+@query()
+def database_scores(spark, sf):
+    """UDF-22, JN-16: a search of the mass-ordered database: the three scores of each spectrum's candidates and their decoys."""
+    x = _spectra(spark, sf).withColumn("mass", 900.0 + F.col("spectrum") * 37 % 400)
+    m = F.col("mass")
+    found = peptide_db.mass_candidates(x.select("spectrum", "mass"), _mass_database(spark, sf), m - 5.0, m + 5.0).where("GlobalMod = 0")
+    return spectra.score_candidates(x, peptide_db.with_decoys(found).select("spectrum", F.col("Sequence").alias("sequence"), "decoy").distinct(), 0.5)
+
+
 def _timed(spark, sf):
     n = F.col("l_linenumber")
     line = t(spark, sf, "lineitem")

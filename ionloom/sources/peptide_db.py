@@ -2,7 +2,8 @@
 
 Tables: ``protein`` (ID, Accession, Sequence), ``pepsequence`` (ID, Sequence), ``cleavage`` (ProteinID, PepSequenceID,
 CleavageStart, CleavageEnd, MissCleavages) and ``modsequence`` (ID, PepSequenceID, RealMass, Sequence, GlobalMod), the last sorted
-by (Sequence, GlobalMod) within its files, which stands for an index: a lookup reads the row groups whose range fits.
+by (Sequence, GlobalMod) within its files, which stands for an index: a lookup reads the row groups whose range fits. A fifth,
+``by_mass``, holds ``modsequence`` in folders of ``mass_cell`` (RealMass in steps of some Da): a search reads the folders of its precursors alone.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import digest
 from ..functions.masses import peptide_mass
+from ..operators.grid import Axis, grid_join
 
 TABLES = ("protein", "pepsequence", "cleavage", "modsequence")
 #: Mass shifts in Da of modifications by the tag that marks them in a sequence, and the residues they stand on.
@@ -85,6 +87,56 @@ def read(spark: SparkSession, path: str, keep: bool = False) -> dict[str, DataFr
     return {k: v.cache() for k, v in out.items()} if keep else out
 
 
+#: Da of mass in one folder of ``by_mass``: folders are as many as the range of masses has cells, whatever the rows.
+MASS_CELL = 5.0
+
+
+def write_by_mass(modsequence: DataFrame, path: str, cell: float = MASS_CELL, mode: str = "errorifexists") -> None:
+    """``modsequence`` under ``path``/by_mass in folders of mass cells, sorted by mass; rows without a mass are in none.
+
+    Tasks are ranges of the mass itself, so a cell with a large share of all peptides is several files of several tasks.
+    """
+    rows = modsequence.where(F.col("RealMass").isNotNull() & ~F.isnan("RealMass")).withColumn("mass_cell", F.floor(F.col("RealMass") / cell).cast("int"))
+    parts = int(modsequence.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "RealMass", "ID").sortWithinPartitions("mass_cell", "RealMass").write.mode(mode).partitionBy("mass_cell").parquet(f"{path}/by_mass")
+    ends = rows.agg(F.lit(cell).alias("cell"), F.min("mass_cell").alias("first"), F.max("mass_cell").alias("last"))
+    ends.write.mode(mode).parquet(f"{path}/by_mass_cells")
+
+
+def mass_scan(windows: DataFrame, path: str, low: Column, high: Column) -> DataFrame:
+    """The rows of ``by_mass`` whose cells the windows [``low``, ``high``] touch; no other folder is listed or read.
+
+    The windows' distinct cells are found first and become the scan's partition filter. They are at most as many as the table
+    has folders, as windows are cut to its range.
+    """
+    spark = windows.sparkSession
+    size = spark.read.parquet(f"{path}/by_mass_cells").first()
+    folders = spark.read.parquet(f"{path}/by_mass") if size["first"] is not None else None
+    if folders is None:
+        return spark.createDataFrame([], "ID bigint, PepSequenceID bigint, RealMass double, Sequence string, GlobalMod int")
+    at = lambda c: F.floor(c.cast("double") / size["cell"]).cast("bigint")
+    first, last = F.greatest(at(low), F.lit(size["first"])), F.least(at(high), F.lit(size["last"]))
+    known = low.isNotNull() & high.isNotNull() & ~F.isnan(low.cast("double")) & ~F.isnan(high.cast("double"))
+    touched = windows.where(known).select(first.alias("a"), last.alias("z")).where("a <= z").distinct()
+    cells = [r["c"] for r in touched.select(F.explode(F.sequence("a", "z")).alias("c")).distinct().collect()]
+    return folders.where(F.col("mass_cell").isin(sorted(cells)) if cells else F.lit(False)).drop("mass_cell")
+
+
+def mass_candidates(precursors: DataFrame, path: str, low: Column, high: Column) -> DataFrame:
+    """``precursors`` with every database row whose RealMass lies in [``low``, ``high``]: its ID, PepSequenceID, RealMass, Sequence, GlobalMod.
+
+    Missing bounds have no candidates. Where the folders are read, precursors and rows meet by logarithmic cells of their mass.
+    """
+    return grid_join(precursors, mass_scan(precursors, path, low, high), [Axis(low, high, F.col("RealMass"), log=True)])
+
+
+def with_decoys(candidates: DataFrame) -> DataFrame:
+    """Each candidate twice: as it is, and as a decoy of its residues backwards, whose mass is the same; tags stay behind their residues."""
+    residues = F.regexp_extract_all(F.col("Sequence"), F.lit(r"[A-Za-z](?:\[[a-z]+\])*"), F.lit(0))
+    twice = candidates.withColumn("decoy", F.explode(F.array(F.lit(False), F.lit(True))))
+    return twice.withColumn("Sequence", F.when(F.col("decoy"), F.array_join(F.reverse(residues), "")).otherwise(F.col("Sequence")))
+
+
 def search_params(spark: SparkSession, path: str) -> SearchParams:
     """The parameters that a database was built with: one row of JSON."""
     d = json.loads(spark.read.parquet(f"{path}/params").first()["params"])
