@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bare_sequence
 from ..functions.identifiers import logit
-from .ordered import running
+from .ordered import running, top_k
 
 
 def storey_q(df: DataFrame, score: str, decoy: Column, key: list[str] | None = None) -> DataFrame:
@@ -25,46 +25,95 @@ def storey_q(df: DataFrame, score: str, decoy: Column, key: list[str] | None = N
     return running(down, key, [F.col(score).asc()], {"q_value": ("min", "__raw")}).drop("__raw")
 
 
-def q_between(knots: DataFrame, rows: DataFrame, score: str, q: str = "q_value") -> DataFrame:
-    """``rows`` with ``q`` at their score: a knot's own value, linear between knots, the nearest knot's outside."""
-    k = knots.select(F.col(score).cast("double").alias("__x"), F.struct(F.col(score).cast("double").alias("x"), F.col(q).alias("y")).alias("__k"))
-    r = rows.select(F.col(score).cast("double").alias("__x"), F.struct(*rows.columns).alias("__r"))
+def q_between(knots: DataFrame, rows: DataFrame, score: str, q: str = "q_value", outside: str = "nearest", on: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``q`` at their score: a knot's own value, linear between knots (of equal ``on``), and outside the nearest knot's, or
+    with ``outside`` = ``linear`` that of the line through the last two knots (missing for fewer than two)."""
+    on = on or []
+    k = knots.select(*on, F.col(score).cast("double").alias("__x"), F.struct(F.col(score).cast("double").alias("x"), F.col(q).alias("y")).alias("__k"))
+    r = rows.select(*on, F.col(score).cast("double").alias("__x"), F.struct(*rows.columns).alias("__r"))
     both = k.unionByName(r, allowMissingColumns=True).withColumn("__row", F.col("__k").isNull())
-    both = running(both, [], [F.col("__x"), F.col("__row")], {"__low": ("last", "__k")})
-    both = running(both, [], [F.col("__x").desc(), F.col("__row")], {"__high": ("last", "__k")}).where("__row")
+    both = running(both, on, [F.col("__x"), F.col("__row")], {"__low": ("last", "__k")})
+    both = running(both, on, [F.col("__x").desc(), F.col("__row")], {"__high": ("last", "__k")}).where("__row")
     low, high, x = F.col("__low"), F.col("__high"), F.col("__x")
     inside = low["y"] + (high["y"] - low["y"]) * F.try_divide(x - low["x"], high["x"] - low["x"])
     value = F.when(low.isNull(), high["y"]).when(high.isNull() | (low["x"] == high["x"]), low["y"]).otherwise(inside)
-    return both.select("__r.*", value.alias(q))
+    out = both.select("__r.*", value.alias(q))
+    return out if outside == "nearest" else _beyond(k, out, score, q, on)
 
 
-def digested_scores(reversed_peptides: DataFrame, scores: DataFrame) -> DataFrame:
+def _beyond(knots: DataFrame, rows: DataFrame, score: str, q: str, on: list[str]) -> DataFrame:
+    """``rows`` with the values outside the knots replaced by lines through the two lowest and the two highest knots of their ``on``."""
+    ends = None
+    for name, order in (("__first", F.col("__x").asc()), ("__last", F.col("__x").desc())):
+        two = top_k(knots, on, [order], 2) if on else knots.orderBy(order).limit(2)
+        two = two.groupBy(*[F.col(c).alias(f"__{name}_{c}") for c in on]).agg(F.array_sort(F.collect_list("__k")).alias(name))
+        ends = (rows if ends is None else ends).join(F.broadcast(two), [F.col(c).eqNullSafe(F.col(f"__{name}_{c}")) for c in on] or [F.lit(True)], "left")
+    x = F.col(score).cast("double")
+
+    def line(name: str) -> Column:
+        a, b = F.get(name, F.lit(0)), F.get(name, F.lit(1))
+        return a["y"] + (x - a["x"]) * F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
+
+    edge = lambda name, i: F.get(name, F.lit(i))["x"]
+    value = F.when(F.size("__first") < 2, F.lit(None)).when(x < edge("__first", 0), line("__first")).when(x > edge("__last", 1), line("__last")).otherwise(F.col(q))
+    return ends.withColumn(q, value).select(*rows.columns)
+
+
+def digested_scores(reversed_peptides: DataFrame, scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """protein, decoy_score: sums of the scores of a protein's reversed peptides that were found, proteins without one left out.
 
-    ``reversed_peptides``: protein, peptide; ``scores``: sequence, score. Where sequences are alike but for their
-    modifications the last by name counts.
+    ``reversed_peptides``: protein, peptide, a row for each time it is cut; ``scores``: sequence, score (per ``keys``, if given). Where
+    sequences are alike but for their modifications the last by name counts.
     """
-    bare = scores.groupBy(bare_sequence(F.col("sequence")).alias("peptide")).agg(F.max_by("score", "sequence").alias("score"))
-    return reversed_peptides.join(bare, "peptide").groupBy("protein").agg(F.sum("score").alias("decoy_score")).where("decoy_score <> 0")
+    keys = keys or []
+    bare = scores.groupBy(*keys, bare_sequence(F.col("sequence")).alias("peptide")).agg(F.max_by("score", "sequence").alias("score"))
+    return reversed_peptides.join(bare, "peptide").groupBy(*keys, "protein").agg(F.sum("score").alias("decoy_score")).where("decoy_score <> 0")
 
 
-def peptide_scores(psms: DataFrame, sequence: str, score: str) -> DataFrame:
-    """sequence, score: the best of each peptide."""
-    return psms.groupBy(F.col(sequence).alias("sequence")).agg(F.max(score).alias("score"))
+def peptide_scores(psms: DataFrame, sequence: str, score: str, keys: list[str] | None = None) -> DataFrame:
+    """sequence, score: the best of each peptide (per ``keys``, if given)."""
+    return psms.groupBy(*(keys or []), F.col(sequence).alias("sequence")).agg(F.max(score).alias("score"))
 
 
-def scored_groups(groups: DataFrame, scores: DataFrame, decoys: DataFrame) -> DataFrame:
+def scored_groups(groups: DataFrame, scores: DataFrame, decoys: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``groups`` (protein_group and peptides, both ``;``-joined) with target_score, decoy_score and decoy_bigger.
 
     The target score sums the best scores of the group's peptides, each of which must have one; the decoy score is the greatest of its
-    members', 0 without one. Of equal scores the target wins.
+    members', 0 without one. Of equal scores the target wins. With ``keys`` (files) groups, scores and decoys are those of a key.
     """
-    g = groups.withColumn("__g", F.col("protein_group"))
-    own = g.select("__g", F.explode(F.array_distinct(F.split("peptides", ";"))).alias("sequence")).join(scores, "sequence", "left")
+    keys = keys or []
+    g, on = groups.withColumn("__g", F.col("protein_group")), [*keys, "__g"]
+    own = g.select(*on, F.explode(F.array_distinct(F.split("peptides", ";"))).alias("sequence")).join(scores, [*keys, "sequence"], "left")
     known = F.when(F.count_if(F.col("score").isNull()) == 0, F.sum("score")).otherwise(F.raise_error(F.concat(F.lit("no score for a peptide of "), F.first("__g"))).cast("double"))
-    target = own.groupBy("__g").agg(known.alias("target_score"))
-    worst = g.select("__g", F.explode(F.split("protein_group", ";")).alias("protein")).join(decoys, "protein", "left").groupBy("__g").agg(F.max(F.coalesce("decoy_score", F.lit(0.0))).alias("decoy_score"))
-    return g.join(target, "__g").join(worst, "__g").drop("__g").withColumn("decoy_bigger", F.col("decoy_score") > F.col("target_score"))
+    target = own.groupBy(*on).agg(known.alias("target_score"))
+    worst = g.select(*on, F.explode(F.split("protein_group", ";")).alias("protein")).join(decoys, [*keys, "protein"], "left").groupBy(*on).agg(F.max(F.coalesce("decoy_score", F.lit(0.0))).alias("decoy_score"))
+    return g.join(target, on).join(worst, on).drop("__g").withColumn("decoy_bigger", F.col("decoy_score") > F.col("target_score"))
+
+
+def with_decoy_only(scored: DataFrame, decoys: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``scored`` (as from ``scored_groups``) with ``decoy``, and a row for each decoy protein that is in no group of its ``keys``:
+    target score 0, its own decoy score, class Unknown, no peptides, ``decoy`` and ``decoy_bigger`` true.
+
+    ``decoys``: keys, protein, decoy_score. Groups and decoys meet by a full outer join on (keys, protein), null-safe in the keys;
+    members without a decoy and decoys in several groups do not multiply rows, as only those of one side alone are kept.
+    """
+    keys = keys or []
+    held = scored.select(*[F.col(k).alias(f"__{k}") for k in keys], F.explode(F.split("protein_group", ";")).alias("__protein")).distinct().withColumn("__held", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("protein") == F.col("__protein")]
+    alone = decoys.join(held, same, "full_outer").where("__held IS NULL")
+    none = {"protein_group": F.col("protein"), "class": F.lit("Unknown"), "peptides": F.lit(""), "target_score": F.lit(0.0), "decoy_bigger": F.lit(True)}
+    rows = alone.select(*keys, *[none[c].alias(c) for c in none if c in scored.columns], F.col("decoy_score").cast("double").alias("decoy_score"), F.lit(True).alias("decoy"))
+    return scored.withColumn("decoy", F.lit(False)).unionByName(rows, allowMissingColumns=True)
+
+
+def group_q_values(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``scored`` (as from ``with_decoy_only``) with ``q_value``, per ``keys``: knots are the decoy score of rows whose decoy is bigger, as
+    decoys, and the target score of the others; a row is read at its target score, a decoy-only one at its decoy score."""
+    keys = keys or []
+    knot = F.when(F.col("decoy_bigger"), F.col("decoy_score")).otherwise(F.col("target_score"))
+    knots = storey_q(scored.select(*keys, knot.alias("__score"), "decoy_bigger"), "__score", F.col("decoy_bigger"), keys)
+    rows = scored.withColumn("__score", F.when(F.col("decoy"), F.col("decoy_score")).otherwise(F.col("target_score")))
+    return q_between(knots, rows, "__score", outside="linear", on=keys).drop("__score")
 
 
 def logit_pep(bins: DataFrame, score: str, pep: str, widths: list[float]) -> DataFrame:

@@ -12,9 +12,9 @@ from ..functions import masses
 from ..operators import aggregate as A
 from ..operators import fdr, filters, frames, ordered, quantification, spectra
 from ..operators.inference import evidence_groups, peptide_classes
-from ..operators.lineage import shared_path
+from ..operators.lineage import cut, shared_path
 from ..sources import mztab, peptide_db, runs
-from . import alignment, psm_statistics
+from . import alignment, protein_inference, psm_statistics
 from .driver_queries import LETTERS, MASS_OF, SEQUENCES, _scored, _sequences, _spectra, micros, query, rounded, t
 
 CLASS = "['C1a', 'C1b', 'C2a', 'C2b', 'C3a', 'C3b', 'c1a', '']"
@@ -319,6 +319,49 @@ def scored_protein_groups(spark, sf):
     return rounded(out.select("protein_group", "target_score", "decoy_score", "decoy_bigger"), "target_score", "decoy_score", digits=2)
 
 
+RETURNED = """pp AS (SELECT DISTINCT l_orderkey::VARCHAR AS pep, l_suppkey::VARCHAR AS prot FROM lineitem WHERE l_returnflag = 'R'), ps AS (SELECT pep, list_sort(list(prot)) AS p FROM pp GROUP BY 1), g AS (SELECT DISTINCT p AS g FROM ps)"""
+
+
+def _returned(spark, sf):
+    """Orders as peptides, the suppliers of their returned lines as proteins, each its own locus: (pairs, classes)."""
+    pairs = t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("peptide"), F.col("l_suppkey").cast("string").alias("protein")).distinct()
+    proteins = pairs.select("protein").distinct().withColumns({"locus": F.col("protein"), "sequence": F.lit(None).cast("string")})
+    return pairs, cut(peptide_classes(pairs, proteins))
+
+
+@query(f"""WITH {RETURNED}, n AS (SELECT DISTINCT a.g FROM g a JOIN g b ON list_contains(a.g, b.g[1]) AND list_has_all(a.g, b.g) AND a.g <> b.g), s AS (SELECT g, 'maximal' AS strictness FROM g UNION ALL SELECT g, 'minimal' FROM g WHERE g NOT IN (SELECT g FROM n)),
+o AS (SELECT g, unnest(g) AS prot FROM g), u AS (SELECT 'minimal' AS usage, p AS g, pep FROM ps UNION ALL SELECT DISTINCT 'maximal', g, pep FROM o JOIN pp USING (prot) UNION ALL SELECT 'inverse', g, pep FROM g JOIN pp ON pp.prot = g.g[1] JOIN ps USING (pep) WHERE list_has_all(p, g))
+SELECT strictness, usage, array_to_string(g, ';') AS protein_group, count(*) AS peptides, md5(string_agg(pep, ';' ORDER BY pep)) AS listed FROM s JOIN u USING (g) GROUP BY ALL""")
+def strict_protein_groups(spark, sf):
+    """UDF-26: groups of both strictnesses with their peptides by all usages, through set-containment joins."""
+    pairs, classes = _returned(spark, sf)
+    seqs, out = pairs.select("peptide", F.col("peptide").alias("sequence")), None
+    for strictness in ("maximal", "minimal"):
+        for usage in ("minimal", "maximal", "inverse"):
+            g = evidence_groups(classes, seqs, usage, strictness).select(F.lit(strictness).alias("strictness"), F.lit(usage).alias("usage"), "protein_group", F.size(F.split("peptides", ";")).cast("bigint").alias("peptides"), F.md5("peptides").alias("listed"))
+            out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query(f"""WITH {RETURNED}, x AS (SELECT l_orderkey::VARCHAR AS pep, max(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), t AS (SELECT p, sum(s) AS target FROM ps JOIN x USING (pep) GROUP BY 1),
+d AS (SELECT (l_suppkey + (CASE WHEN l_linenumber > 1 THEN 1000000 ELSE 0 END))::VARCHAR AS prot, sum(s) AS decoy FROM lineitem JOIN x ON x.pep = (l_orderkey + 1)::VARCHAR WHERE l_returnflag = 'A' GROUP BY 1 HAVING sum(s) <> 0),
+m AS (SELECT p, max(coalesce(decoy, 0)) AS decoy FROM (SELECT p, unnest(p) AS prot FROM t) LEFT JOIN d USING (prot) GROUP BY 1),
+a AS (SELECT array_to_string(p, ';') AS grp, target, decoy, false AS alone, decoy > target AS big FROM t JOIN m USING (p) UNION ALL SELECT prot, 0, decoy, true, true FROM d WHERE prot NOT IN (SELECT prot FROM pp)),
+k AS (SELECT CASE WHEN big THEN decoy ELSE target END AS x, count(*) FILTER (big) AS nd, count(*) FILTER (NOT big) AS nt FROM a GROUP BY 1), r AS (SELECT x, sum(nd) OVER (ORDER BY x DESC) / greatest(sum(nt) OVER (ORDER BY x DESC), 1) AS raw FROM k), q AS (SELECT x, min(raw) OVER (ORDER BY x) AS y FROM r),
+e AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2, row_number() OVER (ORDER BY x) AS n, count(*) OVER () AS c FROM q), f AS (SELECT *, CASE WHEN n = 1 THEN '-inf'::DOUBLE ELSE x END AS low FROM e WHERE n < c),
+o AS (SELECT *, CASE WHEN alone THEN decoy ELSE target END AS v FROM a)
+SELECT grp AS "ProteinGroup", round(target, 2) AS "TargetScore", round(decoy, 2) AS "DecoyScore", round(y + (v - x) * (y2 - y) / (x2 - x), 7) AS "QValue" FROM o ASOF JOIN f ON v >= low WHERE NOT alone""")
+def inferred_proteins(spark, sf):
+    """AGG-19/21, UDF-26/27: from identified peptides to groups with q-values, decoy proteins without a group among the knots."""
+    line = t(spark, sf, "lineitem")
+    _, classes = _returned(spark, sf)
+    psms = line.where("l_returnflag = 'R'").select(F.lit("run").alias("file"), F.col("l_orderkey").cast("string").alias("sequence"), F.col("l_extendedprice").alias("score"))
+    other = F.col("l_suppkey") + F.when(F.col("l_linenumber") > 1, 1_000_000).otherwise(0)
+    back = line.where("l_returnflag = 'A'").select(other.cast("string").alias("protein"), (F.col("l_orderkey") + 1).cast("string").alias("peptide"))
+    out = protein_inference.infer_proteins(psms, classes, back)
+    return out.select("ProteinGroup", F.round("TargetScore", 2).alias("TargetScore"), F.round("DecoyScore", 2).alias("DecoyScore"), F.round("QValue", 7).alias("QValue"))
+
+
 @query("""WITH pp AS (SELECT DISTINCT l_partkey AS pep, l_suppkey AS prot, s_nationkey AS locus FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), v AS (SELECT s_nationkey AS locus, count(*) AS n FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) GROUP BY 1),
 g AS (SELECT pep, count(*) AS k, count(DISTINCT locus) AS l, max(v.n) AS n FROM pp JOIN v USING (locus) GROUP BY 1)
 SELECT pep::VARCHAR AS peptide, CASE WHEN k = 1 THEN CASE WHEN n = 1 THEN 'C1a' ELSE 'C1b' END WHEN l = 1 THEN CASE WHEN k = n THEN 'C2a' ELSE 'C2b' END ELSE 'C3b' END AS class FROM g""")
