@@ -136,6 +136,39 @@ def isotonic_pep(bins: DataFrame, score: str, pep: str, weight: str) -> DataFram
     return model.fit(rows).transform(rows).drop("__f", "__w")
 
 
+def spline_basis(x: Column, knots: list[float]) -> list[Column]:
+    """The natural cubic spline basis of ``len(knots)`` knots less its constant: x, then cubic pieces that are straight beyond the knots."""
+    cube = lambda k: F.pow(F.greatest(x - k, F.lit(0.0)), F.lit(3.0))
+    last = knots[-1]
+    piece = lambda k: (cube(k) - cube(last)) / (last - k)
+    return [x, *[piece(k) - piece(knots[-2]) for k in knots[:-2]]]
+
+
+def irls_pep(rows: DataFrame, score: str, decoy: Column, out: str, knots: int = 5) -> DataFrame:
+    """``rows`` with ``out``, the posterior error at their score: the odds of a decoy by logistic regression on a natural cubic spline of
+    the score, fitted by iteratively reweighted least squares (Kall, Storey and Noble 2008), 1 at most.
+
+    Scores are standardised and the knots are quantiles, so the fit sees as many numbers a row as there are knots. Fewer than three
+    distinct knots leave a straight line; only decoys give 1, only targets 0, and a missing score a missing error.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    s = F.col(score).cast("double")
+    some = s.isNotNull() & ~F.isnan(s)
+    at = rows.where(some).agg(F.count("*").alias("n"), F.count_if(decoy).alias("d"), F.avg(s).alias("m"), F.stddev_pop(s).alias("sd"), F.percentile_approx(s, [(i + 0.5) / knots for i in range(knots)], 1000).alias("k")).first()
+    if not at["d"] or at["d"] == at["n"]:
+        return rows.withColumn(out, F.when(some, 1.0 if at["d"] else 0.0))
+    x = (s - at["m"]) / (at["sd"] or 1.0)
+    places = sorted({(k - at["m"]) / (at["sd"] or 1.0) for k in at["k"]})
+    basis = spline_basis(x, places) if len(places) > 2 else [x]
+    names = [f"__b{i}" for i in range(len(basis))]
+    own = rows.where(some).select(decoy.cast("double").alias("label"), *[b.alias(n) for b, n in zip(basis, names, strict=True)])
+    fit = GeneralizedLinearRegression(family="binomial", link="logit", regParam=1e-6, maxIter=25).fit(VectorAssembler(inputCols=names, outputCol="features").transform(own))
+    logit_of = sum((b * float(c) for b, c in zip(basis, fit.coefficients, strict=True)), F.lit(float(fit.intercept)))
+    return rows.withColumn(out, F.when(some, F.least(F.lit(1.0), F.exp(F.least(logit_of, F.lit(50.0))))))
+
+
 def logistic_curve(rows: DataFrame, score: str, label: Column) -> tuple[float, float]:
     """(intercept, slope) of the univariate logistic regression of a 0/1 label on a score."""
     from pyspark.ml.classification import LogisticRegression

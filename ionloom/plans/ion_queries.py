@@ -514,14 +514,14 @@ def _run_ions(spark, sf):
 @query()
 def run_alignment(spark, sf):
     """JN-20/21, UDF-33, JN-19: ions that a run lacks, from the source whose spline predicts best."""
-    return alignment.align(_run_ions(spark, sf), lams=(1, 10, 100))[0]
+    return alignment.align(_run_ions(spark, sf))[0]
 
 
 @query()
 def alignment_metrics(spark, sf):
     """UDF-32: held-out ions before and after warping."""
     ions = _run_ions(spark, sf)
-    held = alignment.align(ions, lams=(1, 10, 100))[1]
+    held = alignment.align(ions)[1]
     traces = ions.select("run", "sequence", "global_mod", "charge", F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda i: F.col("rt") + i).alias("rt_trace"), F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda i: F.col("intensity") / (1 + i * i)).alias("trace"))
     return alignment.metrics(held, traces)
 
@@ -535,23 +535,27 @@ def mass_error_model(spark, sf):
 
 
 def _psms(spark, sf):
-    d = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "n_chars", "source"), "doc_id")
-    n, h = F.col("n_chars").cast("double"), F.pmod(F.xxhash64("doc_id"), F.lit(97))
-    cols = {c: (n / (i + 2) + h * (i % 3)).alias(c) for i, c in enumerate(psm_statistics.SCORES)}
-    return d.select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(-1).alias("Label"), (F.col("doc_id") % 4 + 2).cast("int").alias("Charge"), (n / 3).alias("PrecursorMZ"), n.alias("TheoMass"), (h / 100).alias("AbsDeltaMass"), (F.col("n_chars") % 30).cast("int").alias("PeptideLength"), (F.col("doc_id") % 3).cast("int").alias("MissCleavages"), *cols.values())
+    """Labelled documents as hits, three of each scan; scores are shares of full stops, symbols, spaces, capitals and lines."""
+    d = t(spark, sf, "labels").where("quality IS NOT NULL").join(t(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    n = F.greatest(F.length("text"), F.lit(1)).cast("double")
+    share = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))) / n
+    dots, symbols, spaces, capitals, lines = share("."), share("#*$%&|<>"), share(" "), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("\n")
+    scores = [100 * dots - 30 * symbols, dots, symbols, 10 * dots + spaces, spaces, capitals, dots - lines, lines, capitals - dots]
+    cols = [v.alias(c) for c, v in zip(psm_statistics.SCORES, scores, strict=True)]
+    return d.select("doc_id", F.col("doc_id").cast("string").alias("PSMId"), F.floor(F.col("doc_id") / 3).alias("ScanNr"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("Label"), (F.col("doc_id") % 4 + 2).cast("int").alias("Charge"), (n / 3).alias("PrecursorMZ"), n.alias("TheoMass"), (100 * spaces).alias("AbsDeltaMass"), (F.col("n_chars") % 30).cast("int").alias("PeptideLength"), (F.col("doc_id") % 3).cast("int").alias("MissCleavages"), *cols)
 
 
 @query()
 def iterated_scorer(spark, sf):
-    """UDF-18, SNK-04: boosted trees trained in rounds on their own confident hits."""
-    return psm_statistics.iterated_scores(_psms(spark, sf), psm_statistics.ScorerParams(train_q=0.5, max_rounds=2, trees=3))[0].select("doc_id", "Label", "ModelScore", "QValue")
+    """UDF-17/18, SNK-04: boosted trees trained in rounds on the confident hits of the round before, with the thresholds and rounds that are the default."""
+    return psm_statistics.scored_psms(_psms(spark, sf))[0].select("doc_id", "Label", "ModelScore", "QValue", "PEPValue")
 
 
 @query()
 def alignment_scores(spark, sf):
     """UDF-19."""
     x = _psms(spark, sf).withColumn("good", F.col("Label") == 1)
-    return alignment.alignment_scores(x, ["SequestScore", "AndroScore", "AbsDeltaMass"], F.col("good"), "doc_id", trees=3)
+    return alignment.alignment_scores(x, ["SequestScore", "AndroScore", "AbsDeltaMass"], F.col("good"), "doc_id")
 
 
 @query()

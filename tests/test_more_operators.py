@@ -338,20 +338,6 @@ def test_pep_models(spark):
     assert fdr.q_values(bins, "mean_score", F.col("n") == 5, None).where("q_value is not null").count() == 0
 
 
-def test_iterated_scorer(spark):
-    r = random.Random(5)
-    names = ["PrecursorMZ", "TheoMass", "AbsDeltaMass", *psm_statistics.SCORES]
-    rows = []
-    for i in range(300):
-        good = i % 3 > 0
-        rows.append((i, 1 if i % 2 else -1, 2 + i % 3, 10, 0, *[r.gauss(2.0 if good and i % 2 else 0.0, 1.0) for _ in names]))
-    df = spark.createDataFrame(rows, "id int, Label int, Charge int, PeptideLength int, MissCleavages int, " + ", ".join(f"{n} double" for n in names))
-    scored, hits = psm_statistics.iterated_scores(df, psm_statistics.ScorerParams(train_q=0.1, max_rounds=2, trees=3))
-    assert hits[1] >= hits[0] > 0 and scored.count() == 300
-    none, _ = psm_statistics.iterated_scores(df.where("Label = 1"), psm_statistics.ScorerParams(max_rounds=1))
-    assert none.count() == 0 and none.columns == scored.columns
-
-
 def test_alignment_transfers_from_the_best_source(spark):
     r = random.Random(6)
     rows = [(run, f"S{i:03d}", 0, 2, i * 0.5 + shift + r.gauss(0, noise), 100.0 + i) for run, shift, noise in (("t", 0.0, 0.01), ("near", 3.0, 0.01), ("far", 7.0, 3.0)) for i in range(60) if not (run == "t" and i % 10 == 4)]
