@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .grid import Axis, grid_join
 from .joins import range_join
+from .quantiles import exact_quantiles
 from .signal import als_baseline, best_spline, gaussian_area, savitzky_golay, smoothing_spline
 
 FIELDS = ("mz", "quant", "apex", "seo", "amplitude", "center", "sd", "tau", "difference")
@@ -272,7 +273,7 @@ def mass_error_model(errors: DataFrame, run: str, seed_order: str, min_minutes:
 
     ``errors``: run, rt, error. What a run's fit sees is the mean of each tenth of a minute, so its size follows the run's length, not its rows.
     """
-    spans = errors.groupBy(run).agg(F.count("*").alias("n"), F.min("rt").alias("a"), F.max("rt").alias("z"), F.percentile_approx("error", 0.5, 10_000).alias("middle"))
+    spans = errors.groupBy(run).agg(F.count("*").alias("n"), F.min("rt").alias("a"), F.max("rt").alias("z")).join(exact_quantiles(errors, [run], "error", {"middle": 0.5}), run)
     means = errors.groupBy(run, F.floor(F.col("rt") * 10).alias("cell")).agg(F.avg("rt").alias("rt"), F.avg("error").alias("error"))
     rows = means.join(spans, run)
 

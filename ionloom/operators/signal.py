@@ -142,7 +142,7 @@ def refined_sd(y: np.ndarray, at: int, sd: float) -> float:
 
 
 #: Up to so many overlapping shapes every subset is tried (Akaike's criterion); of more, shapes are taken up one by one.
-EXHAUSTIVE = 12
+EXHAUSTIVE = 15
 
 
 def best_subset(shapes: np.ndarray, y: np.ndarray) -> tuple[list[int], np.ndarray]:

@@ -637,7 +637,7 @@ def spectrum_scores(spark, sf):
     return spectra.score_spectra(x, _sequences(spark, sf), 5.0, 0.5)
 
 
-#: The reference's number of random spectra (peptideSpectrumMatchingParams.json, NrOfRndSpectra).
+#: Fixed value: the search's default number of random spectra.
 RANDOM_SPECTRA = 10_000
 
 
