@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import html
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -51,8 +52,8 @@ def pair_files(left: Iterable[str], right: Iterable[str]) -> tuple[list[tuple[st
     return pairs, [p for s, p in [*a.items(), *b.items()] if (s in a) != (s in b)]
 
 
-def _parsed(xml: str) -> tuple | None:
-    """(id, ms_level, rt in minutes, precursor m/z, peaks) of one spectrum element."""
+def spectrum_head(xml: str) -> tuple | None:
+    """(id, ms_level, rt in minutes, precursor m/z) of one spectrum element; no peak is decoded."""
     if (head := re.match(r'[^>]*?\bid="([^"]*)"', xml)) is None:
         return None
     terms = {m[1]: m[0] for m in re.finditer(r'<cvParam\b[^>]*?accession="([^"]+)"[^>]*>', xml.split("<binaryDataArrayList", 1)[0])}
@@ -60,6 +61,12 @@ def _parsed(xml: str) -> tuple | None:
     rt = value(SCAN_START)
     if rt is not None and SECONDS in terms[SCAN_START]:
         rt /= 60
+    level = value(MS_LEVEL)
+    return html.unescape(head[1]), None if level is None else int(level), rt, value(ION_MZ)
+
+
+def spectrum_peaks(xml: str) -> list[dict[str, float]]:
+    """The peaks of one spectrum element."""
     found: dict[str, np.ndarray] = {}
     for part in re.findall(r"<binaryDataArray\b.*?</binaryDataArray>", xml, re.S):
         raw = base64.b64decode(re.search(r"<binary>(.*?)</binary>|<binary\s*/>", part, re.S)[1] or "")
@@ -67,8 +74,7 @@ def _parsed(xml: str) -> tuple | None:
             raw = zlib.decompress(raw)
         found["mz" if MZ_ARRAY in part else "i" if INTENSITY_ARRAY in part else "other"] = np.frombuffer(raw, "<f8" if FLOAT_64 in part else "<f4").astype(float)
     mz, it = found.get("mz", np.empty(0)), found.get("i", np.empty(0))
-    level = value(MS_LEVEL)
-    return head[1], None if level is None else int(level), rt, value(ION_MZ), [{"mz": a, "intensity": b} for a, b in zip(mz.tolist(), it.tolist(), strict=True)]
+    return [{"mz": a, "intensity": b} for a, b in zip(mz.tolist(), it.tolist(), strict=True)]
 
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +83,8 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [x for v in b["value"] if (x := _parsed(v.split("</spectrum>", 1)[0])) is not None]
+            own = [v.split("</spectrum>", 1)[0] for v in b["value"]]
+            got = [(*head, spectrum_peaks(x)) for x in own if (head := spectrum_head(x)) is not None]
             yield pd.DataFrame(got, columns=["id", "ms_level", "rt", "precursor_mz", "peaks"])
 
     return rows.mapInPandas(run, SPECTRA)
