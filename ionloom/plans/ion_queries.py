@@ -10,10 +10,10 @@ from ..functions import columns as C
 from ..functions import identifiers as I
 from ..functions import masses
 from ..operators import aggregate as A
-from ..operators import fdr, filters, frames, ordered, quantification, spectra
+from ..operators import fdr, filters, frames, ordered, quantification, similarity, spectra, tolerant
 from ..operators.inference import evidence_groups, peptide_classes
 from ..operators.lineage import cut, shared_path
-from ..sources import mztab, peptide_db, runs
+from ..sources import clustered, mztab, peptide_db, runs
 from . import alignment, protein_inference, psm_statistics
 from .driver_queries import LETTERS, MASS_OF, SEQUENCES, _scored, _sequences, _spectra, micros, query, rounded, t
 
@@ -257,6 +257,50 @@ def retention_index(spark, sf):
     return rounded(out.select("bucket", "first_rt", "last_rt", F.size("ids").alias("n")), "first_rt", "last_rt", digits=6)
 
 
+@query("""WITH w AS (SELECT event_id, event_type AS run, value - 0.25 AS low, value + 0.25 AS high FROM events WHERE value BETWEEN 30 AND 40 AND event_type IN ('purchase', 'error')),
+s AS (SELECT event_type AS run, event_id::VARCHAR AS id, value AS rt FROM events)
+SELECT event_id, count(*) AS spectra, min(id) AS first, round(max(rt), 6) AS last_rt FROM w JOIN s ON s.run = w.run AND rt BETWEEN low AND high GROUP BY 1""")
+def time_windows(spark, sf):
+    """SRC-17/18, FLT-09: spectra of time windows from a table clustered by run and time, of which only the windows' files are read."""
+    e, path = t(spark, sf, "events"), shared_path(spark, "spectra")
+    clustered.write_clustered(_runs_spectra(spark, sf).drop("rt").join(e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("run"), F.col("value").alias("rt")), "id"), path, 64)
+    w = e.where("value BETWEEN 30 AND 40 AND event_type IN ('purchase', 'error')").select("event_id", F.col("event_type").alias("run"), (F.col("value") - 0.25).alias("low"), (F.col("value") + 0.25).alias("high"))
+    out = clustered.read_windows(spark, path, w, 0.5)
+    return out.groupBy("event_id").agg(F.count("*").alias("spectra"), F.min("id").alias("first"), F.round(F.max("rt"), 6).alias("last_rt"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS id, l_suppkey AS bin, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), u AS (SELECT id, bin, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM b)
+SELECT x.id AS query_id, y.id AS id, round(sum(x.w * y.w), 6) AS cosine FROM u x JOIN u y ON x.bin = y.bin AND x.id <> y.id WHERE x.id % 50 = 0 GROUP BY ALL HAVING sum(x.w * y.w) >= 0.7""")
+def similar_vectors(spark, sf):
+    """AGG-17: sparse vectors (an order's quantities by supplier) near to every one whose id is divisible by 50, by prefixes of an inverted index."""
+    b = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("bin"), F.col("l_quantity").alias("w"))
+    return rounded(similarity.similar(b, F.col("id") % 50 == 0, 0.7), "cosine", digits=6)
+
+
+def _half_life(row):
+    """Fails for the rows that are planted to: no number, a number of zero, one that is too large."""
+    k = int(row.props[6:-1]) if row.event_type != "error" else int(row.event_type)
+    if k > 90:
+        raise ValueError(f"{k} is too large")
+    return {"event_id": row.event_id, "share": 1000 // k}
+
+
+@query("""WITH e AS (SELECT event_id, event_type, value, (props->>'k')::BIGINT AS k FROM events),
+f AS (SELECT *, CASE WHEN event_type = 'error' THEN 'ValueError' WHEN k > 90 THEN 'ValueError' WHEN k = 0 THEN 'ZeroDivisionError' END AS kind, CASE WHEN event_type <> 'error' AND k > 90 THEN k || ' is too large' END AS message FROM e)
+SELECT event_id, 'share' AS stage, kind, message, NULL AS share FROM f WHERE kind IS NOT NULL UNION ALL
+SELECT event_id, 'range', 'Check', 'share ' || (1000 // k) || ' below 15', NULL FROM f WHERE kind IS NULL AND 1000 // k < 15 UNION ALL
+SELECT event_id, NULL, NULL, NULL, 1000 // k FROM f WHERE kind IS NULL AND 1000 // k >= 15""")
+def tolerant_rows(spark, sf):
+    """FLT-28: rows that fail go to a second frame with stage, kind and message, the others on to the next stage; both frames, told apart by the stage."""
+    e = t(spark, sf, "events").select("event_id", "event_type", "props")
+    out = tolerant.tolerant(e).map("share", ["event_id"], _half_life, "event_id bigint, share bigint")
+    out = out.check("range", ["event_id"], F.col("share") >= 15, F.concat(F.lit("share "), F.col("share"), F.lit(" below 15")))
+    plain = F.when(F.col("kind").isin("Check") | F.col("message").endswith("too large"), F.col("message"))  # Python's own words may change with its version
+    none = {c: F.lit(None).cast("string") for c in ("stage", "kind", "message")}
+    bad = out.bad.select("event_id", "stage", "kind", plain.alias("message"), F.lit(None).cast("bigint").alias("share"))
+    return bad.unionByName(out.good.withColumns(none))
+
+
 @query("SELECT event_id::VARCHAR AS id, value AS mz, 2.0::DOUBLE AS intensity FROM events WHERE event_id % 7 = 0")
 def spectrum_peaks(spark, sf):
     """SRC-17: peaks of wanted spectra as two arrays."""
