@@ -10,7 +10,7 @@ Examples are ordered so that those of like terms are neighbours and cut into blo
 
 Search. A text's terms bound its cosine with every example of a block by the sum of products with the block's
 largest weights. Blocks are scored whole, the highest bound first, until no bound reaches the k-th cosine, so the
-k nearest examples are exact (ties: smaller example number).
+k nearest examples are exact (cosines of 9 decimals, ties: first places in the index).
 
 Score. Neighbours vote for their label by their cosine, each label weighted by how many labelled texts an example of
 it stands for, and ``smoothing`` votes are cast by the share of toxic texts among those without a term.
@@ -21,19 +21,24 @@ violators), which turns a vote into a calibrated score.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 6)
 LEVELS = (1, 2, 4, 8, 16)
+#: Cosines count by so many decimals, so that rounding does not decide among equal ones.
+DECIMALS = 9
+#: Results of so many different term sets are kept by a worker, which changes speed but not results.
+KNOWN = 20_000
 
 
 @dataclass(frozen=True)
@@ -70,13 +75,30 @@ def terms(text: str | None) -> list[str]:
     return [f"{x} {k}" for x, n in stems(text).items() for k in LEVELS if n >= k]
 
 
-def by_stem(of: Iterable[str]) -> dict[str, list[int]]:
-    """The levels of each stem among terms."""
-    out: dict[str, list[int]] = {}
-    for t in of:
-        stem, level = t.split(" ")
-        out.setdefault(stem, []).append(int(level))
-    return out
+class Stems:
+    """The stems of given terms with their levels, and the terms among them that a text has."""
+
+    def __init__(self, of: Iterable[str]):
+        self.levels: dict[str, list[int]] = {}
+        for t in dict.fromkeys(of):
+            stem, level = t.split(" ")
+            self.levels.setdefault(stem, []).append(int(level))
+        whole = [x for x in self.levels if not x.endswith("~")]
+        self.words = set(whole)
+        self.heads = [(n, itemgetter(slice(0, n)), {x[:-1] for x in self.levels if x.endswith("~") and len(x) == n + 1}) for n in BEGINNINGS]
+
+    def terms_of(self, text: str | None) -> list[str]:
+        """As ``terms`` has them, of the known ones: texts are asked for any known beginning before one is counted."""
+        if not text:
+            return []
+        c = Counter(WORD.findall(text.lower()))
+        found = {w: c[w] for w in self.words & c.keys()}
+        for n, head, known in self.heads:
+            if known and not known.isdisjoint(map(head, c)):
+                for w, k in c.items():
+                    if w[:n] in known and len(w) > n:
+                        found[w[:n] + "~"] = found.get(w[:n] + "~", 0) + k
+        return [f"{x} {k}" for x, n in found.items() for k in self.levels[x] if n >= k]
 
 
 @dataclass
@@ -98,12 +120,7 @@ class Index:
     knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def __post_init__(self) -> None:
-        self.stems = by_stem(self.terms)
-
-    def terms_of(self, text: str | None) -> list[str]:
-        """The terms of a text that the index knows."""
-        counts, known = stems(text), self.stems
-        return [f"{x} {k}" for x in known.keys() & counts.keys() for k in known[x] if counts[x] >= k]
+        self.stems = Stems(self.terms)
 
     def vector(self, present: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of a text's terms those in the index, in order, and their unit weights."""
@@ -112,28 +129,30 @@ class Index:
         return t, w / (np.sqrt((w * w).sum()) or 1)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a term of the text, nearest first, the example ``own`` left out."""
+        """(places, cosines) of the k nearest examples with a term of the text, nearest first (ties: first places), without the example ``own``."""
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(t) or not len(self.ids):
             return none
-        bounds = w @ self.most[t]
+        # Sums of rounded products may pass their bound by a few units in the last place.
+        bounds = np.round((w @ self.most[t]) * (1 + 1e-12), DECIMALS)
         at, cosines = none
-        for b in np.argsort(-bounds, kind="stable"):
-            # Sums of rounded products may pass their bound by a few units in the last place.
-            if bounds[b] <= 0 or len(at) >= k and bounds[b] * (1 + 1e-12) < cosines[k - 1]:
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= 0 or len(at) == k and bounds[b] < cosines[-1]:
                 break
+            if len(at) == k and bounds[b] == cosines[-1] and b * self.block > at[-1]:
+                continue  # could tie with the last at best, and ties go to first places
             sizes = self.starts[b, t + 1] - self.starts[b, t]
             post = np.repeat(self.starts[b, t] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            found = np.bincount(self.places[post], np.repeat(w, sizes) * self.weights[post], self.block)
+            found = np.round(np.bincount(self.places[post], np.repeat(w, sizes) * self.weights[post], self.block), DECIMALS)
             new = np.flatnonzero(found)
             new, found = new + b * self.block, found[new]
-            keep = self.ids[new] != own
-            at, cosines = np.concatenate([at, new[keep]]), np.concatenate([cosines, found[keep]])
-            if len(at) >= k:
-                order = np.lexsort((self.ids[at], -cosines))[:k]
-                at, cosines = at[order], cosines[order]
-        order = np.lexsort((self.ids[at], -cosines))
-        return at[order], cosines[order]
+            if own >= 0:
+                keep = self.ids[new] != own
+                new, found = new[keep], found[keep]
+            at, cosines = np.concatenate([at, new]), np.concatenate([cosines, found])
+            order = np.lexsort((at, -cosines))[:k]
+            at, cosines = at[order], cosines[order]
+        return at, cosines
 
     def vote(self, at: np.ndarray, cosines: np.ndarray, smoothing: float) -> float:
         """The share of toxic votes, 0 to 1."""
@@ -213,14 +232,13 @@ def term_rows(texts: DataFrame) -> DataFrame:
 
 def frequencies(docs: DataFrame, of: list[str]) -> dict[str, int]:
     """Documents that hold each of the terms, over all documents, and under "" all of them; each task sends a row per term at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(by_stem(of))
+    shared = docs.sparkSession.sparkContext.broadcast(Stems(of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = Counter(), shared.value
         for b in batches:
             for t in b.column(0):
-                counts = stems(t.as_py())
-                seen.update(["", *(f"{x} {k}" for x in known.keys() & counts.keys() for k in known[x] if counts[x] >= k)])
+                seen.update(["", *known.terms_of(t.as_py())])
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
     return {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -278,15 +296,21 @@ def classify(docs: DataFrame, index: Index, p: ToxicityParams = ToxicityParams()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
-        name = [*x.terms]
+        name, kept = [*x.terms], {}
         for b in batches:
-            scores, found, heavy = [], [], []
+            rows = []
             for text in b.column(2):
-                t, w = x.vector(x.terms_of(text.as_py()))
-                at, cosines = x.nearest(t, w, p.neighbours)
-                scores.append(x.score(x.vote(at, cosines, p.smoothing)))
-                found.append([{"cosine": c, "toxic": int(y)} for c, y in zip(cosines[: p.evidence].tolist(), x.labels[at[: p.evidence]], strict=True)])
-                heavy.append([name[k] for k in t[np.argsort(-w, kind="stable")[: p.evidence]]])
+                t, w = x.vector(x.stems.terms_of(text.as_py()))
+                row = kept.get(key := t.tobytes())
+                if row is None:
+                    at, cosines = x.nearest(t, w, p.neighbours)
+                    near_by = [{"cosine": c, "toxic": int(y)} for c, y in zip(cosines[: p.evidence].tolist(), x.labels[at[: p.evidence]], strict=True)]
+                    row = x.score(x.vote(at, cosines, p.smoothing)), near_by, [name[k] for k in t[np.argsort(-w, kind="stable")[: p.evidence]]]
+                    if len(kept) >= KNOWN:
+                        kept.clear()
+                    kept[key] = row
+                rows.append(row)
+            scores, found, heavy = zip(*rows, strict=True) if rows else ((), (), ())
             said = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), said, pa.array(found, near), pa.array(heavy, pa.list_(pa.string()))], ["i", "o", "score", "predicted", "nearest", "terms"])
 

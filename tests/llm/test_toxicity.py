@@ -36,7 +36,9 @@ def test_nearest_are_exact(block):
             at, cosines = index.nearest(*index.vector(q), 7, own)
             want = sorted((-_cosine(q, v, idf), i) for i, v in vectors.items() if i != own and set(q) & set(v))[:7]
             assert cosines.tolist() == pytest.approx([-c for c, _ in want])
-            # Cosines that are equal but for rounding may stand in either order.
+            # Equal cosines stand in order of their places.
+            assert all(a < b for a, b, x, y in zip(at, at[1:], cosines, cosines[1:]) if x == y)
+            assert not [i for i, e in enumerate(index.ids.tolist()) if e != own and round(_cosine(q, vectors[e], idf), 6) == round(cosines[-1], 6) and cosines[-1] > 0 and i < at[cosines.round(6) == cosines[-1].round(6)].max() and i not in at] if len(at) == 7 else True
             assert all(_cosine(q, vectors[i], idf) == pytest.approx(c) for i, c in zip(index.ids[at].tolist(), cosines, strict=True))
             assert [labels[i] for i in index.ids[at].tolist()] == index.labels[at].tolist()
             weight = sum((1 + labels[i]) * c for i, c in zip(index.ids[at].tolist(), cosines, strict=True))
@@ -45,10 +47,10 @@ def test_nearest_are_exact(block):
             assert index.vote(at, cosines, 2.0) == pytest.approx((toxic + 0.5) / (weight + 2.0))
 
 
-def test_equal_cosines_go_to_the_smaller_example():
+def test_equal_cosines_go_to_first_places():
     index = toxicity.build({i: ["a 1"] for i in range(200)}, dict.fromkeys(range(200), 1), dict.fromkeys(range(200), 1.0), {"a 1": 1.0}, 16)
     at, cosines = index.nearest(*index.vector(["a 1"]), 5)
-    assert index.ids[at].tolist() == [0, 1, 2, 3, 4] and cosines.tolist() == [1.0] * 5
+    assert at.tolist() == [0, 1, 2, 3, 4] and cosines.tolist() == [1.0] * 5
     assert index.ids[index.nearest(*index.vector(["a 1"]), 3, 1)[0]].tolist() == [0, 2, 3]
 
 
@@ -79,6 +81,18 @@ def test_rising_is_the_least_squares_rising_fit():
             assert fit[x == v] == pytest.approx(want)
 
 
+def test_known_terms_are_those_of_all(monkeypatch):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randint(1, 8)))
+    for _ in range(60):
+        text = " ".join(word() for _ in range(r.randint(0, 40)))
+        every = toxicity.terms(text)
+        known = toxicity.Stems([*r.sample(every, min(6, len(every))), "abab~ 1", "zz 1", "ab 2"])
+        asked = {f"{x} {k}" for x, ks in known.levels.items() for k in ks}
+        assert sorted(known.terms_of(text)) == sorted(set(every) & asked)
+    assert toxicity.Stems([]).terms_of("a b") == [] == toxicity.Stems(["a 1"]).terms_of(None)
+
+
 def test_stems_have_levels():
     got = toxicity.terms("Moron moron, MORONIC moron moron 12")
     assert {"moron 1", "moron 2", "moron 4", "moronic 1", "moro~ 4", "moroni~ 1", "12 1"} <= set(got) and "moron 8" not in got
