@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import all_of, inverse, transform
 from .quantiles import exact_quantiles
 
-AGGREGATES = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max}
+#: Aggregates that a shuffle combines; ``median`` is the one besides, see ``grouped_values``.
+AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,21 @@ def with_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(side, [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys], "left").drop(*[f"__g_{k}" for k in keys])
 
 
+def grouped_values(df: DataFrame, keys: list[str], values: dict[str, tuple[str, str]], also: list[Column] | None = None) -> DataFrame:
+    """One row per group: ``values`` maps a column to (aggregate, column of ``df``); ``also`` are further aggregates.
+
+    A median by Spark's own function would hold all distinct values of its group in one buffer, so medians are ``exact_quantiles``,
+    joined to the groups; the other aggregates are one shuffle.
+    """
+    plain = [AGGREGATES[f](c).alias(n) for n, (f, c) in values.items() if f != "median"]
+    out = df.groupBy(*keys).agg(*(plain + (also or []) or [F.count("*").alias("__n")]))
+    rest = [c for c in out.columns if c not in {*keys, *values, "__n"}]
+    for n, (f, c) in values.items():
+        if f == "median":
+            out = with_stats(out, exact_quantiles(df, keys, c, {n: 0.5}), keys)
+    return out.select(*keys, *values, *rest)
+
+
 def group_filter(df: DataFrame, value: str, f: GroupFilter, keys: list[str], out: str) -> DataFrame:
     """``df`` with ``out``: whether a row's value passes the filter of its group. Missing values are no part of a group.
 
@@ -90,11 +106,10 @@ def tested(df: DataFrame, channel: Channel, keys: list[str], value: str) -> tupl
 
 
 def aggregate(df: DataFrame, keys: list[str], channels: dict[str, Channel], also: list[Column] | None = None) -> DataFrame:
-    """One row per group with a surviving value: each channel's aggregate under its name. One shuffle."""
+    """One row per group with a surviving value: each channel's aggregate under its name."""
     for name, c in channels.items():
         df = filtered(df, c, keys, f"__{name}")
-    cols = [AGGREGATES[c.agg](f"__{name}").alias(name) for name, c in channels.items()]
-    out = df.groupBy(*keys).agg(*cols, *(also or []))
+    out = grouped_values(df, keys, {name: (c.agg, f"__{name}") for name, c in channels.items()}, also)
     return out.where(F.coalesce(*channels).isNotNull())
 
 
@@ -107,7 +122,7 @@ def dispersion(value: str, out: str) -> list[Column]:
 def tukey_aggregate(df: DataFrame, keys: list[str], column: str, k: float, scale: str, agg: str, out: str) -> DataFrame:
     """Aggregate after dropping what lies outside Tukey fences on a transformed scale."""
     kept = filtered(df, Channel(column, scale, group_filters=(GroupFilter("tukey", k),)), keys, "__v")
-    return kept.withColumn("__v", inverse(F.col("__v"), scale)).groupBy(*keys).agg(AGGREGATES[agg]("__v").alias(out))
+    return grouped_values(kept.withColumn("__v", inverse(F.col("__v"), scale)), keys, {out: (agg, "__v")})
 
 
 def roll_up(df: DataFrame, levels: list[list[str]], channels: dict[str, Channel]) -> DataFrame:
@@ -132,8 +147,16 @@ def histogram(df: DataFrame, score: str, width: float, decoy: Column) -> DataFra
     """Fixed-width bins: centre, entries, decoys and the median score."""
     if width <= 0:
         raise ValueError("the bin width must be positive")
-    bin_ = F.floor(F.col(score) / width)
-    return df.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.count_if(decoy).alias("decoys"), F.median(score).alias("median_score")).withColumn("centre", F.col("bin") * width + width / 2)
+    rows = df.select(F.floor(F.col(score) / width).alias("bin"), F.col(score).alias("__s"), decoy.alias("__d"))
+    out = grouped_values(rows, ["bin"], {"median_score": ("median", "__s")}, [F.count("*").alias("n"), F.count_if("__d").alias("decoys")])
+    return out.withColumn("centre", F.col("bin") * width + width / 2)
+
+
+def kernel_bandwidth(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """One row per group: 0.9 * min(standard deviation, interquartile range / 1.34) * n ** -0.2 (Silverman's rule)."""
+    per = df.groupBy(*keys).agg(F.stddev_samp(value).alias("__sd"), F.count("*").cast("double").alias("__n"))
+    per = with_stats(per, exact_quantiles(df, keys, value, {"__q1": 0.25, "__q3": 0.75}), keys)
+    return per.select(*keys, (0.9 * F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34) * F.pow("__n", F.lit(-0.2))).alias(out))
 
 
 def weighted_mean(value: str, weight: str) -> Column:

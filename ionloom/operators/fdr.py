@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bare_sequence
@@ -13,6 +13,10 @@ from ..functions.identifiers import logit
 from .ordered import running, top_k
 
 
+#: Parts that rows of one score are dealt to where they join its q-value.
+SALTS = 8
+
+
 def storey_q(df: DataFrame, score: str, decoy: Column, key: list[str] | None = None) -> DataFrame:
     """score, decoys, targets, q_value per distinct score: decoys over targets from the top, made monotone from the bottom.
 
@@ -30,14 +34,21 @@ def q_between(knots: DataFrame, rows: DataFrame, score: str, q: str = "q_value",
     with ``outside`` = ``linear`` that of the line through the last two knots (missing for fewer than two)."""
     on = on or []
     k = knots.select(*on, F.col(score).cast("double").alias("__x"), F.struct(F.col(score).cast("double").alias("x"), F.col(q).alias("y")).alias("__k"))
-    r = rows.select(*on, F.col(score).cast("double").alias("__x"), F.struct(*rows.columns).alias("__r"))
-    both = k.unionByName(r, allowMissingColumns=True).withColumn("__row", F.col("__k").isNull())
+    # Scores are looked up once each, so rows of a common score are not in one range; they join the value back by parts of their own.
+    x = F.col(score).cast("double")
+    distinct = rows.select(*on, x.alias("__x")).distinct()
+    both = k.unionByName(distinct, allowMissingColumns=True).withColumn("__row", F.col("__k").isNull())
     both = running(both, on, [F.col("__x"), F.col("__row")], {"__low": ("last", "__k")})
     both = running(both, on, [F.col("__x").desc(), F.col("__row")], {"__high": ("last", "__k")}).where("__row")
-    low, high, x = F.col("__low"), F.col("__high"), F.col("__x")
-    inside = low["y"] + (high["y"] - low["y"]) * F.try_divide(x - low["x"], high["x"] - low["x"])
+    low, high = F.col("__low"), F.col("__high")
+    inside = low["y"] + (high["y"] - low["y"]) * F.try_divide(F.col("__x") - low["x"], high["x"] - low["x"])
     value = F.when(low.isNull(), high["y"]).when(high.isNull() | (low["x"] == high["x"]), low["y"]).otherwise(inside)
-    out = both.select("__r.*", value.alias(q))
+    found = both.select(*[F.col(c).alias(f"__on_{c}") for c in on], F.col("__x").alias("__at"), value.alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    # A few columns are enough to deal rows out, and the optimizer's constraints on the sum double with each column in it.
+    plain = [F.col(f"`{c}`") for c, kind in rows.dtypes if c not in on and c != score and "<" not in kind][:3] or [x]
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    met = salted.join(found, [x.eqNullSafe(F.col("__at")), F.col("__part") == F.col("__salt"), *[F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]], "left")
+    out = met.select(*[F.col(f"`{c}`") for c in rows.columns if c != q], F.col("__q").alias(q))
     return out if outside == "nearest" else _beyond(k, out, score, q, on)
 
 
@@ -198,13 +209,12 @@ def q_values(df: DataFrame, score: str, decoy: Column, method: str | None, width
 def binned_pep(df: DataFrame, score: str, decoy: Column, width: float, pi0: float = 1.0) -> DataFrame:
     """Per score bin: mean score, scaled posterior error, and q from the sums over this bin and all above."""
     bins = df.groupBy(F.floor(F.col(score) / width).alias("bin")).agg(F.avg(score).alias("mean_score"), F.count_if(decoy).alias("decoys"), F.count("*").alias("n"))
-    every = Window.partitionBy()
-    above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("decoys").over(every) / F.sum("n").over(every)
-    scale = F.try_divide(F.lit(1.0), 2 * share)
+    total = bins.agg(F.sum("decoys").alias("__all_d"), F.sum("n").alias("__all_n"))
+    rows = running(bins, [], [F.col("bin").desc()], {"__d": ("sum", "decoys"), "__n": ("sum", "n")}).crossJoin(F.broadcast(total))
+    scale = F.try_divide(F.lit(1.0), 2 * F.col("__all_d") / F.col("__all_n"))
     pep = scale * pi0 * 2 * F.col("decoys") / F.col("n")
-    q = scale * pi0 * 2 * F.sum("decoys").over(above) / F.sum("n").over(above)
-    return bins.withColumn("pep", pep).withColumn("q_value", q)
+    q = scale * pi0 * 2 * F.col("__d") / F.col("__n")
+    return rows.withColumn("pep", pep).withColumn("q_value", q).select(*bins.columns, "pep", "q_value")
 
 
 def decoy_ratio(df: DataFrame, decoy: Column, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from .aggregate import AGGREGATES
+from .aggregate import grouped_values
 
 
 def _missing(df: DataFrame, c: str) -> Column:
@@ -94,7 +94,7 @@ def lookup_or_fail(left: DataFrame, right: DataFrame, keys: list[str], columns:
 def apply_level(df: DataFrame, keys: list[str], columns: list[str], agg: str, other: str, exceptions: Iterable[str]) -> DataFrame:
     """One row per key: ``columns`` by ``agg``, those in ``exceptions`` by ``other``."""
     odd = set(exceptions)
-    return df.groupBy(*keys).agg(*[AGGREGATES[other if c in odd else agg](c).alias(c) for c in columns])
+    return grouped_values(df, keys, {c: (other if c in odd else agg, c) for c in columns})
 
 
 def expand_rows(df: DataFrame, column: str, separator: str = ";") -> DataFrame:

@@ -78,8 +78,8 @@ def labeled_ratio_rollup(spark, sf):
 @query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 4) AS mean_q, median(l_quantity) AS median_q, sum(l_quantity) AS sum_q FROM lineitem GROUP BY ALL")
 def agg_mean_median_sum(spark, sf):
     """AGG-02/03."""
-    g = t(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus")
-    return rounded(g.agg(F.avg("l_quantity").alias("mean_q"), F.median("l_quantity").alias("median_q"), F.sum("l_quantity").alias("sum_q")), "mean_q")
+    q = "l_quantity"
+    return rounded(A.grouped_values(t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], {"mean_q": ("mean", q), "median_q": ("median", q), "sum_q": ("sum", q)}), "mean_q")
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n_p, round(avg(l_extendedprice), 3) AS mean_p, round(stddev_samp(l_extendedprice) / avg(l_extendedprice), 6) AS cv_p,
@@ -470,9 +470,7 @@ def error_bands(spark, sf):
 @query("""SELECT l_suppkey, round(0.9 * least(stddev_samp(l_extendedprice), (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / 1.34) * pow(count(*), -0.2), 3) AS bandwidth FROM lineitem GROUP BY 1""")
 def kernel_bandwidth(spark, sf):
     """AGG-38."""
-    x = "l_extendedprice"
-    iqr = F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))
-    return rounded(t(spark, sf, "lineitem").groupBy("l_suppkey").agg((0.9 * F.least(F.stddev_samp(x), iqr / 1.34) * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("bandwidth")), "bandwidth", digits=3)
+    return rounded(A.kernel_bandwidth(t(spark, sf, "lineitem"), ["l_suppkey"], "l_extendedprice", "bandwidth"), "bandwidth", digits=3)
 
 
 @query("SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events")
@@ -714,6 +712,6 @@ UNION ALL SELECT 1, '', 'PRH' || chr(9) || 'accession' || chr(9) || 'O_abundance
 UNION ALL SELECT 2, '["' || a || '"]', 'PRT' || chr(9) || a || chr(9) || coalesce(o::VARCHAR, 'null') || chr(9) || coalesce(f::VARCHAR, 'null') FROM m""")
 def mztab_report(spark, sf):
     """SNK-07, RSH-09: the lines of an mzTab file, with suppliers as proteins and their orders' states as runs."""
-    rows = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.median("l_quantity").alias("abundance"))
+    rows = A.grouped_values(t(spark, sf, "lineitem"), ["l_suppkey", "l_linestatus"], {"abundance": ("median", "l_quantity")})
     runs = A.pivot_runs(rows, ["l_suppkey"], "l_linestatus", ["O", "F"], ["abundance"]).withColumnsRenamed({"l_suppkey": "accession"})
     return mztab.mztab_lines(spark, {"mzTab-version": "1.0.0", "mzTab-mode": "Summary", "mzTab-type": "Quantification", "ms_run[%i]-location": ["O", "F"]}, {"protein": (runs, ["accession"])})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import modification_ok, transform
-from ..operators.aggregate import AGGREGATES, Channel, GroupFilter, pivot_runs, tested
+from ..operators.aggregate import Channel, GroupFilter, grouped_values, pivot_runs, tested
 from ..operators.frames import apply_level
 
 
@@ -94,8 +94,8 @@ def _passing(rows: DataFrame, keys: list[str], channels: Channels) -> DataFrame:
 
 def _level(rows: DataFrame, keys: list[str], channels: Channels) -> DataFrame:
     """One row per key with each channel's aggregate and the group's first known q-value."""
-    cols = [AGGREGATES[c.agg](n).alias(n) for n, c in channels.items()]
-    out = _passing(rows, keys, channels).groupBy(*keys).agg(*cols, F.first("ProteinGroup_QValue", ignorenulls=True).alias("ProteinGroup_QValue"))
+    values = {n: (c.agg, n) for n, c in channels.items()}
+    out = grouped_values(_passing(rows, keys, channels), keys, values, [F.first("ProteinGroup_QValue", ignorenulls=True).alias("ProteinGroup_QValue")])
     return out.where(F.coalesce(*channels).isNotNull())
 
 
@@ -105,9 +105,9 @@ def _proteins(rows: DataFrame, channels: Channels) -> DataFrame:
     for n, c in channels.items():
         number, sd = F.count(n), F.stddev_samp(n)
         item, other = ("LightByHeavy", "Ratio") if n == "Ratio_LightByHeavy" else (n.split("_", 1)[1],) * 2
-        cols += [number.cast("int").alias(f"ItemsUsedForQuant_{item}"), AGGREGATES[c.agg](n).alias(n), F.try_divide(sd, F.avg(n)).alias(f"CV_Quant_{other}"), sd.alias(f"StDev_Quant_{other}"), (sd / F.sqrt(number)).alias(f"SEM_Quant_{other}")]
+        cols += [number.cast("int").alias(f"ItemsUsedForQuant_{item}"), F.try_divide(sd, F.avg(n)).alias(f"CV_Quant_{other}"), sd.alias(f"StDev_Quant_{other}"), (sd / F.sqrt(number)).alias(f"SEM_Quant_{other}")]
     keys = ["FileName", "ProteinGroup"]
-    out = _passing(rows, keys, channels).groupBy(*keys).agg(F.first("ProteinGroup_QValue", ignorenulls=True).alias("ProteinGroup_QValue"), *cols)
+    out = grouped_values(_passing(rows, keys, channels), keys, {n: (c.agg, n) for n, c in channels.items()}, [F.first("ProteinGroup_QValue", ignorenulls=True).alias("ProteinGroup_QValue"), *cols])
     return out.where(F.coalesce(*channels).isNotNull())
 
 

@@ -1,5 +1,7 @@
 """Unit tests of operators whose results are known by hand."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,36 @@ def test_align_runs_searches_to_200(spark):
     got = signal.align_runs(spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(x, y, strict=True)], "k string, x double, y double"), "k", "k string, lambda double, r2 double, points int").first()
     test = np.arange(60) % 5 == 2
     assert (got["lambda"], got.r2) == signal.best_spline(x[~test], y[~test], x[test], y[test], range(1, 201)) and got["lambda"] > 40
+
+
+def test_medians_are_exact_and_hold_no_group(spark):
+    """No plan has Spark's percentile, whose buffer holds all distinct values of a group."""
+    import statistics
+
+    from ionloom.operators import aggregate as A
+    from ionloom.operators import frames
+
+    r = random.Random(4)
+    rows = [(r.choice(["hot"] * 8 + ["a", None]), r.choice([None, float(r.randint(0, 40))]), r.random()) for _ in range(500)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    got = {x.k: x for x in A.grouped_values(df, ["k"], {"m": ("median", "v"), "s": ("sum", "v"), "mw": ("median", "w")}, [F.count("*").alias("n")]).collect()}
+    for k in {k for k, _, _ in rows}:
+        own = [v for i, v, _ in rows if i == k and v is not None]
+        assert got[k].m == (statistics.median(own) if own else None) and got[k].mw == pytest.approx(statistics.median([w for i, _, w in rows if i == k]))
+        assert got[k].n == sum(i == k for i, _, _ in rows) and got[k].s == (sum(own) if own else None)
+    assert A.grouped_values(df, [], {"m": ("median", "w")}).first().m == pytest.approx(statistics.median([w for *_, w in rows]))
+    plans = [A.tukey_aggregate(df, ["k"], "w", 1.5, "identity", "median", "o"), A.histogram(df, "w", 0.1, F.lit(False)), A.kernel_bandwidth(df, ["k"], "w", "b"), frames.apply_level(df, ["k"], ["w"], "median", "sum", []), A.aggregate(df, ["k"], {"w": A.Channel("w", agg="median")})]
+    assert not [p for p in plans if "percentile" in p._jdf.queryExecution().toString().lower() or "median" in p._jdf.queryExecution().executedPlan().toString().lower().replace("median_score", "")]
+
+
+def test_q_values_of_a_common_score(spark):
+    """Half of all rows have one score; each gets its value, also beside missing scores."""
+    from ionloom.operators.fdr import q_between
+
+    knots = spark.createDataFrame([(0.0, 1.0), (1.0, 0.5), (2.0, 0.0)], "s double, q_value double")
+    rows = spark.createDataFrame([(i, 0.5 if i % 2 else i / 100) for i in range(300)] + [(300, None), (301, -1.0), (302, 9.0)], "i int, s double")
+    got = {r.i: r.q_value for r in q_between(knots, rows, "s").collect()}
+    assert len(got) == 303 and all(got[i] == pytest.approx(0.75) for i in range(1, 300, 2)) and got[301] == 1.0 and got[302] == 0.0
+    assert all(got[i] == pytest.approx(1 - i / 200 if i <= 200 else 0.0) for i in range(0, 300, 2))
+    line = {r.i: r.q_value for r in q_between(knots, rows, "s", outside="linear").collect()}
+    assert line[301] == pytest.approx(1.5) and line[302] == pytest.approx(-3.5) and line[4] == got[4]
