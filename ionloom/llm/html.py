@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -58,7 +60,7 @@ CACHE = 200_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?|<[!?/][^>]*+>?""", re.S)
 ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 #: Elements whose text is never read, and those of them that hold no elements.
-RAW = frozenset("script style noscript template textarea title svg iframe select object canvas audio video math".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select object canvas audio video annotation annotation-xml".split())
 PLAIN = frozenset("script style textarea title iframe noscript".split())
 #: Elements that end a block where they begin and end.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
@@ -69,8 +71,8 @@ CHROME_TAGS = frozenset("nav footer aside form menu button dialog label input fi
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of class names and ids. A name says chrome if all its parts are chrome words or parts of layout, one
 #: a chrome word at least; with a chrome or doubtful word beside other words it is a hint.
-CHROME_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar aside ad ads advert adverts advertisement adsense adslot banner promo sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login related recommended sharing social comment comments disqus breadcrumb breadcrumbs pagination pager copyright outbrain taboola".split())
-DOUBTFUL_WORDS = frozenset("notice notices promotion recommendations share respond reply replies widget toolbar search form".split())
+CHROME_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar aside ad ads advert adverts advertisement adsense adslot banner promo sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login related recommended sharing social comment comments disqus notice notices alert alerts disclaimer breadcrumb breadcrumbs pagination pager copyright outbrain taboola".split())
+DOUBTFUL_WORDS = frozenset("promotion recommendations share respond reply replies widget toolbar search form".split())
 LAYOUT_WORDS = frozenset("box bar list section area block container wrapper inner outer top bottom left right header main primary secondary site page user reader item items body content unit slot module buttons links icons thread posts post".split())
 ITEMS = frozenset("li dt dd tr option".split())
 WRAPPERS = frozenset("nav form header menu label button".split())
@@ -117,26 +119,46 @@ def _kind(tag: str, attrs: str) -> str:
     return "header" if "header" in said else WEAK if WEAK in said else ""
 
 
-def _after_raw(page: str, tag: str, attrs: str, at: int) -> int:
-    """Where reading goes on after the start tag of an element whose text is not read.
+class RawEnds:
+    """Where reading goes on after the start tag of an element whose text is not read; all ends of one element name are found in one pass.
 
-    Nested elements of the same name are counted. Without an end tag only a script or style takes text with it, up to the
-    next tag of the page's structure; of the others the tag alone goes.
+    Nested elements of the same name are counted: the end is where the balance of start and end tags after the start first falls
+    below nothing, the next smaller value of the running balance. Without an end tag only a script or style takes text with it, up
+    to the next tag of the page's structure; of the others the tag alone goes.
     """
-    if attrs.rstrip().endswith("/") and tag not in ("script", "style", "textarea", "title"):
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[str, tuple[list[int], list[int], list[int]]] = {}
+
+    def _events(self, tag: str) -> tuple[list[int], list[int], list[int]]:
+        """(starts, ends, where the balance first falls below that before the event, or -1) of the element's tags."""
+        starts, ends, balance = [], [], [0]
+        for m in re.compile(rf"<(/?){tag}\b[^>]*>?", re.I).finditer(self.page):
+            starts.append(m.start())
+            ends.append(m.end())
+            opens = not m[1] and tag not in PLAIN and not m[0].endswith("/>")
+            balance.append(balance[-1] + (opens - bool(m[1])))
+        falls, waiting = [-1] * len(balance), []
+        for j, v in enumerate(balance):
+            while waiting and balance[waiting[-1]] > v:
+                falls[waiting.pop()] = j - 1
+            waiting.append(j)
+        return starts, ends, falls
+
+    def after(self, tag: str, attrs: str, at: int) -> int:
+        if attrs.rstrip().endswith("/") and tag not in ("script", "style", "textarea", "title"):
+            return at
+        if tag not in self.known:
+            self.known[tag] = self._events(tag)
+        starts, ends, falls = self.known[tag]
+        fall = falls[bisect_left(starts, at)]
+        if fall >= 0:
+            return ends[fall]
+        if tag in ("script", "style"):
+            m = RESUME.search(self.page, at)
+            return m.start() if m else len(self.page)
         return at
-    deep = 1
-    for m in re.compile(rf"<(/?){tag}\b[^>]*>?", re.I).finditer(page, at):
-        if not m[1]:
-            deep += tag not in PLAIN and not m[0].endswith("/>")
-            continue
-        deep -= 1
-        if not deep:
-            return m.end()
-    if tag in ("script", "style"):
-        m = RESUME.search(page, at)
-        return m.start() if m else len(page)
-    return at
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str]]:
@@ -156,7 +178,15 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
             here.clear()
 
     page = page or ""
+    raw, opened = RawEnds(page), Counter()
     at, end = 0, len(page)
+
+    def shut_last() -> str:
+        t, kind = stack.pop()
+        deep[kind] -= 1
+        opened[t] -= 1
+        return t
+
     while at < end:
         m = TAG.search(page, at)
         if m is None:
@@ -172,26 +202,24 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
             here.append(" ")
             continue
         if m[1]:
-            open_ = any(t == tag for t, _ in stack)
+            open_ = opened[tag] > 0
             if tag in BLOCK or open_:
                 flush()
             while open_:
-                t, kind = stack.pop()
-                deep[kind] -= 1
-                open_ = t != tag
+                open_ = shut_last() != tag
             if tag in HEADINGS:
                 heading = 0
             continue
         if tag in RAW:
-            at = _after_raw(page, tag, m[3], at)
+            at = raw.after(tag, m[3], at)
             continue
         kind = _kind(tag, m[3] if TELLING.search(m[3]) else "")
         if tag in BLOCK or kind:
             flush()
         # Elements whose end tag may be missing: a head ends at the body, paragraphs and items at the next of their kind, and
         # an article is not part of a menu or form that is still open.
-        while stack and (tag == "body" and any(t == "head" for t, _ in stack) or tag in BLOCK and stack[-1][0] == "p" or tag in ITEMS and stack[-1][0] == tag):
-            deep[stack.pop()[1]] -= 1
+        while stack and (tag == "body" and opened["head"] or tag in BLOCK and stack[-1][0] == "p" or tag in ITEMS and stack[-1][0] == tag):
+            shut_last()
         if kind == MAIN:
             for i, (t, k) in enumerate(stack):
                 if k and t in WRAPPERS:
@@ -202,6 +230,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         if tag not in VOID and (kind or tag in BLOCK and tag not in ("p", "li", "hr", "tr", "dt", "dd") and tag not in HEADINGS):
             stack.append((tag, kind))
             deep[kind] += 1
+            opened[tag] += 1
     flush()
     # Outside a main zone a hint is enough; without one it is judged like open text.
     hint = CHROME if any(z == MAIN for z, _ in out) else WEAK

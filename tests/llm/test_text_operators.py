@@ -458,3 +458,42 @@ def test_html_phrases_and_near_copies_stay(spark):
     rows += [(9 + i, "http://two.org/", f"<div>{b}</div>{ad(i)}") for i, b in enumerate(bodies[:2])]
     got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert [got[i] for i in range(5)] == bodies[:5] and [got[9], got[10]] == bodies[:2]
+
+
+def _after_raw_stepwise(page, tag, at):
+    """The end of an element from its definition: tags after the start are counted one by one."""
+    deep = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*>?", re.I).finditer(page, at):
+        if not m[1]:
+            deep += tag not in html.PLAIN and not m[0].endswith("/>")
+            continue
+        deep -= 1
+        if not deep:
+            return m.end()
+    return at
+
+
+def test_raw_elements_end_where_counting_says():
+    r = random.Random(3)
+    for _ in range(300):
+        page = "".join(r.choice(["<svg>", "</svg>", "<svg/>", "<svg a=1>", "x", "<select>", "</select>", "<SVG>", "</svg"]) for _ in range(r.randint(1, 25)))
+        ends = html.RawEnds(page)
+        for tag in ("svg", "select"):
+            for m in re.finditer(rf"<{tag}[^>]*>", page, re.I):
+                if not m[0].endswith("/>"):
+                    assert ends.after(tag, "", m.end()) == _after_raw_stepwise(page, tag, m.end()), page
+
+
+def test_pages_of_unclosed_elements_take_linear_time():
+    import time
+
+    for piece in ("<select>a", "<svg>a", "<div><span>a</b>", "<object>a<video>b"):
+        began = time.time()
+        html.blocks_of(f"<article><p>{piece * 100_000}</article>")
+        assert time.time() - began < 20, piece
+
+
+def test_notices_go_and_formulas_stay():
+    page = "<article><p>Let <math><mi>x</mi><annotation>\\x</annotation></math> be.</p><div class='notice'>We updated our terms.</div><div class='alert'>Subscribe now</div><p>End of story.</p></article>"
+    assert html.plain_text(page) == "Let x be.\n\nEnd of story."
+    assert "Notice of meeting" in html.plain_text("<article><p>One.</p><div class='notice-of-meeting'>Notice of meeting</div></article>")
