@@ -11,6 +11,7 @@ longer list is a table, joined by token.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +63,22 @@ UNWANTED = {
 }
 
 
-def production_rules(words: dict[str, str] = UNWANTED) -> tuple[PatternRule, ...]:
-    """One blocking rule per word and order: the word before one of its neighbours, or after one, with a separator between."""
+#: Redirectors, as words of a host, of its path and keys of the query that stand in one url.
+REDIRECTORS = ("ads adserver click track", "go jump out redirect", "affid affiliate clickid subid")
+
+
+def production_rules(words: dict[str, str] = UNWANTED, redirectors: tuple[str, str, str] = REDIRECTORS) -> tuple[PatternRule, ...]:
+    """Blocking rules: each word before one of its neighbours, or after one, with a separator between (one literal: the word); and each
+    redirector, a word of the host, of the path and a query key (three literals: which is the rarest is for the table to say)."""
     left, right, out = r"(?:^|[^\p{L}\p{N}])", r"(?:[^\p{L}\p{N}]|$)", []
     for heads, beside in words.items():
         some = "(?:" + "|".join(beside.split()) + ")"
         for head in heads.split():
             out += [PatternRule("block", f"{left}{head}[-._/]{some}{right}", (head,)), PatternRule("block", f"{left}{some}[-._/]{head}{right}", (head,))]
     out += [PatternRule("block", rf"{left}spam[-.]farm{right}", ("spam", "farm")), PatternRule("block", rf"{left}{'porn'}{right}", ("porn",))]
+    hosts, paths, keys = (x.split() for x in redirectors)
+    for h, p, k in product(hosts, paths, keys):
+        out.append(PatternRule("block", rf"://(?:[^/?#]*[^/?#\p{{L}}\p{{N}}])?{h}(?:[^/?#\p{{L}}\p{{N}}][^/?#]*)?/(?:[^?#]*[^?#\p{{L}}\p{{N}}])?{p}(?:[^?#\p{{L}}\p{{N}}][^?#]*)?[?](?:[^#]*&)?{k}=", (h, p, k)))
     return tuple(out)
 
 
@@ -120,6 +129,8 @@ def judge_urls(pages: DataFrame, sites: tuple[SiteRule, ...] = SITE_RULES, patte
     Repeated rows have equal results, null ids stay, other columns play no part unless they are in ``keep``; an empty
     table gives no rows.
     """
+    if clash := {c.lower() for c in keep} & {"host", "path", "rule", "verdict", "pattern_rules"}:
+        raise ValueError(f"columns of the result cannot be kept under their names: {sorted(clash)}")
     h, p, t, m = fresh(pages, "u_host", "u_path", "u_rules", "u_matched")
     index = index_rules(pages, patterns)
     url = F.lower(F.coalesce(F.col("url"), F.lit("")))
