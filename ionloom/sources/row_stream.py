@@ -8,6 +8,7 @@ files in order of their names are one table with one header, also after rows hav
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,10 +48,12 @@ class RowStreamWriter(DataSourceWriter):
     def __init__(self, path: str, schema: StructType, overwrite: bool, missing: str):
         self.path, self.columns, self.overwrite, self.missing = path.rstrip("/"), [f.name for f in schema], overwrite, missing
         self.hidden = f"_writing-{uuid.uuid4().hex}"
+        # Made here alone: a task that goes on after the call was abandoned cannot make it again.
+        store, top = _store(self.path)
+        store.create_dir(f"{top}/{self.hidden}", recursive=True)
 
     def write(self, iterator: Iterator[Row]) -> Part:
         store, top = _store(self.path)
-        store.create_dir(f"{top}/{self.hidden}", recursive=True)
         name, n, held, size = f"{self.hidden}/{uuid.uuid4().hex}", 0, [], 0
         with store.open_output_stream(f"{top}/{name}") as out:
             for row in iterator:
@@ -94,8 +97,15 @@ class RowStreamWriter(DataSourceWriter):
     def _clear(self, store, top: str) -> None:
         from pyarrow import fs
 
-        if store.get_file_info(f"{top}/{self.hidden}").type == fs.FileType.Directory:
-            store.delete_dir(f"{top}/{self.hidden}")
+        for last in (False,) * 20 + (True,):
+            try:
+                if store.get_file_info(f"{top}/{self.hidden}").type == fs.FileType.Directory:
+                    store.delete_dir(f"{top}/{self.hidden}")
+                return
+            except OSError:  # a task that still runs has put a file there meanwhile
+                if last:
+                    raise
+                time.sleep(0.1)
 
 
 class RowStream(DataSource):
