@@ -88,6 +88,22 @@ def hold_out_r2(rows: DataFrame, measured: str, predicted: str, keys: list[str])
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum(F.pow(y - f, 2)), F.var_pop(y) * F.count(y))).alias("r2"))
 
 
+def training_labels(aligned: DataFrame, measured: DataFrame, keys: list[str], mz_cutoff: float = 0.01, quant_cutoff: float = 0.1) -> DataFrame:
+    """``aligned`` with ``good``, for the ions that were also measured: whether m/z and quantity of the channel they were identified in
+    (heavy for GlobalMod 1, else light) are nearer to the measured ones than these shares of them. Where a measured value is missing there is no row.
+
+    Both sides have ``keys`` and QuantMz_Light, QuantMz_Heavy, Quant_Light, Quant_Heavy; ``aligned`` has GlobalMod. NaN agrees with nothing.
+    """
+    names = ("QuantMz_Light", "QuantMz_Heavy", "Quant_Light", "Quant_Heavy")
+    own = measured.select(*keys, *[F.col(n).cast("double").alias(f"__{n}") for n in names])
+    side = lambda p, q: F.when(F.col("GlobalMod") == 1, F.col(f"{p}{q}_Heavy")).otherwise(F.col(f"{p}{q}_Light"))
+    met = aligned.join(own, keys).withColumns({"__mz": side("__", "QuantMz"), "__q": side("__", "Quant")}).where("__mz IS NOT NULL AND __q IS NOT NULL")
+    near = lambda value, own, cutoff: F.abs(F.col(own) - value.cast("double")) < F.col(own) * cutoff
+    good = near(side("", "QuantMz"), "__mz", mz_cutoff) & near(side("", "Quant"), "__q", quant_cutoff)
+    known = ~F.isnan("__mz") & ~F.isnan("__q")
+    return met.withColumn("good", F.coalesce(good & known, F.lit(False))).select(*aligned.columns, "good")
+
+
 def alignment_scores(rows: DataFrame, features: list[str], good: Column, row_id: str, trees: int = 8, seed: int = 7) -> DataFrame:
     """row id, score, q_value of transferred ions: boosted trees learn ``good`` (quantities and masses that agree) on one half of the
     rows by hash and score all; q-values come from the scores of rows that are known not to be good."""

@@ -595,11 +595,27 @@ def iterated_scorer(spark, sf):
     return psm_statistics.scored_psms(_psms(spark, sf))[0].select("doc_id", "Label", "ModelScore", "QValue", "PEPValue")
 
 
+def _aligned(spark, sf):
+    """First lines of orders as aligned ions, second lines as the same ions measured; prices are masses, quantities are quantities."""
+    line = t(spark, sf, "lineitem")
+    of = lambda n: line.where(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("ion"), (F.col("l_orderkey") % 2).cast("int").alias("GlobalMod"), (F.lit(500.0) + F.col("l_tax") * 100).alias("QuantMz_Light"), (F.lit(500.0) + F.col("l_discount") * 100).alias("QuantMz_Heavy"), F.col("l_quantity").alias("Quant_Light"), F.when(F.col("l_quantity") > 2, F.col("l_extendedprice")).alias("Quant_Heavy"))
+    return of(1), of(2).drop("GlobalMod")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS ion, l_linenumber AS n, l_orderkey % 2 AS gm, 500 + CASE WHEN l_orderkey % 2 = 1 THEN l_discount ELSE l_tax END * 100 AS mz, CASE WHEN l_orderkey % 2 = 0 THEN l_quantity WHEN l_quantity > 2 THEN l_extendedprice END AS q FROM lineitem)
+SELECT a.ion, coalesce(abs(m.mz - a.mz) < m.mz * 0.01 AND abs(m.q - a.q) < m.q * 0.1, false) AS good FROM l a JOIN l m ON a.ion = m.ion WHERE a.n = 1 AND m.n = 2 AND m.q IS NOT NULL""")
+def alignment_labels(spark, sf):
+    """UDF-19: ions good to learn from, as their aligned m/z and quantity agree with the measured ones."""
+    aligned, measured = _aligned(spark, sf)
+    return alignment.training_labels(aligned, measured, ["ion"]).select("ion", "good")
+
+
 @query()
 def alignment_scores(spark, sf):
-    """UDF-19."""
-    x = _psms(spark, sf).withColumn("good", F.col("Label") == 1)
-    return alignment.alignment_scores(x, ["SequestScore", "AndroScore", "AbsDeltaMass"], F.col("good"), "doc_id")
+    """UDF-19: boosted trees on those labels score every aligned ion."""
+    aligned, measured = _aligned(spark, sf)
+    x = alignment.training_labels(aligned, measured, ["ion"]).fillna(0.0, subset=["Quant_Heavy"])
+    return alignment.alignment_scores(x, ["QuantMz_Light", "QuantMz_Heavy", "Quant_Light", "Quant_Heavy"], F.col("good"), "ion")
 
 
 @query()

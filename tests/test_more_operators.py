@@ -328,3 +328,12 @@ def test_mass_errors(spark):
     got = quantification.mass_error_model(spark.createDataFrame(rows, "run string, rt double, error double"), "run", "rt").collect()
     assert {round(r.correction, 6) for r in got if r.run == "short"} == {0.1}
     assert all(r.correction == pytest.approx(0.001 * math.sin(r.rt * 20 / 80), abs=3e-4) for r in got if r.run == "long" and 1 < r.rt < 39)
+
+
+def test_alignment_labels_follow_the_channel_and_both_cutoffs(spark):
+    cols = "ion int, GlobalMod int, QuantMz_Light double, QuantMz_Heavy double, Quant_Light double, Quant_Heavy double"
+    aligned = spark.createDataFrame([(1, 0, 500.0, 9.0, 100.0, 9.0), (2, 1, 9.0, 500.0, 9.0, 100.0), (3, 0, 506.0, 9.0, 100.0, 9.0), (4, 0, 500.0, 9.0, 111.0, 9.0), (5, 0, 500.0, 9.0, 1.0, 9.0), (6, 0, 500.0, 9.0, 1.0, 9.0), (7, 0, None, 9.0, 100.0, 9.0), (8, 0, 500.0, 9.0, 100.0, 9.0)], cols)
+    nan = float("nan")
+    measured = spark.createDataFrame([(1, 504.9, 1.0, 109.0, 1.0), (2, 1.0, 500.0, 1.0, 95.0), (3, 500.0, 1.0, 100.0, 1.0), (4, 500.0, 1.0, 100.0, 1.0), (5, 500.0, 1.0, None, 1.0), (7, 500.0, 1.0, 100.0, 1.0), (8, 500.0, 1.0, nan, 1.0)], cols.replace("GlobalMod int, ", ""))
+    got = {r.ion: r.good for r in alignment.training_labels(aligned, measured, ["ion"]).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 7: False, 8: False}  # 5 has no measured quantity, 6 was not measured
