@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative plans, and tables of one run in the shared folder."""
+"""Cutting the lineage of iterative plans, dealing rows to tasks, and tables of one run in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Tasks that ``dealt`` makes for each core, so that uneven rows even out.
+TASKS_PER_CORE = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by the hash of ``keys`` to as many tasks as the cores can share, for work that is long for its bytes.
+
+    A file of a few MB is read by one task, and small shuffles are put together to few: both go by bytes, not by what a row costs.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(k) for k in keys])

@@ -210,14 +210,15 @@ def isotope_pattern(sequence: str, heavy_nitrogen: float | None = None, peaks: i
 
 
 def drawn_pattern(sequence: str, heavy_nitrogen: float, ions: int, seed: int, peaks: int = 30) -> np.ndarray:
-    """Shares of the added neutrons of ``ions`` molecules, each element's isotopes drawn atom by atom: a measurement with counting noise."""
-    rng = np.random.default_rng(seed)
-    atoms = np.sum([ATOMS[r] for r in sequence if r in ATOMS] + [(0, 2, 0, 1, 0)], axis=0)
-    neutrons = rng.binomial(int(atoms[2]), heavy_nitrogen, ions)
-    for element, n in zip("CHOS", atoms[[0, 1, 3, 4]], strict=True):
-        drawn = rng.multinomial(int(n), np.array(ISOTOPES[element]) / sum(ISOTOPES[element]), ions)
-        neutrons = neutrons + drawn @ np.arange(drawn.shape[1])
-    counts = np.bincount(neutrons, minlength=peaks)[:peaks].astype(float)
+    """Shares of the added neutrons of ``ions`` molecules, drawn from the peptide's whole pattern: a measurement with counting noise.
+
+    Molecules are independent, so their numbers by neutrons are one multinomial draw, of the same law as isotopes drawn atom by atom.
+    """
+    n, size, rest = _spectrum_of_rest(sequence, peaks)
+    p = np.clip(np.fft.irfft(rest * np.fft.rfft((1 - heavy_nitrogen, heavy_nitrogen), size) ** n, size), 0, None)
+    # The transform's rounding (1e-17) is no isotope.
+    p[p < 1e-15] = 0
+    counts = np.random.default_rng(seed).multinomial(ions, p / p.sum())[:peaks].astype(float)
     return counts / max(1.0, counts.sum())
 
 
@@ -229,19 +230,37 @@ def divergence(measured: np.ndarray, model: np.ndarray, floor: float = 1e-9) ->
 
 def label_efficiency(sequence: str, measured: np.ndarray, low: float = 0.8, high: float = 0.9999, tolerance: float = 1e-5) -> tuple[float, float]:
     """(efficiency, divergence) of the N-15 share whose pattern is nearest to ``measured``, by golden sections."""
-    cost = lambda e: divergence(measured, isotope_pattern(sequence, e, len(measured)))
+    e, kl = label_efficiencies(sequence, np.asarray(measured, float)[None], low, high, tolerance)
+    return float(e[0]), float(kl[0])
+
+
+def label_efficiencies(sequence: str, measured: np.ndarray, low: float = 0.8, high: float = 0.9999, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """``label_efficiency`` of many measurements (rows) of one peptide, all sections at once."""
+    n, size, rest = _spectrum_of_rest(sequence, measured.shape[1])
+    # The other elements' pattern behind 0, 1, 2 ... heavy nitrogens: a share's pattern weighs these by the binomial law.
+    other, width = np.fft.irfft(rest, size), measured.shape[1]
+    behind = np.array([np.concatenate([np.zeros(min(k, width)), other[: max(0, width - k)]]) for k in range(n + 1)])
+    ways = np.array([math.comb(n, k) for k in range(n + 1)], float)
+    heavy = np.arange(n + 1)
+    p = measured + 1e-9
+    p = p / p.sum(axis=1, keepdims=True)
+    own = (p * np.log(p)).sum(axis=1)
+
+    def cost(e: np.ndarray) -> np.ndarray:
+        q = np.clip((ways * e[:, None] ** heavy * (1 - e[:, None]) ** (n - heavy)) @ behind, 0, None)
+        q = q / q.sum(axis=1, keepdims=True) + 1e-9
+        return own - (p * np.log(q / q.sum(axis=1, keepdims=True))).sum(axis=1)
+
     golden = (math.sqrt(5) - 1) / 2
+    low, high = np.full(len(p), low), np.full(len(p), high)
     c, d = high - golden * (high - low), low + golden * (high - low)
     fc, fd = cost(c), cost(d)
-    while high - low > tolerance:
-        if fc < fd:
-            high, d, fd = d, c, fc
-            c = high - golden * (high - low)
-            fc = cost(c)
-        else:
-            low, c, fc = c, d, fd
-            d = low + golden * (high - low)
-            fd = cost(d)
+    while (high - low > tolerance).any():
+        left = fc < fd
+        low, high = np.where(left, low, c), np.where(left, d, high)
+        new = np.where(left, high - golden * (high - low), low + golden * (high - low))
+        f = cost(new)
+        c, d, fc, fd = np.where(left, new, d), np.where(left, c, new), np.where(left, f, fd), np.where(left, fc, f)
     best = (low + high) / 2
     return best, cost(best)
 

@@ -17,6 +17,7 @@ from ..functions import masses
 from ..operators import aggregate as A
 from ..operators import fdr, filters, grid, joins, ordered, signal, spectra
 from ..operators.inference import evidence_classes, infer_groups
+from ..operators.lineage import dealt
 from ..sources import mztab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,12 +656,14 @@ def charge_states(spark, sf):
 def label_efficiency(spark, sf):
     """UDF-12/23, FN-13/14: the N-15 share whose isotope pattern is nearest to a measured one. Measured are binomial draws of the
     nitrogens' isotopes over the other elements' pattern, as shares of 20,000 ions, so the estimate has a real error to make."""
-    s = _sequences(spark, sf).withColumn("share", F.lit(0.9) + (F.col("p_partkey") % 90) / 1000)
+    s = dealt(_sequences(spark, sf).withColumn("share", F.lit(0.9) + (F.col("p_partkey") % 90) / 1000), "p_partkey")
 
     def run(batches):
         for b in batches:
-            got = [spectra.label_efficiency(q, spectra.drawn_pattern(q, e, 20_000, seed=k)) for q, e, k in zip(b["sequence"], b["share"], b["p_partkey"], strict=True)]
-            yield pd.DataFrame({"p_partkey": b["p_partkey"], "share": b["share"], "efficiency": [round(e, 4) for e, _ in got], "kl": [k for _, k in got]})
+            for q, g in b.groupby("sequence", sort=False, dropna=False):
+                drawn = np.array([spectra.drawn_pattern(q, e, 20_000, seed=k) for e, k in zip(g["share"], g["p_partkey"], strict=True)])
+                e, kl = spectra.label_efficiencies(q, drawn)
+                yield pd.DataFrame({"p_partkey": g["p_partkey"], "share": g["share"], "efficiency": np.round(e, 4), "kl": kl})
 
     return s.mapInPandas(run, "p_partkey bigint, share double, efficiency double, kl double")
 
