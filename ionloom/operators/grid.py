@@ -102,7 +102,8 @@ def grid_join(boxes: DataFrame, points: DataFrame, axes: list[Axis], on: list[st
     Boxes and points meet by an equi-join on their cells of all axes at once, so a minute that is dense in masses is as many
     keys as it has mass cells; each point stands once, or once per grid where some boxes are far wider than most. ``test``
     replaces the exact test of the bounds (which then only have to cover it); it is part of the join's condition, so that pairs
-    that only share a cell never leave the join. Skewed cells are split by Spark's skew join.
+    that only share a cell never leave the join. Skewed cells are split by Spark's skew join; it is a merge join whatever the session's
+    threshold, as the bytes of a file say little about the rows that it has for each cell.
     """
     g = grid(boxes, points, axes, on)
     inside = test
@@ -110,4 +111,4 @@ def grid_join(boxes: DataFrame, points: DataFrame, axes: list[Axis], on: list[st
         inside = F.lit(True)
         for i in range(len(axes)):
             inside = inside & F.col(f"__v{i}").between(F.col(f"__l{i}"), F.col(f"__h{i}"))
-    return g.boxes.join(g.points, g.keys).where(inside).select(*boxes.columns, *[c for c in points.columns if c not in (on or [])])
+    return g.boxes.join(g.points.hint("merge"), g.keys).where(inside).select(*boxes.columns, *[c for c in points.columns if c not in (on or [])])

@@ -2,9 +2,10 @@
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import ionloom.plans.ion_queries  # noqa: F401
-from ionloom.operators import spectra
+from ionloom.operators import grid, joins, quantification, spectra
 from ionloom.plans.driver_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,46 @@ def test_similar_vectors_at_the_threshold_as_sql(spark, tmp_path):
     rows = [(50, 1, 30.0), (50, 2, 30.0), (51, 1, 56.0), (51, 3, 8.0), (52, 1, 30.0), (52, 2, 29.0)]
     sf = _tables(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_suppkey long, l_quantity double"))
     assert [r[:2] for r in _as_sql(spark, sf, "similar_vectors", "lineitem")] == [(50, 52)]
+
+
+def _seen(monkeypatch, module, name):
+    """Rows of both sides of every call of a join."""
+    counts, join = [], getattr(module, name)
+
+    def spy(left, right, *args, **kw):
+        counts.append((left.count(), right.count()))
+        return join(left, right, *args, **kw)
+
+    monkeypatch.setattr(module, name, spy)
+    return counts
+
+
+def _copies(spark, tmp_path, n):
+    part = [(k + 300 * c, 10 + k % 7, 1000.0 + k % 11) for k in range(30) for c in range(n)] + [(1, 11, None)]
+    events = [(k + 9700 * c, 195.0 + k % 13) for k in range(200) for c in range(n)] + [(2, None)]
+    return _tables(spark, tmp_path, part=(part, "p_partkey long, p_size int, p_retailprice double"), events=(events, "event_id long, value double"))
+
+
+def test_windows_and_peaks_meet_once_whatever_their_copies(spark, tmp_path, monkeypatch):
+    seen, found = _seen(monkeypatch, quantification, "grid_join"), {}
+    for n in (1, 6):
+        sf = _copies(spark, tmp_path / str(n), n)
+        for name in ("isotope_envelope", "mobility_band_join"):
+            found[name, n] = len(_as_sql(spark, sf, name, "part", "events"))
+    # Copies of ions get rows of their own, from joins of the same sizes.
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    assert all(found[name, 6] == 6 * found[name, 1] > 0 for name in ("isotope_envelope", "mobility_band_join"))
+
+
+def test_ppm_range_join_meets_prices_once(spark, tmp_path, monkeypatch):
+    rows = [(k, 900.0 + k % 5) for k in range(40)] + [(1, 903.0), (1, 904.0), (2, 902.0), (50, None)]
+    seen, sf = _seen(monkeypatch, joins, "range_join"), _tables(spark, tmp_path, part=(rows, "p_partkey long, p_retailprice double"))
+    assert len(_as_sql(spark, sf, "ppm_range_join", "part")) > 500
+    assert seen == [(12, 6)]
+
+
+def test_joins_of_cells_and_buckets_broadcast_no_side(spark):
+    a, b = spark.range(10).select(F.col("id").alias("i"), F.col("id").cast("double").alias("x")), spark.range(20).select(F.col("id").cast("double").alias("y"))
+    for df in (joins.range_join(a, b, F.col("x") - 1, F.col("x") + 1, F.col("y"), 2.0), grid.grid_join(a, b, [grid.Axis(F.col("x") - 1, F.col("x") + 1, F.col("y"))])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and df.count() == 29
