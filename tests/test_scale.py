@@ -71,7 +71,7 @@ def _seen(monkeypatch, module, name):
 
 
 def _copies(spark, tmp_path, n):
-    part = [(k + 300 * c, 10 + k % 7, 1000.0 + k % 11) for k in range(30) for c in range(n)] + [(1, 11, None)]
+    part = [(k + 300 * c, 10 + k % 7, 3900.0 + 20 * (k % 11)) for k in range(30) for c in range(n)] + [(1, 11, None)]
     events = [(k + 9700 * c, 195.0 + k % 13) for k in range(200) for c in range(n)] + [(2, None)]
     return _tables(spark, tmp_path, part=(part, "p_partkey long, p_size int, p_retailprice double"), events=(events, "event_id long, value double"))
 
