@@ -1,11 +1,14 @@
 """Steps that must not grow faster than the input, with the same results."""
 
+import random
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 import ionloom.plans.ion_queries  # noqa: F401
-from ionloom.operators import grid, joins, quantification, spectra
+from ionloom.functions import columns
+from ionloom.operators import grid, inference, joins, quantification, spectra
 from ionloom.plans.driver_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +102,40 @@ def test_joins_of_cells_and_buckets_broadcast_no_side(spark):
     for df in (joins.range_join(a, b, F.col("x") - 1, F.col("x") + 1, F.col("y"), 2.0), grid.grid_join(a, b, [grid.Axis(F.col("x") - 1, F.col("x") + 1, F.col("y"))])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and df.count() == 29
+
+
+def test_dense_parts_are_covered_in_few_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    sets = {f"p{i:02d}": set(r.sample(range(150), r.randint(25, 40))) for i in range(30)}
+    pairs = spark.createDataFrame([(p, g) for g, s in sets.items() for p in s], "peptide long, protein string")
+    want = {x.protein_group: x.peptides for x in inference.infer_groups(pairs).collect()}
+    rounds, cut = [], inference.cut
+    monkeypatch.setattr(inference, "cut", lambda df: rounds.append(1) or cut(df))
+    assert {x.protein_group: x.peptides for x in inference.infer_groups(pairs, 400).collect()} == want
+    # One group a round, as the votes of a dense part are, makes three tables of each.
+    assert len(want) > 8 and len(rounds) < 3 * len(want)
+
+
+def test_groups_gather_lists_of_peptides(spark):
+    rows = [(f"s{i}", ";".join(sorted({f"p{i % 4}", f"p{i % 3}"})), "C3b") for i in range(24)] + [("s0", "p0", "C3b")]
+    found = spark.createDataFrame(rows, "sequence string, protein_group string, class string")
+    for usage in ("maximal", "inverse"):
+        df = inference.grouped(found, [], usage)
+        own = {g: set(g.split(";")) for _, g, _ in rows}
+        fits = (lambda a, b: bool(a & b)) if usage == "maximal" else (lambda a, b: a <= b)
+        assert {r.protein_group: r.peptides for r in df.collect()} == {g: ";".join(sorted({s for s, h, _ in rows if fits(p, own[h])})) for g, p in own.items()}
+        assert "collect_list(__list" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_costly_rows_are_dealt_to_all_cores(spark):
+    for name in ("protease_rules", "charge_states", "labeled_ions", "label_free_ions", "requantified_ions"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan, name
+
+
+def test_digest_computes_fragments_once(spark):
+    df = spark.createDataFrame([("AKRPGKKMR",), ("",), ("GG",), (None,)], "s string").select(columns.digest(F.col("s"), "trypsin", 1).alias("d"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(s") == 1
+    got = [None if r.d is None else [(x.peptide, x.start, x.missed) for x in r.d] for r in df.collect()]
+    assert got[0] == [("AK", 0, 0), ("RPGK", 2, 0), ("K", 6, 0), ("MR", 7, 0), ("AKRPGK", 0, 1), ("RPGKK", 2, 1), ("KMR", 6, 1)]
+    assert got[1] == [] and got[2] == [("GG", 0, 0)]
