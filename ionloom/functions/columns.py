@@ -66,9 +66,17 @@ def bare_sequence(sequence: Column) -> Column:
 
 def digest(sequence: Column, protease: str = "trypsin", max_missed: int = 2) -> Column:
     """array<struct<peptide, start, missed>> of all runs of up to ``max_missed`` + 1 neighbouring fragments."""
-    parts = F.filter(F.split(sequence, PROTEASES[protease]), lambda s: s != "")
-    starts = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, s: a + F.length(s)))
+    # Fragments and their starts are computed once for a sequence, not again for each fragment and run.
+    return once(F.filter(F.split(sequence, PROTEASES[protease]), lambda s: s != ""), lambda parts: once(_starts(parts), lambda starts: _runs(parts, starts, max_missed)))
 
+
+def _starts(parts: Column) -> Column:
+    """Number of characters before each part: a running sum that keeps the array so far and its last value."""
+    seed = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("n"))
+    return F.aggregate(parts, seed, lambda acc, s: F.struct(F.concat(acc["a"], F.array(acc["n"])).alias("a"), (acc["n"] + F.length(s)).alias("n")), lambda acc: acc["a"])
+
+
+def _runs(parts: Column, starts: Column, max_missed: int) -> Column:
     def runs(m: int) -> Column:
         return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i + m < F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i + 1, m + 1), "").alias("peptide"), F.get(starts, i).alias("start"), F.lit(m).alias("missed")))
 
