@@ -658,7 +658,7 @@ def charge_states(spark, sf):
             got = [spectra.charge_states(np.asarray(mz, float), range(1, 5), rounds=RANDOM_SPECTRA) for mz in b["mz"]]
             yield pd.DataFrame({"spectrum": b["spectrum"], "charges": [[z for z, _, _ in g] for g in got], "p": [[p for _, _, p in g] for g in got]})
 
-    return _spectra(spark, sf).select("spectrum", "mz").mapInPandas(run, "spectrum bigint, charges array<int>, p array<double>")
+    return dealt(_spectra(spark, sf).select("spectrum", "mz"), "spectrum").mapInPandas(run, "spectrum bigint, charges array<int>, p array<double>")
 
 
 @query()
