@@ -139,3 +139,11 @@ def test_digest_computes_fragments_once(spark):
     got = [None if r.d is None else [(x.peptide, x.start, x.missed) for x in r.d] for r in df.collect()]
     assert got[0] == [("AK", 0, 0), ("RPGK", 2, 0), ("K", 6, 0), ("MR", 7, 0), ("AKRPGK", 0, 1), ("RPGKK", 2, 1), ("KMR", 6, 1)]
     assert got[1] == [] and got[2] == [("GG", 0, 0)]
+
+
+def test_peptide_classes_do_not_copy_rows(spark):
+    pairs = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("b", "p1"), ("c", "p1"), ("c", "p3")], "peptide string, protein string")
+    proteins = spark.createDataFrame([("p1", "l1", None), ("p2", "l1", None), ("p3", "l2", None)], "protein string, locus string, sequence string")
+    df = inference.peptide_classes(pairs, proteins)
+    assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.peptide: r["class"] for r in df.collect()} == {"a": "C2a", "b": "C1b", "c": "C3b"}
