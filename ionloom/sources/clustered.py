@@ -41,17 +41,32 @@ def read_window(spark: SparkSession, path: str, run: str, low: float, high: floa
     return _files(spark, path, wanted).where((F.col("run") == run) & F.col("rt").between(low, high))
 
 
-def read_windows(spark: SparkSession, path: str, windows: DataFrame, width: float) -> DataFrame:
-    """Each window (its columns, with run, low and high) with the spectra of its run and time, from the files that some window needs.
+def _of_windows(spark: SparkSession, path: str, windows: DataFrame, width: float) -> DataFrame:
+    """The spectra of the files that some window needs.
 
     Files are found by a join of the manifest, which is small, with the windows' distinct cells of ``width``; what the driver holds is the
-    names of files. Windows and spectra then meet by run and time cell.
+    names of files.
     """
-    from ..operators.joins import range_join
-
     at = lambda c: F.floor(F.col(c) / width).cast("bigint")
     cells = windows.where("low <= high").select(F.col("run").cast("string").alias("run"), F.explode(F.sequence(at("low"), at("high"))).alias("cell")).distinct()
     files = manifest(spark, path).where("low IS NOT NULL").select("file", "run", F.explode(F.sequence(at("low"), at("high"))).alias("cell"))
     names = sorted({r["file"] for r in files.join(cells, ["run", "cell"], "left_semi").select("file").distinct().collect()})
-    scan = _files(spark, path, F.col("file").isin(names) if names else F.lit(False))
-    return range_join(windows, scan, F.col("low"), F.col("high"), F.col("rt"), width, on=["run"])
+    return _files(spark, path, F.col("file").isin(names) if names else F.lit(False))
+
+
+def read_windows(spark: SparkSession, path: str, windows: DataFrame, width: float) -> DataFrame:
+    """Each window (its columns, with run, low and high) with the spectra of its run and time, from the files that some window needs.
+
+    Windows and spectra meet by run and time cell of ``width``. The result has a row for each pair; ``window_totals`` makes none.
+    """
+    from ..operators.joins import range_join
+
+    return range_join(windows, _of_windows(spark, path, windows, width), F.col("low"), F.col("high"), F.col("rt"), width, on=["run"])
+
+
+def window_totals(spark: SparkSession, path: str, windows: DataFrame, width: float, count: str, results: dict[str, tuple[str, str]]) -> DataFrame:
+    """The windows (with run, low and high) that hold a spectrum of their run and time, with the number of these spectra and ``results`` of
+    their columns, from the files that some window needs; see ``operators.joins.window_totals``."""
+    from ..operators.joins import window_totals as totals
+
+    return totals(windows, _of_windows(spark, path, windows, width), ["run"], "low", "high", "rt", count, results)

@@ -147,3 +147,30 @@ def test_peptide_classes_do_not_copy_rows(spark):
     df = inference.peptide_classes(pairs, proteins)
     assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert {r.peptide: r["class"] for r in df.collect()} == {"a": "C2a", "b": "C1b", "c": "C3b"}
+
+
+def test_window_totals_make_no_pairs(spark):
+    rng = random.Random(5)
+    spread = [(rng.choice("ab"), rng.choice([rng.uniform(-9, 9), round(rng.uniform(-9, 9), 1), 0.0, 2.0]), rng.randrange(1000)) for _ in range(400)]
+    points = [*spread, *[("a", 3.0, k) for k in range(2000)], ("a", None, 1), ("a", float("nan"), 2), ("a", float("inf"), 3), (None, 1.0, 4), ("b", 5.0, None)]
+    starts = [rng.choice([rng.uniform(-10, 10), round(rng.uniform(-10, 10), 1)]) for _ in range(200)]
+    windows = [("a", 2.9, 3.1)] * 300 + [(rng.choice("abc"), x, x + rng.choice([0.0, 1e-9, 0.1, 0.5, 3.0, 40.0, -1.0])) for x in starts]
+    windows += [("a", float("-inf"), float("inf")), ("b", float("-inf"), -4.0), ("a", None, 1.0), ("a", 1.0, float("nan")), (None, 0.0, 2.0), ("b", 5.0, 5.0), ("a", -1e308, 1e308)]
+    w = spark.createDataFrame([(i, *x) for i, x in enumerate(windows)], "i long, run string, low double, high double")
+    p = spark.createDataFrame([(r, v, k, None if k is None else str(k)) for r, v, k in points], "run string, rt double, k long, name string")
+    out = joins.window_totals(w, p, ["run"], "low", "high", "rt", "n", {"first": ("min", "name"), "last": ("max", "rt"), "all": ("sum", "k")})
+    want = []
+    for i, (run, low, high) in enumerate(windows):
+        held = [(v, k) for r, v, k in points if None not in (run, low, high, v) and r == run and abs(v) < float("inf") and low <= v <= high]
+        if held:
+            ks = [k for _, k in held if k is not None]
+            want.append((i, run, low, high, len(held), min(map(str, ks), default=None), max(v for v, _ in held), sum(ks) if ks else None))
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_time_windows_pairs_nothing(spark, tmp_path):
+    # 600 equal windows and points: a range join would make their pairs by buckets.
+    rows = [(k, "purchase" if k % 2 else "error", 35.0 if k % 3 else 30 + k % 100 / 10) for k in range(900)]
+    sf = _tables(spark, tmp_path, events=(rows, "event_id long, event_type string, value double"))
+    assert len(_as_sql(spark, sf, "time_windows", "events")) > 800
+    assert "__bucket" not in QUERIES["time_windows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
