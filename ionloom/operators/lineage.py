@@ -43,3 +43,17 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *[F.col(k) for k in keys])
+
+
+#: Rows that a task of ``spread`` gets, so that what it sorts and hashes is bounded whatever the input.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by the hash of ``keys`` to as many tasks as ``rows``, the rows of the largest table of a job, make at ``TASK_ROWS`` each.
+
+    The session's number of shuffle partitions does not grow with the input, so what one task holds would. Tables that are to meet by
+    ``keys`` are spread with the same ``rows``; later steps by these keys and others stay where the rows are.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return df.repartition(n, *[F.col(k) for k in keys])

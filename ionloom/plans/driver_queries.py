@@ -17,7 +17,7 @@ from ..functions import masses
 from ..operators import aggregate as A
 from ..operators import fdr, filters, grid, joins, ordered, signal, spectra
 from ..operators.inference import evidence_classes, infer_groups
-from ..operators.lineage import dealt
+from ..operators.lineage import dealt, spread
 from ..sources import mztab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,10 @@ SELECT o_custkey, count(q) AS n_quant, round(avg(q), 4) AS mean_quant, round(std
   round(stddev_samp(q) / sqrt(count(q)), 4) AS sem_quant FROM l2 GROUP BY o_custkey""")
 def rollup_protein_quant(spark, sf):
     """AGG-01/08/09/11, FLT-01: ion -> peptide -> protein as line -> order -> customer."""
-    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice").join(t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    line, orders = t(spark, sf, "lineitem"), t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    n = line.count()
+    # Both levels of the roll-up have the order among their keys, so they are aggregated where lines and orders meet.
+    rows = spread(line.select("l_orderkey", "l_partkey", "l_extendedprice"), n, "l_orderkey").join(spread(orders, n, "l_orderkey"), "l_orderkey")
     ch = {"q": A.Channel("l_extendedprice", "log2", above=12)}
     out = A.roll_up(rows, [["o_custkey", "l_orderkey", "l_partkey"], ["o_custkey", "l_orderkey"]], ch)
     return rounded(out.groupBy("o_custkey").agg(*A.dispersion("q", "quant")), "mean_quant", "cv_quant", "sd_quant", "sem_quant")
@@ -70,7 +73,7 @@ SELECT l_suppkey, round(avg(light), 1) AS light, round(avg(heavy), 1) AS heavy,
 def labeled_ratio_rollup(spark, sf):
     """AGG-06/12, JN-04, FN-03: light, heavy and their per-row ratio through two levels."""
     rows = t(spark, sf, "lineitem").select("l_suppkey", "l_partkey", F.col("l_extendedprice").alias("l"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("h"))
-    rows = rows.withColumn("r", F.try_divide("l", "h"))
+    rows = spread(rows.withColumn("r", F.try_divide("l", "h")), rows.count(), "l_suppkey", "l_partkey")
     ch = {n: A.Channel(n[0]) for n in ("light", "heavy", "ratio")}
     out = A.roll_up(rows, [["l_suppkey", "l_partkey"], ["l_suppkey"]], ch)
     return rounded(rounded(out, "light", "heavy", digits=1), "ratio", digits=6)

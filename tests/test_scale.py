@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import ionloom.plans.ion_queries  # noqa: F401
 from ionloom.functions import columns
-from ionloom.operators import grid, inference, joins, quantification, spectra
+from ionloom.operators import grid, inference, joins, lineage, quantification, spectra
 from ionloom.plans.driver_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -174,3 +174,13 @@ def test_time_windows_pairs_nothing(spark, tmp_path):
     sf = _tables(spark, tmp_path, events=(rows, "event_id long, event_type string, value double"))
     assert len(_as_sql(spark, sf, "time_windows", "events")) > 800
     assert "__bucket" not in QUERIES["time_windows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_roll_ups_are_dealt_to_more_tasks_as_the_input_grows(spark, monkeypatch):
+    for query, keys in (("rollup_protein_quant", "l_orderkey"), ("labeled_ratio_rollup", "l_suppkey")):
+        plan = lambda: QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()  # noqa: E731, B023
+        monkeypatch.setattr(lineage, "TASK_ROWS", 250_000)
+        assert f"RepartitionByExpression [{keys}#" in plan() and "], 4" in plan()
+        # The 6,000 lines of the table are 60 tasks' worth.
+        monkeypatch.setattr(lineage, "TASK_ROWS", 100)
+        assert "], 60" in plan()
