@@ -9,7 +9,7 @@ Examples are ordered so that those of like terms are neighbours and cut into blo
 (block, term) and the largest weight of each term in each block.
 
 Search. A text's terms bound its cosine with every example of a block by the sum of products with the block's
-largest weights. Blocks are scored whole, the highest bound first, until no bound reaches the k-th cosine, so the
+largest weights. Blocks are scored whole, the highest bounds first, 8 at once, then 16, 32 ..., until no bound reaches the k-th cosine, so the
 k nearest examples are exact (cosines of 9 decimals, ties: first places in the index).
 
 Score. Neighbours vote for their label by their cosine, each label weighted by how many labelled texts an example of
@@ -37,6 +37,8 @@ BEGINNINGS = (4, 6)
 LEVELS = (1, 2, 4, 8, 16)
 #: Cosines count by so many decimals, so that rounding does not decide among equal ones.
 DECIMALS = 9
+#: Blocks that a search scores at once at first, twice as many in each next step.
+FIRST_BLOCKS = 8
 #: Results of so many different term sets are kept by a worker, which changes speed but not results.
 KNOWN = 20_000
 
@@ -135,25 +137,39 @@ class Index:
             return none
         # Sums of rounded products may pass their bound by a few units in the last place.
         bounds = np.round((w @ self.most[t]) * (1 + 1e-12), DECIMALS)
-        at, cosines = none
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(at) == k and bounds[b] < cosines[-1]:
-                break
-            if len(at) == k and bounds[b] == cosines[-1] and b * self.block > at[-1]:
-                continue  # could tie with the last at best, and ties go to first places
-            sizes = self.starts[b, t + 1] - self.starts[b, t]
-            post = np.repeat(self.starts[b, t] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            found = np.round(np.bincount(self.places[post], np.repeat(w, sizes) * self.weights[post], self.block), DECIMALS)
-            new = np.flatnonzero(found)
-            new, found = new + b * self.block, found[new]
+        left = np.argsort(-bounds, kind="stable")
+        left = left[bounds[left] > 0]
+        (at, cosines), size = none, FIRST_BLOCKS
+        while len(left):
+            if len(at) == k:
+                # Those that could tie with the last at best go too where it stands before them, as ties go to first places.
+                reach = bounds[left]
+                left = left[(reach > cosines[-1]) | (reach == cosines[-1]) & (left * self.block <= at[-1])]
+            now, left, size = left[:size], left[size:], size * 2
+            new, found = self.scored(now, t, w, cosines[-1] if len(at) == k else 0.0)
             if own >= 0:
                 keep = self.ids[new] != own
                 new, found = new[keep], found[keep]
+            if len(found) > k:
+                keep = found >= np.partition(found, len(found) - k)[len(found) - k]
+                new, found = new[keep], found[keep]
             at, cosines = np.concatenate([at, new]), np.concatenate([cosines, found])
             order = np.lexsort((at, -cosines))[:k]
             at, cosines = at[order], cosines[order]
         return at, cosines
 
+    def scored(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the examples of ``blocks`` whose cosine is above 0 and ``least`` or more."""
+        first = self.starts[blocks[:, None], t]
+        sizes = self.starts[blocks[:, None], t + 1] - first
+        flat = sizes.ravel()
+        post = np.repeat(first.ravel() - np.cumsum(flat) + flat, flat) + np.arange(flat.sum())
+        row = np.repeat(np.arange(len(blocks)) * self.block, sizes.sum(axis=1))
+        products = np.repeat(np.tile(w, len(blocks)), flat) * self.weights[post]
+        found = np.round(np.bincount(row + self.places[post], products, len(blocks) * self.block), DECIMALS)
+        new = np.flatnonzero((found > 0) & (found >= least))
+        return blocks[new // self.block] * self.block + new % self.block, found[new]
+
     def vote(self, at: np.ndarray, cosines: np.ndarray, smoothing: float) -> float:
         """The share of toxic votes, 0 to 1."""
         weight = cosines * self.votes[at]

@@ -160,3 +160,15 @@ def test_nothing_learned(spark):
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(docs, one).collect()} == {1.0}
     assert toxicity.score_toxicity(docs.limit(0), one).count() == 0
+
+
+def test_blocks_are_scored_in_few_steps(monkeypatch):
+    """Of 250 blocks whose bounds all reach the last of the nearest, steps are as many as doublings, and the nearest are those of all blocks."""
+    r = random.Random(3)
+    index, vectors, _, idf = _index(r, 1000, 30, 4)
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: calls.append(1) or count(*a))
+    q = [t for t in idf if r.random() < 0.4]
+    at, cosines = index.nearest(*index.vector(q), 16)
+    assert len(index.starts) > 200 and len(calls) <= 6
+    assert cosines.tolist() == pytest.approx(sorted((_cosine(q, v, idf) for v in vectors.values()), reverse=True)[:16])
