@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import ionloom.plans.ion_queries  # noqa: F401
 from ionloom.functions import columns
 from ionloom.operators import grid, inference, joins, lineage, quantification, spectra
+from ionloom.plans import scoring
 from ionloom.plans.driver_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +185,16 @@ def test_roll_ups_are_dealt_to_more_tasks_as_the_input_grows(spark, monkeypatch)
         # The 6,000 lines of the table are 60 tasks' worth.
         monkeypatch.setattr(lineage, "TASK_ROWS", 100)
         assert "], 60" in plan()
+
+
+def test_boosted_scores_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(i, float(i % 17), float(i % 5), int(i % 17 > 8)) for i in range(300)], "id long, a double, b double, y int")
+    out = scoring.boosted_scores(rows.mapInPandas(counted, rows.schema), ["a", "b"], "y", "id")
+    assert out.count() == 300 and read.value == 300
