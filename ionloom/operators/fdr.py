@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bare_sequence
 from ..functions.identifiers import logit
+from .lineage import cut
 from .ordered import running, top_k
 
 
@@ -34,19 +35,21 @@ def q_between(knots: DataFrame, rows: DataFrame, score: str, q: str = "q_value",
     with ``outside`` = ``linear`` that of the line through the last two knots (missing for fewer than two)."""
     on = on or []
     k = knots.select(*on, F.col(score).cast("double").alias("__x"), F.struct(F.col(score).cast("double").alias("x"), F.col(q).alias("y")).alias("__k"))
-    # Scores are looked up once each, so rows of a common score are not in one range; they join the value back by parts of their own.
+    # Scores are looked up once each, so rows of a common score are not in one range; they join the value back by parts of their own,
+    # of which a score has those that its rows are in: a rare score is not copied for all of them.
     x = F.col(score).cast("double")
-    distinct = rows.select(*on, x.alias("__x")).distinct()
+    # A few columns are enough to deal rows out, and the optimizer's constraints on the sum double with each column in it.
+    plain = [F.col(f"`{c}`") for c, kind in rows.dtypes if c not in on and c != score and "<" not in kind][:3] or [x]
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    distinct = salted.groupBy(*on, x.alias("__x")).agg(F.bit_or(F.expr("shiftleft(1, __part)")).alias("__parts"))
     both = k.unionByName(distinct, allowMissingColumns=True).withColumn("__row", F.col("__k").isNull())
     both = running(both, on, [F.col("__x"), F.col("__row")], {"__low": ("last", "__k")})
     both = running(both, on, [F.col("__x").desc(), F.col("__row")], {"__high": ("last", "__k")}).where("__row")
     low, high = F.col("__low"), F.col("__high")
     inside = low["y"] + (high["y"] - low["y"]) * F.try_divide(F.col("__x") - low["x"], high["x"] - low["x"])
     value = F.when(low.isNull(), high["y"]).when(high.isNull() | (low["x"] == high["x"]), low["y"]).otherwise(inside)
-    found = both.select(*[F.col(c).alias(f"__on_{c}") for c in on], F.col("__x").alias("__at"), value.alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    # A few columns are enough to deal rows out, and the optimizer's constraints on the sum double with each column in it.
-    plain = [F.col(f"`{c}`") for c, kind in rows.dtypes if c not in on and c != score and "<" not in kind][:3] or [x]
-    salted = rows.withColumn("__part", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    some = F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(__parts, i) = 1)")
+    found = both.select(*[F.col(c).alias(f"__on_{c}") for c in on], F.col("__x").alias("__at"), value.alias("__q"), F.explode(some).alias("__salt"))
     met = salted.join(found, [x.eqNullSafe(F.col("__at")), F.col("__part") == F.col("__salt"), *[F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]], "left")
     out = met.select(*[F.col(f"`{c}`") for c in rows.columns if c != q], F.col("__q").alias(q))
     return out if outside == "nearest" else _beyond(k, out, score, q, on)
@@ -74,10 +77,12 @@ def digested_scores(reversed_peptides: DataFrame, scores: DataFrame, keys: list[
     """protein, decoy_score: sums of the scores of a protein's reversed peptides that were found, proteins without one left out.
 
     ``reversed_peptides``: protein, peptide, a row for each time it is cut; ``scores``: sequence, score (per ``keys``, if given). Where
-    sequences are alike but for their modifications the last by name counts.
+    sequences are alike but for their modifications the last by name counts, with its best score if it has several rows.
     """
     keys = keys or []
-    bare = scores.groupBy(*keys, bare_sequence(F.col("sequence")).alias("peptide")).agg(F.max_by("score", "sequence").alias("score"))
+    last = F.max(F.struct("sequence", "score"))["score"].alias("score")
+    # Dealt by peptide once, for the best scores and for the join.
+    bare = scores.select(*keys, bare_sequence(F.col("sequence")).alias("peptide"), "sequence", "score").repartition("peptide").groupBy(*keys, "peptide").agg(last)
     return reversed_peptides.join(bare, "peptide").groupBy(*keys, "protein").agg(F.sum("score").alias("decoy_score")).where("decoy_score <> 0")
 
 
@@ -101,6 +106,17 @@ def scored_groups(groups: DataFrame, scores: DataFrame, decoys: DataFrame, keys:
     return g.join(target, on).join(worst, on).drop("__g").withColumn("decoy_bigger", F.col("decoy_score") > F.col("target_score"))
 
 
+def with_decoy_scores(groups: DataFrame, decoys: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``groups`` (a row each: keys, protein_group, target_score and other short columns) with decoy_score and decoy_bigger, as ``scored_groups``.
+
+    The columns of a group go with its members, so that no group is looked up again; lists are better left out.
+    """
+    keys = keys or []
+    members = groups.withColumn("protein", F.explode(F.split("protein_group", ";"))).join(decoys, [*keys, "protein"], "left")
+    worst = members.groupBy(*groups.columns).agg(F.max(F.coalesce("decoy_score", F.lit(0.0))).alias("decoy_score"))
+    return worst.withColumn("decoy_bigger", F.col("decoy_score") > F.col("target_score"))
+
+
 def with_decoy_only(scored: DataFrame, decoys: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``scored`` (as from ``scored_groups``) with ``decoy``, and a row for each decoy protein that is in no group of its ``keys``:
     target score 0, its own decoy score, class Unknown, no peptides, ``decoy`` and ``decoy_bigger`` true.
@@ -113,7 +129,7 @@ def with_decoy_only(scored: DataFrame, decoys: DataFrame, keys: list[str] | None
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("protein") == F.col("__protein")]
     alone = decoys.join(held, same, "full_outer").where("__held IS NULL")
     none = {"protein_group": F.col("protein"), "class": F.lit("Unknown"), "peptides": F.lit(""), "target_score": F.lit(0.0), "decoy_bigger": F.lit(True)}
-    rows = alone.select(*keys, *[none[c].alias(c) for c in none if c in scored.columns], F.col("decoy_score").cast("double").alias("decoy_score"), F.lit(True).alias("decoy"))
+    rows = cut(alone.select(*keys, *[none[c].alias(c) for c in none if c in scored.columns], F.col("decoy_score").cast("double").alias("decoy_score"), F.lit(True).alias("decoy")))
     return scored.withColumn("decoy", F.lit(False)).unionByName(rows, allowMissingColumns=True)
 
 

@@ -12,12 +12,12 @@ RANGES = 64
 
 
 def ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """``df`` in ranges of (keys, order), materialised, with ``__p``, the number of its range.
+    """``df`` in ranges of (keys, order) with ``__p``, the number of its range; to be materialised before it is read twice.
 
     A key with a third of all rows is cut into ranges by its order, so that no task holds all of it.
     """
     parts = max(RANGES if df.sparkSession.sparkContext.master[:5] != "local" else 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("__p", F.spark_partition_id()))
+    return df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("__p", F.spark_partition_id())
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], results: dict[str, tuple[str, str]]) -> DataFrame:
@@ -31,10 +31,10 @@ def running(df: DataFrame, keys: list[str], order: list[Column], results: dict[s
     own = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     apply = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     merge = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "min": F.least, "max": F.greatest, "last": lambda a, b: F.coalesce(b, a)}
-    rows = rows.withColumns({f"__{n}": apply[f](c).over(own) for n, (f, c) in results.items()})
-    # The running results of a range's last row of a key are the range's totals.
+    # The running results of a range's last row of a key are the range's totals. Rows are written with them, so that ranges are sorted once.
     last = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(1, 1)
-    ends = rows.withColumn("__more", F.max(F.lit(1)).over(last)).where("__more IS NULL").select(*keys, "__p", *[f"__{n}" for n in results])
+    rows = cut(rows.withColumns({f"__{n}": apply[f](c).over(own) for n, (f, c) in results.items()} | {"__more": F.max(F.lit(1)).over(last)}))
+    ends = rows.where("__more IS NULL").select(*keys, "__p", *[f"__{n}" for n in results])
     several = ends.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.min("__p").alias("__a"), F.max("__p").alias("__z")).where("__a < __z")
     same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] or [F.lit(True)]
     ends = cut(ends.join(F.broadcast(several), same).select(*keys, "__p", *[f"__{n}" for n in results]))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import ionloom.plans.ion_queries  # noqa: F401
 from ionloom.functions import columns
-from ionloom.operators import grid, inference, joins, lineage, quantification, spectra
-from ionloom.plans import scoring
+from ionloom.operators import fdr, grid, inference, joins, lineage, ordered, quantification, spectra
+from ionloom.plans import protein_inference, scoring
 from ionloom.plans.driver_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -198,3 +198,40 @@ def test_boosted_scores_read_their_rows_once(spark):
     rows = spark.createDataFrame([(i, float(i % 17), float(i % 5), int(i % 17 > 8)) for i in range(300)], "id long, a double, b double, y int")
     out = scoring.boosted_scores(rows.mapInPandas(counted, rows.schema), ["a", "b"], "y", "id")
     assert out.count() == 300 and read.value == 300
+
+
+def test_inference_meets_a_sequence_once_whatever_its_spectra(spark, monkeypatch):
+    seen, own = [], protein_inference.classified
+    monkeypatch.setattr(protein_inference, "classified", lambda psms, classes: seen.append(psms.count()) or own(psms, classes))
+    classes = spark.createDataFrame([("PEP", "p1", "C1a"), ("MPEP", "p2", "C1a"), ("MKA", "p3", "C1b")], "peptide string, protein_group string, class string")
+    psms = [("f", s, float(i)) for i in range(5) for s in ("PEP", "KA", "[ox]KA")] + [("g", "PEP", 9.0)]
+    out = protein_inference.infer_proteins(spark.createDataFrame(psms, "file string, sequence string, score double"), classes, spark.createDataFrame([("p1", "KA"), ("d", "PEP")], "protein string, peptide string"))
+    rows = {(r.file, r.ProteinGroup): (r.PeptideSequence, r.Class, r.TargetScore, r.DecoyScore) for r in out.collect()}
+    # A peptide of the sequence's own name goes before that after an M; each sequence counts by its best score over the files.
+    assert rows == {("f", "p1"): ("PEP", "C1a", 9.0, 4.0), ("g", "p1"): ("PEP", "C1a", 9.0, 4.0), ("f", "p3"): ("KA;[ox]KA", "C1b", 8.0, 0.0)}
+    assert seen == [4]
+
+
+def test_rare_scores_are_not_copied_to_every_part(spark, monkeypatch):
+    seen, own = [], fdr.running
+    monkeypatch.setattr(fdr, "running", lambda df, *args: seen.append(df) or own(df, *args))
+    knots = spark.createDataFrame([(0.0, 0.0), (100.0, 1.0)], "s double, q_value double")
+    rows = spark.createDataFrame([(i, float(i)) for i in range(50)] + [(i, 7.5) for i in range(50, 450)], "i long, s double")
+    assert {r.i: round(r.q_value, 9) for r in fdr.q_between(knots, rows, "s").collect()} == {**{i: i / 100 for i in range(50)}, **{i: 0.075 for i in range(50, 450)}}
+    parts = {r["__x"]: bin(r["__parts"]).count("1") for r in seen[0].where("__row").collect()}
+    assert parts == {**{float(i): 1 for i in range(50)}, 7.5: fdr.SALTS}
+
+
+def test_ranges_are_sorted_once(spark):
+    df = ordered.running(spark.range(20).withColumn("v", F.lit(1)), [], [F.col("id")], {"s": ("sum", "v")})
+    # What is left to the plan runs over a row for each range.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert [r.s for r in df.orderBy("id").collect()] == list(range(1, 21))
+
+
+def test_peptide_classes_shuffle_pairs_twice(spark):
+    pairs = spark.createDataFrame([("a", "p1"), ("a", "p1"), ("a", "p2"), ("b", "p1")], "peptide string, protein string")
+    proteins = spark.createDataFrame([("p1", "l1", "S"), ("p2", "l2", "S")], "protein string, locus string, sequence string")
+    df = inference.peptide_classes(pairs, proteins)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [peptide#") == 1
+    assert {r.peptide: (r.protein_group, r["class"]) for r in df.collect()} == {"a": ("p1;p2", "C3a"), "b": ("p1", "C1a")}
