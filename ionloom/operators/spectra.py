@@ -209,11 +209,21 @@ def isotope_pattern(sequence: str, heavy_nitrogen: float | None = None, peaks: i
     return p / p.sum()
 
 
+@lru_cache(maxsize=1024)
+def _reach(sequence: str) -> int:
+    """Number of a peptide's isotopes by added neutrons, at any share of N-15: all its nitrogens may be heavy, of the others as many
+    neutrons as have a share above the transform's rounding."""
+    n, size, rest = _spectrum_of_rest(sequence, 30)
+    return n + 1 + int(np.flatnonzero(np.fft.irfft(rest, size) >= 1e-15).max())
+
+
 def drawn_pattern(sequence: str, heavy_nitrogen: float, ions: int, seed: int, peaks: int = 30) -> np.ndarray:
     """Shares of the added neutrons of ``ions`` molecules, drawn from the peptide's whole pattern: a measurement with counting noise.
 
     Molecules are independent, so their numbers by neutrons are one multinomial draw, of the same law as isotopes drawn atom by atom.
+    Every molecule counts: there are ``peaks`` shares, or as many more as the peptide's isotopes need, whatever the share of N-15.
     """
+    peaks = max(peaks, _reach(sequence))
     n, size, rest = _spectrum_of_rest(sequence, peaks)
     p = np.clip(np.fft.irfft(rest * np.fft.rfft((1 - heavy_nitrogen, heavy_nitrogen), size) ** n, size), 0, None)
     # The transform's rounding (1e-17) is no isotope.

@@ -235,3 +235,12 @@ def test_peptide_classes_shuffle_pairs_twice(spark):
     df = inference.peptide_classes(pairs, proteins)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [peptide#") == 1
     assert {r.peptide: (r.protein_group, r["class"]) for r in df.collect()} == {"a": ("p1;p2", "C3a"), "b": ("p1", "C1a")}
+
+
+def test_drawn_patterns_hold_every_molecule():
+    # 58 nitrogens: at these shares no molecule has less than 40 added neutrons.
+    seq = "STANDARDANDIEDTINALMNDANTIEARTICRNFLWER"
+    for share in (0.9, 0.95, 0.989):
+        drawn = spectra.drawn_pattern(seq, share, 20_000, seed=3)
+        assert np.isclose(drawn.sum(), 1) and not drawn[:40].any()
+        assert abs(spectra.label_efficiency(seq, drawn)[0] - share) < 0.001
