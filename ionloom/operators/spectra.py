@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -131,11 +131,11 @@ def charge_states(mz: np.ndarray, charges: range = range(1, 7), width: float = 0
 
     A ladder is a chain of peaks spaced by one isotope over the charge. Its p is the share of random spectra, with as many
     peaks over the same range, that hold as long a ladder. A charge whose peaks another charge's ladder contains is dropped.
+    Random spectra are drawn a part at a time, no more once so many hold as long a ladder that p is above ``level`` whatever the others hold.
     """
     mz = np.sort(np.asarray(mz, float))
     if len(mz) < 2:
         return []
-    rng = np.random.default_rng(seed)
 
     def steps(x: np.ndarray, z: int) -> np.ndarray:
         hit = matched(x, x - ISOTOPE_GAP / z, width)
@@ -160,32 +160,49 @@ def charge_states(mz: np.ndarray, charges: range = range(1, 7), width: float = 0
             out.append(int(hit[out[-1]]))
         return out
 
-    # Random spectra stand one after the other, too far apart for a step between them, a part of them at a time.
-    random = np.sort(rng.uniform(mz[0], mz[-1], (rounds, len(mz))), axis=1)
-    part, apart = max(1, 200_000 // len(mz)), mz[-1] - mz[0] + 4 * (ISOTOPE_GAP + width)
+    # Random spectra stand one after the other, too far apart for a step between them.
+    part, apart = max(1, min(rounds // 16 + 1, 200_000 // len(mz))), mz[-1] - mz[0] + 4 * (ISOTOPE_GAP + width)
 
-    def as_long(z: int, n: int) -> int:
-        """Number of random spectra with a ladder of at least ``n`` peaks."""
+    def share(z: int, n: int) -> float:
+        """p of a ladder of ``n`` peaks, or a lower bound of it that is above ``level``."""
         count = 0
         for a in range(0, rounds, part):
-            some = random[a : a + part]
+            some = mz[0] + (mz[-1] - mz[0]) * _unit_spectra(seed, a, min(part, rounds - a), len(mz))
             hit = steps((some + apart * np.arange(len(some))[:, None]).ravel(), z)
             first = at = np.arange(len(hit))
             for _ in range(n - 1):
                 on = hit[at] >= 0
                 first, at = first[on], hit[at[on]]
             count += len(np.unique(first // len(mz)))
-        return count
+            if (1 + count) / (rounds + 1) > level:
+                break
+        return (1 + count) / (rounds + 1)
 
     found = []
     for z in charges:
         own = ladder(mz, z)
-        p = (1 + as_long(z, len(own))) / (rounds + 1) if len(own) > 1 else 1.0
+        p = share(z, len(own)) if len(own) > 1 else 1.0
         if p <= level:
             found.append((z, frozenset(own), p))
     return [(z, len(s), p) for z, s, p in found if not any(s < o for _, o, _ in found)]
 
 
+@lru_cache(maxsize=32)
+def _unit_spectra(seed: int, start: int, count: int, peaks: int) -> np.ndarray:
+    """Sorted random spectra between 0 and 1, from number ``start`` of the seed's stream on: the same for all spectra of so many peaks."""
+    return np.sort(np.random.Generator(np.random.PCG64(seed).advance(start * peaks)).random((count, peaks)), axis=1)
+
+
+def once_each(f: Callable, arrays: Iterable) -> Iterator:
+    """``f`` of each array, computed once for equal ones that follow each other."""
+    last, got = None, None
+    for x in arrays:
+        x = np.asarray(x, float)
+        if last is None or not np.array_equal(x, last):
+            last, got = x, f(x)
+        yield got
+
+
 @lru_cache(maxsize=1024)
 def _spectrum_of_rest(sequence: str, peaks: int) -> tuple[int, int, np.ndarray]:
     """(nitrogen atoms, transform size, transform of all other elements) of a peptide."""

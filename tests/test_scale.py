@@ -244,3 +244,39 @@ def test_drawn_patterns_hold_every_molecule():
         drawn = spectra.drawn_pattern(seq, share, 20_000, seed=3)
         assert np.isclose(drawn.sum(), 1) and not drawn[:40].any()
         assert abs(spectra.label_efficiency(seq, drawn)[0] - share) < 0.001
+
+
+def test_charge_states_draw_until_p_is_decided(monkeypatch):
+    def plain(mz, charges, rounds, level=0.05, width=0.02):
+        """All random spectra at once, drawn from one stream."""
+        def longest(x, z):
+            hit = spectra.matched(x, x - spectra.ISOTOPE_GAP / z, width)
+            n = np.ones(len(x), int)
+            for i in range(len(x)):
+                if 0 <= hit[i] < i:
+                    n[i] = n[hit[i]] + 1
+            return n.max()
+
+        drawn = np.sort(np.random.default_rng(1).uniform(mz[0], mz[-1], (rounds, len(mz))), axis=1)
+        own = {z: longest(mz, z) for z in charges}
+        p = {z: (1 + sum(longest(x, z) >= own[z] for x in drawn)) / (rounds + 1) for z in charges if own[z] > 1}
+        return {z: (own[z], q) for z, q in p.items() if q <= level}
+
+    seen, own = [], spectra.matched
+    monkeypatch.setattr(spectra, "matched", lambda mz, ions, t: seen.append(len(ions)) or own(mz, ions, t))
+    # A ladder of three with a gap of its own, too far apart for ladders of other charges; and peaks of chance.
+    chance = np.sort(np.random.default_rng(7).uniform(0, 60, 40))
+    ladder = np.sort(np.concatenate([np.arange(7) * spectra.ISOTOPE_GAP / 2 + 20, np.random.default_rng(2).uniform(0, 100, 20)]))
+    for mz, found in ((chance, False), (ladder, True)):
+        want = plain(mz, (1, 2, 3), 400)
+        seen.clear()
+        got = {z: (n, p) for z, n, p in spectra.charge_states(mz, (1, 2, 3), rounds=400)}
+        assert got.items() <= want.items() and bool(got) == found
+        # Two calls for the spectrum's own ladder of each charge; of random spectra less than half where all are chance.
+        assert found or sum(seen) < 3 * 400 * len(mz) / 2
+
+
+def test_equal_spectra_are_computed_once():
+    seen = []
+    assert list(spectra.once_each(lambda x: seen.append(len(x)) or x.sum(), [[1.0, 2.0], [1.0, 2.0], [], [], [3.0], [1.0, 2.0]])) == [3, 3, 0, 0, 3, 3]
+    assert seen == [2, 0, 1, 2]
