@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,12 @@ def test_a_function_runs_once_for_each_row(spark):
 
     out = tolerant(spark.range(50)).map("even", ["id"], f, "id bigint")
     assert (out.good.count(), out.bad.count(), seen.value) == (25, 25, 50)
+
+
+def test_pairs_are_multiplied_where_they_meet(spark):
+    # Negative weights too: a first common product above the threshold, a whole one below.
+    rows = [(0, 1, 3.0), (0, 2, 1.0), (1, 1, 3.0), (1, 2, -2.0), (2, 1, 3.0), (2, 2, 1.0), (3, 3, 1.0)]
+    df = similarity.similar(spark.createDataFrame(rows, "id long, bin long, w double"), F.col("id") % 2 == 0, 0.7)
+    assert {(r.query_id, r.id) for r in df.collect()} == {(0, 2), (2, 0)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"\(bin#\d+L? = bin#", plan) and not re.search(r"\(query_id#\d+L? = query_id#", plan)
