@@ -1,5 +1,6 @@
 """Steps that must not grow faster than the input, with the same results."""
 
+import hashlib
 import random
 
 import duckdb
@@ -280,3 +281,13 @@ def test_equal_spectra_are_computed_once():
     seen = []
     assert list(spectra.once_each(lambda x: seen.append(len(x)) or x.sum(), [[1.0, 2.0], [1.0, 2.0], [], [], [3.0], [1.0, 2.0]])) == [3, 3, 0, 0, 3, 3]
     assert seen == [2, 0, 1, 2]
+
+
+def test_lists_of_peptides_go_once_to_a_task(spark, monkeypatch):
+    rows = [(f"s{i}", ";".join(sorted({f"p{i % 4}", f"p{i % 3}", f"q{i % 7}"}))) for i in range(60)] + [("s0", "p0"), ("é", "p0"), ("s0", "p0;q1")]
+    found = spark.createDataFrame(rows, "sequence string, protein_group string")
+    want = {r.protein_group: (len(r.peptides.split(";")), hashlib.md5(r.peptides.encode()).hexdigest()) for r in inference.grouped(found.withColumn("class", F.lit("")), [], "maximal").collect()}
+    monkeypatch.setattr(inference, "TASK_GROUPS", 5)
+    assert {r.protein_group: (r.peptides, r.listed) for r in inference.listed(found).collect()} == want
+    # The joined lists of the usage inverse are the only ones left.
+    assert QUERIES["strict_protein_groups"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("collect_list(__list") == 1
